@@ -113,7 +113,7 @@ def frequent_lengths(docs: DataFrame, path: str, table: int, per_task: int) -> l
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in pieces(batches, 32 << 20):
+        for batch in pieces(batches, 8 << 20):
             parts, place, _ = pre_tokens(batch.column("text"))
             n = np.bincount(place, minlength=len(parts))
             top = np.argsort(-n, kind="stable")[: 4 * per_task]
@@ -137,7 +137,7 @@ def token_counts(
     text_col: str = "text",
     table: int = 65_536,
     per_task: int = 4_096,
-    cache: int = 1_000_000,
+    cache: int = 600_000,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row, by the sentencepiece model at `path`.
 
@@ -156,7 +156,7 @@ def token_counts(
         names, sizes = packed.value
         frequent = dict(zip(names.split(" "), sizes, strict=True)) if sizes else {}
         lengths = _kept(path, run, lambda: Lengths(path, frequent, cache))
-        for batch in pieces(batches, 32 << 20):
+        for batch in pieces(batches, 8 << 20):
             parts, place, each = pre_tokens(batch.column("text"))
             n = totals(np.array(lengths(parts), np.int64)[place], each)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": n})

@@ -68,7 +68,7 @@ class Encoder:
     normaliser and the byte mapping unchanged, so that they go to the library's model itself.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
@@ -121,7 +121,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     """doc_id, count and the ids themselves (little-endian, 4 bytes each, still unranked) of every row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 16 << 20):
+        for batch in pieces(batches, 4 << 20):
             ids, counts = _encoder(path)(batch.column("text"), end)
             raw, edge = ids.astype("<u4").tobytes(), np.concatenate([[0], 4 * np.cumsum(counts)]).tolist()
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "count": counts, "ids": pa.array([raw[a:b] for a, b in zip(edge, edge[1:])], pa.binary())})
