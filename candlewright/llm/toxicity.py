@@ -56,7 +56,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFr
     return docs.join(F.broadcast(some), docs["doc_id"] == F.col("id")).select("text", "label")
 
 
-def fit(rows: DataFrame, features: int = 16_384, rounds: int = 200, ridge: float = 0.02, tasks: int = 4) -> Model:
+def fit(rows: DataFrame, features: int = 16_384, rounds: int = 200, ridge: float = 0.3, tasks: int = 4) -> Model:
     """Fit on text, label rows of a bounded sample. Without both labels every text gets the labels' mean."""
     rows = stored(rows.repartition(tasks), "toxicity-sample")
 
