@@ -118,7 +118,8 @@ def _fly(state: DataFrame, level: int, seed: str) -> DataFrame:
     state = state.withColumn("key", key).withColumn("part", F.pmod("key", "parts"))
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "doc_id", "size"], na_position="last")
+        # large documents fly first, so that those left at the end are small
+        rows = rows.assign(words=-rows["size"] * rows["times"]).sort_values(["words", "key", "doc_id"]).drop(columns="words")
         first = rows.iloc[0]
         draw = random.Random(f"{seed} {level} {first.source} {first.part}")
         rows["share"] = flight((rows["size"] * rows["times"]).tolist(), rows["share"].tolist(), draw, bool(first.parts == 1))

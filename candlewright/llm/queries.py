@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candlewright.llm.mixing import mix_sources
+from candlewright.llm.near_dedup import near_duplicates
 from candlewright.llm.quality import quality
+from candlewright.llm.substring_dedup import remove_repeats
 from candlewright.llm.token_counts import token_counts
 from candlewright.llm.token_ids import read_token_ids, write_token_ids
 from candlewright.llm.toxicity import toxicity
@@ -22,6 +25,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, sf_dir, "documents"), size=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +53,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_token_ids": op8_token_ids,
     "op9_toxicity": op9_toxicity,
