@@ -67,9 +67,8 @@ class Lengths:
 
     def __call__(self, parts: list[str]) -> list[int]:
         if fresh := [x for x in parts if x not in self.frequent and x not in self.own]:
-            if len(self.own) + len(fresh) > self.cache:
-                self.own.clear()
-                fresh = [x for x in parts if x not in self.frequent]
+            if len(self.own) + len(fresh) > self.cache:  # keep what is in use
+                self.own = {x: n for x in parts if (n := self.own.get(x)) is not None}
             got = self.model.encode(fresh, num_threads=1)
             self.own.update((x, len(n) - (x[:1] == "\n") if x else 1) for x, n in zip(fresh, got, strict=True))
         first, own = self.frequent, self.own

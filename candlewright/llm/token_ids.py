@@ -10,8 +10,9 @@ into four lengths at once, and the places in `data` follow from a running sum.
 
 from __future__ import annotations
 
-import itertools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,41 +59,52 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 _LETTERS = regex.compile(r"([.,;:!?*$%&#()\"-]*)(\p{L}+)([.,;:!?*$%&#()\"-]*)")
 
 
+#: Latin letters that are composed already and have one lower-case form each.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The library's byte mapping: bytes without a printable Latin-1 character stand as those from U+0100 on, in turn.
+_BYTES = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
+
+
 class Encoder:
     """Ids of texts by the tokenizers library. White space parts words for good, so that words are encoded once.
 
     Its normaliser turns white space into single spaces and its splitter keeps no space, so that a text's ids are its
     words' ids in turn. Words are cut at space and line feed only; all else stays inside and is the library's work. A
     word of letters with marks around it is cut further, as the splitter does, so that its letters are encoded once
-    beside whatever marks, and ASCII letters in whatever case, they stand. ASCII letters in lower case pass the
-    normaliser and the byte mapping unchanged, so that they go to the library's model itself.
+    beside whatever marks, and Latin letters in whatever case, they stand. Latin letters in lower case pass the
+    normaliser unchanged, so that they go to the library's model itself.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, words: int = 300_000, runs: int = 700_000):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
         self.of.no_truncation()
         self.of.no_padding()
-        self.most, self.known, self.short = most, {}, {}
+        self.kind = "<u2" if self.of.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.most, self.known, self.short = (words, runs), {}, {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
 
-    def ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word."""
-        known, short = self.known, self.short
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, packed as `kind`."""
+        known, short, packed = self.known, self.short, self._packed
         fresh = [x for x in words if x not in known]
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            short.clear()
-            fresh = words
+        if len(known) + len(fresh) > self.most[0]:  # keep what is in use
+            self.known = known = {x: y for x in words if (y := known.get(x)) is not None}
         cut = {x: m.groups() for x in fresh if (m := _LETTERS.fullmatch(x))}
-        cut = {x: (a, b.lower() if b.isascii() else b, c) for x, (a, b, c) in cut.items()}
+        cut = {x: (a, b.lower() if _LATIN.fullmatch(b) else b, c) for x, (a, b, c) in cut.items()}
+        if len(short) > self.most[1]:
+            short.clear()
         runs = {x for parts in cut.values() for x in parts if x and x not in short}
-        plain = sorted(x for x in runs if x.isascii() and x.isalpha())
-        short.update((x, tuple(t.id for t in self.of.model.tokenize(x))) for x in plain)
+        plain = sorted(x for x in runs if _LATIN.fullmatch(x))
+        split = self.of.model.tokenize
+        short.update((x, packed([t.id for t in split(x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))])) for x in plain)
         for group, to in ((sorted(runs.difference(plain)), short), ([x for x in fresh if x not in cut], known)):
             got = self.of.encode_batch_fast(group, add_special_tokens=False)
-            to.update((x, tuple(e.ids)) for x, e in zip(group, got, strict=True))
-        short[""] = ()
+            to.update((x, packed(e.ids)) for x, e in zip(group, got, strict=True))
+        short[""] = b""
         known.update((x, short[a] + short[b] + short[c]) for x, (a, b, c) in cut.items())
         return [known[x] for x in words]
 
@@ -100,12 +112,12 @@ class Encoder:
         """All ids in a row with `end` after every text, and how many each text has."""
         distinct, place, each = coded(pc.replace_substring(text.fill_null(""), "\n", " "))
         ids = self.ids(distinct)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, size.sum())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
         start, sizes = np.cumsum(size) - size, size[place]
         n = totals(sizes, each)
         at = np.repeat(start[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        out, last = np.full(len(at) + len(n), end, np.uint32), np.cumsum(n + 1) - 1
+        out, last = np.full(len(at) + len(n), end, self.kind), np.cumsum(n + 1) - 1
         inner = np.ones(len(out), bool)
         inner[last] = False
         out[inner] = flat[at]
@@ -117,25 +129,35 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, count and the ids themselves (little-endian, 4 bytes each, still unranked) of every row."""
+def id_type(path: str) -> str:
+    """The little-endian unsigned type that raw ids are kept in."""
+    return _encoder(path).kind
+
+
+def encoded(docs: DataFrame, path: str, end: int, kind: str) -> DataFrame:
+    """doc_id, count and the ids themselves (of type `kind`, still unranked) of every row."""
+    size = np.dtype(kind).itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
             ids, counts = _encoder(path)(batch.column("text"), end)
-            raw, edge = ids.astype("<u4").tobytes(), np.concatenate([[0], 4 * np.cumsum(counts)]).tolist()
+            raw, edge = ids.astype(kind).tobytes(), np.concatenate([[0], size * np.cumsum(counts)]).tolist()
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "count": counts, "ids": pa.array([raw[a:b] for a, b in zip(edge, edge[1:])], pa.binary())})
 
     return docs.mapInArrow(encode, "doc_id long, count long, ids binary")
 
 
-def id_ranks(rows: DataFrame) -> DataFrame:
+def _joined(ids: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(ids.to_pylist()), kind)
+
+
+def id_ranks(rows: DataFrame, kind: str) -> DataFrame:
     """id, rank: every id in `rows` by falling frequency, ties by id. One row an id, so bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"), minlength=len(total))
+            got = np.bincount(_joined(batch.column("ids"), kind), minlength=len(total))
             got[: len(total)] += total
             total = got
         have = np.flatnonzero(total)
@@ -154,8 +176,9 @@ def write_token_ids(docs: DataFrame, path: str, end: int, name: str = "token-ids
     """
     docs = id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    raw = stored(encoded(docs, path, end), f"{name}-raw")
-    ranks = stored(id_ranks(raw), f"{name}-ranks")
+    kind = id_type(path)
+    raw = stored(encoded(docs, path, end, kind), f"{name}-raw")
+    ranks = stored(id_ranks(raw, kind), f"{name}-ranks")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = raw.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5])).head()[0] or []
     table = {x.id: x.rank for x in ranks.collect()}  # bounded by the vocabulary
@@ -167,7 +190,7 @@ def write_token_ids(docs: DataFrame, path: str, end: int, name: str = "token-ids
         rank, bounds = sent.value
         for batch in batches:
             counts = batch.column("count").to_numpy()
-            control, data = pack(rank[np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")], counts)
+            control, data = pack(rank[_joined(batch.column("ids"), kind)], counts)
             key = batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
             yield pa.record_batch({"shard": np.searchsorted(bounds, key, side="left").astype(np.int32), "doc_id": batch.column("doc_id"), "count": counts, "control": pa.array(control, pa.binary()), "data": pa.array(data, pa.binary())})
 
