@@ -1,9 +1,10 @@
 """Near-duplicate groups by MinHash signatures and a multi-index Hamming join.
 
-A document's signature has 64 symbols of 12 bits. Its symbols are split into 14 chunks; two signatures that differ in
-27 symbols at most have a chunk in which they differ in one symbol at most (pigeonhole). Every chunk is therefore
-filed once for each symbol left out, and two signatures within the threshold share a file entry for certain. Two sets of
-similarity 0.85 differ in more than 27 of 64 symbols with a chance below one in a million.
+A document's signature has 64 symbols of 12 bits. The threshold on signatures is the smallest number of differing
+symbols that sets as similar as asked exceed with a chance below one in a million. The symbols are split into so many
+chunks that two signatures within the threshold have a chunk in which they differ in one symbol at most (pigeonhole).
+Every chunk is therefore filed once for each symbol left out, and two signatures within the threshold share a file entry
+for certain.
 
 Equal sets are one class from the start. Members of an entry are compared with its smallest member, links are confirmed
 on full sets, and linked classes get one label. After that only entries with several labels are left to look at: all
@@ -13,6 +14,7 @@ while a group of copies, which has one label by then, never yields its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,27 @@ from pyspark.sql import functions as F
 from candlewright.llm.shared import id_and_text, mix, pieces, sized, stored, windows, within, words
 
 SYMBOLS, BITS, LANES = 64, 12, 5
-DISTANCE, ERRORS = 27, 1
-CHUNKS = np.array_split(np.arange(SYMBOLS), -(-(DISTANCE + 1) // (ERRORS + 1)))
+#: Differing symbols allowed in a chunk, and the chance that sets as similar as asked exceed the threshold.
+ERRORS, MISS = 1, 1e-6
 _LONGS = -(-SYMBOLS // LANES)
 _FACTORS = np.random.default_rng(64).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def threshold(percent: int) -> int:
+    """The smallest number of differing symbols that sets of this similarity exceed with a chance below MISS."""
+    off, tail = 1 - percent / 100, 0.0
+    for d in range(SYMBOLS, 0, -1):
+        tail += math.comb(SYMBOLS, d) * off**d * (1 - off) ** (SYMBOLS - d)
+        if tail >= MISS:
+            return d
+    return 0
+
+
+def chunks(distance: int) -> list[np.ndarray]:
+    """The symbols in so many chunks that one of them has ERRORS differences at most."""
+    return np.array_split(np.arange(SYMBOLS), min(SYMBOLS // (ERRORS + 1), -(-(distance + 1) // (ERRORS + 1))))
+
+
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in a row, and each text's first (one more at the end)."""
     w = words(text, lower=True)
@@ -66,8 +83,9 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, sig array<long>")
 
 
-def _entries(reps: DataFrame) -> DataFrame:
+def _entries(reps: DataFrame, most: int) -> DataFrame:
     """key, id: the file entries of each signature, one for each symbol left out of its chunk."""
+    split = chunks(most)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +95,7 @@ def _entries(reps: DataFrame) -> DataFrame:
                 symbol = np.stack([sig[:, j // LANES] >> (BITS * (j % LANES)) & ((1 << BITS) - 1) for j in range(SYMBOLS)]).astype(np.uint64)
                 keys = []
                 with np.errstate(over="ignore"):
-                    for c, chunk in enumerate(CHUNKS):
+                    for c, chunk in enumerate(split):
                         for left in chunk:
                             key = np.full(part.num_rows, c * SYMBOLS + left, np.uint64)
                             for j in chunk:
@@ -139,6 +157,12 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     return both.filter((100 + percent) * shared >= percent * (F.size("has_a") + F.size("has_b"))).select("a", "b")
 
 
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` (with doc_id and text) of one document of each group; columns as they are."""
+    gone = stored(near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(sized(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -150,16 +174,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """
     docs = id_and_text(docs, id_col, text_col)
     signed = stored(_signatures(docs, size), "signatures")
-    of = ["set_a", "set_b", "n"]
+    of, most = ["set_a", "set_b", "n"], threshold(percent)
     classes = signed.filter("n > 0 and doc_id is not null").groupBy(*of).agg(F.min(F.struct("doc_id", "sig")).alias("x"))
     reps = stored(classes.select(*of, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")), "classes")
 
-    entries = _entries(reps)
+    entries = _entries(reps, most)
     shared = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
     members = stored(entries.join(shared, "key").select("key", "a", F.col("id").alias("b")), "members")
     left, right = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     near = members.filter("a < b").select("a", "b").distinct().join(left, "a").join(right, "b")
-    pairs = stored(near.filter(distance(F.col("sig_a"), F.col("sig_b")) <= DISTANCE).select("a", "b"), "pairs")
+    pairs = stored(near.filter(distance(F.col("sig_a"), F.col("sig_b")) <= most).select("a", "b"), "pairs")
     links = stored(_confirmed(docs, pairs, size, percent), "links")
     labels = sized(components(links))
 
@@ -167,7 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
     open_ = stored(named.join(mixed, "key").join(reps.select("id", "sig"), "id"), "open")
     x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "sig"))) for k in "xy")
-    apart = (F.col("label_x") < F.col("label_y")) & (distance(F.col("sig_x"), F.col("sig_y")) <= DISTANCE)
+    apart = (F.col("label_x") < F.col("label_y")) & (distance(F.col("sig_x"), F.col("sig_y")) <= most)
     more = x.join(y, (x["key"] == y["key"]) & apart).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():

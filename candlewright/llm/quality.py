@@ -186,9 +186,17 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = 2_000, share: float
     return judge(docs, fit(docs, known, bound, "label"), share)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = 2_000, share: float = 0.5) -> DataFrame:
+    """The rows of `docs` (with doc_id and text) that `quality` keeps, in one pass; columns as they are."""
+    field = fit(id_and_text(docs), labels, bound)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rest = docs.toDF(*names).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.col(names[docs.columns.index("text")]).cast("string")})
+    return judge(rest, field, share).filter("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
 def judge(docs: DataFrame, field: Field, share: float = 0.5) -> DataFrame:
     """The columns of `quality` for doc_id, text by a fitted field; further columns of `docs` stay beside them."""
-    more = [f for f in docs.schema.fields if f.name != "doc_id"] if len(docs.columns) > 2 else []
+    more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     out = _OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

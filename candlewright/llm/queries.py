@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.llm import chat, line_dedup
+from candlewright.llm.decontamination import decontaminate
 from candlewright.llm.mixing import mix_sources
 from candlewright.llm.near_dedup import near_duplicates
 from candlewright.llm.quality import quality
@@ -25,11 +27,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"), gram=2, window=2)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents"), size=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -53,11 +69,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_token_ids": op8_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_chat_format": chat.SQL}

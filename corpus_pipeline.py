@@ -1,26 +1,57 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline over `documents`: quality, near duplicates, benchmark leaks, source mix, token-id files."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
+from candlewright.llm.decontamination import without_leaks
+from candlewright.llm.mixing import mixed
+from candlewright.llm.near_dedup import without_near_duplicates
+from candlewright.llm.quality import keep_good
+from candlewright.llm.shared import stored
 from candlewright.llm.token_ids import read_token_ids, write_token_ids
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose lines are content for the most part."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return without_near_duplicates(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed(docs)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token-id files of the documents and return what they hold, a row per document."""
     return read_token_ids(*write_token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end=1))
 
 
-STAGES = [("token ids", token_ids)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source mix", source_mix),
+    ("token ids", token_ids),
+]
 #: Learnt models and tokenizers are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents` in turn."""
+    """Apply the stages to `documents` in turn, each one's result written as Parquet and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
