@@ -29,8 +29,11 @@ def trades(bars: DataFrame, settings: Settings = DEFAULTS, long: bool = False) -
 def expectancy(traded: DataFrame) -> DataFrame:
     """setup_type (null: all), count, win_rate, avg_win_pct, avg_loss_pct, expectancy_pct; all trades even if none."""
     wins, losses = F.avg(F.when(F.col("win"), F.col("return_pct"))), F.avg(F.when(~F.col("win"), F.col("return_pct")))
-    figures = [F.count("*").alias("count"), F.avg(F.col("win").cast("double")).alias("w"), wins.alias("a"), losses.alias("b")]
-    rows = traded.groupingSets([["setup_type"], []], "setup_type").agg(*figures)
+    rows = traded.select("setup_type", "return_pct", "win", F.lit(1).alias("n"))
+    # a row that counts nothing keeps the total where there is no trade
+    rows = rows.unionByName(traded.sparkSession.range(1).select(F.lit(0).alias("n")), allowMissingColumns=True)
+    figures = [F.sum("n").alias("count"), F.avg(F.col("win").cast("double")).alias("w"), wins.alias("a"), losses.alias("b")]
+    rows = rows.groupingSets([["setup_type"], []], "setup_type").agg(*figures, F.grouping_id().alias("_g")).filter("_g = 1 or count > 0")
     zero = F.lit(0.0)
     w, a, b = (F.coalesce(c, zero) for c in ("w", "a", "b"))
     return rows.select("setup_type", "count", F.round(w, 3).alias("win_rate"), F.round(a, 2).alias("avg_win_pct"), F.round(b, 2).alias("avg_loss_pct"), F.round(a * w + b * (1 - w), 2).alias("expectancy_pct"))
