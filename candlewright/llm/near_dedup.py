@@ -6,6 +6,10 @@ chunks that two signatures within the threshold have a chunk in which they diffe
 Every chunk is therefore filed once for each symbol left out, and two signatures within the threshold share a file entry
 for certain.
 
+A second test is exact: each set has a bitmap in which every shingle flips one bit, so that the bits in which two bitmaps
+differ are at most the shingles that are in one set only. Pairs whose bitmaps differ in more bits than sets as similar as
+asked can have such shingles are out, which spares the full comparison of nearly all pairs below the similarity.
+
 Equal sets are one class from the start. Members of an entry are compared with its smallest member, links are confirmed
 on full sets, and linked classes get one label. After that only entries with several labels are left to look at: all
 their pairs of different labels within the threshold are confirmed too, so that no link between groups is lost,
@@ -27,6 +31,8 @@ from candlewright.llm.shared import id_and_text, mix, pieces, sized, stored, win
 SYMBOLS, BITS, LANES = 64, 12, 5
 #: Differing symbols allowed in a chunk, and the chance that sets as similar as asked exceed the threshold.
 ERRORS, MISS = 1, 1e-6
+#: Longs of a bitmap.
+MAP = 32
 _LONGS = -(-SYMBOLS // LANES)
 _FACTORS = np.random.default_rng(64).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,7 +67,7 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, two order-free hashes of the set, and the signature packed into longs; nulls for an empty set."""
+    """doc_id, n, two order-free hashes of the set, the signature and the bitmap packed into longs; zeros if empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -77,10 +83,14 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     for j, factor in enumerate(_FACTORS):
                         symbol = mix(np.minimum.reduceat(key * factor, at), j) & np.uint64((1 << BITS) - 1)
                         packed[has, j // LANES] |= symbol.astype(np.int64) << (BITS * (j % LANES))
+            owner, flips = np.repeat(np.arange(len(n)), n), (mix(key, 9) & np.uint64(64 * MAP - 1)).astype(np.int64)
+            bits = np.bincount(owner * (64 * MAP) + flips, minlength=len(n) * 64 * MAP).astype(np.uint8) & 1
+            maps = np.packbits(bits, bitorder="little").view(np.int64)
+            bitmap = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * MAP, maps)
             sig = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * _LONGS, packed.reshape(-1))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": n, "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "sig": sig})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": n, "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "sig": sig, "bitmap": bitmap})
 
-    return docs.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, sig array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, sig array<long>, bitmap array<long>")
 
 
 def _entries(reps: DataFrame, most: int) -> DataFrame:
@@ -118,6 +128,15 @@ def distance(a: Column, b: Column) -> Column:
     return total
 
 
+def may_link(x: str, y: str, most: int, percent: int) -> Column:
+    """Whether two sets (n_, sig_ and bitmap_ columns) are within the signatures' threshold and their bitmaps allow it."""
+    apart = F.lit(0)
+    for k in range(MAP):
+        apart = apart + F.bit_count(F.col(f"bitmap_{x}")[k].bitwiseXOR(F.col(f"bitmap_{y}")[k]))
+    room = (100 - percent) * (F.col(f"n_{x}") + F.col(f"n_{y}"))
+    return (distance(F.col(f"sig_{x}"), F.col(f"sig_{y}")) <= most) & ((100 + percent) * apart <= room)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label: the smallest id reachable over links (a, b); ids without a link have no row.
 
@@ -175,23 +194,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     docs = id_and_text(docs, id_col, text_col)
     signed = stored(_signatures(docs, size), "signatures")
     of, most = ["set_a", "set_b", "n"], threshold(percent)
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy(*of).agg(F.min(F.struct("doc_id", "sig")).alias("x"))
-    reps = stored(classes.select(*of, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")), "classes")
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy(*of).agg(F.min(F.struct("doc_id", "sig", "bitmap")).alias("x"))
+    reps = stored(classes.select(*of, F.col("x.doc_id").alias("id"), "x.sig", "x.bitmap"), "classes")
 
     entries = _entries(reps, most)
     shared = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
     members = stored(entries.join(shared, "key").select("key", "a", F.col("id").alias("b")), "members")
-    left, right = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    left, right = (reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "bitmap"))) for x in "ab")
     near = members.filter("a < b").select("a", "b").distinct().join(left, "a").join(right, "b")
-    pairs = stored(near.filter(distance(F.col("sig_a"), F.col("sig_b")) <= most).select("a", "b"), "pairs")
+    pairs = stored(near.filter(may_link("a", "b", most, percent)).select("a", "b"), "pairs")
     links = stored(_confirmed(docs, pairs, size, percent), "links")
     labels = sized(components(links))
 
     named = members.select("key", F.col("b").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
-    open_ = stored(named.join(mixed, "key").join(reps.select("id", "sig"), "id"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "sig"))) for k in "xy")
-    apart = (F.col("label_x") < F.col("label_y")) & (distance(F.col("sig_x"), F.col("sig_y")) <= most)
+    open_ = stored(named.join(mixed, "key").join(reps.select("id", "n", "sig", "bitmap"), "id"), "open")
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "sig", "bitmap"))) for k in "xy")
+    apart = (F.col("label_x") < F.col("label_y")) & may_link("x", "y", most, percent)
     more = x.join(y, (x["key"] == y["key"]) & apart).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
