@@ -28,7 +28,7 @@ from candlewright.llm.shared import coded, id_and_text, pieces, totals
 
 #: The model's mark for a space.
 MARK = "▁"
-_PRE_TOKEN = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
+_PRE_TOKEN = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n[^ {MARK}\n]*")
 
 
 def check_vocabulary(pieces: list[str]) -> None:
@@ -90,7 +90,7 @@ def pre_tokens(text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     plain = _plain(text)
     if not plain.all():
         # the odd ones are cut by a regular expression; their pre-tokens may hold spaces
-        cut = [[x[1:] for x in _PRE_TOKEN.findall(MARK + t)] if t else [] for t in text.filter(pa.array(~plain)).to_pylist()]
+        cut = [[x if x[0] == "\n" else x[1:] for x in _PRE_TOKEN.findall(MARK + t)] if t else [] for t in text.filter(pa.array(~plain)).to_pylist()]
         more, counts = pa.array([x for y in cut for x in y], pa.string()).dictionary_encode(), np.zeros(len(text), np.int64)
         counts[~plain] = [len(x) for x in cut]
     distinct, place, n = coded(pc.replace_substring(text, "\n", " \n"))
