@@ -9,6 +9,7 @@ most, and these fly together on the next level, until two are left of a source:
 
 from __future__ import annotations
 
+import bisect
 import random
 from collections.abc import Sequence
 
@@ -44,7 +45,7 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), mos
 
 def flight(size: list[float], share: list[float], draw: random.Random, land: bool) -> list[float]:
     """Move shares to 0 or 1, keeping their sum and their sum weighted by size; two are left, or none if `land`."""
-    share = list(share)
+    share, before = list(share), share
     held: list[int] = []
     for k in range(len(share)):
         if not _NEAR < share[k] < 1 - _NEAR:
@@ -62,9 +63,28 @@ def flight(size: list[float], share: list[float], draw: random.Random, land: boo
     if land:
         for k in held:
             share[k] = float(share[k] >= 0.5)
+        _settle(size, share, before)
     return share
 
 
+def _settle(size: list[float], share: list[float], before: list[float], swaps: int = 3) -> None:
+    """Landing moves words by one document's size at most; exchange pairs of documents, in for out, to undo that."""
+    free = [k for k, x in enumerate(before) if _NEAR < x < 1 - _NEAR]
+    gap = sum(size[k] * (share[k] - before[k]) for k in free)
+    for _ in range(swaps):
+        out = sorted((size[k], k) for k in free if share[k] == 0)
+        best = (abs(gap), -1, -1)
+        for k in free:
+            if share[k] == 1 and out:
+                at = bisect.bisect_left(out, (size[k] - gap, -1))
+                best = min([best, *((abs(gap - size[k] + out[j][0]), k, out[j][1]) for j in (at - 1, at) if 0 <= j < len(out))])
+        if best[1] < 0:
+            return
+        _, k, j = best
+        share[k], share[j] = 0.0, 1.0
+        gap += size[j] - size[k]
+
+
 def _move(share: list[float], at: list[int], way: Sequence[float], draw: random.Random) -> None:
     """One step along `way`, up or down by chance so that shares keep their expectation, until one is 0 or 1."""
     up = min((1 - share[k]) / w if w > 0 else -share[k] / w for k, w in zip(at, way, strict=True) if w)
@@ -76,7 +96,7 @@ def _move(share: list[float], at: list[int], way: Sequence[float], draw: random.
             share[k] = float(round(share[k]))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, group: int = 20_000, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, group: int = 4_096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row.
 
     size: words `[^\\x20\\x09-\\x0D]+`, 0 for a null text. Rows equal in doc_id, source and size fly as one unit and
