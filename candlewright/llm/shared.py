@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows is broadcast; a larger one is joined by a shuffle.
@@ -48,9 +48,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if a count shows at most `limit` rows, else as it is. Give it stored tables."""
-    return F.broadcast(df) if df.count() <= limit else df
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `limit` rows, else as it is. Give it stored tables.
+
+    For rows with arrays, `values` is their number of elements, and eight times `limit` of them may go along.
+    """
+    n, sum_ = df.agg(F.count("*"), F.sum(F.lit(0) if values is None else values)).head()
+    return F.broadcast(df) if n <= limit and (sum_ or 0) <= 8 * limit else df
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

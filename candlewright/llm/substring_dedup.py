@@ -4,7 +4,7 @@ Rounds name runs of equal words, then again and again pairs of neighbouring symb
 the alphabet and the second from the other. A name is a hash of what it stands for, and so is the half it belongs to:
 names are global without a shuffle, and equal substrings are named alike except for a few symbols at their ends, which
 neighbours outside may have taken. For each window of `size` words its own words tell which symbols are inside for
-certain. Its mark is the first certain symbol of the highest level that has one: equal windows have equal marks, and
+certain. Its mark is the longest certain symbol of the highest level that has one: equal windows have equal marks, and
 neighbouring windows share one, so that marks are far fewer than words.
 
 Only windows whose mark two documents share can repeat. These are digested in full, the smallest document of each
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import Words, id_and_text, mix, pieces, stored, windows, within, words
+from candlewright.llm.shared import Words, id_and_text, mix, pieces, sized, stored, windows, within, words
 
 #: Rounds of pairing; a window of 50 words has no certain symbol left after fewer.
 ROUNDS = 9
@@ -41,28 +41,42 @@ def marks(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mark = mix(w.key[start] ^ mix(w.key[start + size - 1], 1))  # where nothing is certain: the ends
     live = np.flatnonzero(low < high)
     low, high = low[live], high[live]
-    mark[live] = symbol[low]
     for level in range(ROUNDS):
         second = (mix(symbol, 100 + level) & np.uint64(1)).astype(bool)
         paired = np.zeros(len(symbol) + 1, bool)  # a pair's second half
         paired[1:-1] = ~second[:-1] & second[1:] & (own[1:] == own[:-1])
         # a second half may go with a symbol before the window, a first half with one after it
-        low = low + second[low]
-        high = high - ~second[high - 1]
-        keep = low < high
-        live, low, high = live[keep], low[keep], high[keep]
+        low_, high_ = low + second[low], high - ~second[high - 1]
+        keep = low_ < high_
+        done = ~keep if level < ROUNDS - 1 else np.ones(len(keep), bool)
+        mark[live[done]] = symbol[_longest(low[done], high[done], length)]
+        live, low, high = live[keep], low_[keep], high_[keep]
         if not len(live):
             break
         place = np.cumsum(~paired[:-1]) - 1
         at = np.flatnonzero(~paired[:-1])
+        after, two = np.minimum(at + 1, len(symbol) - 1), paired[at + 1]
         with np.errstate(over="ignore"):
-            pair = mix(symbol[at] * np.uint64(0x9E3779B97F4A7C15) + symbol[np.minimum(at + 1, len(symbol) - 1)], level)
-        symbol, own = np.where(paired[at + 1], pair, symbol[at]), own[at]
+            pair = mix(symbol[at] * np.uint64(0x9E3779B97F4A7C15) + symbol[after], level)
+        length = length[at] + np.where(two, length[after], 0)
+        symbol, own = np.where(two, pair, symbol[at]), own[at]
         low, high = place[low].astype(np.int32), (place[high - 1] + 1).astype(np.int32)
-        mark[live] = symbol[low]
     return start, owner, mark
 
 
+def _longest(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """In each range of symbols the first of those that stand for most words."""
+    best, k = low.copy(), low + 1
+    open_ = np.flatnonzero(k < high)
+    while len(open_):
+        here = k[open_]
+        longer = open_[length[here] > length[best[open_]]]
+        best[longer] = k[longer]
+        k[open_] += 1
+        open_ = open_[k[open_] < high[open_]]
+    return best
+
+
 def _shared_marks(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tag, marks: those marks of each row that another document has too."""
 
@@ -73,13 +87,13 @@ def _shared_marks(docs: DataFrame, size: int) -> DataFrame:
             owner = pa.array(owner[new])
             yield pa.record_batch({"mark": mark[new].view(np.int64), "doc_id": batch.column("doc_id").take(owner), "tag": batch.column("tag").take(owner)})
 
-    found = stored(docs.filter("doc_id is not null").mapInArrow(find, "mark long, doc_id long, tag long"), "marks")
-    both = found.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("mark")
-    return found.join(both, "mark").groupBy("doc_id", "tag").agg(F.collect_set("mark").alias("marks"))
+    found = stored(docs.filter("doc_id is not null").mapInArrow(find, "mark long, doc_id long, tag int"), "marks")
+    both = found.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("mark")
+    return stored(found.join(both, "mark").groupBy("doc_id", "tag").agg(F.collect_set("mark").alias("marks")), "shared-marks")
 
 
 def _repeats(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, tag, starts: starts of the windows of each row that a smaller document has too."""
+    """doc_id, tag, lows, highs: from where to where windows of each row start that a smaller document has too."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -92,16 +106,22 @@ def _repeats(docs: DataFrame, size: int) -> DataFrame:
             hit = np.zeros(len(start), bool)
             for k in range(batch.num_rows):
                 hit[edge[k] : edge[k + 1]] = np.isin(mark[edge[k] : edge[k + 1]], flat[has[k] : has[k + 1]])
-            start, owner = start[hit], pa.array(owner[hit])
+            start, text = start[hit], owner[hit]
+            owner = pa.array(text)
             a, b = windows(w.key, size, 0xD1342543DE82EF95), windows(mix(w.key, 3), size, 0xA0761D6478BD642F)
-            text = owner.to_numpy()
-            yield pa.record_batch({"a": a[start].view(np.int64), "b": b[start].view(np.int64), "doc_id": batch.column("doc_id").take(owner), "tag": batch.column("tag").take(owner), "start": (start - w.first[text]).astype(np.int32)})
+            place = (start - w.first[text]) << 16 | batch.column("tag").to_numpy()[text]
+            yield pa.record_batch({"a": a[start].view(np.int64), "b": (b[start] >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": batch.column("doc_id").take(owner), "place": place})
 
-    marked = docs.join(_shared_marks(docs, size), ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
-    found = stored(marked.mapInArrow(digest, "a long, b long, doc_id long, tag long, start int"), "windows")
-    first = found.groupBy("a", "b").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("z")).filter("at < z").select("a", "b", "at")
+    shared = _shared_marks(docs, size)
+    marked = docs.join(sized(shared, values=F.size("marks")), ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
+    found = stored(marked.mapInArrow(digest, "a long, b int, doc_id long, place long"), "windows")
+    first = found.groupBy("a", "b").agg(F.min("doc_id").alias("at"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "at")
     later = found.join(first, ["a", "b"]).filter("doc_id > at")
-    return later.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
+    tag, start = F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), F.shiftright("place", 16)
+    rows = later.groupBy("doc_id", tag).agg(F.sort_array(F.collect_list(start)).alias("s"))
+    low = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1), F.lit(-2)) != x - 1)
+    high = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1), F.lit(-2)) != x + 1)
+    return stored(rows.select("doc_id", "tag", low.alias("lows"), high.alias("highs")), "repeats")
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,23 +129,23 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if it is in a window of `size` words that also starts in a
     document with a smaller doc_id; windows are judged on the input. Null and empty texts have no words and an empty kept
-    text. Rows that share a doc_id are never earlier than each other. A null doc_id is neither earlier nor later than
+    text. Rows that share a doc_id are never earlier than each other; a 16-bit hash of the text tells them apart. A null doc_id is neither earlier nor later than
     any, so that its row stays whole. Other columns play no part; an empty table gives no rows.
     """
-    docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
-    rows = docs.join(_repeats(docs, size), ["doc_id", "tag"], "left").select("doc_id", "text", "starts")
+    docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.pmod(F.hash("text"), F.lit(1 << 16)))
+    gone = sized(_repeats(docs, size), values=F.size("lows"))
+    rows = docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             n, gone, kept = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
+            for text, low, high in zip(batch.column("text"), batch.column("lows"), batch.column("highs"), strict=True):
                 own = (text.as_py() or "").encode().split()  # bytes split at 0x20 and 0x09 to 0x0D
                 n.append(len(own))
-                if starts.is_valid:
+                if low.is_valid:
                     edge = np.zeros(len(own) + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + size, -1)
+                    np.add.at(edge, low.values.to_numpy(), 1)
+                    np.add.at(edge, high.values.to_numpy() + size, -1)
                     own = [own[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 gone.append(n[-1] - len(own))
                 kept.append(b" ".join(own).decode())
