@@ -37,9 +37,15 @@ def true_range(before: Column) -> Column:
     return F.when(known, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
+def half_up(x: Column | str, places: int) -> Column:
+    """Rounded with ties upwards, by plain arithmetic on doubles, so that other engines can do the same."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.floor(x * 10.0**places + 0.5) / 10.0**places
+
+
 def rounded(x: Column, places: int) -> Column:
     """Rounded, with 0 as null, as results show it."""
-    return F.nullif(F.round(x, places), F.lit(0.0))
+    return F.nullif(half_up(x, places), F.lit(0.0))
 
 
 def in_session(ts: Column, zone: str = "Asia/Kolkata", opens: int = 555, closes: int = 930) -> Column:

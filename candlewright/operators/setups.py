@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from candlewright.functions.scalar import rounded
+from candlewright.functions.scalar import half_up, rounded
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.functions.windows import by_symbol, latest, trailing, upto
 
@@ -115,8 +115,8 @@ def risk(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     rr = F.try_divide(target - F.col("pivot"), F.col("pivot") - stop)
     good = (F.col("pivot") > 0) & (F.col("_a") > 0) & (F.col("_c") <= F.col("pivot") + settings.extended_atr * F.col("_a")) & (rr >= settings.min_rr)
     return df.withColumns({
-        "entry_pivot": F.round("pivot", 2), "stop": F.round(stop, 2), "target": F.round(target, 2), "rr": F.round(rr, 2),
-        "atr": F.round("_a", 2), "risk_ok": F.coalesce(good, F.lit(False)),
+        "entry_pivot": half_up("pivot", 2), "stop": half_up(stop, 2), "target": half_up(target, 2), "rr": half_up(rr, 2),
+        "atr": half_up("_a", 2), "risk_ok": F.coalesce(good, F.lit(False)),
     }).drop("_a", "_c")
 
 

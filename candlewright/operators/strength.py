@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.scalar import half_up
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.functions.windows import upto
 
@@ -36,7 +37,7 @@ def rank(rows: DataFrame, *by: str) -> DataFrame:
     """
     w = Window.partitionBy(*by).orderBy("rs_score")
     rows = rows.filter("rs_score is not null")
-    return rows.withColumns({"rs_rank": F.round(F.cume_dist().over(w) * 100, 1), "rs_ratio": F.round("rs_score", 4)})
+    return rows.withColumns({"rs_rank": half_up(F.cume_dist().over(w) * 100, 1), "rs_ratio": half_up("rs_score", 4)})
 
 
 def strength(returned: DataFrame, benchmark: DataFrame | None, *by: str, settings: Settings = DEFAULTS) -> DataFrame:

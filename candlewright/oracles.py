@@ -224,7 +224,22 @@ _FLIP = f"CAST(coalesce(lag(macd_hist) OVER ({_W}) <= 0 AND macd_hist > 0, false
 _BROKE = " OR ".join(f"coalesce(count(*) OVER b{n} = {n} AND (max(high) OVER b{n} - min(low) OVER b{n}) / nullif(min(low) OVER b{n}, 0) < 0.20 AND close > max(high) OVER b{n}, false)" for n in range(20, 41, 5))
 _BROKE_W = ", ".join(f"b{n} AS ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in range(20, 41, 5))
 
-ORACLE_SQL: dict[str, str] = {
+
+
+def _arithmetic(sql: str) -> str:
+    """round(x, n) as plain arithmetic on doubles, ties upwards."""
+    while (at := sql.find("round(")) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x, _, n = sql[at + 6 : end - 1].rpartition(",")
+        power = f"1{'0' * int(n)}.0"
+        sql = f"{sql[:at]}(floor(CAST({x} AS DOUBLE) * {power} + 0.5) / {power}){sql[end:]}"
+    return sql
+
+
+_SQL: dict[str, str] = {
     "bars_weekly": f"{_WEEK} {_BARS_OUT}",
     "bars_daily": f"WITH {_bars('day')} {_BARS_OUT}",
     "bars_monthly": f"WITH {_bars('month')} {_BARS_OUT}",
@@ -291,3 +306,4 @@ SELECT symbol, sector, {_cols("pe_ratio", "sector_pe_median", "revenue_growth")}
        CASE WHEN pe_ratio > 50 THEN {_r4("pe_ratio")} END AS promoter_holding
 FROM f JOIN m USING (sector) WHERE pe_ratio <= coalesce(sector_pe_median, 30) AND revenue_growth > 0.10""",
 }
+ORACLE_SQL = {name: _arithmetic(sql) for name, sql in _SQL.items()}

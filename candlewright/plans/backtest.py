@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.scalar import half_up
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.functions.windows import by_symbol
 from candlewright.operators import indicators, setups
@@ -22,7 +23,7 @@ def trades(bars: DataFrame, settings: Settings = DEFAULTS, long: bool = False) -
     eligible = (F.col("_all") >= settings.min_bars + hold + 10) & (F.col("_n") > settings.min_bars) & (F.col("_n") + hold <= F.col("_all"))
     df = df.filter(eligible & F.col("trend_ok") & F.col("setup_type").isNotNull())
     gain = F.try_divide("exit", "close") - 1
-    rows = df.select("symbol", F.col("ts").alias("date"), "setup_type", F.col("close").alias("entry"), "exit", F.round(100 * gain, 2).alias("return_pct"), (gain > 0).alias("win"))
+    rows = df.select("symbol", F.col("ts").alias("date"), "setup_type", F.col("close").alias("entry"), "exit", half_up(100 * gain, 2).alias("return_pct"), (gain > 0).alias("win"))
     return rows.filter("return_pct is not null")
 
 
@@ -36,7 +37,7 @@ def expectancy(traded: DataFrame) -> DataFrame:
     rows = rows.groupingSets([["setup_type"], []], "setup_type").agg(*figures, F.grouping_id().alias("_g")).filter("_g = 1 or count > 0")
     zero = F.lit(0.0)
     w, a, b = (F.coalesce(c, zero) for c in ("w", "a", "b"))
-    return rows.select("setup_type", "count", F.round(w, 3).alias("win_rate"), F.round(a, 2).alias("avg_win_pct"), F.round(b, 2).alias("avg_loss_pct"), F.round(a * w + b * (1 - w), 2).alias("expectancy_pct"))
+    return rows.select("setup_type", "count", half_up(w, 3).alias("win_rate"), half_up(a, 2).alias("avg_win_pct"), half_up(b, 2).alias("avg_loss_pct"), half_up(a * w + b * (1 - w), 2).alias("expectancy_pct"))
 
 
 def expectancy_map(rows: DataFrame) -> DataFrame:

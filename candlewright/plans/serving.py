@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.scalar import half_up
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.operators import indicators
 from candlewright.sources.tables import window_of
@@ -57,14 +58,14 @@ def chart_rows(bars: DataFrame, as_of: str, settings: Settings = DEFAULTS, days:
 
 def chart_series(rows: DataFrame) -> DataFrame:
     """symbol, series, time, value: long form, without nulls."""
-    rows = rows.select("symbol", "time", *(F.round(c, 4).alias(n) for c, n in SERIES.items()))
+    rows = rows.select("symbol", "time", *(half_up(c, 4).alias(n) for c, n in SERIES.items()))
     return rows.unpivot(["symbol", "time"], list(SERIES.values()), "series", "value").dropna(subset=["value"])
 
 
 def chart_payload(rows: DataFrame) -> DataFrame:
     """One row per symbol: candles and the five series as arrays in order of time."""
-    fields = [F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")]
+    fields = [half_up(c, 4).alias(c) for c in ("open", "high", "low", "close")]
     whole = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull()
-    candle = F.when(whole, F.struct("time", *fields, F.coalesce(F.round("volume", 4), F.lit(0.0)).alias("volume")))
-    points = [F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("time", F.round(c, 4).alias("value"))))).alias(n) for c, n in SERIES.items()]
+    candle = F.when(whole, F.struct("time", *fields, F.coalesce(half_up("volume", 4), F.lit(0.0)).alias("volume")))
+    points = [F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("time", half_up(c, 4).alias("value"))))).alias(n) for c, n in SERIES.items()]
     return rows.groupBy("symbol").agg(F.sort_array(F.collect_list(candle)).alias("candles"), *points)
