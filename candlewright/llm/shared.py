@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch between Spark and its Python workers, at most.
+BATCH_BYTES = 8 << 20
 #: Regular expression (Java) of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,7 +60,13 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS, values: Column | None = No
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that an operator reads, as `doc_id` long and `text` string; clashing others fall away."""
+    """Only the two columns that an operator reads, as `doc_id` long and `text` string; clashing others fall away.
+
+    Lowers the session's limit on the bytes of Arrow batches, as ten thousand long texts would be too much for a worker.
+    """
+    conf, limit = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(limit).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(limit, str(BATCH_BYTES))
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

@@ -75,7 +75,7 @@ class Encoder:
     normaliser unchanged, so that they go to the library's model itself.
     """
 
-    def __init__(self, path: str, words: int = 300_000, runs: int = 700_000):
+    def __init__(self, path: str, words: int = 120_000, runs: int = 300_000):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
@@ -96,7 +96,7 @@ class Encoder:
         cut = {x: m.groups() for x in fresh if (m := _LETTERS.fullmatch(x))}
         cut = {x: (a, b.lower() if _LATIN.fullmatch(b) else b, c) for x, (a, b, c) in cut.items()}
         if len(short) > self.most[1]:
-            short.clear()
+            self.short = short = {x: y for parts in cut.values() for x in parts if (y := short.get(x)) is not None}
         runs = {x for parts in cut.values() for x in parts if x and x not in short}
         plain = sorted(x for x in runs if _LATIN.fullmatch(x))
         split = self.of.model.tokenize
