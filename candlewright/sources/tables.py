@@ -9,9 +9,20 @@ from candlewright.functions.scalar import plain_symbol, provider_symbol, title_c
 
 BARS = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
 UNIVERSE = "`Company Name` string, Symbol string, Series string"
+#: Sector labels and the index ticker of each. Fixed values.
+SECTORS = (
+    ("Technology", "^CNXIT"), ("Financial Services", "^CNXFIN"), ("Healthcare", "^CNXPHARMA"), ("Energy", "^CNXENERGY"),
+    ("Consumer Discretionary", "^CNXAUTO"), ("Industrials", "^CNXINFRA"), ("FMCG", "^CNXFMCG"), ("Metals", "^CNXMETAL"),
+    ("Nifty 50", "^NSEI"), ("Bank Nifty", "^NSEBANK"), ("Fin Nifty", "^CNXFIN"), ("Sensex", "^BSESN"),
+)
 RUNS = "id string, status string, universe string, total int, scanned int, passed int, error string, started_at timestamp, finished_at timestamp"
 
 
+def sectors(spark: SparkSession) -> DataFrame:
+    """sector, ticker of the indices; a ticker may serve two sectors."""
+    return spark.createDataFrame(list(SECTORS), "sector string, ticker string")
+
+
 def read_bars(spark: SparkSession, path: str, symbols: DataFrame | None, as_of: str | Column | None = None, days: int | None = None, fmt: str = "parquet") -> DataFrame:
     """Bars of the symbols over the `days` before `as_of`; both filters reach the scan. Symbols lose the provider suffix."""
     reader = spark.read.schema(BARS).option("header", True)

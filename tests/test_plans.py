@@ -114,6 +114,14 @@ def test_runs_and_results(spark, tmp_path):
         scan.rank_results(stored, "run_id")
 
 
+def test_index_snapshot_serves_a_ticker_twice(spark):
+    t = dt.datetime(2020, 1, 1)
+    rows = [("^CNXFIN", t, 1.0, 1.0, 1.0, 8.0, 1.0), ("^CNXFIN", t + dt.timedelta(1), 1.0, 1.0, 1.0, 10.0, 1.0)]
+    got = {r.sector: r for r in serving.index_snapshot(spark.createDataFrame(rows, tables.BARS), tables.sectors(spark)).collect()}
+    assert len(got) == 12 and got["Fin Nifty"].pct_change == got["Financial Services"].pct_change == 25.0
+    assert got["Sensex"].price is None
+
+
 def test_promoter_default(spark):
     rows = spark.createDataFrame([("A",), ("B",)], "symbol string")
     held = spark.createDataFrame([("A", 10.0, "up")], "symbol string, promoter_holding double, promoter_trend string")
