@@ -10,8 +10,9 @@ A second test is exact: each set has a bitmap in which every shingle flips one b
 differ are at most the shingles that are in one set only. Pairs whose bitmaps differ in more bits than sets as similar as
 asked can have such shingles are out, which spares the full comparison of nearly all pairs below the similarity.
 
-Equal sets are one class from the start. Members of an entry are compared with its smallest member, links are confirmed
-on full sets, and linked classes get one label. After that only entries with several labels are left to look at: all
+Equal sets are one class from the start. Members of an entry are compared with its leader, the member that shares
+entries with most others, as the text that copies were made from does; links are confirmed on full sets, and linked
+classes get one label. After that only entries with several labels are left to look at: all
 their pairs of different labels within the threshold are confirmed too, so that no link between groups is lost,
 while a group of copies, which has one label by then, never yields its pairs.
 """
@@ -198,15 +199,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     reps = stored(classes.select(*of, F.col("x.doc_id").alias("id"), "x.sig", "x.bitmap"), "classes")
 
     entries = _entries(reps, most)
-    shared = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
-    members = stored(entries.join(shared, "key").select("key", "a", F.col("id").alias("b")), "members")
+    shared = entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key")
+    members = stored(entries.join(shared, "key").select("key", "id"), "members")
+    met = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("met"))
+    leaders = members.join(sized(stored(met, "met")), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("id"))).alias("x"))
+    led = members.join(leaders.select("key", (-F.col("x.id")).alias("lead")), "key").filter("id <> lead")
+    led = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     left, right = (reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "bitmap"))) for x in "ab")
-    near = members.filter("a < b").select("a", "b").distinct().join(left, "a").join(right, "b")
+    near = led.join(left, "a").join(right, "b")
     pairs = stored(near.filter(may_link("a", "b", most, percent)).select("a", "b"), "pairs")
     links = stored(_confirmed(docs, pairs, size, percent), "links")
     labels = sized(components(links))
 
-    named = members.select("key", F.col("b").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
     open_ = stored(named.join(mixed, "key").join(reps.select("id", "n", "sig", "bitmap"), "id"), "open")
     x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "sig", "bitmap"))) for k in "xy")
