@@ -3,8 +3,9 @@
 Windows of `words` words become templates: numbers, units after numbers, and names (capitalised words inside a sentence)
 turn into typed placeholders, and case and punctuation go. Templates of documents and of benchmark items are joined by
 hash. Where windows match, the placeholders' values must agree: along one alignment of document and item, the same
-value of the item always stands for the same value of the document, so that a question asked with other numbers or
-names is found, while one template filled at random is not.
+value of the item always stands for the same value of the document. Windows with a value that stands for several do not
+count, while others of the alignment do, so that a question asked with other numbers or names is found, while one
+template filled at random is not.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ def template(window: Column) -> Column:
 
 
 def slots(window: Column) -> Column:
-    """Values of the placeholders of a window, by type and in turn; equal templates have as many."""
-    found = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.concat(found(window, NUMBER, 0), found(_numbers(window), UNIT, 1), found(window, NAME, 2))
+    """Types and values of the placeholders of a window, by type and in turn; equal templates have as many."""
+    found = lambda kind, text, pattern, group: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.concat(F.lit(kind), x))
+    return F.concat(found("number ", window, NUMBER, 0), found("unit ", _numbers(window), UNIT, 1), found("name ", window, NAME, 2))
 
 
 def _one_space(text: Column) -> Column:
@@ -65,7 +66,7 @@ def document_windows(docs: DataFrame, words: int, id_col: str = "doc_id", text_c
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float = 0.5, enough: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item, covered: documents and the items that they leak.
 
-    covered: words of the item under matching windows of consistent alignments. A leak covers `share` of the item or
+    covered: words of the item under matching windows with consistent values. A leak covers `share` of the item or
     `enough` words. Any copy of words + words / 2 - 1 words in a row has a matching window.
     """
     items = stored(item_windows(benchmark, words, item_col, item_text).withColumn("key", template(F.col("raw"))), "items")
@@ -75,8 +76,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float =
     of = ["doc_id", "item", "line"]
     hits = stored(hits.select(*of, "at", "n_words", F.arrays_zip(slots(F.col("raw")).alias("x"), slots(F.col("doc_raw")).alias("y")).alias("pairs"), (F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1).alias("size")), "hits")
     values = hits.select(*of, F.explode("pairs").alias("p")).groupBy(*of, "p.x").agg(F.min("p.y").alias("a"), F.max("p.y").alias("b"))
-    wrong = values.filter("a <> b").select(*of).distinct()
-    sound = hits.join(wrong, of, "left_anti")
+    wrong = values.filter("a <> b").groupBy(*of).agg(F.collect_set("x").alias("wrong"))
+    sound = hits.join(wrong, of, "left").filter(~F.coalesce(F.arrays_overlap("pairs.x", "wrong"), F.lit(False)))
     word = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))
     covered = sound.select("doc_id", "item", "n_words", word.alias("word")).distinct().groupBy("doc_id", "item", "n_words").agg(F.count("*").alias("covered"))
     return covered.filter((F.col("covered") >= share * F.col("n_words")) | (F.col("covered") >= enough)).select("doc_id", "item", "covered")

@@ -258,6 +258,16 @@ def test_leaks_against_brute_force(spark):
     assert not decontamination.decontaminate(frame, benchmark.limit(0)).filter("contaminated").count()
 
 
+def test_equal_slots_may_part(spark):
+    item = "in the morning the shop on the corner sold 3 pens to every child who came in with a note from school and after lunch it also had rulers that cost 3 dollars so how much did the children pay"
+    asked = item.replace("3 pens", "5 pens").replace("3 dollars", "8 dollars")
+    docs = [(k, "x " * k + asked) for k in range(4)] + [(4 + k, "x " * k + item.replace("3 dollars", "4 dollars")) for k in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontamination.decontaminate(frame, benchmark).collect()
+    assert all(r.contaminated and r.covered >= 20 for r in rows) and len(rows) == 8
+
+
 def test_planted_items_are_found(spark):
     docs, items = table(spark, "documents"), table(spark, "benchmark")
     flat = {r.doc_id: " ".join(WORD.findall(r.text)) for r in docs.collect()}
