@@ -6,11 +6,17 @@ hash. Where windows match, the placeholders' values must agree: along one alignm
 value of the item always stands for the same value of the document. Windows with a value that stands for several do not
 count, while others of the alignment do, so that a question asked with other numbers or names is found, while one
 template filled at random is not.
+
+`leaks` cuts windows over raw words and makes templates then. `token_leaks`, which the query and the pipeline use, makes
+templates of whole texts and cuts windows over their tokens: a name of any number of words is one token, and a second
+kind of windows has all words in lower case and no names, so that copies with changed case are found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.llm.shared import sized, stored
@@ -21,6 +27,9 @@ NAME = r"([^.!?\s] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
 #: Units of measure that count as such after a number. Fixed values.
 UNITS = "%|cents?|centimeters?|cm|days?|dollars?|euros?|feet|foot|g|grams?|hours?|inch|inches|kg|kilograms?|kilometers?|km|liters?|lbs?|m|meters?|miles?|minutes?|ml|mm|months?|ounces?|oz|percent|pounds?|seconds?|weeks?|yards?|years?"
 UNIT = rf"<num> ?({UNITS})([^\p{{L}}]|$)"
+#: Marks in token texts: around a name, between its words, and what stands for a number, a unit and a name.
+OPEN, CLOSE, INNER, NUM_MARK, UNIT_MARK, NAME_MARK = "\x01", "\x02", "\x05", "\x03", "\x04", "\x06"
+MARKS = f"[{NUM_MARK}{UNIT_MARK}{NAME_MARK}]"
 
 
 def _numbers(window: Column) -> Column:
@@ -83,20 +92,95 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float =
     return covered.filter((F.col("covered") >= share * F.col("n_words")) | (F.col("covered") >= enough)).select("doc_id", "item", "covered")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, contaminated, n_items, first_item, covered of every row of `docs`; see `leaks` for the parameters.
+def token_texts(text: Column, names: bool) -> tuple[Column, Column]:
+    """Tokens of a text and their canonical forms, as two texts of as many tokens, one space apart.
+
+    White space and control characters part tokens, as do a number and its unit; tokens without letter, digit or % go.
+    """
+    out = F.regexp_replace(text.cast("string"), r"[\x00-\x20]+", " ")
+    out = F.regexp_replace(out, rf"(?i)(?<=\d)({UNITS})(?![\p{{L}}\p{{N}}])", " $1")
+    if names:
+        out = F.regexp_replace(out, NAME, f"$1{OPEN}$2{CLOSE}")
+        out = F.regexp_replace(out, rf" (?=\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*{CLOSE})", INNER)
+    own = F.trim(F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), r"(?<= )[^\p{L}\p{N} %]+ ", ""))
+    out = F.regexp_replace(own if names else F.lower(own), NUMBER, NUM_MARK)
+    out = F.regexp_replace(out, rf"(?i)(?<={NUM_MARK} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT_MARK)
+    if names:
+        out = F.lower(F.regexp_replace(out, f"{OPEN}[^{CLOSE}]*{CLOSE}", NAME_MARK))
+    return own, F.regexp_replace(out, rf"[^\p{{L}}\p{{N}} %{MARKS[1:-1]}]+", "")
+
+
+def _token_items(benchmark: DataFrame, words: int, item_col: str, text_col: str) -> DataFrame:
+    """item, names, at, key, raw, first, n, n_words: windows of items; first and n count words, at counts tokens."""
+    kinds = [F.struct(F.lit(names).alias("names"), *(c.alias(x) for c, x in zip(token_texts(benchmark[text_col], names), ("raw", "canon"), strict=True))) for names in (True, False)]
+    rows = benchmark.select(benchmark[item_col].cast("long").alias("item"), F.explode(F.array(*kinds)).alias("x")).select("item", "x.*").filter("raw <> ''")
+    length = lambda text: F.regexp_count(text, F.lit(f"[ {INNER}]")) + 1
+    rows = rows.select("item", "names", F.split("raw", " ").alias("w"), F.split("canon", " ").alias("c"), length(F.col("raw")).alias("n_words"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("at"))
+    part = lambda tokens, at, n: F.array_join(F.slice(tokens, at, n), " ")
+    raw, before = part("w", F.col("at") + 1, words), part("w", F.lit(1), F.col("at"))
+    first = F.when(F.col("at") > 0, length(before)).otherwise(0)
+    return rows.select("item", "names", "at", part("c", F.col("at") + 1, words).alias("key"), raw.alias("raw"), first.alias("first"), length(raw).alias("n"), "n_words")
+
+
+def _token_windows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tag, names, doc_at, key, doc_raw: windows of each text, half a window apart, of both kinds."""
+    half, kinds = words // 2, {"a": True, "b": False}
+    blocks = lambda text: F.regexp_extract_all(text, F.lit(rf"(?:[^ ]+ ){{0,{half - 1}}}[^ ]+"), F.lit(0))
+    text = docs[text_col].cast("string")
+    texts = {x: token_texts(text, names) for x, names in kinds.items()}
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), *(blocks(t).alias(f"{c}_{x}") for x, both in texts.items() for t, c in zip(both, ("raw", "key"), strict=True)))
+
+    def cut(x: str, names: bool) -> Column:
+        part = lambda c, i: F.concat_ws(" ", F.slice(f"{c}_{x}", i, 2)).alias("doc_raw" if c == "raw" else c)
+        one = lambda i: F.struct(F.lit(names).alias("names"), ((i - 1) * half).alias("doc_at"), part("key", i), part("raw", i))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(f"key_{x}") - 1, F.lit(1))), one)
+
+    # an outer explode, as a filter on sizes would cut every text twice
+    rows = rows.filter("doc_id is not null").select("doc_id", "tag", F.explode_outer(F.concat(*(cut(x, names) for x, names in kinds.items()))).alias("x"))
+    return rows.select("doc_id", "tag", "x.*").filter("key <> ''")
+
+
+def token_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float = 0.5, enough: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item, covered as `leaks` gives them, from windows of tokens.
+
+    covered: words of the item (as `token_texts` parts them, names in their words) under sound windows of either kind.
+    Equal values of an item are held to be one only where they stand less than `words` tokens apart: a window is not
+    sound if it carries one of two such slots of which the document's values differ.
+    """
+    items = stored(_token_items(benchmark, words, item_col, item_text), "items")
+    hits = _token_windows(docs, words, id_col, text_col).join(sized(items), ["names", "key"]).withColumn("line", F.col("doc_at") - F.col("at"))
+    of = ["doc_id", "tag", "item", "names", "line"]
+    value = lambda c, i: F.regexp_replace(F.lower(F.get(F.split(c, " "), i)), r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", "")
+    slot = lambda kind, i: F.struct((F.col("at") + i).alias("pos"), kind.alias("kind"), value("raw", i).alias("x"), value("doc_raw", i).alias("y"))
+    found = F.filter(F.transform(F.split("key", " "), slot), lambda x: x["kind"].rlike(MARKS))
+    hits = stored(hits.select(*of, "at", F.size(F.split("key", " ")).alias("size"), "first", "n", "n_words", found.alias("slots")), "hits")
+    slots = hits.select(*of, F.explode("slots").alias("p")).select(*of, "p.*").distinct()
+    order = Window.partitionBy(*of, "kind", "x").orderBy("pos")
+    parts = lambda move: F.coalesce((move("y").over(order) != F.col("y")) & (F.abs(move("pos").over(order) - F.col("pos")) < words), F.lit(False))
+    wrong = slots.withColumn("wrong", parts(F.lag) | parts(F.lead)).filter("wrong").groupBy(*of).agg(F.collect_set("pos").alias("wrong"))
+    sound = hits.join(wrong, of, "left").filter(~F.coalesce(F.exists("wrong", lambda p: (p >= F.col("at")) & (p < F.col("at") + F.col("size"))), F.lit(False)))
+    word = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
+    text = ["doc_id", "tag", "item", "n_words"]
+    covered = sound.select(*text, word.alias("word")).distinct().groupBy(*text).agg(F.count("*").alias("covered"))
+    covered = covered.filter((F.col("covered") >= share * F.col("n_words")) | (F.col("covered") >= enough))
+    return covered.groupBy("doc_id", "item").agg(F.max("covered").alias("covered"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, find: Callable[..., DataFrame] = leaks, **how) -> DataFrame:
+    """doc_id, contaminated, n_items, first_item, covered of every row of `docs`, by `find`; see `leaks` for the parameters.
 
     Null and empty texts have no window and are clean, as are rows with a null doc_id; rows that share a doc_id share
     their verdict. Items without words match nothing, repeated items count once. Other columns play no part.
     """
-    found = leaks(docs, benchmark, **how).groupBy("doc_id").agg(F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item"), F.max("covered").alias("covered"))
+    found = find(docs, benchmark, **how).groupBy("doc_id").agg(F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item"), F.max("covered").alias("covered"))
     own = docs.select(docs[how.get("id_col", "doc_id")].cast("long").alias("doc_id"))
     out = own.join(found, "doc_id", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", zero).alias("n_items"), "first_item", F.coalesce("covered", zero).alias("covered"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, find: Callable[..., DataFrame] = leaks, **how) -> DataFrame:
     """The rows of `docs` (with doc_id and text) that leak no item; columns as they are."""
-    gone = stored(leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
+    gone = stored(find(docs, benchmark, **how).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
     return docs.join(sized(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

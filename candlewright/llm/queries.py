@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm import chat, line_dedup
-from candlewright.llm.decontamination import decontaminate
+from candlewright.llm.decontamination import decontaminate, token_leaks
 from candlewright.llm.mixing import mix_sources
 from candlewright.llm.near_dedup import near_duplicates
 from candlewright.llm.quality import quality
@@ -43,7 +43,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), token_leaks)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm.decontamination import without_leaks
+from candlewright.llm.decontamination import token_leaks, without_leaks
 from candlewright.llm.mixing import mixed
 from candlewright.llm.near_dedup import without_near_duplicates
 from candlewright.llm.quality import keep_good
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), token_leaks)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,6 +268,25 @@ def test_equal_slots_may_part(spark):
     assert all(r.contaminated and r.covered >= 20 for r in rows) and len(rows) == 8
 
 
+def test_tokens_find_longer_names_and_other_case(spark):
+    names = "after the visit to Paris my friend Anna paid 12 dollars and then went home with Bob to eat"
+    long = "in the morning the shop of Anna Smith on the corner near Paris sold 3 pens to every child who came with Bob and after lunch it had rulers from Rome that cost 3 dollars so how much did Carl pay"
+    other = names.replace("Paris", "New York").replace("Anna", "Mary Jane Lee").replace("Bob", "Tim Cook").replace("12 dollars", "950 euros")
+    asked = long.replace("3 pens", "5 pens").replace("3 dollars", "8 dollars")
+    near = "well she said that 5 and 5 make 10 while 5 is odd so we add 5 and 10 again to see"
+    texts = {1: other, 2: names.lower(), 3: names.upper().replace(" ", " - "), 4: long.lower(), 5: asked, 6: asked.upper(), 7: near.replace("5 and 5", "6 and 7").replace("5 is", "9 is").replace("add 5", "add 6")}
+    docs = [(10 * k + n, "x " * n + t) for k, t in texts.items() for n in range(4)]
+    docs += [(k, t) for k, t in enumerate([None, "", "- !", "a b c", "x " * 300])]
+    frame = spark.createDataFrame([*docs, (10, "y " * 50), (None, long)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, names), (2, long), (3, near[5:]), (4, None), (5, "...")], "item_id long, text string")
+    rows = decontamination.decontaminate(frame, benchmark, decontamination.token_leaks).collect()
+    found = {r.doc_id: r.first_item for r in rows if r.contaminated}
+    assert len(rows) == len(docs) + 2
+    assert found == {10 * k + n: item for k, item in {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2}.items() for n in range(4)}
+    own, canon = spark.createDataFrame([("He met Mary Jane, at 5kg - for 3 dollars. Paris",)], "t string").select(*decontamination.token_texts(F.col("t"), True)).first()
+    assert own.count(" ") == canon.count(" ") and canon == "he met \x06 at \x03 \x04 for \x03 \x04 paris"
+
+
 def test_planted_items_are_found(spark):
     docs, items = table(spark, "documents"), table(spark, "benchmark")
     flat = {r.doc_id: " ".join(WORD.findall(r.text)) for r in docs.collect()}
@@ -276,6 +295,12 @@ def test_planted_items_are_found(spark):
     assert len(want) > 10 and got == want
 
 
+def test_token_windows_find_the_same_planted_items(spark):
+    docs, items = table(spark, "documents"), table(spark, "benchmark")
+    want = {(r.doc_id, r.item) for r in decontamination.leaks(docs, items).collect()}
+    assert {(r.doc_id, r.item) for r in decontamination.token_leaks(docs, items).collect()} == want
+
+
 # pipeline
 
 
