@@ -285,6 +285,7 @@ _SQL: dict[str, str] = {
     "chart_nested": f"{_CHART} SELECT symbol, CAST(count(*) AS INT) AS n_candles, min(time) AS first_time, max(time) AS last_time, CAST(count(ema9) AS INT) AS n_ema9, CAST(count(ema21) AS INT) AS n_ema21, CAST(count(ema50) AS INT) AS n_ema50, CAST(count(rsi14) AS INT) AS n_rsi, CAST(count(macd_hist) AS INT) AS n_macd_hist FROM rows GROUP BY symbol",
     "session_ticks": f"SELECT event_type, count(*) AS n, {_r4('sum(value)')} AS value FROM (SELECT *, ts + INTERVAL 330 MINUTE AS t FROM events) WHERE isodow(t) <= 5 AND hour(t) * 60 + minute(t) BETWEEN 555 AND 930 GROUP BY event_type",
     "wide_to_long": f"{_WEEK} {_BARS_OUT} WHERE symbol IN ('1', '2', '3')",
+    "wide_to_long_all": f"WITH {_bars('week', symbol='l_returnflag')} {_BARS_OUT}",
     "v1_signals": f"""{_WEEK}, {_IND},
 k0 AS (SELECT *, (ema9 IS NOT NULL AND ema21 IS NOT NULL AND volume IS NOT NULL AND vol_avg20 IS NOT NULL) AS okx FROM ind),
 k1 AS (SELECT *, CASE WHEN okx AND lag(ema9) OVER c <= lag(ema21) OVER c AND ema9 > ema21 AND vol_avg20 > 0 AND volume > 1.5 * vol_avg20 THEN ema21 END AS x FROM k0 WINDOW c AS (PARTITION BY symbol, okx ORDER BY ts)),

@@ -27,9 +27,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_suppkey") -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("double").alias("volume"), "l_orderkey", "l_linenumber")
+    return rows.select(F.col(symbol).cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("double").alias("volume"), "l_orderkey", "l_linenumber")
 
 
 def _bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
@@ -246,6 +246,16 @@ def wide_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _show(wide_to_long(wide), *fields)
 
 
+def wide_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as bars by return flag, spread into columns and brought back to rows."""
+    fields = ("open", "high", "low", "close", "volume")
+    ticks = _ticks(spark, sf_dir, "l_returnflag")
+    bars = resample_ticks(ticks, "week", ["ts", "l_orderkey", "l_linenumber"])
+    wide = bars.groupBy("ts").pivot("symbol").agg(*(F.first(c).alias(c.title()) for c in fields))
+    wide = wide.toDF(*(c if c == "ts" else "|".join(c.rsplit("_", 1)) for c in wide.columns))
+    return _show(wide_to_long(wide), *fields)
+
+
 def v1_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = legacy.signals(indicators.bundle(_bars(spark, sf_dir)))
     return rows.select("symbol", F.to_date("ts").alias("ts"), "v1_cross", "v1_rsi", "v1_macd", "v1_breakout", "v1_signals", "v1_ok", "v1_score")
@@ -278,6 +288,6 @@ QUERIES: dict[str, Query] = {
     "setup_counts": setup_counts, "index_snapshot": index_snapshot, "earnings_flag": earnings_flag,
     "missing_symbols": missing_symbols, "universe": universe, "read_list": read_list, "latest_results": latest_results,
     "sorted_results": sorted_results, "run_status": run_status, "orphan_results": orphan_results, "schema_union": schema_union,
-    "chart_series": chart_series, "chart_nested": chart_nested, "session_ticks": session_ticks, "wide_to_long": wide_long,
+    "chart_series": chart_series, "chart_nested": chart_nested, "session_ticks": session_ticks, "wide_to_long": wide_long, "wide_to_long_all": wide_long_all,
     "v1_signals": v1_signals, "v1_fundamentals": v1_fundamentals,
 }

@@ -39,6 +39,12 @@ def test_oracle(spark, name):
     assert got == sorted(tuple(plain(r[k]) for k in at) for r in want.fetchall())
 
 
+def test_wide_to_long_of_all_rows(spark):
+    test_oracle(spark, "wide_to_long_all")
+    total = spark.read.parquet(f"{DATA}/lineitem.parquet").agg({"l_quantity": "sum"}).first()[0]
+    assert queries.QUERIES["wide_to_long_all"](spark, DATA).agg({"volume": "sum"}).first()[0] == pytest.approx(total)
+
+
 def test_every_query_but_one_has_sql():
     assert set(queries.QUERIES) - set(oracles.ORACLE_SQL) == {"psar"}
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
