@@ -136,6 +136,8 @@ def _fly(state: DataFrame, level: int, seed: str) -> DataFrame:
     """One level: documents of a source in `parts` groups by hash; a source's only group lands."""
     key = F.xxhash64("doc_id", "size", F.lit(f"{seed} {level}"))
     state = state.withColumn("key", key).withColumn("part", F.pmod("key", "parts"))
+    # as text, since pandas makes doubles of longs beside a null
+    state = state.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
         # large documents fly first, so that those left at the end are small
@@ -146,7 +148,7 @@ def _fly(state: DataFrame, level: int, seed: str) -> DataFrame:
         return rows
 
     types = state.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return state.groupBy("source", "part").applyInPandas(move, types).drop("key", "part")
+    return state.groupBy("source", "part").applyInPandas(move, types).withColumn("doc_id", F.col("doc_id").cast("long")).drop("key", "part")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

@@ -172,6 +172,14 @@ def test_mix(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_large_ids_beside_a_null(spark):
+    ids = [None, *range(2**53 + 1, 2**53 + 80, 2)]
+    docs = spark.createDataFrame([(i, "a b c", f"s{k % 2}") for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    got = mix_sources(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+    assert mixed(docs).count() == sum(r.copies for r in got)
+
+
 # chat
 
 
