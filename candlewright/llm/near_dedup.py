@@ -12,9 +12,13 @@ asked can have such shingles are out, which spares the full comparison of nearly
 
 Equal sets are one class from the start. Members of an entry are compared with its leader, the member that shares
 entries with most others, as the text that copies were made from does; links are confirmed on full sets, and linked
-classes get one label. After that only entries with several labels are left to look at: all
-their pairs of different labels within the threshold are confirmed too, so that no link between groups is lost,
-while a group of copies, which has one label by then, never yields its pairs.
+classes get one label. After that only members of entries with several labels are left to look at. Their pairs are not
+made within entries, as an entry of texts just under the similarity would yield all of them. Instead every set is put in
+order from its rarest shingle to its most common one. Sets as similar as asked share one of their first few shingles,
+and from the place of the first one that they share follows how many they can share at all; a shingle that only one set
+has can't be shared. Texts that each have more words of their own than the similarity allows therefore meet nowhere.
+Pairs that meet, have different labels and pass both tests above are confirmed on full sets like the others, so that no
+link between groups is lost, while a group of copies, which has one label by then, never yields its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import id_and_text, mix, pieces, sized, stored, windows, within, words
+from candlewright.llm.shared import id_and_text, mix, pieces, sized, stored, windows, within, without_ids, words
 
 SYMBOLS, BITS, LANES = 64, 12, 5
 #: Differing symbols allowed in a chunk, and the chance that sets as similar as asked exceed the threshold.
@@ -160,27 +164,62 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, has: the shingles of the documents in `ids` (id and maybe more columns, which stay)."""
+
+    more = [f for f in ids.schema.fields if f.name != "id"]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             key, first = shingle_sets(batch.column("text"), size)
-            yield pa.record_batch({"id": batch.column("doc_id"), "has": pa.ListArray.from_arrays(first.astype(np.int32), key.view(np.int64))})
+            has = pa.ListArray.from_arrays(first.astype(np.int32), key.view(np.int64))
+            yield pa.record_batch({"id": batch.column("doc_id"), "has": has} | {f.name: batch.column(f.name) for f in more})
 
-    wanted = docs.join(sized(ids), docs["doc_id"] == ids["id"], "left_semi")
-    sets = stored(wanted.mapInArrow(collect, "id long, has array<long>"), "sets")
+    wanted = docs.join(sized(ids), docs["doc_id"] == ids["id"]).drop("id")
+    return wanted.mapInArrow(collect, "id long, has array<long>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = stored(_full_sets(docs, ids, size), "sets")
     left, right = (sets.select(F.col("id").alias(x), F.col("has").alias(f"has_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("has_a", "has_b"))
-    return both.filter((100 + percent) * shared >= percent * (F.size("has_a") + F.size("has_b"))).select("a", "b")
+    return both.filter((100 + percent) * shared >= percent * (F.size("has_a") + F.size("has_b"))).select("a", "b").distinct()
+
+
+def _meeting(docs: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs of the ids in `named` (id, label) with different labels that may be similar enough by rare shingles.
+
+    Sets are in order of (how many of these sets have a shingle, the shingle). Of n shingles, similar sets share at least
+    percent * n / 100, so that they share one of the first n - that + 1. If the first that they share has x shingles from
+    it on in one set and y in the other, they share min(x, y) at most. In a group around a shingle, the rows of its most
+    common label meet the others only.
+    """
+    sets = stored(_full_sets(docs, named, size), "open-sets")
+    each = sets.select("id", F.explode("has").alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1")
+    order = each.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "g"))).alias("o"))
+    rows = sets.select("id", "label", F.size("has").alias("n")).join(order, "id")
+    alone = F.col("n") - F.size("o")  # shingles of no other set come first
+    take = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1 - alone
+    rows = rows.filter(take > 0).select("id", "label", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), take)).alias("k", "x"))
+    rows = stored(rows.select(F.col("x.g").alias("g"), "id", "label", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("rest")), "prefixes")
+    most = rows.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("c"))
+    most = sized(stored(most.filter("c > 1").select("g", "top"), "labels-of-shingles"))
+    x = rows.join(most, "g").filter("label <> top").select("g", "top", *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "n", "rest")))
+    y = rows.select("g", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "n", "rest")))
+    room = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    once = (F.col("label_y") == F.col("top")) | (F.col("id_x") < F.col("id_y"))
+    pairs = stored(x, "rare").join(y, "g").filter((F.col("label_x") != F.col("label_y")) & once & room)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` (with doc_id and text) of one document of each group; columns as they are."""
-    gone = stored(near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct()
+    return without_ids(docs, stored(gone, "gone"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +229,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     whole sequence if that is shorter. Documents are linked if 100 * intersection >= `percent` * union; component_id is
     the smallest doc_id reachable, kept says whether that is its own. Null, empty and wordless texts have empty sets and
     are linked with nothing. Rows with a null doc_id are in no group: their component_id is null and they are kept.
-    Rows that share a doc_id are one node and have a row each. Other columns play no part; an empty table gives no rows.
+    Rows that share a doc_id are one document, with the links of all its texts, and have a row each. Other columns play no part; an empty table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col)
     signed = stored(_signatures(docs, size), "signatures")
@@ -208,21 +247,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     left, right = (reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "bitmap"))) for x in "ab")
     near = led.join(left, "a").join(right, "b")
     pairs = stored(near.filter(may_link("a", "b", most, percent)).select("a", "b"), "pairs")
-    links = stored(_confirmed(docs, pairs, size, percent), "links")
+    nodes = stored(signed.select("doc_id", *of).join(reps.select(*of, "id"), of, "left").select("doc_id", "n", "id"), "nodes")
+    same = nodes.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
+    same = nodes.join(same, "doc_id").filter("id > a").select("a", F.col("id").alias("b"))
+    links = stored(_confirmed(docs, pairs, size, percent).union(same), "links")
     labels = sized(components(links))
 
     named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
-    open_ = stored(named.join(mixed, "key").join(reps.select("id", "n", "sig", "bitmap"), "id"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "sig", "bitmap"))) for k in "xy")
-    apart = (F.col("label_x") < F.col("label_y")) & may_link("x", "y", most, percent)
-    more = x.join(y, (x["key"] == y["key"]) & apart).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    open_ = stored(named.join(mixed, "key").select("id", "label").distinct(), "open")
+    more = stored(_meeting(docs, open_, size, percent), "meeting").join(left, "a").join(right, "b").filter(may_link("a", "b", most, percent))
+    more = stored(more.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.union(stored(_confirmed(docs, more, size, percent), "links"))
         labels = sized(components(links))
 
-    out = signed.select("doc_id", *of).join(reps.select(*of, "id"), of, "left").join(labels, "id", "left")
+    out = nodes.join(labels, "id", "left")
     own = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

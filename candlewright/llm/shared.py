@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Bytes of an Arrow batch between Spark and its Python workers, at most.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that a worker looks at together; temporary arrays are several times as large.
+PIECE_BYTES = 1 << 20
 #: Regular expression (Java) of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,17 +28,17 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a scratch one is set only where none is."""
+    """The folder that all executors share, from spark.checkpoint.dir; local mode gets a scratch one where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            import tempfile
+
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
     return folder
 
 
@@ -59,18 +59,26 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS, values: Column | None = No
     return F.broadcast(df) if n <= limit and (sum_ or 0) <= 8 * limit else df
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that an operator reads, as `doc_id` long and `text` string; clashing others fall away.
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is not in `gone` (doc_id, each once); columns as they are, whatever their names."""
+    name = private(docs)
+    return docs.join(sized(gone.toDF(name)), docs[id_col].cast("long") == F.col(name), "left_anti")
 
-    Lowers the session's limit on the bytes of Arrow batches, as ten thousand long texts would be too much for a worker.
-    """
-    conf, limit = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(limit).rstrip("bB")) <= BATCH_BYTES:
-        conf.set(limit, str(BATCH_BYTES))
+
+def private(df: DataFrame, stem: str = "own") -> str:
+    """A name that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only the two columns that an operator reads, as `doc_id` long and `text` string; clashing others fall away."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has about `limit` bytes of text, one row at least."""
     for batch in batches:
         sizes = batch.column("text").nbytes if batch.num_rows else 0
