@@ -10,16 +10,16 @@ into four lengths at once, and the places in `data` follow from a running sum.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,10 @@ from candlewright.llm.shared import coded, id_and_text, pieces, stored, totals
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
+#: Stands for a null doc_id, before all others.
+_NO_ID = -(1 << 63)
+
+
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control and data bytes of each document; `ranks`, under 2**32, of all in a row, `counts` of each."""
     ranks = ranks.astype("<u4")
@@ -55,62 +59,94 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-#: Letters with marks before and after them; apostrophes, combining marks and "<|" are left to the library.
-_LETTERS = regex.compile(r"([.,;:!?*$%&#()\"-]*)(\p{L}+)([.,;:!?*$%&#()\"-]*)")
+#: A text in which letters part from all else wherever they meet: ASCII, composed Latin letters, common marks; no "<|".
+_PLAIN = "^[\\x00-\\x7FÀ-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*$"
+#: Words with an apostrophe, or runs without a letter, of a plain text in lower case.
+_CUT = "([^ ]*'[^ ]*)|([^ a-zß-öø-ÿ]+)"
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: What the tokenizer has to be like for texts to be cut.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: Latin letters that are composed already and have one lower-case form each.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: The library's byte mapping: bytes without a printable Latin-1 character stand as those from U+0100 on, in turn.
-_BYTES = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
+def check_tokenizer(path: str) -> None:
+    """Refuse a tokenizer whose normaliser, splitter or word ends are others than `Encoder` relies on."""
+    spec = json.loads(Path(path).read_text())
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    same = (spec.get("normalizer") or {}).get("normalizers") == _NORMAL and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[0].get("invert") is True
+    if not (same and spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and all(x["content"].startswith("<|") for x in spec["added_tokens"])):
+        raise ValueError(f"{path}: token ids need lower-casing, a split into letters, digits and other marks, and word ends")
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library. White space parts words for good, so that words are encoded once.
+    """Ids of texts by the tokenizers library, each part of a text once while it is in use.
+
+    The tokenizer turns white space into single spaces and keeps no space, so that a text's ids are its parts' ids in
+    turn if it is cut at spaces. Its splitter also parts letters from all else, except around an apostrophe. Plain texts
+    are therefore put in lower case and cut there too; all else is cut at spaces only and left to the library. Letters
+    met for the first time go to the library together: the last id of each word tells where it ends.
 
-    Its normaliser turns white space into single spaces and its splitter keeps no space, so that a text's ids are its
-    words' ids in turn. Words are cut at space and line feed only; all else stays inside and is the library's work. A
-    word of letters with marks around it is cut further, as the splitter does, so that its letters are encoded once
-    beside whatever marks, and Latin letters in whatever case, they stand. Latin letters in lower case pass the
-    normaliser unchanged, so that they go to the library's model itself.
+    Parts that are not met again go: of two halves, the old one is dropped when the new one has `words` parts, and what
+    is met again moves to the new one.
     """
 
-    def __init__(self, path: str, words: int = 120_000, runs: int = 300_000):
+    def __init__(self, path: str, words: int = 200_000):
         from tokenizers import Tokenizer
 
+        check_tokenizer(path)
         self.of = Tokenizer.from_file(path)
         self.of.no_truncation()
         self.of.no_padding()
-        self.kind = "<u2" if self.of.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.most, self.known, self.short = (words, runs), {}, {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, packed as `kind`."""
-        known, short, packed = self.known, self.short, self._packed
-        fresh = [x for x in words if x not in known]
-        if len(known) + len(fresh) > self.most[0]:  # keep what is in use
-            self.known = known = {x: y for x in words if (y := known.get(x)) is not None}
-        cut = {x: m.groups() for x in fresh if (m := _LETTERS.fullmatch(x))}
-        cut = {x: (a, b.lower() if _LATIN.fullmatch(b) else b, c) for x, (a, b, c) in cut.items()}
-        if len(short) > self.most[1]:
-            self.short = short = {x: y for parts in cut.values() for x in parts if (y := short.get(x)) is not None}
-        runs = {x for parts in cut.values() for x in parts if x and x not in short}
-        plain = sorted(x for x in runs if _LATIN.fullmatch(x))
-        split = self.of.model.tokenize
-        short.update((x, packed([t.id for t in split(x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))])) for x in plain)
-        for group, to in ((sorted(runs.difference(plain)), short), ([x for x in fresh if x not in cut], known)):
-            got = self.of.encode_batch_fast(group, add_special_tokens=False)
-            to.update((x, packed(e.ids)) for x, e in zip(group, got, strict=True))
-        short[""] = b""
-        known.update((x, short[a] + short[b] + short[c]) for x, (a, b, c) in cut.items())
-        return [known[x] for x in words]
+        n = self.of.get_vocab_size(with_added_tokens=True)
+        self.kind = "<u2" if n <= 1 << 16 else "<u4"
+        self.last = np.zeros(n, bool)
+        self.last[[k for x, k in self.of.get_vocab().items() if x.endswith("</w>")]] = True
+        self.most, self.new, self.old = words, {"": b""}, {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        letters = [x for x in parts if _LETTERS.fullmatch(x)]
+        known: dict[str, bytes] = {}
+        size = np.dtype(self.kind).itemsize
+        for at in range(0, len(letters), 2_000):
+            group = letters[at : at + 2_000]
+            ids = np.array(self.of.encode(" ".join(group), add_special_tokens=False).ids, self.kind)
+            edge = [0, *(size * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            known.update((x, raw[a:b]) for x, a, b in zip(group, edge[:-1], edge[1:], strict=True))
+        rest = [x for x in parts if x not in known]
+        got = self.of.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(rest, got, strict=True))
+        return [known[x] for x in parts]
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of these distinct parts, packed as `kind`."""
+        new, old, fresh = self.new, self.old, []
+        out = list(map(new.get, parts))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            out[k] = have = old.get(parts[k])
+            if have is None:
+                fresh.append(k)
+            else:
+                new[parts[k]] = have
+        words = [parts[k] for k in fresh]
+        for k, x, have in zip(fresh, words, self._encode(words), strict=True):
+            out[k] = new[x] = have
+        if len(new) > self.most:
+            self.old, self.new = new, {"": b""}
+        return out
+
+    @staticmethod
+    def cut(text: pa.Array) -> pa.Array:
+        """Texts with a space wherever they may be cut."""
+        text = pc.replace_substring(text.fill_null(""), "\n", " ")
+        plain = pc.and_(pc.match_substring_regex(text, _PLAIN), pc.invert(pc.match_substring(text, "<|")))
+        if not pc.any(plain).as_py():
+            return text
+        return pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(text), _CUT, r" \1\2 "), text)
 
     def __call__(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with `end` after every text, and how many each text has."""
-        distinct, place, each = coded(pc.replace_substring(text.fill_null(""), "\n", " "))
+        distinct, place, each = coded(self.cut(text))
         ids = self.ids(distinct)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
         flat = np.frombuffer(b"".join(ids), self.kind)
@@ -171,8 +207,9 @@ def write_token_ids(docs: DataFrame, path: str, end: int, name: str = "token-ids
     """Write blocks and ranks in the file format above into the shared folder; return (blocks, ranks) as read back.
 
     Null and empty texts have the end id alone. Repeated rows and equal doc_ids each have a document of their own, in
-    the order of their bytes; a null doc_id comes first. Other columns play no part. An empty table makes no blocks.
-    `shards`: files, cut at doc_id quantiles, so that each has about as many documents. A document is never split.
+    the order of their code's checksum and bytes; a null doc_id comes first. Other columns play no part. An empty table
+    makes no blocks. `shards`: files, cut at doc_id quantiles, so that each has about as many documents; the rows of a
+    doc_id that takes several quantiles are cut by the checksum. A document is never split.
     """
     docs = id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -180,21 +217,25 @@ def write_token_ids(docs: DataFrame, path: str, end: int, name: str = "token-ids
     raw = stored(encoded(docs, path, end, kind), f"{name}-raw")
     ranks = stored(id_ranks(raw, kind), f"{name}-ranks")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = raw.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5])).head()[0] or []
+    key = F.coalesce("doc_id", F.lit(_NO_ID))
+    cuts = raw.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5])).head()[0] or []
     table = {x.id: x.rank for x in ranks.collect()}  # bounded by the vocabulary
     order = np.zeros(max(table, default=0) + 1, np.uint32)
     order[list(table)] = list(table.values())
-    sent = spark.sparkContext.broadcast((order, np.unique(np.array(cuts, np.int64))))
+    sent = spark.sparkContext.broadcast((order, np.sort(np.array(cuts, np.int64))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, bounds = sent.value
         for batch in batches:
             counts = batch.column("count").to_numpy()
             control, data = pack(rank[_joined(batch.column("ids"), kind)], counts)
-            key = batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield pa.record_batch({"shard": np.searchsorted(bounds, key, side="left").astype(np.int32), "doc_id": batch.column("doc_id"), "count": counts, "control": pa.array(control, pa.binary()), "data": pa.array(data, pa.binary())})
+            key = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
+            sums = np.array([zlib.crc32(y, zlib.crc32(x)) for x, y in zip(control, data, strict=True)], np.int64)
+            low, high = np.searchsorted(bounds, key, side="left"), np.searchsorted(bounds, key, side="right")
+            shard = low + (sums * np.maximum(high - low, 1) >> 32)
+            yield pa.record_batch({"shard": shard.astype(np.int32), "doc_id": batch.column("doc_id"), "sum": sums, "count": counts, "control": pa.array(control, pa.binary()), "data": pa.array(data, pa.binary())})
 
-    coded_rows = raw.mapInArrow(code, "shard int, doc_id long, count long, control binary, data binary")
+    coded_rows = raw.mapInArrow(code, "shard int, doc_id long, sum long, count long, control binary, data binary")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, size, held = None, 0, 0, []
@@ -214,7 +255,7 @@ def write_token_ids(docs: DataFrame, path: str, end: int, name: str = "token-ids
         if held:
             yield flush()
 
-    rows = coded_rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "data", "control")
+    rows = coded_rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "sum", "data", "control")
     blocks = rows.mapInArrow(gather, "shard int, block long, doc_ids array<long>, counts array<long>, control binary, data binary")
     return stored(blocks, f"{name}-blocks"), ranks
 
