@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import sized, stored
+from candlewright.llm.shared import sized, stored, without_ids
 
 SPACE = r"[\x20\x09-\x0D]+"
 NUMBER = r"\d+(?:[.,:/]\d+)*"
@@ -182,5 +182,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, find: Callable[..., Dat
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, find: Callable[..., DataFrame] = leaks, **how) -> DataFrame:
     """The rows of `docs` (with doc_id and text) that leak no item; columns as they are."""
-    gone = stored(find(docs, benchmark, **how).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(sized(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(find(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
+    return without_ids(docs, gone, how.get("id_col", "doc_id"))

@@ -14,7 +14,7 @@ import random
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.llm.shared import WORD, sized, stored
@@ -22,6 +22,10 @@ from candlewright.llm.shared import WORD, sized, stored
 _NEAR = 1e-9
 
 
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3) -> DataFrame:
     """Add `target` to source, source_size: shares by weight of all sizes, at most `most` times the source's size.
 
@@ -105,8 +109,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     rows are spread: groups, their order and chance follow from hashes of the rows. `group` bounds the rows that fly
     together and nothing else.
     """
-    size = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), _words(docs[text_col]).alias("size"))
     units = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")), "mix-units")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count("*").alias("n"))
     plan = stored(source_targets(sources, weights, most), "mix-sources")
@@ -128,7 +131,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.withColumn("copies", (F.col("whole") + F.col("share")).cast("long")).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    out = out.withColumn("copies", (F.col("whole") + F.col("share")).cast("long")).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -152,10 +155,18 @@ def _fly(state: DataFrame, level: int, seed: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` themselves, each as often as `mix_sources` says; columns as they are."""
+    """The rows of `docs` themselves, each as often as `mix_sources` says; columns as they are, whatever their names.
+
+    Copies are known by (doc_id, source, size) for every document, so that they are as many as the rows of `docs` and
+    never broadcast: rows and copies meet by a hash of doc_id and size, at any size of the table alike.
+    """
     id_col, text_col, source_col = how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("source_col", "source")
-    copies = mix_sources(docs, **how).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c")).distinct()
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & F.col("_size").eqNullSafe(F.col("_n"))
-    out = docs.withColumn("_size", size).join(copies.filter("_c > 0"), same)
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names).withColumns({"size": _words(F.col(of[text_col])), "doc_id": F.col(of[id_col]).cast("long"), "source": F.col(of[source_col]).cast("string")})
+    plan = mix_sources(docs, **how).filter("copies > 0").select(*(F.col(c).alias(f"{c}_") for c in ("doc_id", "source", "size", "copies"))).distinct()
+    rows, plan = (x.withColumn(f"key{end}", F.xxhash64(f"doc_id{end}", f"size{end}")) for x, end in ((rows, ""), (plan, "_")))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
+    out = rows.join(plan.hint("merge"), (F.col("key") == F.col("key_")) & same)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))))
+    return out.select(*(F.col(n).alias(c) for c, n in of.items()))

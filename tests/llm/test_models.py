@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from candlewright.llm import chat, decontamination, mixing, quality, toxicity
 from candlewright.llm.mixing import mix_sources, mixed, source_targets
+from candlewright.llm.near_dedup import without_near_duplicates
 from candlewright.llm.shared import id_and_text
 
 DATA = "/root/testdata/sf0.01"
@@ -180,6 +181,17 @@ def test_mix_keeps_large_ids_beside_a_null(spark):
     assert mixed(docs).count() == sum(r.copies for r in got)
 
 
+def test_stages_keep_clashing_columns(spark):
+    """Columns named as the operators' own stay as they are, in every stage that returns documents."""
+    names = ["own", "size", "source_", "copies_", "key", "key_", "c0", "gone", "_gone", "_size", "_c", "item", "kept", "n", "label"]
+    docs = spark.createDataFrame([(k, f"some words for number {k} and a few more of them to be kept here", f"s{k % 2}", *names) for k in range(20)], ["doc_id", "text", "source", *names])
+    benchmark = spark.createDataFrame([(1, docs.first().text)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for rows, n in ((mixed(docs), None), (without_near_duplicates(docs), 20), (decontamination.without_leaks(docs, benchmark, decontamination.token_leaks), 0), (quality.keep_good(docs, labels), 20)):
+        got = rows.collect()
+        assert rows.columns == docs.columns and (n is None or len(got) == n) and all(tuple(r)[3:] == tuple(names) for r in got)
+
+
 # chat
 
 
