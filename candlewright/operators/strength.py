@@ -10,14 +10,18 @@ from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.functions.windows import upto
 
 
-def returns(bars: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """symbol, ts and ret{k}: the change over k closes that are there, carried to bars without a close."""
+def with_returns(bars: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Add ret{k}: the change over k closes that are there, carried to bars without a close."""
     known = F.col("close").isNotNull()
     w = Window.partitionBy("symbol", known).orderBy("ts")
-    df = bars.withColumns({f"_r{k}": F.when(known, F.try_divide("close", F.lag("close", k).over(w)) - 1) for k, _ in settings.lookbacks})
-    df = df.withColumn("_all", F.when(known, F.struct(*(F.col(f"_r{k}").alias(f"ret{k}") for k, _ in settings.lookbacks))))
-    df = df.withColumn("_all", F.last("_all", ignorenulls=True).over(upto()))
-    return df.select("symbol", "ts", *(F.col(f"_all.ret{k}").alias(f"ret{k}") for k, _ in settings.lookbacks))
+    changes = F.struct(*((F.try_divide("close", F.lag("close", k).over(w)) - 1).alias(f"ret{k}") for k, _ in settings.lookbacks))
+    df = bars.withColumn("_ret", F.when(known, changes)).withColumn("_ret", F.last("_ret", ignorenulls=True).over(upto()))
+    return df.withColumns({f"ret{k}": F.col(f"_ret.ret{k}") for k, _ in settings.lookbacks}).drop("_ret")
+
+
+def returns(bars: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """symbol, ts and ret{k} of `with_returns`."""
+    return with_returns(bars, settings).select("symbol", "ts", *(f"ret{k}" for k, _ in settings.lookbacks))
 
 
 def composite(settings: Settings = DEFAULTS, benchmark: bool = True) -> Column:
@@ -30,20 +34,33 @@ def composite(settings: Settings = DEFAULTS, benchmark: bool = True) -> Column:
     return F.try_divide(total, weights)
 
 
-def rank(rows: DataFrame, *by: str) -> DataFrame:
+def rank(rows: DataFrame, *by: str, among: Column | None = None) -> DataFrame:
     """rs_ratio (4 places) and rs_rank (1 place): the share of rows with a score of at most one's own, in percent.
 
-    One row per symbol enters for each value of `by`; without `by` all rows meet in one task, a row per symbol.
+    One row per symbol enters for each value of `by`; without `by` all rows meet in one task, a row per symbol. Rows
+    without a score go; with `among`, all rows stay and only those it holds for, with a score, have a rank.
     """
-    w = Window.partitionBy(*by).orderBy("rs_score")
-    rows = rows.filter("rs_score is not null")
-    return rows.withColumns({"rs_rank": half_up(F.cume_dist().over(w) * 100, 1), "rs_ratio": half_up("rs_score", 4)})
+    if among is None:
+        rows = rows.filter("rs_score is not null")
+        share = F.cume_dist().over(Window.partitionBy(*by).orderBy("rs_score"))
+    else:
+        ok = F.coalesce(among & F.col("rs_score").isNotNull(), F.lit(False))
+        share = F.when(ok, F.cume_dist().over(Window.partitionBy(*by, ok).orderBy("rs_score")))
+    return rows.withColumns({"rs_rank": half_up(share * 100, 1), "rs_ratio": half_up("rs_score", 4)})
 
 
-def strength(returned: DataFrame, benchmark: DataFrame | None, *by: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Score and rank rows of `returns`, against the benchmark's rows joined on `by` (its one row without `by`)."""
+def strength(returned: DataFrame, benchmark: DataFrame | None, *by: str, settings: Settings = DEFAULTS, among: Column | None = None) -> DataFrame:
+    """Add rs_score, rs_ratio and rs_rank to rows with ret{k}, against the benchmark's row of equal `by` (without `by`,
+    its one row). Where the benchmark has no row, scores are those without a benchmark; where its row has no usable
+    return, there is no score. See `rank` for `among`.
+    """
     if benchmark is None:
-        return rank(returned.withColumn("rs_score", composite(settings, benchmark=False)), *by)
-    one = benchmark.select(*by, *(F.col(f"ret{k}").alias(f"bench{k}") for k, _ in settings.lookbacks))
-    both = returned.join(F.broadcast(one), list(by)) if by else returned.crossJoin(F.broadcast(one.limit(1)))
-    return rank(both.withColumn("rs_score", composite(settings)), *by)
+        return rank(returned.withColumn("rs_score", composite(settings, benchmark=False)), *by, among=among)
+    names = [f"bench{k}" for k, _ in settings.lookbacks]
+    one = benchmark.select(*(F.col(c).alias(f"_{c}") for c in by), *(F.col(f"ret{k}").alias(n) for n, (k, _) in zip(names, settings.lookbacks, strict=True)), F.lit(True).alias("_has"))
+    if by:
+        both = returned.join(one, [F.col(c) == F.col(f"_{c}") for c in by], "left")
+    else:  # one row in any case, so that none is lost
+        both = returned.crossJoin(F.broadcast(one.agg(*(F.first(c).alias(c) for c in [*names, "_has"]))))
+    score = F.when(F.col("_has"), composite(settings)).otherwise(composite(settings, benchmark=False))
+    return rank(both.withColumn("rs_score", score).drop("_has", *names, *(f"_{c}" for c in by)), *by, among=among)

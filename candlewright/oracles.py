@@ -149,10 +149,11 @@ _BENCH = _bars("week", "bench", "'^BENCH'") + ",\n" + _returns("bench", "br")
 
 
 def _ranked(source: str, benchmark: bool) -> str:
-    join = "JOIN br b ON s.ts = b.ts" if benchmark else ""
-    return f"""scored AS (SELECT s.symbol, s.ts, {_composite(benchmark)} AS rs_score FROM {source} s {join}),
+    join = "LEFT JOIN br b ON s.ts = b.ts" if benchmark else ""
+    score = f"CASE WHEN b.ts IS NULL THEN {_composite(False)} ELSE {_composite(True)} END" if benchmark else _composite(False)
+    return f"""scored AS (SELECT s.symbol, s.ts, {score} AS rs_score FROM {source} s {join}),
 ranked AS (
-  SELECT symbol, ts, rs_score, round(cume_dist() OVER (PARTITION BY ts ORDER BY rs_score) * 100, 1) AS rs_rank
+  SELECT symbol, ts, rs_score, round(rs_score, 4) AS rs_ratio, round(cume_dist() OVER (PARTITION BY ts ORDER BY rs_score) * 100, 1) AS rs_rank
   FROM scored WHERE rs_score IS NOT NULL)"""
 
 
@@ -163,21 +164,25 @@ _SCORE = """CAST(least(10, greatest(1, CASE WHEN rs_rank >= 85 THEN 4 WHEN rs_ra
     + CASE WHEN setup_type = 'trend_continuation' THEN 1 ELSE 2 END + CASE WHEN rr >= 2.5 THEN 2 WHEN rr >= 1.5 THEN 1 ELSE 0 END)) AS INT)"""
 _RESULT = f"""r.ts, r.symbol, coalesce(n.name, r.symbol) AS name, {_SCORE} AS score, setup_type, rs_rank, trend_score, adx_shown AS adx, entry_pivot, stop, target, rr, atr,
   EXISTS (SELECT 1 FROM earnings e WHERE e.symbol = r.symbol AND e.d BETWEEN {{day}} AND {{day}} + 10) AS earnings_flag,
-  last_close, week52_high, week52_low, avg_turnover"""
+  last_close, week52_high, week52_low, avg_turnover, setup_type AS signals_triggered, rs_ratio"""
 
 _SIG = f"{_IND},\n{_TREND},\n{_SETUPS}"
 _WEEK = f"WITH {_bars('week')}"
-_HISTORY = f"""WITH {_bars("week", "every")}, {_UNIVERSE}, {_EARNINGS},
+def _history(benchmark: bool) -> str:
+    return f"""WITH {_bars("week", "every")}, {_UNIVERSE}, {_EARNINGS},
 bars AS (SELECT * FROM every SEMI JOIN constituents USING (symbol)), {_SIG},
 {_BENCH}, {_returns("bars", "ret")},
 liquid_ret AS (SELECT ret.* FROM ret SEMI JOIN (SELECT symbol, ts FROM sig WHERE liquid) l ON ret.symbol = l.symbol AND ret.ts = l.ts),
-{_ranked("liquid_ret", True)},
-r AS (SELECT sig.*, rs_rank FROM sig JOIN ranked USING (symbol, ts) WHERE {_GATES}),
+{_ranked("liquid_ret", benchmark)},
+r AS (SELECT sig.*, rs_rank, rs_ratio FROM sig JOIN ranked USING (symbol, ts) WHERE {_GATES}),
 results AS (SELECT {_RESULT.format(day="r.ts")} FROM r LEFT JOIN constituents n ON r.symbol = n.symbol),
 runs AS (
   SELECT 'run-' || CAST(ts AS VARCHAR) AS id, CASE WHEN ts = max(ts) OVER () THEN 'running' WHEN month(ts) = 12 THEN 'error' ELSE 'done' END AS status, passed, ts
   FROM (SELECT ts, CAST(count(*) AS INT) AS passed FROM results GROUP BY ts))
 """
+
+
+_HISTORY = _history(True)
 _DAY = "DATE '2001-06-04'"
 _ASOF = f"""WITH {_bars("week", "every")}, {_UNIVERSE}, {_EARNINGS},
 bars AS (SELECT * FROM every SEMI JOIN constituents USING (symbol) WHERE ts BETWEEN DATE '2001-06-04' - 3650 AND DATE '2001-06-04'), {_SIG},
@@ -188,8 +193,8 @@ one AS (SELECT * FROM br WHERE ts <= DATE '2001-06-04' ORDER BY ts DESC LIMIT 1)
 scored AS (
   SELECT s.symbol, {_composite(True)} AS rs_score
   FROM ret s JOIN last_ts t ON s.symbol = t.symbol AND s.ts = t.ts JOIN verdict v ON v.symbol = s.symbol AND v.liquid CROSS JOIN one b),
-ranked AS (SELECT symbol, round(cume_dist() OVER (ORDER BY rs_score) * 100, 1) AS rs_rank FROM scored WHERE rs_score IS NOT NULL),
-judged AS (SELECT v.*, rs_rank FROM verdict v LEFT JOIN ranked USING (symbol))
+ranked AS (SELECT symbol, round(rs_score, 4) AS rs_ratio, round(cume_dist() OVER (ORDER BY rs_score) * 100, 1) AS rs_rank FROM scored WHERE rs_score IS NOT NULL),
+judged AS (SELECT v.*, rs_rank, rs_ratio FROM verdict v LEFT JOIN ranked USING (symbol))
 """
 
 
@@ -225,6 +230,11 @@ _BROKE = " OR ".join(f"coalesce(count(*) OVER b{n} = {n} AND (max(high) OVER b{n
 _BROKE_W = ", ".join(f"b{n} AS ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in range(20, 41, 5))
 
 
+def _points(name: str, *columns: str) -> str:
+    """Points of a series as text: the time and each value in hundredths of its four places."""
+    cents = " || ':' || ".join(f"CAST(CAST(floor({_r4(c)} * 100 + 0.5) AS BIGINT) AS VARCHAR)" for c in columns)
+    return f"coalesce(string_agg(CAST(time AS VARCHAR) || ':' || {cents}, ',' ORDER BY time), '') AS {name}"
+
 
 def _arithmetic(sql: str) -> str:
     """round(x, n) as plain arithmetic on doubles, ties upwards."""
@@ -266,6 +276,7 @@ _SQL: dict[str, str] = {
     "rs_rank": f"{_WEEK}, {_BENCH}, {_returns('bars', 'ret')}, {_ranked('ret', True)} SELECT symbol, ts, {_cols('rs_score')}, rs_rank FROM ranked",
     "rs_rank_no_benchmark": f"{_WEEK}, {_returns('bars', 'ret')}, {_ranked('ret', False)} SELECT symbol, ts, {_cols('rs_score')}, rs_rank FROM ranked",
     "scan_history": f"{_HISTORY} SELECT * FROM results",
+    "scan_history_benchmark_missing": f"{_history(False)} SELECT * EXCLUDE (signals_triggered) FROM results",
     "scan_asof": f"{_ASOF}, r AS (SELECT * FROM judged WHERE {_GATES}) SELECT {_RESULT.format(day=_DAY)} FROM r LEFT JOIN constituents n ON r.symbol = n.symbol",
     "funnel": f"{_ASOF} SELECT count(*) AS total, count_if(liquid) AS liquid, count_if(coalesce(rs_rank >= 60, false)) AS strong, count_if(coalesce(rs_rank >= 60, false) AND rn >= 60 AND trend_score >= 2) AS trending, count_if(coalesce({_GATES}, false)) AS passed FROM judged",
     "trades": f"{_TRADES} SELECT symbol, date, setup_type, {_cols('entry', 'exit')}, return_pct, win FROM trades",
@@ -282,9 +293,9 @@ _SQL: dict[str, str] = {
     "orphan_results": f"{_HISTORY} SELECT 'run-' || CAST(ts AS VARCHAR) AS run_id, symbol, score FROM results SEMI JOIN (SELECT ts FROM runs WHERE status <> 'error') u USING (ts)",
     "schema_union": f"{_HISTORY} SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_acctbal AS pe_ratio, NULL AS score, false AS earnings_flag FROM supplier UNION ALL SELECT symbol, NULL, score, earnings_flag FROM results",
     "chart_series": f"{_CHART} SELECT symbol, time, series, value FROM (" + " UNION ALL ".join(f"SELECT symbol, time, '{n}' AS series, {_r4(c)} AS value FROM rows" for c, n in (("ema9", "ema9"), ("ema21", "ema21"), ("ema50", "ema50"), ("rsi14", "rsi"), ("macd_hist", "macd_hist"))) + ") WHERE value IS NOT NULL",
-    "chart_nested": f"{_CHART} SELECT symbol, CAST(count(*) AS INT) AS n_candles, min(time) AS first_time, max(time) AS last_time, CAST(count(ema9) AS INT) AS n_ema9, CAST(count(ema21) AS INT) AS n_ema21, CAST(count(ema50) AS INT) AS n_ema50, CAST(count(rsi14) AS INT) AS n_rsi, CAST(count(macd_hist) AS INT) AS n_macd_hist FROM rows GROUP BY symbol",
+    "chart_nested": f"{_CHART} SELECT symbol, CAST(count(*) AS INT) AS n_candles, " + _points("candles", "open", "high", "low", "close", "volume") + ", " + ", ".join(_points(n, c) for n, c in (("ema9", "ema9"), ("ema21", "ema21"), ("ema50", "ema50"), ("rsi14", "rsi14"), ("macd_hist", "macd_hist"))).replace("AS rsi14", "AS rsi") + " FROM rows GROUP BY symbol",
     "session_ticks": f"SELECT event_type, count(*) AS n, {_r4('sum(value)')} AS value FROM (SELECT *, ts + INTERVAL 330 MINUTE AS t FROM events) WHERE isodow(t) <= 5 AND hour(t) * 60 + minute(t) BETWEEN 555 AND 930 GROUP BY event_type",
-    "wide_to_long": f"{_WEEK} {_BARS_OUT} WHERE symbol IN ('1', '2', '3')",
+    "wide_to_long": f"WITH {_bars('week', symbol='l_linestatus')} {_BARS_OUT}",
     "wide_to_long_all": f"WITH {_bars('week', symbol='l_returnflag')} {_BARS_OUT}",
     "v1_signals": f"""{_WEEK}, {_IND},
 k0 AS (SELECT *, (ema9 IS NOT NULL AND ema21 IS NOT NULL AND volume IS NOT NULL AND vol_avg20 IS NOT NULL) AS okx FROM ind),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.functions.windows import by_symbol
 from candlewright.operators import indicators, setups, strength
-from candlewright.operators.bars import last_bars
 from candlewright.sources.tables import available, window_of
 
 COLUMNS = ("symbol", "name", "score", "setup_type", "signals_triggered", "rs_ratio", "rs_rank", "trend_score", "adx", "entry_pivot", "stop", "target", "rr", "atr", "earnings_flag", "last_close", "week52_high", "week52_low", "avg_turnover")
@@ -22,12 +21,15 @@ def signals(bars: DataFrame, settings: Settings = DEFAULTS, long: bool = False)
 
 
 def earnings_flag(rows: DataFrame, earnings: DataFrame, as_of: Column, days: int = 10) -> DataFrame:
-    """earnings_flag: some date from `as_of` to `days` calendar days later. `as_of` may be a column of `rows`."""
-    dates = earnings.select(F.col("symbol").alias("_e"), F.col("earnings_date").alias("_d")).distinct()
-    due = rows.join(dates, (F.col("symbol") == F.col("_e")) & F.col("_d").between(as_of.cast("date"), F.date_add(as_of.cast("date"), days)), "left_semi")
-    keys = due.select(F.col("symbol").alias("_s"), F.col("ts").alias("_t")).distinct()
-    out = rows.join(keys, (F.col("symbol") == F.col("_s")) & (F.col("ts") == F.col("_t")), "left")
-    return out.withColumn("earnings_flag", F.col("_s").isNotNull()).drop("_s", "_t")
+    """earnings_flag: some date from `as_of` to `days` calendar days later. `as_of` may be a column of `rows`.
+
+    A symbol's dates become one array, so that `rows` are read once and stay one row each.
+    """
+    dates = earnings.groupBy(F.col("symbol").alias("_of")).agg(F.collect_set("earnings_date").alias("_dates"))
+    day = as_of.cast("date")
+    due = F.exists("_dates", lambda d: d.between(day, F.date_add(day, days)))
+    out = rows.join(dates, F.col("symbol") == F.col("_of"), "left")
+    return out.withColumn("earnings_flag", F.coalesce(due, F.lit(False))).drop("_of", "_dates")
 
 
 def _passing(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -47,7 +49,7 @@ def _named(rows: DataFrame, constituents: DataFrame, earnings: DataFrame | None,
     return earnings_flag(rows, earnings, as_of, settings.earnings_days)
 
 
-def scan(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool = True, top: int | None = None) -> DataFrame:
+def scan(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, top: int | None = None) -> DataFrame:
     """Ranked results at `as_of`, from each symbol's last bar in the trailing history; ties keep the universe's order."""
     verdicts = judged(bars, constituents, as_of, settings, benchmark)
     rows = _passing(verdicts.withColumn("rs_rank", F.coalesce("rs_rank", F.lit(0.0))), settings)
@@ -57,29 +59,40 @@ def scan(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFra
     return rows.limit(top) if top else rows
 
 
-def judged(bars: DataFrame, constituents: DataFrame, as_of: str, settings: Settings = DEFAULTS, benchmark: bool = True) -> DataFrame:
-    """One row per constituent with bars: its signals at its last bar, and its strength where it is liquid.
+def _measured(bars: DataFrame, settings: Settings, long: bool = False) -> DataFrame:
+    """Signals and look-back returns at every bar: all of it in windows over one exchange by symbol."""
+    return strength.with_returns(signals(bars, settings, long), settings)
+
+
+def _benchmark(bars: DataFrame, benchmark: bool | DataFrame, settings: Settings) -> DataFrame | None:
+    """Returns of the benchmark's bars: those given apart, or those among `bars`."""
+    if benchmark is False:
+        return None
+    own = bars.filter(F.col("symbol") == settings.benchmark) if benchmark is True else benchmark
+    return strength.returns(own, settings).drop("symbol")
+
+
+def judged(bars: DataFrame, constituents: DataFrame, as_of: str, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True) -> DataFrame:
+    """One row per constituent with bars: its signals at its last bar, and its strength among those that are liquid.
 
-    Gates that need a row per symbol come first; indicators run on the symbols that pass them only.
+    Bars are read once: gates, returns and indicators share the windows, and only each symbol's last bar goes on.
+    `benchmark`: its bars, or whether to take them from `bars`; strength is absolute where it has no bar.
     """
     history = window_of(bars, as_of, settings.history_days)
-    own = available(history, constituents)
-    first = last_bars(setups.liquidity(own, settings)).filter("liquid").select("symbol")
-    returned = last_bars(strength.returns(own, settings)).join(first, "symbol", "left_semi").drop("ts")
-    bench = last_bars(strength.returns(history.filter(F.col("symbol") == settings.benchmark), settings)) if benchmark else None
-    ranked = strength.strength(returned, bench, settings=settings).select("symbol", "rs_ratio", "rs_rank")
-    return last_bars(signals(own, settings)).join(ranked, "symbol", "left")
+    own = _measured(available(history, constituents), settings)
+    last = own.withColumn("_next", F.lead("ts").over(by_symbol())).filter("_next is null").drop("_next")
+    if not isinstance(benchmark, bool):
+        benchmark = window_of(benchmark, as_of, settings.history_days)
+    bench = _benchmark(history, benchmark, settings)
+    if bench is not None:
+        bench = bench.agg(F.max_by(F.struct(*bench.columns), "ts").alias("x")).filter("x is not null").select("x.*")
+    return strength.strength(last, bench, settings=settings, among=F.col("liquid"))
 
 
-def scan_history(bars: DataFrame, constituents: DataFrame, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool = True, long: bool = False) -> DataFrame:
+def scan_history(bars: DataFrame, constituents: DataFrame, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, long: bool = False) -> DataFrame:
     """Results at every bar: symbols compete with those that have a bar at the same time."""
-    own = available(bars, constituents)
-    rows = signals(own, settings, long)
-    liquid = rows.filter("liquid").select("symbol", "ts")
-    returned = strength.returns(own, settings).join(liquid, ["symbol", "ts"], "left_semi")
-    bench = strength.returns(bars.filter(F.col("symbol") == settings.benchmark), settings).drop("symbol") if benchmark else None
-    ranked = strength.strength(returned, bench, "ts", settings=settings).select("symbol", "ts", "rs_ratio", "rs_rank")
-    rows = _passing(rows.join(ranked, ["symbol", "ts"]), settings)
+    rows = _measured(available(bars, constituents), settings, long).filter("liquid")
+    rows = _passing(strength.strength(rows, _benchmark(bars, benchmark, settings), "ts", settings=settings), settings)
     rows = _named(rows, constituents, earnings, F.col("ts"), settings)
     return rows.drop("adx").withColumnRenamed("adx_shown", "adx").select("ts", *COLUMNS)
 

@@ -41,10 +41,6 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_ticks(pooled, "week", ["ts", "l_orderkey", "l_linenumber"])
 
 
-def _all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bars(spark, sf_dir).unionByName(_bench(spark, sf_dir))
-
-
 def _constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier")
     series = F.when(F.col("s_suppkey") % 10 == 0, "BE").otherwise("EQ")
@@ -117,21 +113,32 @@ def _rank(benchmark: bool) -> Query:
 _RESULT = ("symbol", "name", "score", "setup_type", "rs_rank", "trend_score", "adx", "entry_pivot", "stop", "target", "rr", "atr", "earnings_flag", "last_close", "week52_high", "week52_low", "avg_turnover")
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_history(_all_bars(spark, sf_dir), _constituents(spark, sf_dir), _earnings(spark, sf_dir), SETTINGS)
+def _history(spark: SparkSession, sf_dir: str, benchmark: bool | None = None) -> DataFrame:
+    """Results at all bars, against the pooled benchmark (None) or as scan_history does with `benchmark`."""
+    bench = _bench(spark, sf_dir) if benchmark is None else benchmark
+    return scan.scan_history(_bars(spark, sf_dir), _constituents(spark, sf_dir), _earnings(spark, sf_dir), SETTINGS, bench)
 
 
 def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).select(F.to_date("ts").alias("ts"), *_RESULT)
+    return _history(spark, sf_dir).select(F.to_date("ts").alias("ts"), *_RESULT, F.array_join("signals_triggered", ",").alias("signals_triggered"), "rs_ratio")
+
+
+def scan_history_benchmark_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars lack the benchmark that is asked for: strength is absolute."""
+    return _history(spark, sf_dir, True).select(F.to_date("ts").alias("ts"), *_RESULT, "rs_ratio")
+
+
+def _asof(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame:
+    rows = scan.scan(_bars(spark, sf_dir), _constituents(spark, sf_dir), as_of, _earnings(spark, sf_dir), SETTINGS, _bench(spark, sf_dir))
+    return rows.select(F.to_date("as_of_bar").alias("ts"), *_RESULT, F.array_join("signals_triggered", ",").alias("signals_triggered"), "rs_ratio")
 
 
 def scan_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.scan(_all_bars(spark, sf_dir), _constituents(spark, sf_dir), AS_OF, _earnings(spark, sf_dir), SETTINGS)
-    return rows.select(F.to_date("as_of_bar").alias("ts"), *_RESULT)
+    return _asof(spark, sf_dir, AS_OF)
 
 
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.funnel(scan.judged(_all_bars(spark, sf_dir), _constituents(spark, sf_dir), AS_OF, SETTINGS), SETTINGS)
+    return scan.funnel(scan.judged(_bars(spark, sf_dir), _constituents(spark, sf_dir), AS_OF, SETTINGS, _bench(spark, sf_dir)), SETTINGS)
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +195,7 @@ def _runs(results: DataFrame) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _history(spark, sf_dir)
+    rows = _history(spark, sf_dir).cache()  # results are few; runs and results are read from them apart
     return _runs(rows), rows.withColumn("run_id", F.concat(F.lit("run-"), F.to_date("ts").cast("string")))
 
 
@@ -227,9 +234,10 @@ def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chart_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested payload, told by the size and the ends of its arrays."""
+    """The nested payload: its candles and series as text, each point once, in order."""
+    text = lambda points, *fields: F.array_join(F.transform(points, lambda p: F.concat_ws(":", p["time"].cast("string"), *(F.floor(p[f] * 100 + 0.5).cast("long").cast("string") for f in fields))), ",")
     rows = serving.chart_payload(_charts(spark, sf_dir))
-    return rows.select("symbol", F.size("candles").alias("n_candles"), F.element_at("candles", 1)["time"].alias("first_time"), F.element_at("candles", -1)["time"].alias("last_time"), *(F.size(n).alias(f"n_{n}") for n in serving.SERIES.values()))
+    return rows.select("symbol", F.size("candles").alias("n_candles"), text(F.col("candles"), "open", "high", "low", "close", "volume").alias("candles"), *(text(F.col(n), "value").alias(n) for n in serving.SERIES.values()))
 
 
 def session_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,24 +246,23 @@ def session_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three symbols spread into columns and brought back to rows."""
-    fields = ("open", "high", "low", "close", "volume")
-    some = _bars(spark, sf_dir).filter(F.col("symbol").isin("1", "2", "3"))
-    wide = some.groupBy("ts").pivot("symbol", ["1", "2", "3"]).agg(*(F.first(c).alias(c.title()) for c in fields))
-    wide = wide.toDF(*(c.replace("_", "|", 1) for c in wide.columns))
-    return _show(wide_to_long(wide), *fields)
+    """All rows as bars by line status, spread into columns and brought back to rows."""
+    return _there_and_back(_ticks(spark, sf_dir, "l_linestatus"))
 
 
-def wide_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows as bars by return flag, spread into columns and brought back to rows."""
+def _there_and_back(ticks: DataFrame) -> DataFrame:
     fields = ("open", "high", "low", "close", "volume")
-    ticks = _ticks(spark, sf_dir, "l_returnflag")
     bars = resample_ticks(ticks, "week", ["ts", "l_orderkey", "l_linenumber"])
     wide = bars.groupBy("ts").pivot("symbol").agg(*(F.first(c).alias(c.title()) for c in fields))
     wide = wide.toDF(*(c if c == "ts" else "|".join(c.rsplit("_", 1)) for c in wide.columns))
     return _show(wide_to_long(wide), *fields)
 
 
+def wide_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by return flag."""
+    return _there_and_back(_ticks(spark, sf_dir, "l_returnflag"))
+
+
 def v1_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = legacy.signals(indicators.bundle(_bars(spark, sf_dir)))
     return rows.select("symbol", F.to_date("ts").alias("ts"), "v1_cross", "v1_rsi", "v1_macd", "v1_breakout", "v1_signals", "v1_ok", "v1_score")
@@ -271,6 +278,7 @@ def v1_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "expectancy": expectancy, "trades": trades, "scan_history": scan_history, "scan_asof": scan_asof, "funnel": funnel,
+    "scan_history_benchmark_missing": scan_history_benchmark_missing,
     "bars_weekly": bars("week"), "bars_daily": bars("day"), "bars_monthly": bars_monthly,
     "ema": _indicator(lambda b: indicators.ema(b, 9, 20, 21, 50, 200), "ema9", "ema20", "ema21", "ema50", "ema200"),
     "ema_blocks": _indicator(lambda b: indicators.ema(b, 9, 50, long=True), "ema9", "ema50"),
