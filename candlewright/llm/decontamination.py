@@ -1,186 +1,183 @@
 """Benchmark decontamination by template windows, in DataFrame operations alone.
 
-Windows of `words` words become templates: numbers, units after numbers, and names (capitalised words inside a sentence)
-turn into typed placeholders, and case and punctuation go. Templates of documents and of benchmark items are joined by
-hash. Where windows match, the placeholders' values must agree: along one alignment of document and item, the same
-value of the item always stands for the same value of the document. Windows with a value that stands for several do not
-count, while others of the alignment do, so that a question asked with other numbers or names is found, while one
-template filled at random is not.
-
-`leaks` cuts windows over raw words and makes templates then. `token_leaks`, which the query and the pipeline use, makes
-templates of whole texts and cuts windows over their tokens: a name of any number of words is one token, and a second
-kind of windows has all words in lower case and no names, so that copies with changed case are found.
+A text becomes tokens: words and numbers, whatever stands between them. Two kinds of templates are made of them. In both,
+numbers and units after numbers turn into typed placeholders and case goes; in the first, names (words with a capital
+inside a sentence, a row of them as one) do too, so that copies with other names are found, and in the second they do
+not, so that copies in other case are. Windows of `words` tokens start at every token. They are joined with the windows
+of the benchmark items by hash; an item with fewer tokens is one window of its own length, which long texts are searched
+for as well. A window of placeholders alone keeps its values, as its template tells nothing.
+
+Where windows match, the placeholders' values are compared: along one alignment of document and item, equal values of
+the item that stand near each other have to be equal in the document. Windows that carry one of two such slots with
+different values do not count, while others of the alignment do, so that a question asked with other numbers or names is
+found, while one template filled at random is not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.llm.shared import sized, stored, without_ids
 
-SPACE = r"[\x20\x09-\x0D]+"
-NUMBER = r"\d+(?:[.,:/]\d+)*"
-NAME = r"([^.!?\s] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+#: Ends of sentences, numbers, words and percent signs, in this order.
+TOKEN = r"[.!?]+|\d+(?:[.,:/]\d+)*|[\p{L}\p{M}\p{N}]+|%"
 #: Units of measure that count as such after a number. Fixed values.
-UNITS = "%|cents?|centimeters?|cm|days?|dollars?|euros?|feet|foot|g|grams?|hours?|inch|inches|kg|kilograms?|kilometers?|km|liters?|lbs?|m|meters?|miles?|minutes?|ml|mm|months?|ounces?|oz|percent|pounds?|seconds?|weeks?|yards?|years?"
-UNIT = rf"<num> ?({UNITS})([^\p{{L}}]|$)"
-#: Marks in token texts: around a name, between its words, and what stands for a number, a unit and a name.
-OPEN, CLOSE, INNER, NUM_MARK, UNIT_MARK, NAME_MARK = "\x01", "\x02", "\x05", "\x03", "\x04", "\x06"
-MARKS = f"[{NUM_MARK}{UNIT_MARK}{NAME_MARK}]"
+UNITS = (
+    "%", "cent", "cents", "centimeter", "centimeters", "cm", "day", "days", "dollar", "dollars", "euro", "euros", "feet", "foot", "g", "gram", "grams",
+    "hour", "hours", "inch", "inches", "kg", "kilogram", "kilograms", "kilometer", "kilometers", "km", "lb", "lbs", "liter", "liters", "m", "meter",
+    "meters", "mile", "miles", "minute", "minutes", "ml", "mm", "month", "months", "ounce", "ounces", "oz", "percent", "pound", "pounds", "second",
+    "seconds", "week", "weeks", "yard", "yards", "year", "years",
+)
+#: What stands for a number, a unit and a name in templates, and the mark between the words of a name.
+NUM, UNIT, NAME, INNER = "\x01", "\x02", "\x03", "\x04"
+#: Items of fewer tokens only match texts that have no others.
+LEAST = 3
 
 
-def _numbers(window: Column) -> Column:
-    return F.regexp_replace(window, NUMBER, "<num>")
+def _number(t: Column) -> Column:
+    return (t >= "0") & (t < ":")
 
 
-def template(window: Column) -> Column:
-    """The canonical form of a window whose words stand one space apart."""
-    out = F.regexp_replace(_numbers(window), UNIT, "<num> <unit>$2")
-    out = F.lower(F.regexp_replace(out, NAME, "$1<name>"))
-    return F.regexp_replace(out, r"[^\p{L}\p{N}<> ]+", "")
+def _end(t: Column) -> Column:
+    return (t < "A") & ~_number(t) & (t != "%")
 
 
-def slots(window: Column) -> Column:
-    """Types and values of the placeholders of a window, by type and in turn; equal templates have as many."""
-    found = lambda kind, text, pattern, group: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.concat(F.lit(kind), x))
-    return F.concat(found("number ", window, NUMBER, 0), found("unit ", _numbers(window), UNIT, 1), found("name ", window, NAME, 2))
+def _before(values: Column, first: Column) -> Column:
+    """Each element's predecessor; `first` for the first."""
+    return F.slice(F.concat(F.array(first), values), 1, F.size(values))
 
 
-def _one_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, " ")
+def _canonical(t: Column, p: Column, names: bool, put, word) -> Column:
+    """`put` of a placeholder, `word` of a lower-case word, or null for an end of sentence; `p` is the token before."""
+    unit = _number(p) & F.lower(t).isin(*UNITS)
+    plain = F.when(t == F.lower(t), word(t))
+    plain = plain.when(~_end(p), put(NAME)) if names else plain
+    plain = F.when(unit, put(UNIT)).otherwise(plain.otherwise(word(F.lower(t))))
+    return F.when(t >= "A", plain).when(_number(t), put(NUM)).when(t == "%", F.when(_number(p), put(UNIT)).otherwise(word(t)))
 
 
-def item_windows(benchmark: DataFrame, words: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, at, n_words, raw: every window of each item; a shorter item is one window as a whole."""
-    own = F.filter(F.split(benchmark[text_col].cast("string"), SPACE), lambda x: x != "")
-    rows = benchmark.select(benchmark[item_col].cast("long").alias("item"), own.alias("w"), F.size(own).alias("n_words")).filter("n_words > 0")
-    at = F.sequence(F.lit(0), F.greatest(F.col("n_words") - words, F.lit(0)))
-    rows = rows.select("item", "n_words", "w", F.explode(at).alias("at"))
-    return rows.select("item", "at", "n_words", F.array_join(F.slice("w", F.col("at") + 1, words), " ").alias("raw"))
+def _with_hashes(rows: DataFrame, text: Column) -> DataFrame:
+    """Add t, p (tokens and those before) and a, b: the hashes of the templates' tokens with and without names."""
+    rows = rows.withColumn("t", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+    rows = rows.withColumn("p", _before(F.col("t"), F.lit(".")))
+    code = {NUM: 1, UNIT: 2, NAME: 3}
+    put = lambda mark: F.lit(code[mark]).cast("long")
+    hashes = lambda names: F.zip_with("t", "p", lambda t, p: F.coalesce(_canonical(t, p, names, put, F.xxhash64), F.lit(0).cast("long")))
+    rows = rows.withColumns({"a": hashes(True), "b": F.filter(hashes(False), lambda x: x != 0)})
+    first = F.zip_with("a", _before(F.col("a"), F.lit(0).cast("long")), lambda x, y: F.when((x == 3) & (y == 3), 0).otherwise(x))
+    return rows.withColumn("a", F.filter(first, lambda x: x != 0))
 
 
-def document_windows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, at, raw: windows of each text, half a window apart; a shorter text is one window as a whole."""
-    half = words // 2
-    block = rf"(?:[^\x20\x09-\x0D]+{SPACE}){{0,{half - 1}}}[^\x20\x09-\x0D]+"
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.regexp_extract_all(docs[text_col].cast("string"), F.lit(block), F.lit(0)).alias("b"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("b") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("b", i, 2)))
-    rows = rows.filter(F.size("b") > 0).select("doc_id", F.posexplode(pairs).alias("k", "raw"))
-    return rows.select("doc_id", (F.col("k") * half).alias("at"), _one_space(F.col("raw")).alias("raw"))
+def _windows(tokens: str, size: int, names: bool) -> Column:
+    """Hashes of all windows of `size` tokens; of short ones, only that of a text without other tokens."""
+    n = F.size(tokens)
+    at = F.when(n >= size if size >= LEAST else n == size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, size), F.lit(names), F.lit(size)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float = 0.5, enough: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item, covered: documents and the items that they leak.
+def _spelt(names: bool) -> tuple[Column, Column]:
+    """Tokens t as they stand and as templates have them, two arrays of as many elements as a or b."""
+    put, word = (lambda mark: F.lit(mark)), (lambda t: t)
+    marks = F.zip_with("t", "p", lambda t, p: _canonical(t, p, names, put, word))
+    three = F.arrays_zip(F.col("t").alias("t"), marks.alias("c"), _before(marks, F.lit("")).alias("q"))
+    inner = lambda x: (x["c"] == NAME) & F.coalesce(x["q"] == NAME, F.lit(False))
+    raw = F.transform(three, lambda x: F.when(x["c"].isNull(), "").when(inner(x), F.concat(F.lit(INNER), x["t"])).otherwise(F.concat(F.lit(" "), x["t"])))
+    canon = F.transform(three, lambda x: F.when(x["c"].isNull() | inner(x), "").otherwise(F.concat(F.lit(" "), x["c"])))
+    return tuple(F.split(F.ltrim(F.array_join(x, "")), " ") for x in (raw, canon))
 
-    covered: words of the item under matching windows with consistent values. A leak covers `share` of the item or
-    `enough` words. Any copy of words + words / 2 - 1 words in a row has a matching window.
-    """
-    items = stored(item_windows(benchmark, words, item_col, item_text).withColumn("key", template(F.col("raw"))), "items")
-    windows = document_windows(docs, words, id_col, text_col).filter("doc_id is not null")
-    left = windows.select("doc_id", F.col("at").alias("doc_at"), F.col("raw").alias("doc_raw"), template(F.col("raw")).alias("key"))
-    hits = left.join(sized(items), "key").withColumn("line", F.col("doc_at") - F.col("at"))
-    of = ["doc_id", "item", "line"]
-    hits = stored(hits.select(*of, "at", "n_words", F.arrays_zip(slots(F.col("raw")).alias("x"), slots(F.col("doc_raw")).alias("y")).alias("pairs"), (F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1).alias("size")), "hits")
-    values = hits.select(*of, F.explode("pairs").alias("p")).groupBy(*of, "p.x").agg(F.min("p.y").alias("a"), F.max("p.y").alias("b"))
-    wrong = values.filter("a <> b").groupBy(*of).agg(F.collect_set("x").alias("wrong"))
-    sound = hits.join(wrong, of, "left").filter(~F.coalesce(F.arrays_overlap("pairs.x", "wrong"), F.lit(False)))
-    word = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))
-    covered = sound.select("doc_id", "item", "n_words", word.alias("word")).distinct().groupBy("doc_id", "item", "n_words").agg(F.count("*").alias("covered"))
-    return covered.filter((F.col("covered") >= share * F.col("n_words")) | (F.col("covered") >= enough)).select("doc_id", "item", "covered")
-
-
-def token_texts(text: Column, names: bool) -> tuple[Column, Column]:
-    """Tokens of a text and their canonical forms, as two texts of as many tokens, one space apart.
-
-    White space and control characters part tokens, as do a number and its unit; tokens without letter, digit or % go.
-    """
-    out = F.regexp_replace(text.cast("string"), r"[\x00-\x20]+", " ")
-    out = F.regexp_replace(out, rf"(?i)(?<=\d)({UNITS})(?![\p{{L}}\p{{N}}])", " $1")
-    if names:
-        out = F.regexp_replace(out, NAME, f"$1{OPEN}$2{CLOSE}")
-        out = F.regexp_replace(out, rf" (?=\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*{CLOSE})", INNER)
-    own = F.trim(F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), r"(?<= )[^\p{L}\p{N} %]+ ", ""))
-    out = F.regexp_replace(own if names else F.lower(own), NUMBER, NUM_MARK)
-    out = F.regexp_replace(out, rf"(?i)(?<={NUM_MARK} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT_MARK)
-    if names:
-        out = F.lower(F.regexp_replace(out, f"{OPEN}[^{CLOSE}]*{CLOSE}", NAME_MARK))
-    return own, F.regexp_replace(out, rf"[^\p{{L}}\p{{N}} %{MARKS[1:-1]}]+", "")
-
-
-def _token_items(benchmark: DataFrame, words: int, item_col: str, text_col: str) -> DataFrame:
-    """item, names, at, key, raw, first, n, n_words: windows of items; first and n count words, at counts tokens."""
-    kinds = [F.struct(F.lit(names).alias("names"), *(c.alias(x) for c, x in zip(token_texts(benchmark[text_col], names), ("raw", "canon"), strict=True))) for names in (True, False)]
-    rows = benchmark.select(benchmark[item_col].cast("long").alias("item"), F.explode(F.array(*kinds)).alias("x")).select("item", "x.*").filter("raw <> ''")
-    length = lambda text: F.regexp_count(text, F.lit(f"[ {INNER}]")) + 1
-    rows = rows.select("item", "names", F.split("raw", " ").alias("w"), F.split("canon", " ").alias("c"), length(F.col("raw")).alias("n_words"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("at"))
-    part = lambda tokens, at, n: F.array_join(F.slice(tokens, at, n), " ")
-    raw, before = part("w", F.col("at") + 1, words), part("w", F.lit(1), F.col("at"))
-    first = F.when(F.col("at") > 0, length(before)).otherwise(0)
-    return rows.select("item", "names", "at", part("c", F.col("at") + 1, words).alias("key"), raw.alias("raw"), first.alias("first"), length(raw).alias("n"), "n_words")
-
-
-def _token_windows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag, names, doc_at, key, doc_raw: windows of each text, half a window apart, of both kinds."""
-    half, kinds = words // 2, {"a": True, "b": False}
-    blocks = lambda text: F.regexp_extract_all(text, F.lit(rf"(?:[^ ]+ ){{0,{half - 1}}}[^ ]+"), F.lit(0))
-    text = docs[text_col].cast("string")
-    texts = {x: token_texts(text, names) for x, names in kinds.items()}
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), *(blocks(t).alias(f"{c}_{x}") for x, both in texts.items() for t, c in zip(both, ("raw", "key"), strict=True)))
 
-    def cut(x: str, names: bool) -> Column:
-        part = lambda c, i: F.concat_ws(" ", F.slice(f"{c}_{x}", i, 2)).alias("doc_raw" if c == "raw" else c)
-        one = lambda i: F.struct(F.lit(names).alias("names"), ((i - 1) * half).alias("doc_at"), part("key", i), part("raw", i))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(f"key_{x}") - 1, F.lit(1))), one)
+def _key(canon: Column, raw: Column) -> Column:
+    """What windows are joined by: the template, or the values where it has placeholders alone."""
+    bare = F.forall(canon, lambda x: x.isin(NUM, UNIT, NAME))
+    return F.when(bare, F.lower(F.array_join(raw, " "))).otherwise(F.array_join(canon, " "))
 
-    # an outer explode, as a filter on sizes would cut every text twice
-    rows = rows.filter("doc_id is not null").select("doc_id", "tag", F.explode_outer(F.concat(*(cut(x, names) for x, names in kinds.items()))).alias("x"))
-    return rows.select("doc_id", "tag", "x.*").filter("key <> ''")
+
+def item_windows(benchmark: DataFrame, words: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item, names, size, at, h, key, raw, kinds, first, n, n_words: windows of items; first and n count words, at tokens."""
+    rows = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].cast("string").alias("text")).distinct()
+    rows = _with_hashes(rows, F.col("text")).filter(F.size("b") > 0)
+    kind = lambda names: F.struct(F.lit(names).alias("names"), *(c.alias(n) for c, n in zip(_spelt(names), ("r", "c"), strict=True)), F.col("a" if names else "b").alias("h"))
+    rows = rows.select("item", F.explode(F.array(kind(True), kind(False))).alias("x")).select("item", "x.*")
+    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, x: n + F.size(F.split(x, INNER)))
+    rows = rows.withColumns({"size": F.least(F.size("h"), F.lit(words)), "n_words": length(F.col("r"))})
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("size"))).alias("at"))
+    part = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    rows = rows.withColumns({"raw": part("r"), "kinds": part("c"), "first": length(F.slice("r", F.lit(1), F.col("at")))})
+    key = F.xxhash64(part("h"), "names", "size")
+    return rows.select("item", "names", "size", "at", key.alias("hash"), _key(F.col("kinds"), F.col("raw")).alias("key"), "raw", "kinds", "first", length(F.col("raw")).alias("n"), "n_words")
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, tag, found: places (names, size, at) of each text's windows that have the hash of an item's window.
+
+    A first pass looks at hashes alone, so that what is joined is small and no text goes through a shuffle.
+    """
+    sizes = [(r.names, r.size) for r in items.select("names", F.col("size")).distinct().orderBy("names", "size").collect()]  # two kinds, at most `words` lengths
+    keys = stored(items.select("hash", "names", "size").distinct(), "item-hashes")
+    rows = _with_hashes(docs, F.col("text"))
+    arrays = [_windows("a" if names else "b", size, names) for names, size in sizes]
+    rows = rows.withColumns({f"w{k}": x for k, x in enumerate(arrays)})
+    start, starts = F.lit(0), {}
+    for k, of in enumerate(sizes):
+        starts[of], start = start, start + F.size(f"w{k}")
+    every = F.concat(*(F.col(f"w{k}") for k in range(len(sizes)))) if sizes else F.array().cast("array<bigint>")
+    rows = rows.select("doc_id", "tag", *(c.alias(f"s{k}") for k, c in enumerate(starts.values())), F.posexplode(every).alias("place", "hash"))
+    found = rows.join(sized(keys, 4_000_000), "hash")
+    at = F.coalesce(*(F.when((F.col("names") == names) & (F.col("size") == size), F.col("place") - F.col(f"s{k}")) for k, (names, size) in enumerate(sizes)), F.lit(-1))
+    return stored(found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("names", "size", at.alias("at"))).alias("found")), "hits")
 
 
-def token_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float = 0.5, enough: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item, covered as `leaks` gives them, from windows of tokens.
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float = 0.5, enough: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item, covered: documents and the items that they leak.
 
-    covered: words of the item (as `token_texts` parts them, names in their words) under sound windows of either kind.
-    Equal values of an item are held to be one only where they stand less than `words` tokens apart: a window is not
-    sound if it carries one of two such slots of which the document's values differ.
+    covered: words of the item (a number, a unit or a word of a name is one) under sound windows of either kind. A leak
+    covers `share` of the item or `enough` words. Equal values of an item are held to be one only where they stand less
+    than `words` tokens apart: a window is not sound if it carries one of two such slots of which the document's values
+    differ. An item of LEAST tokens or more is found in any text, a shorter one only where it is the whole text.
     """
-    items = stored(_token_items(benchmark, words, item_col, item_text), "items")
-    hits = _token_windows(docs, words, id_col, text_col).join(sized(items), ["names", "key"]).withColumn("line", F.col("doc_at") - F.col("at"))
+    text = docs[text_col].cast("string")
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag")).filter("doc_id is not null")
+    items = stored(item_windows(benchmark, words, item_col, item_text), "items")
+    places = _hits(docs, items)
+    own = docs.join(sized(places, values=F.size("found")).select("doc_id", "tag", F.col("found").alias("found")), ["doc_id", "tag"]).distinct()
+    own = own.withColumn("t", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).withColumn("p", _before(F.col("t"), F.lit(".")))
+    spelt = {names: _spelt(names) for names in (True, False)}
+    own = own.withColumns({f"{c}{int(names)}": x for names, both in spelt.items() for c, x in zip("rc", both, strict=True)})
+    own = own.select("doc_id", "tag", "r0", "c0", "r1", "c1", F.explode("found").alias("f"))
+    part = lambda c: F.slice(F.when(F.col("f.names"), F.col(f"{c}1")).otherwise(F.col(f"{c}0")), F.col("f.at") + 1, F.col("f.size"))
+    own = own.select("doc_id", "tag", "f.names", "f.size", F.col("f.at").alias("doc_at"), part("r").alias("doc_raw"), _key(part("c"), part("r")).alias("key"))
+    hits = own.join(sized(items), ["names", "size", "key"]).withColumn("line", F.col("doc_at") - F.col("at"))
     of = ["doc_id", "tag", "item", "names", "line"]
-    value = lambda c, i: F.regexp_replace(F.lower(F.get(F.split(c, " "), i)), r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", "")
-    slot = lambda kind, i: F.struct((F.col("at") + i).alias("pos"), kind.alias("kind"), value("raw", i).alias("x"), value("doc_raw", i).alias("y"))
-    found = F.filter(F.transform(F.split("key", " "), slot), lambda x: x["kind"].rlike(MARKS))
-    hits = stored(hits.select(*of, "at", F.size(F.split("key", " ")).alias("size"), "first", "n", "n_words", found.alias("slots")), "hits")
+    slot = lambda kind, i: F.struct((F.col("at") + i).alias("pos"), kind.alias("kind"), F.lower(F.get("raw", i)).alias("x"), F.lower(F.get("doc_raw", i)).alias("y"))
+    found = F.filter(F.transform("kinds", slot), lambda x: x["kind"].isin(NUM, UNIT, NAME))
+    hits = stored(hits.select(*of, "at", "size", "first", "n", "n_words", found.alias("slots")), "matches")
     slots = hits.select(*of, F.explode("slots").alias("p")).select(*of, "p.*").distinct()
     order = Window.partitionBy(*of, "kind", "x").orderBy("pos")
     parts = lambda move: F.coalesce((move("y").over(order) != F.col("y")) & (F.abs(move("pos").over(order) - F.col("pos")) < words), F.lit(False))
     wrong = slots.withColumn("wrong", parts(F.lag) | parts(F.lead)).filter("wrong").groupBy(*of).agg(F.collect_set("pos").alias("wrong"))
     sound = hits.join(wrong, of, "left").filter(~F.coalesce(F.exists("wrong", lambda p: (p >= F.col("at")) & (p < F.col("at") + F.col("size"))), F.lit(False)))
     word = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
-    text = ["doc_id", "tag", "item", "n_words"]
-    covered = sound.select(*text, word.alias("word")).distinct().groupBy(*text).agg(F.count("*").alias("covered"))
+    text_of = ["doc_id", "tag", "item", "n_words"]
+    covered = sound.select(*text_of, word.alias("word")).distinct().groupBy(*text_of).agg(F.count("*").alias("covered"))
     covered = covered.filter((F.col("covered") >= share * F.col("n_words")) | (F.col("covered") >= enough))
     return covered.groupBy("doc_id", "item").agg(F.max("covered").alias("covered"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, find: Callable[..., DataFrame] = leaks, **how) -> DataFrame:
-    """doc_id, contaminated, n_items, first_item, covered of every row of `docs`, by `find`; see `leaks` for the parameters.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """doc_id, contaminated, n_items, first_item, covered of every row of `docs`; see `leaks` for the parameters.
 
     Null and empty texts have no window and are clean, as are rows with a null doc_id; rows that share a doc_id share
     their verdict. Items without words match nothing, repeated items count once. Other columns play no part.
     """
-    found = find(docs, benchmark, **how).groupBy("doc_id").agg(F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item"), F.max("covered").alias("covered"))
+    found = leaks(docs, benchmark, **how).groupBy("doc_id").agg(F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item"), F.max("covered").alias("covered"))
     own = docs.select(docs[how.get("id_col", "doc_id")].cast("long").alias("doc_id"))
     out = own.join(found, "doc_id", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", zero).alias("n_items"), "first_item", F.coalesce("covered", zero).alias("covered"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, find: Callable[..., DataFrame] = leaks, **how) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of `docs` (with doc_id and text) that leak no item; columns as they are."""
-    gone = stored(find(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
+    gone = stored(leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
     return without_ids(docs, gone, how.get("id_col", "doc_id"))

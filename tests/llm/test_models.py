@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -187,7 +188,7 @@ def test_stages_keep_clashing_columns(spark):
     docs = spark.createDataFrame([(k, f"some words for number {k} and a few more of them to be kept here", f"s{k % 2}", *names) for k in range(20)], ["doc_id", "text", "source", *names])
     benchmark = spark.createDataFrame([(1, docs.first().text)], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    for rows, n in ((mixed(docs), None), (without_near_duplicates(docs), 20), (decontamination.without_leaks(docs, benchmark, decontamination.token_leaks), 0), (quality.keep_good(docs, labels), 20)):
+    for rows, n in ((mixed(docs), None), (without_near_duplicates(docs), 20), (decontamination.without_leaks(docs, benchmark), 0), (quality.keep_good(docs, labels), 20)):
         got = rows.collect()
         assert rows.columns == docs.columns and (n is None or len(got) == n) and all(tuple(r)[3:] == tuple(names) for r in got)
 
@@ -220,39 +221,62 @@ def test_chat_sql_and_spans(spark):
 # decontamination
 
 
-def canonical(window):
-    num = re.findall(r"\d+(?:[.,:/]\d+)*", window)
-    out = re.sub(r"\d+(?:[.,:/]\d+)*", "<num>", window)
-    units = list(re.finditer(rf"<num> ?({decontamination.UNITS})(?![^\W\d_])", out))
-    out = re.sub(rf"<num> ?({decontamination.UNITS})(?![^\W\d_])", "<num> <unit>", out)
-    name = r"([^.!?\s] )([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
-    slots = [*num, *(m[1] for m in units), *(m[1] for m in re.findall(name, window))]
-    out = re.sub(name, r"\1<name>", out).lower()
-    return re.sub(r"[^a-z0-9<> ]+", "", out), slots
+def spelt(text, names):
+    """Words and canonical form of each template token, by a plain loop."""
+    out, before, was_name = [], ".", False
+    for t in regex.findall(decontamination.TOKEN, text or ""):
+        low, after_number = t.lower(), before[0].isascii() and before[0].isdigit()
+        if t[0] in ".!?":
+            before, was_name = t, False
+            continue
+        name = False
+        if t[0].isascii() and t[0].isdigit():
+            c = decontamination.NUM
+        elif after_number and low in decontamination.UNITS:
+            c = decontamination.UNIT
+        else:
+            name = names and t != low and before[0] not in ".!?"
+            c = decontamination.NAME if name else low
+        if name and was_name:
+            out[-1][0].append(low)
+        else:
+            out.append(([low], c))
+        before, was_name = t, name
+    return out
 
 
 def brute_leaks(docs, items, words=8, share=0.5, enough=24):
-    found = set()
+    marks, found = (decontamination.NUM, decontamination.UNIT, decontamination.NAME), {}
     for (d, text), (i, item) in itertools.product(docs, items):
-        w, v = WORD.findall(text or ""), WORD.findall(item or "")
-        mine = [(p, " ".join(w[p : p + words])) for p in range(0, max(len(w) - words // 2, 1), words // 2)] if w else []
-        theirs = [(q, " ".join(v[q : q + words])) for q in range(max(len(v) - words, 0) + 1)] if v else []
-        lines = defaultdict(list)
-        for (p, a), (q, b) in itertools.product(mine, theirs):
-            (x, sx), (y, sy) = canonical(a), canonical(b)
-            if x == y:
-                lines[p - q].append((q, len(b.split()), list(zip(sy, sx, strict=True))))
-        covered = set()
-        for hits in lines.values():
-            values = defaultdict(set)
-            for _, _, pairs in hits:
-                for a, b in pairs:
-                    values[a].add(b)
-            if all(len(s) == 1 for s in values.values()):
-                covered.update(q + k for q, n, _ in hits for k in range(n))
-        if covered and (len(covered) >= share * len(v) or len(covered) >= enough):
-            found.add((d, i, len(covered)))
-    return found
+        covered, total = set(), 0
+        for names in (True, False):
+            mine, theirs = spelt(text, names), spelt(item, names)
+            total = sum(len(x) for x, _ in theirs)
+            size = min(words, len(theirs))
+            if not size or (size < decontamination.LEAST and len(mine) != size):
+                continue
+            key = lambda w: " ".join(c for _, c in w) if any(c not in marks for _, c in w) else " ".join(sum((x for x, _ in w), ["bare"]))
+            lines = defaultdict(list)
+            there = defaultdict(list)
+            for q in range(len(theirs) - size + 1):
+                there[key(theirs[q : q + size])].append(q)
+            for p in range(len(mine) - size + 1):
+                for q in there[key(mine[p : p + size])]:
+                    lines[p - q].append(q)
+            for line, at in lines.items():
+                slots = sorted({q + k for q in at for k in range(size) if theirs[q + k][1] in marks})
+                wrong = set()
+                for x in slots:
+                    later = [y for y in slots if y > x and theirs[y] == theirs[x]][:1]
+                    if later and later[0] - x < words and mine[x + line][0] != mine[later[0] + line][0]:
+                        wrong |= {x, later[0]}
+                for q in at:
+                    if not wrong & set(range(q, q + size)):
+                        first = sum(len(x) for x, _ in theirs[:q])
+                        covered.update(first + k for k in range(sum(len(x) for x, _ in theirs[q : q + size])))
+        if covered and (len(covered) >= share * total or len(covered) >= enough):
+            found[d, i] = max(found.get((d, i), 0), len(covered))
+    return {(*k, n) for k, n in found.items()}
 
 
 def test_leaks_against_brute_force(spark):
@@ -271,13 +295,35 @@ def test_leaks_against_brute_force(spark):
     frame = spark.createDataFrame([(*d, "x") for d in [*docs, (None, items[0][1])]], "doc_id long, text string, item string")
     got = {tuple(r) for r in decontamination.leaks(frame, benchmark).collect()}
     assert got == brute_leaks(docs, items)
-    assert {d for d, _, _ in got} >= {1, 5, 7, 10} and 8 not in {d for d, _, _ in got} and 9 not in {d for d, _, _ in got}
+    assert {d for d, _, _ in got} >= {1, 5, 6, 7, 10} and 8 not in {d for d, _, _ in got} and 9 not in {d for d, _, _ in got}
     rows = decontamination.decontaminate(frame, benchmark).collect()
     assert len(rows) == len(docs) + 1 and {r.doc_id for r in rows if r.contaminated} == {d for d, _, _ in got}
     assert decontamination.decontaminate(frame.limit(0), benchmark).count() == 0
     assert not decontamination.decontaminate(frame, benchmark.limit(0)).filter("contaminated").count()
 
 
+def test_leaks_of_random_texts_against_brute_force(spark):
+    draw = random.Random(11)
+    words = ["the", "a", "Paris", "New York", "3", "14", "kg", "km", "x.", "so", "%", "5kg", "Bob", "ate!", "rot"]
+    say = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    items = [(k, say(draw.randint(1, 22))) for k in range(12)] + [(20, "1 2 3 4 5 6 7 8 9 10"), (21, "so the")]
+    docs = [(k, say(draw.randint(0, 60))) for k in range(40)]
+    docs += [(100 + k, say(draw.randint(0, 9)) + " " + x + " " + say(draw.randint(0, 9))) for k, (_, x) in enumerate(items)]
+    docs += [(200, " ".join(map(str, range(60)))), (201, "So the"), (202, " ".join("9" * 50))]
+    benchmark, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in decontamination.leaks(frame.repartition(3), benchmark).collect()}
+    assert got == brute_leaks(docs, items) and {(200, 20), (201, 21)} <= {x[:2] for x in got} and (202, 20) not in {x[:2] for x in got}
+
+
+def test_verbatim_items_of_any_length_are_found_at_every_place(spark):
+    draw = random.Random(12)
+    say = lambda n, of: " ".join(draw.choice(of) + str(draw.randint(10, 99)) for _ in range(n))
+    items = [(n, say(n, ["word", "term"])) for n in range(3, 13)]
+    docs = [(100 * n + k, say(k, ["other"]) + " " + text + " " + say(draw.randint(0, 9), ["more"])) for n, text in items for k in range(9)]
+    rows = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(rows) == len(docs) and all(r.contaminated and r.first_item == r.doc_id // 100 and r.covered == r.first_item for r in rows)
+
+
 def test_equal_slots_may_part(spark):
     item = "in the morning the shop on the corner sold 3 pens to every child who came in with a note from school and after lunch it also had rulers that cost 3 dollars so how much did the children pay"
     asked = item.replace("3 pens", "5 pens").replace("3 dollars", "8 dollars")
@@ -299,12 +345,13 @@ def test_tokens_find_longer_names_and_other_case(spark):
     docs += [(k, t) for k, t in enumerate([None, "", "- !", "a b c", "x " * 300])]
     frame = spark.createDataFrame([*docs, (10, "y " * 50), (None, long)], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, names), (2, long), (3, near[5:]), (4, None), (5, "...")], "item_id long, text string")
-    rows = decontamination.decontaminate(frame, benchmark, decontamination.token_leaks).collect()
+    rows = decontamination.decontaminate(frame, benchmark).collect()
     found = {r.doc_id: r.first_item for r in rows if r.contaminated}
     assert len(rows) == len(docs) + 2
     assert found == {10 * k + n: item for k, item in {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2}.items() for n in range(4)}
-    own, canon = spark.createDataFrame([("He met Mary Jane, at 5kg - for 3 dollars. Paris",)], "t string").select(*decontamination.token_texts(F.col("t"), True)).first()
-    assert own.count(" ") == canon.count(" ") and canon == "he met \x06 at \x03 \x04 for \x03 \x04 paris"
+    rows = decontamination._with_hashes(spark.createDataFrame([("He met Mary Jane, at 5kg - for 3 dollars. Paris",)], "text string"), F.col("text"))
+    own, canon = rows.select(*decontamination._spelt(True)).first()
+    assert len(own) == len(canon) and " ".join(canon) == "he met \x03 at \x01 \x02 for \x01 \x02 paris"
 
 
 def test_planted_items_are_found(spark):
@@ -315,12 +362,6 @@ def test_planted_items_are_found(spark):
     assert len(want) > 10 and got == want
 
 
-def test_token_windows_find_the_same_planted_items(spark):
-    docs, items = table(spark, "documents"), table(spark, "benchmark")
-    want = {(r.doc_id, r.item) for r in decontamination.leaks(docs, items).collect()}
-    assert {(r.doc_id, r.item) for r in decontamination.token_leaks(docs, items).collect()} == want
-
-
 # pipeline
 
 
