@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2_000, label_col: str =
     Without both labels, or without documents, the field is all zeros and finds every line to be content.
     """
     some = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    some = some.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(bound)
+    some = some.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(bound)
     rows = stored(docs.join(F.broadcast(some), docs["doc_id"] == F.col("id")).select("text", "label"), "quality-sample")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

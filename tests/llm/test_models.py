@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -105,6 +106,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.allclose(again.score.sort_index(), got.score.sort_index())
 
 
+def places_of(text):
+    """Hashed n-grams of a text by a plain loop over whole numbers."""
+    own, out = [ord(c) for c in text.replace("\x00", " ").lower()], set()
+    for n in toxicity.ORDERS:
+        for at in range(len(own) - n + 1):
+            h = 0
+            for k, c in enumerate(own[at : at + n]):
+                h = c if not k else (h * 0x01000193 + c) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x9E3779B1 + n * 0x85EBCA6B) & 0xFFFFFFFF
+            out.add(h >> (32 - toxicity.BITS))
+    return out
+
+
+def test_ngrams_ratios_and_scores_against_plain_loops(spark, monkeypatch):
+    draw = random.Random(6)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)  # texts take several turns here; the workers' own are taken at once
+    texts = ["".join(draw.choice("abcé Z.\x00") for _ in range(draw.randint(0, 300))) for _ in range(30)] + ["", "ab", None]
+    which, place = toxicity.hits(pa.array(texts), None)
+    assert [set(place[which == k].tolist()) for k in range(len(texts))] == [places_of(t or "") for t in texts] and len(which) == len(set(zip(which, place)))
+    rows = [(("bad words here " if k % 3 == 0 else "good words there ") + "".join(draw.choice("abcdef ") for _ in range(40)), int(k % 3 == 0)) for k in range(90)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), tasks=2)
+    sets, labels = [places_of(t) for t, _ in rows], [y for _, y in rows]
+    size, n = [labels.count(0), labels.count(1)], np.zeros((2, 1 << toxicity.BITS))
+    for s, y in zip(sets, labels):
+        n[y, list(s)] += 1
+    sums = [sum(x) + (1 << toxicity.BITS) for x in n]
+    ratio, chosen = toxicity.ratios(n, np.array(size, float), 5.0)
+    for j in {j for s in sets[:4] for j in s}:
+        a, b = n[1, j], n[0, j]
+        assert np.isclose(ratio[j], np.log((a + 1) / sums[1]) - np.log((b + 1) / sums[0]))
+        share = (a + b + 1) / (len(rows) + 2)
+        gap = abs(a / size[1] - b / size[0]) / (share * (1 - share) * (1 / size[0] + 1 / size[1])) ** 0.5
+        assert (gap >= 5) == (j in chosen)
+    assert set(np.flatnonzero(model.weight)) <= set(chosen.tolist()) and (model.weight[chosen] * ratio[chosen] >= 0).mean() > 0.9
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts + [rows[0][0], rows[1][0]])], "doc_id long, text string")
+    for r, t in zip(sorted(toxicity.score(asked, model).collect()), texts + [rows[0][0], rows[1][0]]):
+        z = model.bias + sum(float(model.weight[j]) for j in places_of(t or ""))
+        assert np.isclose(r.score, 1 / (1 + np.exp(-z)), atol=1e-5)
+    again = toxicity.fit(spark.createDataFrame(rows[::-1], "text string, label int").repartition(3), tasks=3)
+    assert (again.weight == model.weight).all() and again.bias == model.bias
+
+
 def test_toxicity_edges(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "ab"), (3, "a" * 200_000 + "\x00b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
