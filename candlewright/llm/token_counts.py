@@ -1,8 +1,8 @@
 """Token counts of whole texts by a two-tier lookup on the map side; no pre-token is shuffled.
 
-A first pass counts pre-tokens in each task and keeps every task's most frequent; their totals give a table of
-bounded size, which is broadcast. The second pass adds up the lengths of a text's pre-tokens: from the broadcast
-table first, then from a cache of its worker, and by the tokenizer for the rest.
+The most frequent pre-tokens of a small sample of texts and their lengths are broadcast as a table of bounded size. One
+pass over the texts then adds up the lengths of each text's pre-tokens: from the broadcast table first, then from a
+cache of its worker, and by the tokenizer for the rest. The sample decides what is looked up where and nothing else.
 
 A pre-token is a run of spaces with the word after it, or a line feed with the rest of the word after it. No piece of
 the vocabulary has a space mark after another character or any line feed, so that no merge reaches over a pre-token's
@@ -13,7 +13,6 @@ the model to that.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from uuid import uuid4
@@ -60,19 +59,27 @@ class Lengths:
     """Lengths of pre-tokens, written without their first space. Those met for the first time are encoded together.
 
     A pre-token that begins with a line feed has no space: the mark that the model puts before it is taken off again.
+    The cache has two halves of `cache` / 2: a full new one becomes the old one, and what is met again moves on.
     """
 
     def __init__(self, path: str, frequent: dict[str, int], cache: int):
-        self.model, self.frequent, self.cache, self.own = _model(path), frequent, cache, {}
+        self.model, self.frequent, self.most, self.new, self.old = _model(path), frequent, cache // 2, {}, {}
 
     def __call__(self, parts: list[str]) -> list[int]:
-        if fresh := [x for x in parts if x not in self.frequent and x not in self.own]:
-            if len(self.own) + len(fresh) > self.cache:  # keep what is in use
-                self.own = {x: n for x in parts if (n := self.own.get(x)) is not None}
-            got = self.model.encode(fresh, num_threads=1)
-            self.own.update((x, len(n) - (x[:1] == "\n") if x else 1) for x, n in zip(fresh, got, strict=True))
-        first, own = self.frequent, self.own
-        return [n if (n := first.get(x)) is not None else own[x] for x in parts]
+        first, new, old = self.frequent, self.new, self.old
+        out = [n if (n := first.get(x)) is not None else new.get(x) for x in parts]
+        fresh = []
+        for k in [k for k, n in enumerate(out) if n is None]:
+            if (n := old.get(parts[k])) is None:
+                fresh.append(k)
+            else:
+                out[k] = new[parts[k]] = n
+        words = [parts[k] for k in fresh]
+        for k, x, ids in zip(fresh, words, self.model.encode(words, num_threads=1) if words else (), strict=True):
+            out[k] = new[x] = len(ids) - (x[:1] == "\n") if x else 1
+        if len(new) > self.most:
+            self.old, self.new = new, {}
+        return out
 
 
 def _plain(text: pa.Array) -> np.ndarray:
@@ -107,25 +114,13 @@ def pre_tokens(text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return distinct + more.dictionary.to_pylist(), np.concatenate([place, more.indices.to_numpy() + len(distinct)])[order], n + counts
 
 
-def frequent_lengths(docs: DataFrame, path: str, table: int, per_task: int) -> list[tuple[str, int]]:
-    """The `table` most frequent pre-tokens and their lengths; each task reports its `per_task` most frequent."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in pieces(batches, 8 << 20):
-            parts, place, _ = pre_tokens(batch.column("text"))
-            n = np.bincount(place, minlength=len(parts))
-            top = np.argsort(-n, kind="stable")[: 4 * per_task]
-            for k in top:
-                seen[parts[k]] += int(n[k])
-            if len(seen) > 40 * per_task:
-                seen = Counter(dict(seen.most_common(8 * per_task)))
-        top = [(k, v) for k, v in seen.most_common(per_task) if len(k) <= 64 and v > 1]
-        yield pa.record_batch({"word": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
-
-    top = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    names = [x.word for x in top.orderBy(F.desc("n"), "word").limit(table).collect()]
-    return list(zip(names, Lengths(path, {}, len(names) + 1)(names), strict=True))
+def frequent_lengths(docs: DataFrame, path: str, table: int, sample: int, longest: int = 20_000) -> list[tuple[str, int]]:
+    """The `table` most frequent pre-tokens, and their lengths, of `sample` texts of up to `longest` characters."""
+    texts = [x.text for x in docs.select("text").filter(F.length("text") <= longest).head(sample)]
+    parts, place, _ = pre_tokens(pa.array(texts, pa.string()))
+    n = np.bincount(place, minlength=len(parts))
+    names = [parts[k] for k in np.argsort(-n, kind="stable")[:table] if n[k] > 1 and len(parts[k]) <= 64]
+    return list(zip(names, Lengths(path, {}, 2 * len(names) + 2)(names), strict=True))
 
 
 def token_counts(
@@ -135,18 +130,18 @@ def token_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     table: int = 65_536,
-    per_task: int = 4_096,
+    sample: int = 1_000,
     cache: int = 600_000,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row, by the sentencepiece model at `path`.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows, ties and null ids give a row each, as they came;
-    other columns of `docs` play no part, whatever their names. Texts are taken whole, however long;  An empty table gives no rows. `table`, `per_task` and
-    `cache` bound memory and only change the speed.
+    other columns of `docs` play no part, whatever their names. Texts are taken whole, however long. An empty table gives
+    no rows. `table`, `sample` and `cache` bound memory and only change the speed.
     """
     docs = id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    top = frequent_lengths(docs, path, table, per_task)
+    top = frequent_lengths(docs, path, table, sample)
     # compact form: the words in one string, a byte for each length
     top = [(w, n) for w, n in top if " " not in w and n < 256]
     run, packed = uuid4().hex, spark.sparkContext.broadcast((" ".join(w for w, _ in top), bytes(n for _, n in top)))
@@ -155,7 +150,7 @@ def token_counts(
         names, sizes = packed.value
         frequent = dict(zip(names.split(" "), sizes, strict=True)) if sizes else {}
         lengths = _kept(path, run, lambda: Lengths(path, frequent, cache))
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 4 << 20):
             parts, place, each = pre_tokens(batch.column("text"))
             n = totals(np.array(lengths(parts), np.int64)[place], each)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": n})
