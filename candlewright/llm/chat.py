@@ -6,22 +6,23 @@ assistant's and all others as named users, with a mask that marks the assistant'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks around a message. Fixed values of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def rotate_perspectives(messages: DataFrame, turns: int = 512, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def rotate_perspectives(messages: DataFrame, turns: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, speaker, part, n_messages, n_own, text, mask: a row for each conversation, speaker and part.
 
-    A part has the messages of `turns` turn numbers in a row, so that no task holds a conversation of any length; a
-    conversation shorter than that has part 0 alone, and a speaker has every part, whether they speak there or not.
-    Messages are in order of turn, then role, then text; repeated rows count once. mask: "length:flag" segments in
-    characters, which add up to the text; flag 1 covers the speaker's text and its closing mark. Null texts are empty, a
-    null role is "unknown", a null turn comes before all in part -1, and a null conv_id is a conversation like others.
-    Other columns play no part; an empty table gives no rows.
+    By default a conversation is rendered whole, as part 0: a row has one dialogue, as long as that is. With `turns`,
+    dialogues are cut into parts of so many messages in a row, counted from 0, whatever their turn numbers, and a
+    speaker has every part, whether they speak there or not; a row is then bounded, as are all arrays.
+    Messages are in order of turn (null first), then role, then text; repeated rows count once. mask: "length:flag"
+    segments in characters, which add up to the text; flag 1 covers the speaker's text and its closing mark. Null texts
+    are empty, a null role is "unknown", and a null conv_id is a conversation like others. Other columns play no part;
+    an empty table gives no rows.
     """
     rows = messages.select(
         messages[conv_col].alias("conv_id"),
@@ -29,8 +30,9 @@ def rotate_perspectives(messages: DataFrame, turns: int = 512, conv_col: str = "
         F.coalesce(messages[role_col].cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(messages[text_col].cast("string"), F.lit("")).alias("text"),
     ).distinct()
-    part = F.coalesce(F.floor(F.col("turn") / turns), F.lit(-1)).cast("long")
-    parts = rows.withColumn("part", part).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    part = F.lit(0).cast("long") if turns is None else F.floor((F.row_number().over(order) - 1) / turns).cast("long")
+    parts = rows.withColumn("part", part).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), F.col("turn").isNotNull().alias("known"), "role", "text"))).alias("said"))
     speakers = rows.select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
     both = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["of"]))
     own = lambda m: m["role"] == F.col("speaker")
@@ -44,8 +46,7 @@ def rotate_perspectives(messages: DataFrame, turns: int = 512, conv_col: str = "
 #: The same for DuckDB.
 SQL = """
 WITH rows AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS part
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(0 AS BIGINT) AS part
   FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows),
 said AS (

@@ -242,11 +242,19 @@ def test_stages_keep_clashing_columns(spark):
 def test_chat_sql_and_spans(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "hello\nthere"), (1, 1, "bob", "hello\nthere"), (1, 2, "cid", None), (1, 600, "ann", "é"), (2, 0, None, ""), (None, None, "x", "y")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, speaker string")
-    got = chat.rotate_perspectives(df).collect()
+    whole = chat.rotate_perspectives(df).collect()
+    assert Counter((r.conv_id, r.speaker) for r in whole) == {(1, "ann"): 1, (1, "bob"): 1, (1, "cid"): 1, (2, "unknown"): 1, (None, "x"): 1}
+    assert {r.part for r in whole} == {0} and all(r.n_messages == (4 if r.conv_id == 1 else 1) for r in whole)
+    got = chat.rotate_perspectives(df, turns=3).collect()
     assert Counter((r.conv_id, r.speaker) for r in got) == {(1, "ann"): 2, (1, "bob"): 2, (1, "cid"): 2, (2, "unknown"): 1, (None, "x"): 1}
+    for r in whole:  # parts add up to the whole
+        own = sorted((x for x in got if (x.conv_id, x.speaker) == (r.conv_id, r.speaker)), key=lambda x: x.part)
+        assert "".join(x.text for x in own) == r.text and ",".join(x.mask for x in own) == r.mask
+    nulls = spark.createDataFrame([(1, None, "a", f"m{k}") for k in range(10)], "conv_id long, turn long, role string, text string")
+    assert sorted(r.n_messages for r in chat.rotate_perspectives(nulls, turns=4).collect()) == [2, 4, 4]
     one = next(r for r in got if r.speaker == "bob" and r.part == 0)
     assert one.text == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nhello\nthere<|im_end|>\n<|im_start|>user name=cid\n<|im_end|>\n"
-    for r in got:
+    for r in [*got, *whole]:
         at, learnt = 0, []
         for n, flag in (map(int, s.split(":")) for s in r.mask.split(",")):
             learnt += [r.text[at : at + n]] * flag
