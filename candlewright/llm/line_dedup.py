@@ -3,8 +3,9 @@
 A document is the sequence of its lines with a word, each stripped of white space at its ends. Grams of `gram` lines are
 hashed; of every `window` grams in a row the smallest is kept as a fingerprint, the last of equals. Any run of
 gram + window - 1 lines that stands twice has a kept fingerprint in common, so that positions joined on fingerprints
-miss no such run. From there a match is extended both ways: the runs of that guaranteed length around the shared
-fingerprint are compared in full, and those that stand earlier are deleted where they come later.
+miss no such run. From there a match is extended both ways, a line at a time: the runs of that guaranteed length at
+every place around a shared fingerprint are compared in full, those that stand earlier are deleted where they come
+later, and as they overlap, what is deleted is the whole of each match, however long.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def _shared(docs: DataFrame, gram: int, window: int) -> DataFrame:
             yield pa.record_batch({"print": print_, "doc_id": batch.column("doc_id").take(owner), "tag": batch.column("tag").take(owner), "place": (place - first[text]).astype(np.int32)})
 
     found = stored(docs.filter("doc_id is not null").mapInArrow(find, "print long, doc_id long, tag long, place int"), "prints")
-    twice = found.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    # stored, as are the first runs below, so that a join may split the rows of a hot key
+    twice = stored(found.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "shared-prints")
     return found.join(twice, "print").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
 
 
@@ -91,7 +93,8 @@ def remove_repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_co
     marked = docs.join(shared, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places")
     runs = stored(marked.mapInArrow(extend, "a long, b long, doc_id long, tag long, start int"), "runs")
     first_of = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max(F.struct("doc_id", "start")).alias("z"))
-    later = runs.join(first_of.filter("at < z").select("a", "b", "at"), ["a", "b"]).filter(F.struct("doc_id", "start") > F.col("at"))
+    first_of = stored(first_of.filter("at < z").select("a", "b", "at"), "first-runs")
+    later = runs.join(first_of, ["a", "b"]).filter(F.struct("doc_id", "start") > F.col("at"))
     rows = docs.join(later.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts")), ["doc_id", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
