@@ -5,10 +5,13 @@ the alphabet and the second from the other. A name is a hash of what it stands f
 names are global without a shuffle, and equal substrings are named alike except for a few symbols at their ends, which
 neighbours outside may have taken. For each window of `size` words its own words tell which symbols are inside for
 certain. Its mark is the longest certain symbol of the highest level that has one: equal windows have equal marks, and
-neighbouring windows share one, so that marks are far fewer than words.
+windows in a row that share one are a run. Runs are about a tenth as many as words, and they carry the work.
 
-Only windows whose mark two documents share can repeat. These are digested in full, the smallest document of each
-digest is found, and words under a window that a smaller document has are removed.
+Only runs whose mark two documents share can repeat. A run that a smaller document has too, as equal digests of all its
+windows verify, goes as a whole. The first of equal runs stay open where their mark stands for several runs: there a
+part of a run may stand in another one, as at the ends of a shared passage. Any window of an open run that a smaller
+document has, the smallest such document has in an open run of its own, as else a still smaller one would have it. So
+windows are digested one by one for open runs only, and words under a window that a smaller document has are removed.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.llm.shared import Words, id_and_text, mix, pieces, sized, stored, windows, within, words
@@ -77,51 +80,90 @@ def _longest(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarra
     return best
 
 
-def _shared_marks(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, tag, marks: those marks of each row that another document has too."""
+def _digests(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the window from each word on."""
+    return windows(w.key, size, 0xD1342543DE82EF95), windows(mix(w.key, 3), size, 0xA0761D6478BD642F)
+
+
+def _runs(docs: DataFrame, size: int) -> DataFrame:
+    """mark, a, b, doc_id, place, n: runs of windows with one mark; digests of all n windows; place holds start and tag."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            _, owner, mark = marks(words(batch.column("text")), size)
-            new = np.append(True, (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])) if len(mark) else np.zeros(0, bool)
-            owner = pa.array(owner[new])
-            yield pa.record_batch({"mark": mark[new].view(np.int64), "doc_id": batch.column("doc_id").take(owner), "tag": batch.column("tag").take(owner)})
+            w = words(batch.column("text"))
+            start, text, mark = marks(w, size)
+            new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])) if len(mark) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(mark)))
+            turn = mix((np.arange(len(mark)) - np.repeat(at, n)).astype(np.uint64))
+            with np.errstate(over="ignore"):
+                a, b = (np.add.reduceat(mix(x[start] ^ turn), at) if len(at) else turn for x in _digests(w, size))
+            start, text = start[at], text[at]
+            yield pa.record_batch({"mark": mark[at].view(np.int64), "a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "place": _place(start - w.first[text], batch.column("tag").to_numpy()[text]), "n": n.astype(np.int32)})
 
-    found = stored(docs.filter("doc_id is not null").mapInArrow(find, "mark long, doc_id long, tag int"), "marks")
-    both = found.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("mark")
-    return stored(found.join(both, "mark").groupBy("doc_id", "tag").agg(F.collect_set("mark").alias("marks")), "shared-marks")
+    return stored(docs.filter("doc_id is not null").mapInArrow(find, "mark long, a long, b int, doc_id long, place long, n int"), "runs")
 
 
-def _repeats(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, tag, lows, highs: from where to where windows of each row start that a smaller document has too."""
+def _half(digest: np.ndarray) -> np.ndarray:
+    return (digest >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _place(start: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Start of a window and its row's tag in one number."""
+    return start.astype(np.int64) << 32 | tag.astype(np.int64) & 0xFFFFFFFF
+
+
+def _start() -> Column:
+    return F.shiftright("place", 32).cast("int")
+
+
+def _tag() -> Column:
+    return F.shiftright(F.shiftleft("place", 32), 32).cast("int").alias("tag")
+
+
+def _open_windows(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
+    """a, b, doc_id, place of every window of the open runs."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             w = words(batch.column("text"))
-            start, owner, mark = marks(w, size)
-            kept = batch.column("marks")
-            has = np.concatenate([[0], np.cumsum(np.diff(kept.offsets.to_numpy()))])
-            flat = kept.flatten().to_numpy().view(np.uint64)
-            edge = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            hit = np.zeros(len(start), bool)
-            for k in range(batch.num_rows):
-                hit[edge[k] : edge[k + 1]] = np.isin(mark[edge[k] : edge[k + 1]], flat[has[k] : has[k + 1]])
-            start, text = start[hit], owner[hit]
-            owner = pa.array(text)
-            a, b = windows(w.key, size, 0xD1342543DE82EF95), windows(mix(w.key, 3), size, 0xA0761D6478BD642F)
-            place = (start - w.first[text]) << 16 | batch.column("tag").to_numpy()[text]
-            yield pa.record_batch({"a": a[start].view(np.int64), "b": (b[start] >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": batch.column("doc_id").take(owner), "place": place})
-
-    shared = _shared_marks(docs, size)
-    marked = docs.join(sized(shared, values=F.size("marks")), ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
-    found = stored(marked.mapInArrow(digest, "a long, b int, doc_id long, place long"), "windows")
-    first = found.groupBy("a", "b").agg(F.min("doc_id").alias("at"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "at")
-    later = found.join(first, ["a", "b"]).filter("doc_id > at")
-    tag, start = F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), F.shiftright("place", 16)
-    rows = later.groupBy("doc_id", tag).agg(F.sort_array(F.collect_list(start)).alias("s"))
-    low = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1), F.lit(-2)) != x - 1)
-    high = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1), F.lit(-2)) != x + 1)
-    return stored(rows.select("doc_id", "tag", low.alias("lows"), high.alias("highs")), "repeats")
+            own = batch.column("runs")
+            text = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
+            flat = own.flatten()
+            low, n = flat.field("s").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            inside = low + n + size - 1 <= np.diff(w.first)[text]  # rows whose tags are equal by chance have no windows here
+            low, n, text = low[inside], n[inside], text[inside]
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            text = np.repeat(text, n)
+            a, b = (x[start + w.first[text]] for x in _digests(w, size)) if len(start) else np.zeros((2, 0), np.uint64)
+            yield pa.record_batch({"a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "place": _place(start, batch.column("tag").to_numpy()[text])})
+
+    by_row = stored(open_.groupBy("doc_id", _tag()).agg(F.collect_set(F.struct(_start().alias("s"), "n")).alias("runs")), "open-runs")
+    rows = docs.join(sized(by_row, values=F.size("runs")), ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
+    return stored(rows.mapInArrow(digest, "a long, b int, doc_id long, place long"), "windows")
+
+
+def _earlier(rows: DataFrame, name: str) -> DataFrame:
+    """a, b, at: the smallest document of each digest that several have. Stored, so that a join may split a hot digest."""
+    both = rows.groupBy("a", "b").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("z"))
+    return sized(stored(both.filter("at < z").select("a", "b", "at"), name))
+
+
+def _repeats(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, tag, lows, highs: from where to where windows of each row start that a smaller document has too."""
+    runs = _runs(docs, size)
+    by_mark = runs.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.min("a") < F.max("a")).alias("several"))
+    by_mark = stored(by_mark.filter("x < y").select("mark", "several"), "marks")
+    runs = stored(runs.join(sized(by_mark), "mark").drop("mark"), "shared-runs")
+    runs = stored(runs.join(_earlier(runs, "first-runs"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
+    found = _open_windows(docs, runs.filter("several and not later"), size)
+    later = found.join(_earlier(found, "first-windows"), ["a", "b"]).filter("doc_id > at").select("doc_id", "place", F.lit(1).alias("n"))
+    rows = later.union(runs.filter("later").select("doc_id", "place", "n"))
+    span = F.struct(_start().alias("low"), (_start() + F.col("n") - 1).alias("high"))
+    rows = rows.groupBy("doc_id", _tag()).agg(F.array_sort(F.collect_set(span)).alias("s"))
+    low = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1)["high"], F.lit(-2)) != x["low"] - 1)
+    high = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1)["low"], F.lit(-2)) != x["high"] + 1)
+    return stored(rows.select("doc_id", "tag", F.transform(low, lambda x: x["low"]).alias("lows"), F.transform(high, lambda x: x["high"]).alias("highs")), "repeats")
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,10 +171,10 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if it is in a window of `size` words that also starts in a
     document with a smaller doc_id; windows are judged on the input. Null and empty texts have no words and an empty kept
-    text. Rows that share a doc_id are never earlier than each other; a 16-bit hash of the text tells them apart. A null doc_id is neither earlier nor later than
+    text. Rows that share a doc_id are never earlier than each other; a 32-bit hash of the text tells them apart. A null doc_id is neither earlier nor later than
     any, so that its row stays whole. Other columns play no part; an empty table gives no rows.
     """
-    docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.pmod(F.hash("text"), F.lit(1 << 16)))
+    docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.hash("text"))
     gone = sized(_repeats(docs, size), values=F.size("lows"))
     rows = docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
 
@@ -144,8 +186,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
                 n.append(len(own))
                 if low.is_valid:
                     edge = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(edge, low.values.to_numpy(), 1)
-                    np.add.at(edge, high.values.to_numpy() + size, -1)
+                    np.add.at(edge, np.minimum(low.values.to_numpy(), len(own)), 1)
+                    np.add.at(edge, np.minimum(high.values.to_numpy() + size, len(own)), -1)
                     own = [own[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 gone.append(n[-1] - len(own))
                 kept.append(b" ".join(own).decode())

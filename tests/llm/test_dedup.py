@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from candlewright.llm import line_dedup, near_dedup
+from candlewright.llm import line_dedup, near_dedup, shared
 from candlewright.llm.near_dedup import near_duplicates, without_near_duplicates
 from candlewright.llm.shared import words
 from candlewright.llm.substring_dedup import marks, remove_repeats
@@ -73,6 +74,27 @@ def test_substrings(spark, corpus):
     assert sorted(map(str, got)) == sorted(map(str, [*want, again, (None, len(whole), 0, " ".join(whole))]))
 
 
+def test_rows_of_one_id_and_parts_of_passages(spark, monkeypatch):
+    """Rows of one doc_id and text lengths apart, passages within passages, and the shuffle in place of broadcasts."""
+    draw = random.Random(9)
+    say = lambda n: [draw.choice([f"v{k}" for k in range(900)]) for _ in range(n)]
+    passage, rows = say(260), []
+    for k in range(24):
+        low = draw.randint(0, 120)
+        part = passage[low : low + draw.randint(49, 140)]
+        rows.append((k // 2, " ".join(say(draw.randint(0, 70)) + part + say(draw.randint(0, 70)))))
+    rows += [(30, " ".join(passage)), (30, " ".join(passage[:51])), (30, "short"), (31, " ".join(passage + passage))]
+    first, want = {}, []
+    for k, t in sorted(rows):
+        w = t.split()
+        gone = {p + j for p in range(len(w) - 49) if first.setdefault(tuple(w[p : p + 50]), k) < k for j in range(50)}
+        want.append((k, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    for limit in (shared.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(shared.sized, "__defaults__", (limit, None))
+        got = [tuple(r) for r in remove_repeats(make(spark, rows).repartition(3)).collect()]
+        assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 900
+
+
 def test_equal_windows_have_equal_marks(corpus):
     """Whatever stands around it, a window's mark follows from its own words."""
     draw, seen = random.Random(2), {}
@@ -106,6 +128,31 @@ def test_near_duplicates(spark, corpus, size, percent):
     assert len(set(label.values())) < len(label) - 15
 
 
+def test_many_texts_just_under_the_similarity(spark):
+    """2,000 texts of 60 words with three words of their own: nearly all share entries, and only a few link."""
+    draw = random.Random(7)
+    base, rows = [f"b{k}" for k in range(60)], []
+    for k in range(2000):
+        w, at = list(base), draw.randrange(2, 56)
+        w[at : at + 3] = [f"own{k}x{j}" for j in range(3)] if k % 100 else ["one", f"own{k}", base[at + 2]]
+        rows.append((k, " ".join(w)))
+    rows += [(5000 + k, t.replace("b1 ", "c1 ")) for k, t in rows[:5]]
+    sets = [{tuple(w[p : p + 3]) for p in range(58)} for _, t in rows for w in [t.split()]]
+    names = {g: j for j, g in enumerate({g for s in sets for g in s})}
+    has = np.zeros((len(rows), len(names)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [names[g] for g in s]] = 1
+    both = has @ has.T
+    linked = 185 * both >= 85 * (has.sum(axis=1)[:, None] + has.sum(axis=1))
+    label = np.arange(len(rows))
+    while (least := np.array([label[x].min() for x in linked])).tolist() != label.tolist():
+        label = least
+    begun = time.time()
+    got = near_duplicates(make(spark, rows).repartition(3), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: rows[j][0] for (k, _), j in zip(rows, label)}
+    assert 1900 < len(set(label.tolist())) < len(rows) and time.time() - begun < 150
+
+
 def test_stage_keeps_columns_and_one_of_each_group(spark, corpus):
     docs = make(spark, corpus)
     kept = without_near_duplicates(docs)
