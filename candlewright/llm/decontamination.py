@@ -48,38 +48,54 @@ def _before(values: Column, first: Column) -> Column:
     return F.slice(F.concat(F.array(first), values), 1, F.size(values))
 
 
-def _canonical(t: Column, p: Column, names: bool, put, word) -> Column:
-    """`put` of a placeholder, `word` of a lower-case word, or null for an end of sentence; `p` is the token before."""
+def _canonical(t: Column, p: Column, put, word, named) -> Column:
+    """`put` of a placeholder, `word` of a lower-case word, or null for an end of sentence; `p` is the token before.
+
+    `named` decides on words with a capital.
+    """
     unit = _number(p) & F.lower(t).isin(*UNITS)
-    plain = F.when(t == F.lower(t), word(t))
-    plain = plain.when(~_end(p), put(NAME)) if names else plain
-    plain = F.when(unit, put(UNIT)).otherwise(plain.otherwise(word(F.lower(t))))
+    plain = F.when(unit, put(UNIT)).when(t == F.lower(t), word(t)).otherwise(named(t, p))
     return F.when(t >= "A", plain).when(_number(t), put(NUM)).when(t == "%", F.when(_number(p), put(UNIT)).otherwise(word(t)))
 
 
 def _with_hashes(rows: DataFrame, text: Column) -> DataFrame:
-    """Add t, p (tokens and those before) and a, b: the hashes of the templates' tokens with and without names."""
+    """Add t, p (tokens and those before) and a, b: the hashes of the templates' tokens with and without names.
+
+    Each token is looked at once: m has its hash without names and, in the lowest bit, whether it is part of a name.
+    """
     rows = rows.withColumn("t", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
     rows = rows.withColumn("p", _before(F.col("t"), F.lit(".")))
-    code = {NUM: 1, UNIT: 2, NAME: 3}
-    put = lambda mark: F.lit(code[mark]).cast("long")
-    hashes = lambda names: F.zip_with("t", "p", lambda t, p: F.coalesce(_canonical(t, p, names, put, F.xxhash64), F.lit(0).cast("long")))
-    rows = rows.withColumns({"a": hashes(True), "b": F.filter(hashes(False), lambda x: x != 0)})
-    first = F.zip_with("a", _before(F.col("a"), F.lit(0).cast("long")), lambda x, y: F.when((x == 3) & (y == 3), 0).otherwise(x))
-    return rows.withColumn("a", F.filter(first, lambda x: x != 0))
-
-
-def _windows(tokens: str, size: int, names: bool) -> Column:
-    """Hashes of all windows of `size` tokens; of short ones, only that of a text without other tokens."""
-    n = F.size(tokens)
-    at = F.when(n >= size if size >= LEAST else n == size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, size), F.lit(names), F.lit(size)))
+    code = {NUM: 2, UNIT: 4}
+    put, part = (lambda mark: F.lit(code[mark]).cast("long")), F.lit(1).cast("long")
+    word = lambda t: F.shiftleft(F.xxhash64(t), 1)
+    named = lambda t, p: F.when(_end(p), word(F.lower(t))).otherwise(word(F.lower(t)).bitwiseOR(part))
+    rows = rows.withColumn("m", F.filter(F.zip_with("t", "p", lambda t, p: _canonical(t, p, put, word, named)), lambda x: x.isNotNull()))
+    rows = rows.withColumn("q", _before(F.col("m"), F.lit(0).cast("long")))
+    name = lambda x: x.bitwiseAND(part) == 1
+    first = F.zip_with("m", "q", lambda x, y: F.when(~name(x), F.shiftright(x, 1)).when(~name(y), F.lit(3).cast("long")))
+    return rows.withColumns({"a": F.filter(first, lambda x: x.isNotNull()), "b": F.transform("m", lambda x: F.shiftright(x, 1))}).drop("m", "q")
+
+
+def _with_windows(rows: DataFrame, tokens: str, size: int, name: str) -> DataFrame:
+    """Add `name`: hashes of all windows of `size` tokens, by doubling; of short ones, only that of a text without others."""
+    n, length, power, out, have = F.size(tokens), 1, tokens, None, 0
+    joined = lambda left, right, skip, by: F.zip_with(left, F.slice(right, skip + 1, F.greatest(F.size(right) - skip, F.lit(0))), lambda x, y: F.shiftleft(x, by).bitwiseXOR(y))
+    while True:
+        if size & length:
+            rows = rows.withColumn(f"{name}_o{length}", F.col(power) if out is None else joined(out, power, have, length))
+            out, have = f"{name}_o{length}", have + length
+        if 2 * length > size:
+            break
+        rows = rows.withColumn(f"{name}_p{length}", joined(power, power, length, length))
+        power, length = f"{name}_p{length}", 2 * length
+    enough = n >= size if size >= LEAST else n == size
+    return rows.withColumn(name, F.when(enough, F.slice(out, F.lit(1), F.greatest(n - size + 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
 
 
 def _spelt(names: bool) -> tuple[Column, Column]:
     """Tokens t as they stand and as templates have them, two arrays of as many elements as a or b."""
-    put, word = (lambda mark: F.lit(mark)), (lambda t: t)
-    marks = F.zip_with("t", "p", lambda t, p: _canonical(t, p, names, put, word))
+    named = lambda t, p: F.when(_end(p), F.lower(t)).otherwise(F.lit(NAME)) if names else F.lower(t)
+    marks = F.zip_with("t", "p", lambda t, p: _canonical(t, p, F.lit, lambda x: x, named))
     three = F.arrays_zip(F.col("t").alias("t"), marks.alias("c"), _before(marks, F.lit("")).alias("q"))
     inner = lambda x: (x["c"] == NAME) & F.coalesce(x["q"] == NAME, F.lit(False))
     raw = F.transform(three, lambda x: F.when(x["c"].isNull(), "").when(inner(x), F.concat(F.lit(INNER), x["t"])).otherwise(F.concat(F.lit(" "), x["t"])))
@@ -104,8 +120,9 @@ def item_windows(benchmark: DataFrame, words: int, item_col: str = "item_id", te
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("size"))).alias("at"))
     part = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
     rows = rows.withColumns({"raw": part("r"), "kinds": part("c"), "first": length(F.slice("r", F.lit(1), F.col("at")))})
-    key = F.xxhash64(part("h"), "names", "size")
-    return rows.select("item", "names", "size", "at", key.alias("hash"), _key(F.col("kinds"), F.col("raw")).alias("key"), "raw", "kinds", "first", length(F.col("raw")).alias("n"), "n_words")
+    # the same hash as of a document's windows
+    power = F.aggregate(part("h"), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseXOR(x))
+    return rows.select("item", "names", "size", "at", power.alias("hash"), _key(F.col("kinds"), F.col("raw")).alias("key"), "raw", "kinds", "first", length(F.col("raw")).alias("n"), "n_words")
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -116,16 +133,17 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = [(r.names, r.size) for r in items.select("names", F.col("size")).distinct().orderBy("names", "size").collect()]  # two kinds, at most `words` lengths
     keys = stored(items.select("hash", "names", "size").distinct(), "item-hashes")
     rows = _with_hashes(docs, F.col("text"))
-    arrays = [_windows("a" if names else "b", size, names) for names, size in sizes]
-    rows = rows.withColumns({f"w{k}": x for k, x in enumerate(arrays)})
-    start, starts = F.lit(0), {}
-    for k, of in enumerate(sizes):
-        starts[of], start = start, start + F.size(f"w{k}")
+    for k, (names, size) in enumerate(sizes):
+        rows = _with_windows(rows, "a" if names else "b", size, f"w{k}")
+    ends = [sum((F.size(f"w{j}") for j in range(k)), F.lit(0)) for k in range(len(sizes) + 1)]
     every = F.concat(*(F.col(f"w{k}") for k in range(len(sizes)))) if sizes else F.array().cast("array<bigint>")
-    rows = rows.select("doc_id", "tag", *(c.alias(f"s{k}") for k, c in enumerate(starts.values())), F.posexplode(every).alias("place", "hash"))
+    rows = rows.select("doc_id", "tag", *(c.alias(f"s{k}") for k, c in enumerate(ends)), F.posexplode(every).alias("place", "hash"))
     found = rows.join(sized(keys, 4_000_000), "hash")
-    at = F.coalesce(*(F.when((F.col("names") == names) & (F.col("size") == size), F.col("place") - F.col(f"s{k}")) for k, (names, size) in enumerate(sizes)), F.lit(-1))
-    return stored(found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("names", "size", at.alias("at"))).alias("found")), "hits")
+    # windows of one kind and length may have the hash of another kind's
+    own = [(F.col("names") == names) & (F.col("size") == size) & (F.col("place") >= F.col(f"s{k}")) & (F.col("place") < F.col(f"s{k + 1}")) for k, (names, size) in enumerate(sizes)]
+    at = F.coalesce(*(F.when(x, F.col("place") - F.col(f"s{k}")) for k, x in enumerate(own)), F.lit(None).cast("int"))
+    found = found.withColumn("at", at).filter("at is not null")
+    return stored(found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("names", "size", "at")).alias("found")), "hits")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 8, share: float = 0.5, enough: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
