@@ -12,11 +12,18 @@ from candlewright.functions.scalar import PRICES, nan_as_null
 FIELDS = (*PRICES, "volume")
 
 
-def clean_bars(bars: DataFrame) -> DataFrame:
-    """Doubles without NaN, no bar without any value, one bar per (symbol, ts): of several the one greatest by fields."""
-    bars = bars.select("symbol", "ts", *(F.col(c).cast("double") for c in FIELDS))
+def clean_bars(bars: DataFrame, newest: Column | None = None) -> DataFrame:
+    """Doubles without NaN, no bar without any value, and one bar per (symbol, ts).
+
+    Of several it is the one with the greatest `newest` (a batch number, say), then the one greatest by fields. The
+    window is by symbol and time, as those of the indicators are, so that cleaning takes no exchange of its own.
+    """
+    order = [] if newest is None else [newest.alias("_newest")]
+    bars = bars.select("symbol", "ts", *(F.col(c).cast("double").alias(c) for c in FIELDS), *order)
     bars = nan_as_null(bars, *FIELDS).dropna("all", subset=list(FIELDS))
-    return bars.groupBy("symbol", "ts").agg(F.max(F.struct(*reversed(FIELDS))).alias("x")).select("symbol", "ts", *(F.col(f"x.{c}").alias(c) for c in FIELDS))
+    w = Window.partitionBy("symbol").orderBy("ts", *(F.desc(c) for c in [*(["_newest"] if order else []), *reversed(FIELDS)]))
+    before = F.lag("ts").over(w)
+    return bars.withColumn("_again", F.coalesce(before == F.col("ts"), F.lit(False))).filter("not _again").select("symbol", "ts", *FIELDS)
 
 
 def ohlcv(price: Column, volume: Column, order: Column) -> list[Column]:

@@ -266,6 +266,21 @@ _SQL: dict[str, str] = {
     "obv": f"{_WEEK}, s AS (SELECT *, coalesce(sign(close - lag(close) OVER ({_W})) * volume, 0) AS v FROM bars) SELECT symbol, ts, {_r4(f'sum(v) OVER {_U}')} AS obv FROM s",
     "vwap": f"{_WEEK}, t AS (SELECT *, (high + low + close) / 3 * volume AS tv FROM bars), v AS (SELECT *, {_DIV(_full('sum', 'tv', 20), _full('sum', 'volume', 20))} AS vwap FROM t) SELECT symbol, ts, {_cols('vwap')} FROM v",
     "cci": f"{_WEEK}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), m AS (SELECT *, {_full('avg', 'tp', 20)} AS ma, list(tp) OVER ({_W} ROWS 19 PRECEDING) AS every FROM t), a AS (SELECT *, list_sum(list_transform(every, lambda y: abs(y - ma))) / 20 AS away FROM m) SELECT symbol, ts, {_r4('(tp - ma) / (0.015 * CASE WHEN away > 1e-9 * abs(ma) THEN away END)')} AS cci FROM a",
+    "psar": f"""WITH RECURSIVE {_bars('week')},
+b AS (SELECT *, row_number() OVER w AS k, lag(low) OVER w AS l1, coalesce(lag(low, 2) OVER w, lag(low) OVER w) AS l2, lag(high) OVER w AS h1, coalesce(lag(high, 2) OVER w, lag(high) OVER w) AS h2 FROM bars WINDOW w AS ({_W})),
+r AS (
+  SELECT symbol, ts, k, 1 AS dir, low AS stop, high AS reach, CAST(0.02 AS DOUBLE) AS pace FROM b WHERE k = 1
+  UNION ALL
+  SELECT symbol, ts, k, CASE WHEN crossed THEN -dir ELSE dir END, CASE WHEN crossed THEN reach ELSE near END,
+         CASE WHEN crossed THEN CASE WHEN dir > 0 THEN low ELSE high END WHEN better THEN best ELSE reach END,
+         CASE WHEN crossed THEN CAST(0.02 AS DOUBLE) WHEN better THEN least(pace + CAST(0.02 AS DOUBLE), CAST(0.2 AS DOUBLE)) ELSE pace END
+  FROM (
+    SELECT *, CASE WHEN dir > 0 THEN low < near ELSE high > near END AS crossed, best * dir > reach * dir AS better
+    FROM (
+      SELECT b.symbol, b.ts, b.k, dir, reach, pace, low, high, CASE WHEN dir > 0 THEN high ELSE low END AS best,
+             CASE WHEN dir > 0 THEN least(stop + pace * (reach - stop), l1, l2) ELSE greatest(stop + pace * (reach - stop), h1, h2) END AS near
+      FROM r JOIN b ON b.symbol = r.symbol AND b.k = r.k + 1)))
+SELECT symbol, ts, {_r4("stop")} AS sar, dir AS sar_trend FROM r""",
     "range_52w": f"{_WEEK}, x AS (SELECT *, row_number() OVER ({_W}) AS rn, max(high) OVER ({_W} ROWS 251 PRECEDING) AS h, min(low) OVER ({_W} ROWS 251 PRECEDING) AS l FROM bars) SELECT symbol, ts, {_r4('CASE WHEN rn >= 50 THEN h END')} AS year_high, {_r4('CASE WHEN rn >= 50 THEN l END')} AS year_low FROM x",
     "trend": f"{_WEEK}, {_IND}, {_TREND} SELECT symbol, ts, CAST(trend_score AS INT) AS trend_score, trend_score >= 2 AS trend_ok FROM trend",
     "breakout": _detector("breakout", "bo_pv"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.scalar import plain_symbol, provider_symbol, title_case
+from candlewright.operators.bars import clean_bars
 
 BARS = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
-UNIVERSE = "`Company Name` string, Symbol string, Series string"
 #: Sector labels and the index ticker of each. Fixed values.
 SECTORS = (
     ("Technology", "^CNXIT"), ("Financial Services", "^CNXFIN"), ("Healthcare", "^CNXPHARMA"), ("Energy", "^CNXENERGY"),
@@ -24,13 +26,15 @@ def sectors(spark: SparkSession) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, symbols: DataFrame | None, as_of: str | Column | None = None, days: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Bars of the symbols over the `days` before `as_of`; both filters reach the scan. Symbols lose the provider suffix."""
+    """Clean bars of the symbols over the `days` before `as_of`; both filters reach the scan. Symbols lose the provider
+    suffix, NaN becomes null, empty bars go, and a (symbol, ts) has one bar; see `clean_bars`.
+    """
     reader = spark.read.schema(BARS).option("header", True)
     bars = reader.format(fmt).load(path)
     if as_of is not None:
         bars = window_of(bars, as_of, days)
     bars = bars.withColumn("symbol", plain_symbol(F.col("symbol")))
-    return bars if symbols is None else bars.join(symbols.select("symbol"), "symbol", "left_semi")
+    return clean_bars(bars if symbols is None else bars.join(symbols.select("symbol"), "symbol", "left_semi"))
 
 
 def window_of(bars: DataFrame, as_of: str | Column, days: int | None) -> DataFrame:
@@ -40,9 +44,14 @@ def window_of(bars: DataFrame, as_of: str | Column, days: int | None) -> DataFra
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """pos, symbol, name, yf_symbol of a constituents file; order is the file's."""
-    rows = spark.read.schema(UNIVERSE).csv(path, header=True, enforceSchema=False)
-    return universe(rows.withColumn("pos", F.monotonically_increasing_id()))
+    """pos, symbol, name, yf_symbol of a constituents file, read by column names; further columns play no part.
+
+    pos is the place in the file. Such a list has a row per symbol, so that numbering it in one task is no burden.
+    """
+    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    place = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
+    rows = rows.select(*(c for c in rows.columns if c in ("Company Name", "Symbol", "Series")), F.struct(*(F.col(c) if isinstance(c, str) else c for c in place)).alias("place"))
+    return universe(rows.withColumn("pos", F.row_number().over(Window.orderBy("place")) - 1))
 
 
 def universe(rows: DataFrame, series: str = "EQ") -> DataFrame:
@@ -70,9 +79,11 @@ def missing(constituents: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, run_id: str) -> None:
-    """Append a run's results under its id, sorted for reading by score. A second write of the same run replaces it."""
-    rows = results.withColumn("run_id", F.lit(run_id)).repartition("run_id").sortWithinPartitions("run_id", F.desc("score"))
-    rows.write.partitionBy("run_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Write a run's results under its id, each file in order of falling score. A second write of the same run replaces
+    the first, also where it has no rows.
+    """
+    rows = results.drop("run_id").sortWithinPartitions(F.desc("score"))
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe=' ')}")
 
 
 def write_run_event(spark: SparkSession, path: str, **event) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from candlewright.functions.settings import DEFAULTS, Settings
-from candlewright.operators.bars import ohlcv
+from candlewright.operators.bars import clean_bars, ohlcv
 from candlewright.plans.scan import scan
-from candlewright.sources.tables import BARS, write_results
+from candlewright.sources.tables import BARS, write_results, write_run_event
+
+#: Stands for the time at which an event is written.
+NOW = object()
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -21,11 +25,24 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -
     return rows.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def incremental_scan(spark: SparkSession, arriving: str, stored: str, results: str, checkpoint: str, constituents: DataFrame, settings: Settings = DEFAULTS, run: Callable[[str], str] = lambda day: f"scan-{day}", benchmark: bool = True) -> StreamingQuery:
-    """Take bar files that arrived, store them, and scan as of their last day.
+def incremental_scan(
+    spark: SparkSession,
+    arriving: str,
+    stored: str,
+    results: str,
+    checkpoint: str,
+    constituents: DataFrame,
+    settings: Settings = DEFAULTS,
+    run: Callable[[str], str] = lambda day: f"scan-{day}",
+    benchmark: bool | DataFrame = True,
+    earnings: DataFrame | None = None,
+    events: str | None = None,
+) -> StreamingQuery:
+    """Take bar files that arrived, store them, and scan as of their last day; the nightly job as an incremental batch.
 
     Each batch writes its bars and its results under names made from the batch and its day, so that a batch that is
-    played again replaces what it wrote before.
+    played again replaces what it wrote before. Of several bars of a (symbol, ts) the last batch's counts. With `events`
+    a run is entered there as running, then as done with its counts, or as in error with what went wrong.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -33,9 +50,21 @@ def incremental_scan(spark: SparkSession, arriving: str, stored: str, results: s
         last = spark.read.schema(BARS).parquet(f"{stored}/batch={number}").agg(F.max("ts").cast("date").cast("string")).head()[0]
         if last is None:
             return
-        history = spark.read.schema(BARS).parquet(f"{stored}/batch=*").dropDuplicates(["symbol", "ts"])
-        found = scan(history, constituents, f"{last} 23:59:59", settings=settings, benchmark=benchmark)
-        write_results(found, results, run(last))
+        history = clean_bars(spark.read.schema(f"{BARS}, batch long").parquet(stored), F.col("batch"))
+
+        def tell(**what) -> None:
+            if events:
+                now = dt.datetime.now()
+                write_run_event(spark, events, id=run(last), event_ts=now, **{k: now if v is NOW else v for k, v in what.items()})
+
+        tell(status="running", started_at=NOW, total=constituents.count() if events else None)
+        try:
+            found = scan(history, constituents, f"{last} 23:59:59", earnings, settings, benchmark)
+            write_results(found, results, run(last))
+            tell(status="done", passed=spark.read.parquet(f"{results}/run_id={run(last)}").count() if events else None, finished_at=NOW)
+        except Exception as e:
+            tell(status="error", error=str(e)[:1000], finished_at=NOW)
+            raise
 
     bars = spark.readStream.schema(BARS).parquet(arriving)
     return bars.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from candlewright import oracles, queries
-from candlewright.functions.scalar import title_case
+from candlewright.functions.scalar import plain_symbol, title_case
+from candlewright.functions.settings import Settings
 from candlewright.operators import bars, legacy, strength
 from candlewright.plans import backtest, scan, serving
 from candlewright.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-QUICK = ("bars_weekly", "bars_monthly", "ema", "ema_blocks", "adx", "cci", "trend", "breakout", "setups", "trades", "expectancy", "rs_rank", "scan_asof", "scan_history", "scan_history_benchmark_missing", "latest_results", "funnel", "earnings_flag", "chart_series", "chart_nested", "wide_to_long", "v1_signals", "v1_fundamentals", "missing_symbols", "universe", "read_list", "session_ticks")
+QUICK = ("bars_weekly", "bars_monthly", "ema", "ema_blocks", "adx", "cci", "psar", "trend", "breakout", "setups", "trades", "expectancy", "rs_rank", "scan_asof", "scan_history", "scan_history_benchmark_missing", "latest_results", "funnel", "earnings_flag", "chart_series", "chart_nested", "wide_to_long", "v1_signals", "v1_fundamentals", "missing_symbols", "universe", "read_list", "session_ticks")
 
 
 def plain(x):
@@ -45,8 +46,8 @@ def test_wide_to_long_of_all_rows(spark):
     assert queries.QUERIES["wide_to_long_all"](spark, DATA).agg({"volume": "sum"}).first()[0] == pytest.approx(total)
 
 
-def test_every_query_but_one_has_sql():
-    assert set(queries.QUERIES) - set(oracles.ORACLE_SQL) == {"psar"}
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(oracles.ORACLE_SQL)
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
 
 
@@ -89,6 +90,9 @@ def test_universe_file_and_names(spark, tmp_path):
     path.write_text("Company Name,Symbol,Series\n3M INDIA , MMM ,EQ\no'neil,ONE, EQ \nL&T,LT,BE\nX,XX,\n")
     got = tables.read_universe(spark, str(path)).orderBy("pos").collect()
     assert [(r.symbol, r.name, r.yf_symbol) for r in got] == [("MMM", "3M India", "MMM.NS"), ("ONE", "O'Neil", "ONE.NS")]
+    path.write_text("Company Name,Industry,Symbol,ISIN Code\n" + "".join(f"name {k},x, S{k} ,I\n" for k in range(500)))
+    got = tables.read_universe(spark, str(path)).collect()
+    assert [(r.pos, r.symbol, r.name) for r in sorted(got)] == [(k, f"S{k}", f"Name {k}") for k in range(500)]
     names = spark.createDataFrame([("L&T o'neil",)], "n string").select(title_case(F.col("n"))).first()[0]
     assert names == "L&T O'Neil"
 
@@ -100,6 +104,44 @@ def test_cleaning(spark):
     assert set(got) == {"A", "C"} and got["A"].volume == 11.0 and got["C"].open is None
 
 
+def test_read_bars_cleans_and_filters(spark, tmp_path):
+    t, path = dt.datetime(2020, 1, 10), str(tmp_path / "bars")
+    rows = [("A.NS", t, 1.0, 2.0, 0.5, 1.5, 10.0), ("A.NS", t, 1.0, 2.0, 0.5, 1.5, 11.0), ("A.NS", t - dt.timedelta(1), float("nan"), 2.0, 1.0, 1.0, 1.0), ("A.NS", t - dt.timedelta(2), *[None] * 5), ("A.NS", t - dt.timedelta(40), *[1.0] * 5), ("A.NS", t + dt.timedelta(1), *[1.0] * 5), ("B.NS", t, *[1.0] * 5)]
+    spark.createDataFrame(rows, tables.BARS).write.parquet(path)
+    got = tables.read_bars(spark, path, spark.createDataFrame([("A",)], "symbol string"), "2020-01-10", 30)
+    assert [(r.symbol, r.ts.day, r.open, r.volume) for r in got.orderBy("ts").collect()] == [("A", 9, None, 1.0), ("A", 10, 1.0, 11.0)]
+    assert tables.read_bars(spark, path, None).count() == 5
+    newest = [("A", t, 9.0, 9.0, 9.0, 9.0, 9.0, 1), ("A", t, 1.0, 1.0, 1.0, 1.0, 1.0, 2)]
+    assert bars.clean_bars(spark.createDataFrame(newest, tables.BARS + ", batch long"), F.col("batch")).first().volume == 1.0
+
+
+def test_plain_symbols(spark):
+    df = spark.createDataFrame([("A.NS",), ("B",), ("C.NS.NS",)], "s string")
+    assert [r[0] for r in df.select(plain_symbol(F.col("s"))).collect()] == ["A", "B", "C"]
+
+
+def test_strength_without_benchmark_rows(spark):
+    """No bar of the benchmark: absolute strength. A benchmark too short for any window: no score."""
+    days = [dt.datetime(2020, 1, 1) + dt.timedelta(k) for k in range(30)]
+    rows = [(s, d, *[100.0 + k * step] * 4, 1e6) for s, step in (("A", 1.0), ("B", 2.0), ("C", -1.0)) for k, d in enumerate(days)]
+    names = spark.createDataFrame([(k, s, s) for k, s in enumerate("ABC")], "pos int, symbol string, name string")
+    own, short = spark.createDataFrame(rows, tables.BARS), spark.createDataFrame([("^NSEI", days[-1], *[5.0] * 5)], tables.BARS)
+    s = Settings(min_turnover=1.0)
+    ranks = lambda bars, b: {r.symbol: r.rs_rank for r in scan.judged(bars, names, "2020-01-30", s, b).collect()}
+    want = ranks(own, False)
+    assert want == {"B": 100.0, "A": 66.7, "C": 33.3} and ranks(own, True) == ranks(own, short.limit(0)) == want
+    assert ranks(own.union(short), True) == ranks(own, short) == {"A": None, "B": None, "C": None}
+    history = lambda b: strength.strength(strength.returns(own, s), None if b is None else strength.returns(b, s).drop("symbol"), "ts", settings=s).count()
+    assert history(None) == history(short.limit(0)) == 27 and history(short) == 24
+
+
+def test_scan_reads_its_bars_once(spark):
+    """One scan of the bars and one of the benchmark's; as-of and all-bar scans alike."""
+    for name in ("scan_asof", "scan_history"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 9, name
+
+
 def test_runs_and_results(spark, tmp_path):
     at = lambda h: dt.datetime(2020, 1, 1, h)
     events = str(tmp_path / "runs")
@@ -113,7 +155,11 @@ def test_runs_and_results(spark, tmp_path):
     for _ in range(2):  # played again
         tables.write_results(rows, results, "a")
     tables.write_results(rows, results, "gone")
+    tables.write_results(rows, results, "2020:01")
+    assert spark.read.parquet(results).filter("run_id = '2020:01'").count() == 2
+    tables.write_results(rows.limit(0), results, "2020:01")  # nothing found this time
     stored = spark.read.parquet(results)
+    assert stored.filter("run_id = '2020:01'").count() == 0
     assert [r.symbol for r in serving.latest_results(runs, stored).collect()] == ["T", "S"]
     assert serving.results_of_runs(stored, runs).count() == 2
     with pytest.raises(ValueError):

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.settings import Settings
 from candlewright.operators.bars import resample_ticks
-from candlewright.queries import _all_bars, _constituents
+from candlewright.queries import _bars, _bench, _constituents, _earnings
+from candlewright.plans.scan import scan
+from candlewright.plans.serving import run_status
+from candlewright.sources.tables import current_runs
 from candlewright.streaming.live import incremental_scan, stream_bars
 
 TICKS = "symbol string, ts timestamp, price double, volume double"
@@ -27,14 +30,24 @@ def test_stream_gives_the_batch_bars_and_drops_late_ticks(spark, tmp_path):
 
 def test_incremental_scan_stores_each_day_once(spark, tmp_path):
     data, s = "/root/testdata/sf0.001", Settings(benchmark="^BENCH", min_turnover=5e4, history_days=3650)
-    arriving, stored, results = (str(tmp_path / x) for x in ("in", "bars", "results"))
-    bars = _all_bars(spark, data).filter("ts <= timestamp'2001-06-04'")
+    arriving, stored, results, events = (str(tmp_path / x) for x in ("in", "bars", "results", "events"))
+    every = _bars(spark, data).unionByName(_bench(spark, data))
+    bars, more = every.filter("ts <= timestamp'2001-05-28'"), every.filter("ts > timestamp'2001-05-21' and ts <= timestamp'2001-06-04'")
     bars.coalesce(1).write.mode("append").parquet(arriving)
+    how = dict(earnings=_earnings(spark, data), events=events)
     args = (spark, arriving, stored, results, str(tmp_path / "check"), _constituents(spark, data), s)
-    incremental_scan(*args).awaitTermination()
+    incremental_scan(*args, **how).awaitTermination()
     assert spark.read.parquet(stored).count() == bars.count()
-    found = spark.read.parquet(results)
-    assert [r.run_id for r in found.select("run_id").distinct().collect()] == ["scan-2001-06-04"]
-    n = found.count()
-    incremental_scan(*args).awaitTermination()  # nothing new
-    assert spark.read.parquet(results).count() == n >= 1
+    more.coalesce(1).write.mode("append").parquet(arriving)  # one week comes again
+    incremental_scan(*args, **how).awaitTermination()
+    found = spark.read.parquet(results).filter("run_id = 'scan-2001-06-04'")
+    want = scan(every.filter("ts <= timestamp'2001-06-04'"), _constituents(spark, data), "2001-06-04", _earnings(spark, data), s)
+    plain = lambda df: sorted(map(str, df.select("symbol", "score", "rs_rank", "setup_type", "earnings_flag", "stop").collect()))
+    assert plain(found) == plain(want) and found.count() >= 1
+    run = run_status(current_runs(spark.read.parquet(events)), "scan-2001-06-04").first()
+    assert (run.status, run.passed, run.total) == ("done", found.count(), _constituents(spark, data).count())
+    n = spark.read.parquet(results).count()
+    incremental_scan(*args, **how).awaitTermination()  # nothing new
+    assert spark.read.parquet(results).count() == n
+    incremental_scan(*args[:4], str(tmp_path / "again"), *args[5:], **how).awaitTermination()  # all files once more, as one batch
+    assert plain(spark.read.parquet(results).filter("run_id = 'scan-2001-06-04'")) == plain(want)
