@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import chat, line_dedup
+from candlewright.llm import chat, line_dedup, near_dedup, substring_dedup
 from candlewright.llm.decontamination import decontaminate
 from candlewright.llm.mixing import mix_sources
 from candlewright.llm.near_dedup import near_duplicates
@@ -79,4 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_chat_format": chat.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op3_chat_format": chat.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
+    "op6_near_dedup": near_dedup.SQL,
+}

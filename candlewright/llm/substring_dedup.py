@@ -194,3 +194,22 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+#: The same for DuckDB, with windows of 50 words.
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(1, greatest(len(words) - 48, 1))) AS p, words FROM w WHERE len(words) >= 50),
+hashed AS (SELECT doc_id, p, md5_number(array_to_string(words[p:p + 49], ' ')) AS h FROM starts),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first FROM hashed) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM later),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i
+  GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from candlewright.llm import line_dedup, near_dedup, shared
+from candlewright.llm import line_dedup, near_dedup, queries, shared
 from candlewright.llm.near_dedup import near_duplicates, without_near_duplicates
 from candlewright.llm.shared import words
 from candlewright.llm.substring_dedup import marks, remove_repeats
@@ -218,12 +218,13 @@ def test_lines(spark, gram, window):
     assert sorted(got) == lines_brute(rows, gram + window - 1)
 
 
-def test_lines_sql(spark):
-    path = "/root/testdata/sf0.001/documents.parquet"
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_substring_dedup", "op6_near_dedup"])
+def test_queries_against_their_sql(spark, name):
+    data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
-    got = line_dedup.remove_repeated_lines(spark.read.parquet(path)).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text").toPandas()
-    want = con.sql(line_dedup.SQL).df()[list(got.columns)]
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got = queries.QUERIES[name](spark, data).toPandas()
+    want = con.sql(queries.ORACLE_SQL[name]).df()[list(got.columns)]
     sort = lambda d: d.sort_values("doc_id").reset_index(drop=True)
-    pd.testing.assert_frame_equal(sort(got), sort(want), check_dtype=False)
-    assert got.n_removed.sum() > 0
+    pd.testing.assert_frame_equal(sort(got), sort(want))
+    assert (~got.kept).sum() > 0 if "kept" in got else got.n_removed.sum() > 0
