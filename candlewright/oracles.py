@@ -293,6 +293,7 @@ SELECT symbol, ts, {_r4("stop")} AS sar, dir AS sar_trend FROM r""",
     "scan_history": f"{_HISTORY} SELECT * FROM results",
     "scan_history_benchmark_missing": f"{_history(False)} SELECT * EXCLUDE (signals_triggered) FROM results",
     "scan_asof": f"{_ASOF}, r AS (SELECT * FROM judged WHERE {_GATES}) SELECT {_RESULT.format(day=_DAY)} FROM r LEFT JOIN constituents n ON r.symbol = n.symbol",
+    "scan_asof_ranked": f"{_ASOF}, r AS (SELECT * FROM judged WHERE {_GATES}), x AS (SELECT {_RESULT.format(day=_DAY)}, pos FROM r LEFT JOIN constituents n ON r.symbol = n.symbol) SELECT symbol, score, rs_rank, setup_type, earnings_flag, CAST(row_number() OVER (ORDER BY score DESC, pos) AS INT) AS place FROM x".replace("2001-06-04", "1996-10-14"),
     "funnel": f"{_ASOF} SELECT count(*) AS total, count_if(liquid) AS liquid, count_if(coalesce(rs_rank >= 60, false)) AS strong, count_if(coalesce(rs_rank >= 60, false) AND rn >= 60 AND trend_score >= 2) AS trending, count_if(coalesce({_GATES}, false)) AS passed FROM judged",
     "trades": f"{_TRADES} SELECT symbol, date, setup_type, {_cols('entry', 'exit')}, return_pct, win FROM trades",
     "expectancy": f"{_TRADES} {_EXPECT}",

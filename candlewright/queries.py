@@ -137,6 +137,13 @@ def scan_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asof(spark, sf_dir, AS_OF)
 
 
+def scan_asof_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day with several results and scores, and each one's place among them."""
+    rows = scan.scan(_bars(spark, sf_dir), _constituents(spark, sf_dir), "1996-10-14", _earnings(spark, sf_dir), SETTINGS, _bench(spark, sf_dir))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "pos"))  # a row per symbol that passed
+    return rows.select("symbol", "score", "rs_rank", "setup_type", "earnings_flag", place.alias("place"))
+
+
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.funnel(scan.judged(_bars(spark, sf_dir), _constituents(spark, sf_dir), AS_OF, SETTINGS, _bench(spark, sf_dir)), SETTINGS)
 
@@ -277,7 +284,7 @@ def v1_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "expectancy": expectancy, "trades": trades, "scan_history": scan_history, "scan_asof": scan_asof, "funnel": funnel,
+    "expectancy": expectancy, "trades": trades, "scan_history": scan_history, "scan_asof": scan_asof, "scan_asof_ranked": scan_asof_ranked, "funnel": funnel,
     "scan_history_benchmark_missing": scan_history_benchmark_missing,
     "bars_weekly": bars("week"), "bars_daily": bars("day"), "bars_monthly": bars_monthly,
     "ema": _indicator(lambda b: indicators.ema(b, 9, 20, 21, 50, 200), "ema9", "ema20", "ema21", "ema50", "ema200"),
