@@ -12,6 +12,9 @@ windows verify, goes as a whole. The first of equal runs stay open where their m
 part of a run may stand in another one, as at the ends of a shared passage. Any window of an open run that a smaller
 document has, the smallest such document has in an open run of its own, as else a still smaller one would have it. So
 windows are digested one by one for open runs only, and words under a window that a smaller document has are removed.
+
+All joins go by the keys' hashes, at every size of the table alike; each joined side is a stored table, so that a hot
+mark, digest or document may be split between tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import Words, id_and_text, mix, pieces, sized, stored, windows, within, words
+from candlewright.llm.shared import Words, id_and_text, mix, pieces, stored, windows, within, words
 
 #: Rounds of pairing; a window of 50 words has no certain symbol left after fewer.
 ROUNDS = 9
@@ -139,14 +142,14 @@ def _open_windows(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch({"a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "place": _place(start, batch.column("tag").to_numpy()[text])})
 
     by_row = stored(open_.groupBy("doc_id", _tag()).agg(F.collect_set(F.struct(_start().alias("s"), "n")).alias("runs")), "open-runs")
-    rows = docs.join(sized(by_row, values=F.size("runs")), ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
+    rows = docs.join(by_row, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
     return stored(rows.mapInArrow(digest, "a long, b int, doc_id long, place long"), "windows")
 
 
 def _earlier(rows: DataFrame, name: str) -> DataFrame:
     """a, b, at: the smallest document of each digest that several have. Stored, so that a join may split a hot digest."""
     both = rows.groupBy("a", "b").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("z"))
-    return sized(stored(both.filter("at < z").select("a", "b", "at"), name))
+    return stored(both.filter("at < z").select("a", "b", "at"), name)
 
 
 def _repeats(docs: DataFrame, size: int) -> DataFrame:
@@ -154,7 +157,7 @@ def _repeats(docs: DataFrame, size: int) -> DataFrame:
     runs = _runs(docs, size)
     by_mark = runs.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.min("a") < F.max("a")).alias("several"))
     by_mark = stored(by_mark.filter("x < y").select("mark", "several"), "marks")
-    runs = stored(runs.join(sized(by_mark), "mark").drop("mark"), "shared-runs")
+    runs = stored(runs.join(by_mark, "mark").drop("mark"), "shared-runs")
     runs = stored(runs.join(_earlier(runs, "first-runs"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
     found = _open_windows(docs, runs.filter("several and not later"), size)
     later = found.join(_earlier(found, "first-windows"), ["a", "b"]).filter("doc_id > at").select("doc_id", "place", F.lit(1).alias("n"))
@@ -175,8 +178,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     any, so that its row stays whole. Other columns play no part; an empty table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.hash("text"))
-    gone = sized(_repeats(docs, size), values=F.size("lows"))
-    rows = docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
+    rows = docs.join(_repeats(docs, size), ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from candlewright.llm import line_dedup, near_dedup, queries, shared
+from candlewright.llm import line_dedup, near_dedup, queries
 from candlewright.llm.near_dedup import near_duplicates, without_near_duplicates
 from candlewright.llm.shared import words
 from candlewright.llm.substring_dedup import marks, remove_repeats
@@ -74,8 +74,8 @@ def test_substrings(spark, corpus):
     assert sorted(map(str, got)) == sorted(map(str, [*want, again, (None, len(whole), 0, " ".join(whole))]))
 
 
-def test_rows_of_one_id_and_parts_of_passages(spark, monkeypatch):
-    """Rows of one doc_id and text lengths apart, passages within passages, and the shuffle in place of broadcasts."""
+def test_rows_of_one_id_and_parts_of_passages(spark):
+    """Rows of one doc_id and text lengths apart, passages within passages, with and without Spark's own broadcasts."""
     draw = random.Random(9)
     say = lambda n: [draw.choice([f"v{k}" for k in range(900)]) for _ in range(n)]
     passage, rows = say(260), []
@@ -89,10 +89,11 @@ def test_rows_of_one_id_and_parts_of_passages(spark, monkeypatch):
         w = t.split()
         gone = {p + j for p in range(len(w) - 49) if first.setdefault(tuple(w[p : p + 50]), k) < k for j in range(50)}
         want.append((k, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
-    for limit in (shared.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(shared.sized, "__defaults__", (limit, None))
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         got = [tuple(r) for r in remove_repeats(make(spark, rows).repartition(3)).collect()]
         assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 900
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_equal_windows_have_equal_marks(corpus):
