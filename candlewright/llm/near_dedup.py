@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import id_and_text, mix, pieces, sized, stored, windows, within, without_ids, words
+from candlewright.llm.shared import discard, id_and_text, mix, pieces, sized, stored, windows, within, without_ids, words
 
 SYMBOLS, BITS, LANES = 64, 12, 5
 #: Differing symbols allowed in a chunk, and the chance that sets as similar as asked exceed the threshold.
@@ -145,7 +145,8 @@ def may_link(x: str, y: str, most: int, percent: int) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """id, label: the smallest id reachable over links (a, b); ids without a link have no row.
 
-    Large-star and small-star rounds in turn; every round is stored, so that a lost executor costs no more than one.
+    Large-star and small-star rounds in turn; every round is stored, so that a lost executor costs no more than one, and
+    the round before is deleted.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     mark = F.expr("struct(count(*), bit_xor(xxhash64(u, v)))")
@@ -158,8 +159,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
+        spent, edges = edges, stored(small.distinct(), "edges")
         before, now = now, edges.agg(mark).head()[0]
+        discard(spent, large)
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
@@ -262,6 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         links = links.union(stored(_confirmed(docs, more, size, percent), "links"))
         labels = sized(components(links))
 
+    discard(signed, reps, members, open_)
     out = nodes.join(labels, "id", "left")
     own = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)

@@ -50,6 +50,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` gave, once no job reads them any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
     """`df` with a broadcast hint if it has at most `limit` rows, else as it is. Give it stored tables.
 

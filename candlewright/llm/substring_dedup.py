@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import Words, id_and_text, mix, pieces, stored, windows, within, words
+from candlewright.llm.shared import Words, discard, id_and_text, mix, pieces, stored, windows, within, words
 
 #: Rounds of pairing; a window of 50 words has no certain symbol left after fewer.
 ROUNDS = 9
@@ -154,11 +154,13 @@ def _earlier(rows: DataFrame, name: str) -> DataFrame:
 
 def _repeats(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tag, lows, highs: from where to where windows of each row start that a smaller document has too."""
-    runs = _runs(docs, size)
-    by_mark = runs.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.min("a") < F.max("a")).alias("several"))
+    every = _runs(docs, size)
+    by_mark = every.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.min("a") < F.max("a")).alias("several"))
     by_mark = stored(by_mark.filter("x < y").select("mark", "several"), "marks")
-    runs = stored(runs.join(by_mark, "mark").drop("mark"), "shared-runs")
-    runs = stored(runs.join(_earlier(runs, "first-runs"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
+    shared = stored(every.join(by_mark, "mark").drop("mark"), "shared-runs")
+    discard(every, by_mark)
+    runs = stored(shared.join(_earlier(shared, "first-runs"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
+    discard(shared)
     found = _open_windows(docs, runs.filter("several and not later"), size)
     later = found.join(_earlier(found, "first-windows"), ["a", "b"]).filter("doc_id > at").select("doc_id", "place", F.lit(1).alias("n"))
     rows = later.union(runs.filter("later").select("doc_id", "place", "n"))
@@ -166,7 +168,9 @@ def _repeats(docs: DataFrame, size: int) -> DataFrame:
     rows = rows.groupBy("doc_id", _tag()).agg(F.array_sort(F.collect_set(span)).alias("s"))
     low = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1)["high"], F.lit(-2)) != x["low"] - 1)
     high = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1)["low"], F.lit(-2)) != x["high"] + 1)
-    return stored(rows.select("doc_id", "tag", F.transform(low, lambda x: x["low"]).alias("lows"), F.transform(high, lambda x: x["high"]).alias("highs")), "repeats")
+    out = stored(rows.select("doc_id", "tag", F.transform(low, lambda x: x["low"]).alias("lows"), F.transform(high, lambda x: x["high"]).alias("highs")), "repeats")
+    discard(runs, found)
+    return out
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import coded, id_and_text, pieces, stored, totals
+from candlewright.llm.shared import coded, discard, id_and_text, pieces, stored, totals
 
 #: Four lengths for each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -257,7 +257,9 @@ def write_token_ids(docs: DataFrame, path: str, end: int, name: str = "token-ids
 
     rows = coded_rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "sum", "data", "control")
     blocks = rows.mapInArrow(gather, "shard int, block long, doc_ids array<long>, counts array<long>, control binary, data binary")
-    return stored(blocks, f"{name}-blocks"), ranks
+    blocks = stored(blocks, f"{name}-blocks")
+    discard(raw)
+    return blocks, ranks
 
 
 def read_token_ids(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
