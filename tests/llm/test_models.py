@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from candlewright.llm import chat, decontamination, mixing, quality, toxicity
+from candlewright.llm.line_dedup import remove_repeated_lines
 from candlewright.llm.mixing import mix_sources, mixed, source_targets
-from candlewright.llm.near_dedup import without_near_duplicates
+from candlewright.llm.near_dedup import near_duplicates, without_near_duplicates
 from candlewright.llm.shared import id_and_text
+from candlewright.llm.substring_dedup import remove_repeats
+from candlewright.llm.token_counts import token_counts
+from candlewright.llm.token_ids import read_token_ids, write_token_ids
 
 DATA = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -446,3 +451,30 @@ def test_pipeline_stages(spark):
     end = corpus_pipeline.token_ids(spark, mix, DATA).toPandas().sort_values("start")
     assert len(end) == sum(copies.values()) and end.doc_id.is_monotonic_increasing
     assert (end.start == end.n_tokens.cumsum() - end.n_tokens).all()
+
+
+# all of them
+
+
+def test_a_very_long_text(spark):
+    """One text of 600,000 characters in 6,000 lines beside short ones, through every operator over documents."""
+    draw = random.Random(13)
+    long = "\n".join(" ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) + str(draw.randint(0, 999)) for _ in range(12)) for _ in range(6_000))
+    docs = spark.createDataFrame([(1, long, "s"), (2, "a short text of a few words, no more", "s"), (3, long[: len(long) // 2], None)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    words = [len(WORD.findall(r.text)) for r in docs.orderBy("doc_id").collect()]
+    by_id = lambda df: [r for r in df.orderBy("doc_id").collect()]
+    assert [r.n_words for r in by_id(quality.quality(docs, labels))] == words
+    assert all(0 <= r.score <= 1 for r in by_id(toxicity.toxicity(docs, labels)))
+    kept = by_id(remove_repeats(docs))
+    assert [r.n_words for r in kept] == words and kept[2].n_removed >= words[2] - 1 and kept[0].n_removed == 0
+    lines = by_id(remove_repeated_lines(docs))
+    assert [r.n_removed for r in lines][:2] == [0, 0] and lines[2].n_removed >= lines[2].n_lines - 1
+    assert [r.component_id for r in by_id(near_duplicates(docs, 3, 85))] == [1, 2, 3]
+    counts = by_id(token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    assert counts[0].n_bytes == len(long.encode()) and counts[0].n_tokens > 1.9 * counts[2].n_tokens and counts[0].over_limit
+    ids = by_id(read_token_ids(*write_token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 1)))
+    assert ids[0].n_tokens > words[0] and ids[2].start == ids[0].n_tokens + ids[1].n_tokens
+    assert [r.size for r in by_id(mix_sources(docs))] == words
+    item = spark.createDataFrame([(7, " ".join(long.split()[30_000:30_030]))], "item_id long, text string")
+    assert [r.contaminated for r in by_id(decontamination.decontaminate(docs, item))] == [True, False, True]
