@@ -190,18 +190,23 @@ def keep_good(docs: DataFrame, labels: DataFrame, bound: int = 2_000, share: flo
     """The rows of `docs` (with doc_id and text) that `quality` keeps, in one pass; columns as they are."""
     field = fit(id_and_text(docs), labels, bound)
     names = [f"c{k}" for k in range(len(docs.columns))]
-    rest = docs.toDF(*names).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.col(names[docs.columns.index("text")]).cast("string")})
-    return judge(rest, field, share).filter("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    text = names[docs.columns.index("text")]
+    if dict(docs.dtypes)["text"] != "string":
+        raise TypeError("the column text has to be a string")
+    rest = docs.toDF(*names).withColumn("doc_id", F.lit(None).cast("long"))
+    return judge(rest, field, share, text).filter("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
-def judge(docs: DataFrame, field: Field, share: float = 0.5) -> DataFrame:
-    """The columns of `quality` for doc_id, text by a fitted field; further columns of `docs` stay beside them."""
+def judge(docs: DataFrame, field: Field, share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The columns of `quality` for doc_id and a text by a fitted field; further columns of `docs` stay beside them, and
+    so does the text if it has another name than `text`.
+    """
     more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     out = _OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            text = batch.column("text")
+        for batch in pieces(batches, column=text_col):
+            text = batch.column(text_col)
             w, at = words(text), text_bytes(text)[1]
             data = w.data
             symbol = np.concatenate([[0], np.cumsum(np.isin(data, list(SYMBOLS)), dtype=np.int64)])

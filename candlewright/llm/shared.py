@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a worker looks at together; temporary arrays are several times as large.
 PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers, at most, in jobs that write helper tables.
+BATCH_BYTES = 8 << 20
 #: Regular expression (Java) of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,10 +50,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: work is cut there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES for the jobs inside; the session's own setting comes back afterwards."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(limit)
+        else:
+            spark.conf.set(limit, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `stored` gave, once no job reads them any more."""
     for table in tables:
@@ -87,20 +107,33 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has about `limit` bytes of text, one row at least."""
-    for batch in batches:
-        sizes = batch.column("text").nbytes if batch.num_rows else 0
+    for number, batch in enumerate(batches):
+        if number:
+            give_back()
+        sizes = batch.column(column).nbytes if batch.num_rows else 0
         if sizes <= limit:
             if batch.num_rows:
                 yield batch
             continue
-        each = np.diff(_offsets(batch.column("text")))
+        each = np.diff(_offsets(batch.column(column)))
         at, end = 0, np.cumsum(each)
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    give_back()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def _offsets(text: pa.Array) -> np.ndarray:

@@ -90,7 +90,7 @@ class Encoder:
     is met again moves to the new one.
     """
 
-    def __init__(self, path: str, words: int = 200_000):
+    def __init__(self, path: str, words: int = 120_000):
         from tokenizers import Tokenizer
 
         check_tokenizer(path)
