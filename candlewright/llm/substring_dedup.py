@@ -142,7 +142,7 @@ def _open_windows(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch({"a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "place": _place(start, batch.column("tag").to_numpy()[text])})
 
     by_row = stored(open_.groupBy("doc_id", _tag()).agg(F.collect_set(F.struct(_start().alias("s"), "n")).alias("runs")), "open-runs")
-    rows = docs.join(by_row, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
+    rows = docs.join(by_row.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
     return stored(rows.mapInArrow(digest, "a long, b int, doc_id long, place long"), "windows")
 
 
@@ -157,12 +157,12 @@ def _repeats(docs: DataFrame, size: int) -> DataFrame:
     every = _runs(docs, size)
     by_mark = every.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.min("a") < F.max("a")).alias("several"))
     by_mark = stored(by_mark.filter("x < y").select("mark", "several"), "marks")
-    shared = stored(every.join(by_mark, "mark").drop("mark"), "shared-runs")
+    shared = stored(every.join(by_mark.hint("merge"), "mark").drop("mark"), "shared-runs")
     discard(every, by_mark)
-    runs = stored(shared.join(_earlier(shared, "first-runs"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
+    runs = stored(shared.join(_earlier(shared, "first-runs").hint("merge"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
     discard(shared)
     found = _open_windows(docs, runs.filter("several and not later"), size)
-    later = found.join(_earlier(found, "first-windows"), ["a", "b"]).filter("doc_id > at").select("doc_id", "place", F.lit(1).alias("n"))
+    later = found.join(_earlier(found, "first-windows").hint("merge"), ["a", "b"]).filter("doc_id > at").select("doc_id", "place", F.lit(1).alias("n"))
     rows = later.union(runs.filter("later").select("doc_id", "place", "n"))
     span = F.struct(_start().alias("low"), (_start() + F.col("n") - 1).alias("high"))
     rows = rows.groupBy("doc_id", _tag()).agg(F.array_sort(F.collect_set(span)).alias("s"))
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     any, so that its row stays whole. Other columns play no part; an empty table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.hash("text"))
-    rows = docs.join(_repeats(docs, size), ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
+    rows = docs.join(_repeats(docs, size).hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
