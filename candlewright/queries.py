@@ -202,7 +202,7 @@ def _runs(results: DataFrame) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _history(spark, sf_dir).cache()  # results are few; runs and results are read from them apart
+    rows = tables.cut(_history(spark, sf_dir))  # written once; runs and results are read from them apart
     return _runs(rows), rows.withColumn("run_id", F.concat(F.lit("run-"), F.to_date("ts").cast("string")))
 
 

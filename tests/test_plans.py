@@ -136,7 +136,8 @@ def test_strength_without_benchmark_rows(spark):
 
 
 def test_scan_reads_its_bars_once(spark):
-    """One scan of the bars and one of the benchmark's; as-of and all-bar scans alike."""
+    """One scan of the bars and one of the benchmark's; as-of and all-bar scans alike, also after a query that writes results."""
+    queries.QUERIES["run_status"](spark, DATA).collect()
     for name in ("scan_asof", "scan_history"):
         plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("lineitem.parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 9, name
