@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import chat, line_dedup, near_dedup, substring_dedup
+from candlewright.llm import centroids, chat, line_dedup, near_dedup, substring_dedup
+from candlewright.llm.centroids import cluster_vectors
 from candlewright.llm.decontamination import decontaminate
 from candlewright.llm.mixing import mix_sources
 from candlewright.llm.near_dedup import near_duplicates
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, seed="3")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -78,10 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op3_chat_format": chat.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
     "op6_near_dedup": near_dedup.SQL,
+    "op11_centroids": centroids.SQL,
 }
