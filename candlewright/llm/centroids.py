@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import stored
+from candlewright.llm.shared import discard, stored
 
 #: Components of a vector: the bits of a plane.
 WIDTH = 64
@@ -150,6 +150,7 @@ def cluster_vectors(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: flo
                 yield pa.record_batch({"vec_id": batch.column("vec_id"), "cluster": cluster.astype(np.int32), "distance": away})
 
     rows = stored(table.mapInArrow(assign, "vec_id long, cluster int, distance long"), "clusters")
+    discard(table)
     inertia = {r.cluster: int(r.total) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()}
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     facts = [(c, n, sum(inertia.values()), digest[c]) for c, n in inertia.items()]

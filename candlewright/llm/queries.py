@@ -13,6 +13,7 @@ from candlewright.llm.centroids import cluster_vectors
 from candlewright.llm.decontamination import decontaminate
 from candlewright.llm.mixing import mix_sources
 from candlewright.llm.near_dedup import near_duplicates
+from candlewright.llm.periodic import collapse_runs, digests
 from candlewright.llm.quality import quality
 from candlewright.llm.substring_dedup import remove_repeats
 from candlewright.llm.token_counts import token_counts
@@ -72,6 +73,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, seed="3")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(collapse_runs(_table(spark, sf_dir, "documents"), least=12, wrap=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op11_centroids": op11_centroids,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
