@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import centroids, chat, line_dedup, near_dedup, substring_dedup
+from candlewright.llm import centroids, chat, line_dedup, near_dedup, search, substring_dedup
 from candlewright.llm.centroids import cluster_vectors
 from candlewright.llm.decontamination import decontaminate
 from candlewright.llm.mixing import mix_sources
 from candlewright.llm.near_dedup import near_duplicates
 from candlewright.llm.periodic import collapse_runs, digests
 from candlewright.llm.quality import quality
+from candlewright.llm.search import top_products
 from candlewright.llm.substring_dedup import remove_repeats
 from candlewright.llm.token_counts import token_counts
 from candlewright.llm.token_ids import read_token_ids, write_token_ids
@@ -77,6 +78,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(collapse_runs(_table(spark, sf_dir, "documents"), least=12, wrap=True))
 
 
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_centroids": op11_centroids,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_top_products": op13_top_products,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
@@ -97,4 +103,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.SQL,
     "op6_near_dedup": near_dedup.SQL,
     "op11_centroids": centroids.SQL,
+    "op13_top_products": search.SQL,
 }

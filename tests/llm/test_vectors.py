@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from candlewright.llm import centroids, queries
+from candlewright.llm import centroids, queries, search
 from candlewright.llm.centroids import cluster_vectors
+from candlewright.llm.search import top_products
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, cluster string, square int"
@@ -66,7 +67,48 @@ def test_bit_planes_give_exact_products():
         centroids.planes_of(np.full((1, 64), 2**27))
 
 
-@pytest.mark.parametrize("name", ["op11_centroids"])
+def products_brute(rows, every=50, k=5):
+    x = [(i, [math.floor(256 * c) for c in map(float, v)]) for i, v in rows if i is not None]
+    out = []
+    for a, (q, u) in enumerate(x):
+        if q % every == 0:
+            scores = sorted((-sum(y * z for y, z in zip(u, v)), i) for b, (i, v) in enumerate(x) if b != a)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return out
+
+
+@pytest.mark.parametrize("dims", [64, 3])
+def test_search(spark, dims):
+    rows, bad = odd_rows(3, 250, dims)
+    rows += [(None, rows[0][1]), (150, [1.0, 2.0]), (151, []), (200, []), (250, [9.0] * (dims + 2))]
+    got = top_products(table(spark, rows + bad), chunk=7, sample=40).collect()
+    assert sorted(map(tuple, got)) == sorted(products_brute(rows))
+    few = [r for r in rows if r[0] in (0, 50, 3, 1010)]
+    assert sorted(map(tuple, top_products(table(spark, few)).collect())) == sorted(products_brute(few))
+    assert top_products(table(spark, bad)).count() == top_products(table(spark, [])).count() == top_products(table(spark, rows[1:3])).count() == 0
+
+
+def test_long_vectors_stay_exact():
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**26), 2**26, (40, 64))
+    assert (search.products(a, a) == a @ a.T).all()
+    with pytest.raises(ValueError):
+        search.squares(np.full((1, 64), 2**28))
+
+
+def test_bounds_hold_and_stop_early():
+    """No score is above its bound, and with vectors in groups most candidates are never evaluated."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(0, 300, (8, 64))[rng.integers(0, 8, 3000)] + rng.normal(0, 20, (3000, 64))).astype(np.int64)
+    p = search.choose_pivots(x[:200], 16)
+    away, square = search.distances(x, p.points), search.squares(x)
+    gap = np.abs(away[:100, None] - away).max(axis=2)
+    most = search.bounds(square[:100, None], square, gap)
+    scores = search.products(x[:100], x)
+    assert (scores <= most).all() and (most >= np.sort(scores)[:, -6, None]).mean() < 0.3
+
+
+@pytest.mark.parametrize("name", ["op11_centroids", "op13_top_products"])
 def test_queries_against_their_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
