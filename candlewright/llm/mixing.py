@@ -100,14 +100,9 @@ def _move(share: list[float], at: list[int], way: Sequence[float], draw: random.
             share[k] = float(round(share[k]))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, group: int = 4_096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every row.
-
-    size: words `[^\\x20\\x09-\\x0D]+`, 0 for a null text. Rows equal in doc_id, source and size fly as one unit and
-    get the same copies; a null doc_id or source is a value like others, null sources last in turn. A source of size 0
-    has target 0 and no copies; an empty table gives no rows. Other columns play no part. Reruns agree, however the
-    rows are spread: groups, their order and chance follow from hashes of the rows. `group` bounds the rows that fly
-    together and nothing else.
+def _planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, group: int = 4_096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, times, whole, extra: `times` rows are equal in the first three; each is
+    taken `whole` times, and `extra` of them once more. See `mix_sources`.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), _words(docs[text_col]).alias("size"))
     units = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")), "mix-units")
@@ -116,7 +111,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     plan = plan.withColumnRenamed("source", "of").withColumn("parts", F.greatest(F.ceil(F.col("n") / group), F.lit(1)))
     each = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     state = units.join(sized(plan.drop("n")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    state = state.withColumn("whole", F.floor(each + _NEAR)).withColumn("share", F.greatest(each - F.col("whole"), F.lit(0.0)))
+    # of equal rows as many as their shares add up to are taken for certain; one more flies for the rest
+    sum_ = F.greatest(each - F.floor(each + _NEAR), F.lit(0.0)) * F.col("times")
+    state = state.withColumns({"whole": F.floor(each + _NEAR), "sure": F.floor(sum_ + _NEAR), "share": F.greatest(sum_ - F.floor(sum_ + _NEAR), F.lit(0.0))})
     n, level, done = plan.agg(F.max("n")).head()[0] or 0, 0, []
     while True:
         state = stored(_fly(state, level, seed), f"mix-level{level}")
@@ -131,7 +128,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.withColumn("copies", (F.col("whole") + F.col("share")).cast("long")).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.withColumn("extra", (F.col("sure") + F.col("share")).cast("long"))
+
+
+def mix_sources(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row.
+
+    size: words `[^\\x20\\x09-\\x0D]+`, 0 for a null text. Of rows equal in doc_id, source and size as many are taken once
+    more than the others as their shares add up to, rounded down, and one of the rest flies for what is left; a null
+    doc_id or source is a value like others, null sources last in turn. A source of size 0 has target 0 and no copies;
+    an empty table gives no rows. Other columns play no part. Reruns agree, however the rows are spread: groups, their
+    order and chance follow from hashes of the rows.
+
+    Parameters: weights=(5, 2, 1), most=3, seed="mix", the columns' names id_col, text_col, source_col, and group=4096,
+    which bounds the rows that fly together and nothing else.
+    """
+    out = _planned(docs, **how).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    out = out.withColumn("copies", F.col("whole") + (F.col("time") <= F.col("extra")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -144,10 +157,10 @@ def _fly(state: DataFrame, level: int, seed: str) -> DataFrame:
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
         # large documents fly first, so that those left at the end are small
-        rows = rows.assign(words=-rows["size"] * rows["times"]).sort_values(["words", "key", "doc_id"]).drop(columns="words")
+        rows = rows.assign(words=-rows["size"]).sort_values(["words", "key", "doc_id"]).drop(columns="words")
         first = rows.iloc[0]
         draw = random.Random(f"{seed} {level} {first.source} {first.part}")
-        rows["share"] = flight((rows["size"] * rows["times"]).tolist(), rows["share"].tolist(), draw, bool(first.parts == 1))
+        rows["share"] = flight(rows["size"].tolist(), rows["share"].tolist(), draw, bool(first.parts == 1))
         return rows
 
     types = state.schema.simpleString().removeprefix("struct<").removesuffix(">")
@@ -158,15 +171,26 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` themselves, each as often as `mix_sources` says; columns as they are, whatever their names.
 
     Copies are known by (doc_id, source, size) for every document, so that they are as many as the rows of `docs` and
-    never broadcast: rows and copies meet by a hash of doc_id and size, at any size of the table alike.
+    never broadcast: rows and copies meet by a hash of doc_id and size, at any size of the table alike. Where some of
+    several equal rows are taken once more than the others, these rows are numbered by a hash of all their columns.
     """
     id_col, text_col, source_col = how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("source_col", "source")
     names = [f"c{k}" for k in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
     rows = docs.toDF(*names).withColumns({"size": _words(F.col(of[text_col])), "doc_id": F.col(of[id_col]).cast("long"), "source": F.col(of[source_col]).cast("string")})
-    plan = mix_sources(docs, **how).filter("copies > 0").select(*(F.col(c).alias(f"{c}_") for c in ("doc_id", "source", "size", "copies"))).distinct()
+    plan = _planned(docs, **how).select(*(F.col(c).alias(f"{c}_") for c in ("doc_id", "source", "size", "times", "whole", "extra")))
     rows, plan = (x.withColumn(f"key{end}", F.xxhash64(f"doc_id{end}", f"size{end}")) for x, end in ((rows, ""), (plan, "_")))
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
-    out = rows.join(plan.hint("merge"), (F.col("key") == F.col("key_")) & same)
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))))
-    return out.select(*(F.col(n).alias(c) for c, n in of.items()))
+    some = (F.col("extra_") > 0) & (F.col("extra_") < F.col("times_"))
+
+    def taken(part: DataFrame, more: Column) -> DataFrame:
+        out = rows.join(part.hint("merge"), (F.col("key") == F.col("key_")) & same)
+        out = out.withColumn("copies", F.col("whole_") + more).filter("copies > 0")
+        return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(n).alias(c) for c, n in of.items()))
+
+    out = taken(plan.filter(~some & (F.col("whole_") + F.col("extra_") > 0)), (F.col("extra_") > 0).cast("long"))
+    apart = plan.filter(some)
+    if apart.isEmpty():
+        return out
+    place = F.row_number().over(Window.partitionBy("key_", "doc_id_", "source_", "size_").orderBy(F.xxhash64(*names)))
+    return out.unionAll(taken(apart, (place <= F.col("extra_")).cast("long")))

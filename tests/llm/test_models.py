@@ -222,6 +222,20 @@ def test_mix(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """Equal rows in every source: words taken stay within one row of the target, and rows are numbered by all columns."""
+    rows = [(k, "a b c d e", f"s{k}", k) for k in range(3) for _ in range(300)] + [(9, "one two", "s3", j) for j in range(7)] + [(None, "x y z", None, 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    got = mix_sources(docs).toPandas()
+    by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "first"), n=("size", "size"))
+    assert by.n.tolist() == [300, 300, 300, 7, 5] and ((by.taken - by.target).abs() <= by["size"]).all() and by.taken.loc["s2"] > 0
+    assert (got.groupby("source").copies.agg(lambda x: x.max() - x.min()) <= 1).all() and (got.taken <= 3 * got["size"]).all()
+    kept = mixed(docs.repartition(5)).toPandas()
+    assert Counter(kept.doc_id.fillna(-1)) == Counter({k: int(n) for k, n in got.fillna({"doc_id": -1}).groupby("doc_id").copies.sum().items() if n})
+    again = mixed(docs.repartition(3)).toPandas()
+    assert Counter(map(str, kept.itertuples(index=False))) == Counter(map(str, again.itertuples(index=False)))
+
+
 def test_mix_keeps_large_ids_beside_a_null(spark):
     ids = [None, *range(2**53 + 1, 2**53 + 80, 2)]
     docs = spark.createDataFrame([(i, "a b c", f"s{k % 2}") for k, i in enumerate(ids)], "doc_id long, text string, source string")
