@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from candlewright.functions.settings import DEFAULTS, Settings
@@ -13,6 +14,33 @@ from candlewright.sources.tables import available, window_of
 COLUMNS = ("symbol", "name", "score", "setup_type", "signals_triggered", "rs_ratio", "rs_rank", "trend_score", "adx", "entry_pivot", "stop", "target", "rr", "atr", "earnings_flag", "last_close", "week52_high", "week52_low", "avg_turnover")
 
 
+class Counts:
+    """A run's total (constituents), scanned (those with bars) and passed (results), counted while a scan's rows are made."""
+
+    def __init__(self) -> None:
+        self.listed, self.judged, self.rows = Observation(), Observation(), None
+
+    def of_list(self, constituents: DataFrame) -> DataFrame:
+        self.rows = constituents
+        return constituents.observe(self.listed, F.count(F.lit(1)).alias("total"))
+
+    def of_verdicts(self, verdicts: DataFrame, passing: Column) -> DataFrame:
+        return verdicts.observe(self.judged, F.count(F.lit(1)).alias("scanned"), F.count_if(F.coalesce(passing, F.lit(False))).alias("passed"))
+
+    def get(self) -> dict[str, int]:
+        """The counts, once the scan's rows have been written or collected."""
+        listed = _observed(self.listed) or {"total": self.rows.count()}
+        return listed | {"scanned": 0, "passed": 0} | _observed(self.judged)
+
+
+def _observed(seen: Observation) -> dict[str, int]:
+    """What was observed; nothing, where Spark found at run time that a part of the plan has no rows and left it out."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def signals(bars: DataFrame, settings: Settings = DEFAULTS, long: bool = False) -> DataFrame:
     """Indicators, trend, setups, risk and liquidity at every bar: the one table that scan and backtest read."""
     df = indicators.year_range(indicators.bundle(bars, long))
@@ -32,10 +60,14 @@ def earnings_flag(rows: DataFrame, earnings: DataFrame, as_of: Column, days: int
     return out.withColumn("earnings_flag", F.coalesce(due, F.lit(False))).drop("_of", "_dates")
 
 
+def _good(settings: Settings) -> Column:
+    """Whether a row passes every gate."""
+    return (F.col("rs_rank") >= settings.rs_floor) & (F.col("n_bars") >= settings.min_bars) & F.col("trend_ok") & setups.qualified(settings) & F.col("risk_ok")
+
+
 def _passing(rows: DataFrame, settings: Settings) -> DataFrame:
     """Rows that pass every gate, scored."""
-    good = (F.col("rs_rank") >= settings.rs_floor) & (F.col("n_bars") >= settings.min_bars) & F.col("trend_ok") & setups.qualified(settings) & F.col("risk_ok")
-    rows = rows.filter(good)
+    rows = rows.filter(_good(settings))
     rows = rows.withColumn("score", setups.score(F.col("rs_rank"), F.col("trend_score"), F.col("rr"), F.col("setup_type")))
     return rows.withColumn("signals_triggered", F.array("setup_type"))
 
@@ -51,14 +83,21 @@ def _named(rows: DataFrame, constituents: DataFrame, earnings: DataFrame | None,
 
 def scan(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, top: int | None = None) -> DataFrame:
     """Ranked results at `as_of`, from each symbol's last bar in the trailing history; ties keep the universe's order."""
-    verdicts = judged(bars, constituents, as_of, settings, benchmark)
-    rows = _passing(verdicts.withColumn("rs_rank", F.coalesce("rs_rank", F.lit(0.0))), settings)
-    rows = _named(rows, constituents, earnings, F.lit(as_of).cast("date"), settings)
-    rows = rows.drop("adx", "atr14").withColumnRenamed("adx_shown", "adx").orderBy(F.desc("score"), "pos")
-    rows = rows.select(*COLUMNS, F.col("ts").alias("as_of_bar"), "pos")
+    rows = found(bars, constituents, as_of, earnings, settings, benchmark).orderBy(F.desc("score"), "pos")
     return rows.limit(top) if top else rows
 
 
+def found(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, counts: Counts | None = None) -> DataFrame:
+    """The same without an order. With `counts`, what it counts is known once the rows were written or collected, and no
+    job is run for that; an order would have Spark look at them twice.
+    """
+    verdicts = judged(bars, counts.of_list(constituents) if counts else constituents, as_of, settings, benchmark)
+    verdicts = verdicts.withColumn("rs_rank", F.coalesce("rs_rank", F.lit(0.0)))
+    rows = _passing(counts.of_verdicts(verdicts, _good(settings)) if counts else verdicts, settings)
+    rows = _named(rows, constituents, earnings, F.lit(as_of).cast("date"), settings)
+    return rows.drop("adx", "atr14").withColumnRenamed("adx_shown", "adx").select(*COLUMNS, F.col("ts").alias("as_of_bar"), "pos")
+
+
 def _measured(bars: DataFrame, settings: Settings, long: bool = False) -> DataFrame:
     """Signals and look-back returns at every bar: all of it in windows over one exchange by symbol."""
     return strength.with_returns(signals(bars, settings, long), settings)

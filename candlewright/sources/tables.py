@@ -100,6 +100,16 @@ def write_results(results: DataFrame, path: str, run_id: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe=' ')}")
 
 
+def results_to_text(results: DataFrame) -> DataFrame:
+    """Results for a store without arrays: signals_triggered as JSON text, null as it is."""
+    return results.withColumn("signals_triggered", F.to_json("signals_triggered"))
+
+
+def results_from_text(results: DataFrame) -> DataFrame:
+    """The reverse: JSON text as an array; text that is no array of strings raises an error."""
+    return results.withColumn("signals_triggered", F.from_json("signals_triggered", "array<string>", {"mode": "FAILFAST"}))
+
+
 def write_run_event(spark: SparkSession, path: str, **event) -> None:
     """Append one lifecycle event of a run: running, done or error; files are never changed."""
     row = [tuple(event.get(c.split()[0]) for c in RUNS.split(", ")) + (event.get("event_ts"),)]

@@ -5,14 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.operators.bars import clean_bars, ohlcv
-from candlewright.plans.scan import scan
-from candlewright.sources.tables import BARS, write_results, write_run_event
+from candlewright.plans.scan import Counts, found
+from candlewright.sources.tables import BARS, window_of, write_results, write_run_event
 
 #: Stands for the time at which an event is written.
 NOW = object()
@@ -25,6 +25,23 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -
     return rows.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def store_batch(batch: DataFrame, stored: str, number: int) -> dt.date | None:
+    """Write a batch's bars by day under its own name and return the last day, found while writing; None without bars."""
+    seen = Observation()
+    rows = batch.observe(seen, F.max("ts").cast("date").alias("last")).withColumn("day", F.col("ts").cast("date"))
+    # a day's bars go to one file, or to several where there are many
+    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{stored}/batch={number}")
+    return seen.get["last"]
+
+
+def stored_history(spark: SparkSession, stored: str, last: dt.date, days: int) -> DataFrame:
+    """Clean bars of the `days` before the end of day `last`, of each (symbol, ts) the newest batch's. Dates are pruned
+    before cleaning, so that other days' files are not read."""
+    rows = spark.read.schema(f"{BARS}, batch long, day date").parquet(stored)
+    rows = rows.filter(F.col("day").between(last - dt.timedelta(days), last))
+    return clean_bars(window_of(rows, f"{last} 23:59:59", days), F.col("batch"))
+
+
 def incremental_scan(
     spark: SparkSession,
     arriving: str,
@@ -37,34 +54,39 @@ def incremental_scan(
     benchmark: bool | DataFrame = True,
     earnings: DataFrame | None = None,
     events: str | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Take bar files that arrived, store them, and scan as of their last day; the nightly job as an incremental batch.
 
     Each batch writes its bars and its results under names made from the batch and its day, so that a batch that is
-    played again replaces what it wrote before. Of several bars of a (symbol, ts) the last batch's counts. With `events`
-    a run is entered there as running, then as done with its counts, or as in error with what went wrong.
+    played again replaces what it wrote before. Of several bars of a (symbol, ts) the last batch's counts. A night reads
+    the days of its trailing history and no others. With `events` a run is entered there as running, then as done with
+    the number of constituents, of symbols with bars, and of results, which are counted while the results are written,
+    or as in error with what went wrong. `files` bounds the files of one batch.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{stored}/batch={number}")
-        last = spark.read.schema(BARS).parquet(f"{stored}/batch={number}").agg(F.max("ts").cast("date").cast("string")).head()[0]
+        last = store_batch(batch, stored, number)
         if last is None:
             return
-        history = clean_bars(spark.read.schema(f"{BARS}, batch long").parquet(stored), F.col("batch"))
+        history = stored_history(spark, stored, last, settings.history_days)
+        key = run(str(last))
 
         def tell(**what) -> None:
             if events:
                 now = dt.datetime.now()
-                write_run_event(spark, events, id=run(last), event_ts=now, **{k: now if v is NOW else v for k, v in what.items()})
+                write_run_event(spark, events, id=key, event_ts=now, **{k: now if v is NOW else v for k, v in what.items()})
 
-        tell(status="running", started_at=NOW, total=constituents.count() if events else None)
+        tell(status="running", started_at=NOW)
         try:
-            found = scan(history, constituents, f"{last} 23:59:59", earnings, settings, benchmark)
-            write_results(found, results, run(last))
-            tell(status="done", passed=spark.read.parquet(f"{results}/run_id={run(last)}").count() if events else None, finished_at=NOW)
+            counts = Counts()
+            rows = found(history, constituents, f"{last} 23:59:59", earnings, settings, benchmark, counts=counts)
+            write_results(rows, results, key)
+            tell(status="done", finished_at=NOW, **counts.get())
         except Exception as e:
             tell(status="error", error=str(e)[:1000], finished_at=NOW)
             raise
 
-    bars = spark.readStream.schema(BARS).parquet(arriving)
+    reader = spark.readStream.schema(BARS)
+    bars = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(arriving)
     return bars.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

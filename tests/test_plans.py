@@ -167,6 +167,13 @@ def test_runs_and_results(spark, tmp_path):
         scan.rank_results(stored, "run_id")
 
 
+def test_signals_as_text(spark):
+    rows = spark.createDataFrame([("A", ["breakout"]), ("B", []), ("C", None)], "symbol string, signals_triggered array<string>")
+    text = tables.results_to_text(rows)
+    assert [r.signals_triggered for r in text.orderBy("symbol").collect()] == ['["breakout"]', "[]", None]
+    assert tables.results_from_text(text).collect() == rows.collect()
+
+
 def test_index_snapshot_serves_a_ticker_twice(spark):
     t = dt.datetime(2020, 1, 1)
     rows = [("^CNXFIN", t, 1.0, 1.0, 1.0, 8.0, 1.0), ("^CNXFIN", t + dt.timedelta(1), 1.0, 1.0, 1.0, 10.0, 1.0)]

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -7,8 +8,8 @@ from candlewright.operators.bars import resample_ticks
 from candlewright.queries import _bars, _bench, _constituents, _earnings
 from candlewright.plans.scan import scan
 from candlewright.plans.serving import run_status
-from candlewright.sources.tables import current_runs
-from candlewright.streaming.live import incremental_scan, stream_bars
+from candlewright.sources.tables import current_runs, cut
+from candlewright.streaming.live import incremental_scan, store_batch, stored_history, stream_bars
 
 TICKS = "symbol string, ts timestamp, price double, volume double"
 
@@ -28,6 +29,29 @@ def test_stream_gives_the_batch_bars_and_drops_late_ticks(spark, tmp_path):
     assert got == {(r.symbol, r.ts): tuple(r)[2:] for r in want.collect()}
 
 
+def test_twenty_nights_and_a_replay(spark, tmp_path):
+    """After each night the trailing history equals that of all bars so far, and only its days' files are read."""
+    data, days, stored = "/root/testdata/sf0.001", 200, str(tmp_path / "bars")
+    every = cut(_bars(spark, data))
+    weeks = [r.ts for r in every.filter("ts >= timestamp'1996-07-01'").select("ts").distinct().orderBy("ts").limit(20).collect()]
+    store_batch(every.filter(F.col("ts") < weeks[0]), stored, 0)
+    for n, at in enumerate(weeks, 1):
+        again = every.filter(F.col("ts") == weeks[n - 2]).withColumn("volume", F.lit(0.0)) if n == 7 else every.limit(0)  # a corrected week
+        assert store_batch(every.filter(F.col("ts") == at).unionByName(again), stored, n) == at.date()
+    assert store_batch(every.limit(0), stored, 21) is None
+    history = stored_history(spark, stored, weeks[-1].date(), days)
+    want = every.filter((F.col("ts") <= weeks[-1]) & (F.col("ts") >= weeks[-1] + dt.timedelta(hours=24, seconds=-1) - dt.timedelta(days)))
+    want = want.withColumn("volume", F.when(F.col("ts") == weeks[5], 0.0).otherwise(F.col("volume")))
+    plain = lambda df: sorted(map(str, df.select("symbol", "ts", "open", "close", "volume").collect()))
+    assert plain(history) == plain(want) and len(plain(want)) > 50
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(ts" in plan.split("PushedFilters: [")[1]
+    read = history._jdf.queryExecution().toRdd().getNumPartitions(), len({r.day for r in spark.read.parquet(stored).select("day").distinct().collect()})
+    assert read[0] >= 1 and read[1] > 2 * len({r.ts for r in history.select("ts").distinct().collect()})
+    store_batch(every.filter(F.col("ts") == weeks[-1]), stored, 20)  # played again
+    assert plain(stored_history(spark, stored, weeks[-1].date(), days)) == plain(want)
+
+
 def test_incremental_scan_stores_each_day_once(spark, tmp_path):
     data, s = "/root/testdata/sf0.001", Settings(benchmark="^BENCH", min_turnover=5e4, history_days=3650)
     arriving, stored, results, events = (str(tmp_path / x) for x in ("in", "bars", "results", "events"))
@@ -45,7 +69,8 @@ def test_incremental_scan_stores_each_day_once(spark, tmp_path):
     plain = lambda df: sorted(map(str, df.select("symbol", "score", "rs_rank", "setup_type", "earnings_flag", "stop").collect()))
     assert plain(found) == plain(want) and found.count() >= 1
     run = run_status(current_runs(spark.read.parquet(events)), "scan-2001-06-04").first()
-    assert (run.status, run.passed, run.total) == ("done", found.count(), _constituents(spark, data).count())
+    with_bars = every.filter("ts <= timestamp'2001-06-04'").join(_constituents(spark, data), "symbol", "left_semi").select("symbol").distinct().count()
+    assert (run.status, run.passed, run.total, run.scanned) == ("done", found.count(), _constituents(spark, data).count(), with_bars)
     n = spark.read.parquet(results).count()
     incremental_scan(*args, **how).awaitTermination()  # nothing new
     assert spark.read.parquet(results).count() == n
