@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Powers beyond this many e-folds leave the range of doubles.
-_FOLDS = 690.0
+from candlewright.functions.blocks import FOLDS as _FOLDS
+from candlewright.functions.blocks import Blocks, ewm
 
 
 def by_symbol() -> WindowSpec:
@@ -36,15 +36,17 @@ def latest(x: Column | str) -> Column:
     return F.last(x, ignorenulls=True).over(upto())
 
 
-def with_ewm(df: DataFrame, long: bool = False, **of: tuple[Column, float, int]) -> DataFrame:
+def with_ewm(df: DataFrame, long: bool | Blocks = False, **of: tuple[Column, float, int]) -> DataFrame:
     """Add exponentially weighted means: name=(x, alpha, least values).
 
     y_t is the sum of (1 - alpha)^(t - i) x_i over the sum of these weights, over rows i up to t whose x is not null; null
     until so many values were seen. Weights grow with the row number, so that one running sum serves all rows; a symbol
     with more rows than doubles can weigh raises an error. With `long`, rows are weighed in blocks: a row needs its own
     block's running sum and the block before, as older ones have decayed below a double's precision. That takes any
-    length and one more sort.
+    length and one more sort. With `Blocks`, inside `in_blocks`, sums are carried from block to block.
     """
+    if isinstance(long, Blocks):
+        return ewm(df, long, **of)
     df = df.withColumn("_n", F.row_number().over(by_symbol()))
     out, extra = {}, {}
     for name, (x, alpha, least) in of.items():

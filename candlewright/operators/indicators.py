@@ -6,12 +6,13 @@ that one exchange and one sort by symbol serve them all. Nulls stand for warm-up
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.blocks import Blocks, cut, numbered, running
 from candlewright.functions.scalar import true_range, typical_price
 from candlewright.functions.windows import by_symbol, full, trailing, upto, with_ewm
 
@@ -20,7 +21,7 @@ def _ema(column: str, period: int) -> tuple:
     return F.col(column), 2 / (period + 1), period
 
 
-def ema(df: DataFrame, *periods: int, column: str = "close", long: bool = False) -> DataFrame:
+def ema(df: DataFrame, *periods: int, column: str = "close", long: bool | Blocks = False) -> DataFrame:
     """ema{p} for each period; the first value is at row p."""
     return with_ewm(df, long, **{f"ema{p}": _ema(column, p) for p in periods})
 
@@ -29,7 +30,7 @@ def sma(df: DataFrame, period: int, column: str = "close") -> DataFrame:
     return df.withColumn(f"sma{period}", full(F.avg, F.col(column), period))
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, long: bool = False) -> DataFrame:
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, long: bool | Blocks = False) -> DataFrame:
     """macd, macd_signal, macd_hist of the close."""
     df = with_ewm(df, long, _fast=_ema("close", fast), _slow=_ema("close", slow))
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
@@ -37,13 +38,13 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, long: b
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
-def atr(df: DataFrame, period: int = 14, long: bool = False) -> DataFrame:
+def atr(df: DataFrame, period: int = 14, long: bool | Blocks = False) -> DataFrame:
     """atr{p}: the true range weighted with alpha 1 / (p + 1), from the second bar on."""
     df = df.withColumn("_tr", true_range(F.lag("close").over(by_symbol())))
     return with_ewm(df, long, **{f"atr{period}": (F.col("_tr"), 1 / (period + 1), 1)}).drop("_tr")
 
 
-def rsi(df: DataFrame, period: int = 14, long: bool = False) -> DataFrame:
+def rsi(df: DataFrame, period: int = 14, long: bool | Blocks = False) -> DataFrame:
     """rsi{p}; the first bar counts as neither gain nor loss. Without any change it is null."""
     change = F.col("close") - F.lag("close").over(by_symbol())
     df = df.withColumn("_ch", change)
@@ -86,10 +87,11 @@ def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
     return df.withColumn("stoch_d", full(F.avg, F.col("stoch_k"), d))
 
 
-def obv(df: DataFrame) -> DataFrame:
+def obv(df: DataFrame, long: bool | Blocks = False) -> DataFrame:
     """obv: the running sum of volume with the sign of the close's change; 0 where either is unknown."""
     df = df.withColumn("_s", F.coalesce(F.signum(F.col("close") - F.lag("close").over(by_symbol())) * F.col("volume"), F.lit(0.0)))
-    return df.withColumn("obv", F.sum("_s").over(upto())).drop("_s")
+    df = running(df, long, obv=(F.col("_s"), 0.0)) if isinstance(long, Blocks) else df.withColumn("obv", F.sum("_s").over(upto()))
+    return df.drop("_s")
 
 
 def vwap(df: DataFrame, period: int = 20) -> DataFrame:
@@ -116,43 +118,114 @@ def year_range(df: DataFrame, bars: int = 252, least: int = 50) -> DataFrame:
     return df.withColumns({"year_high": F.when(known, F.max("high").over(trailing(bars))), "year_low": F.when(known, F.min("low").over(trailing(bars)))})
 
 
-def bundle(df: DataFrame, long: bool = False) -> DataFrame:
+def bundle(df: DataFrame, long: bool | Blocks = False) -> DataFrame:
     """All indicators that the setups read: EMA 9/20/21/50/200, RSI, MACD histogram, ATR, ADX, band ratio, volume."""
+    if isinstance(long, Blocks):
+        return volume_average(band_ratio(adx(_means_in_blocks(df, long))))
     df = ema(df, 9, 20, 21, 50, 200, long=long)
     df = macd(rsi(atr(df, long=long), long=long), long=long)
     return volume_average(band_ratio(adx(df)))
 
 
-def _sar(high: Sequence[float], low: Sequence[float], step: float, most: float) -> Iterator[tuple[float, int]]:
-    """The stop trails the extreme of the running trend, never nearer than the last two bars, and turns when crossed."""
-    sign, stop, reach, pace = 1, low[0], high[0], step
-    yield stop, sign
-    for k in range(1, len(high)):
-        edge = low if sign > 0 else high
-        near = (edge[k - 1], edge[max(0, k - 2)])
+def _means_in_blocks(df: DataFrame, how: Blocks) -> DataFrame:
+    """The bundle's means, all that are made of bars alone in one pass."""
+    before = F.lag("close").over(by_symbol())
+    df = df.withColumns({"_tr": true_range(before), "_ch": F.col("close") - before})
+    gain, loss = F.when(F.col("_ch") > 0, F.col("_ch")).otherwise(0.0), F.when(F.col("_ch") < 0, -F.col("_ch")).otherwise(0.0)
+    means = {f"ema{p}": _ema("close", p) for p in (9, 20, 21, 50, 200)} | {"_fast": _ema("close", 12), "_slow": _ema("close", 26)}
+    df = with_ewm(df, how, **means, atr14=(F.col("_tr"), 1 / 15, 1), _up=(gain, 1 / 14, 14), _down=(loss, 1 / 14, 14))
+    df = df.withColumns({"macd": F.col("_fast") - F.col("_slow"), "rsi14": F.try_divide(100 * F.col("_up"), F.col("_up") + F.col("_down"))})
+    df = with_ewm(df.drop("_tr", "_ch", "_fast", "_slow", "_up", "_down"), how, macd_signal=_ema("macd", 9))
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+
+def _sar(high: Sequence[float], low: Sequence[float], step: float, most: float, state: Sequence[float] | None = None) -> tuple[list[float], list[int], list[float]]:
+    """Stops, signs, and the state after the last bar. The stop trails the extreme of the running trend, never nearer than
+    the last two bars, and turns when crossed. `state` is that of the bar before: sign, stop, extreme, pace, two lows,
+    two highs; without it the first bar begins."""
+    stops, signs, begin = [], [], 0
+    if state is None:
+        state, begin = (1, low[0], high[0], step, low[0], low[0], high[0], high[0]), 1
+        stops.append(low[0])
+        signs.append(1)
+    sign, stop, reach, pace, low1, low2, high1, high2 = state
+    for h, lo in zip(high[begin:], low[begin:], strict=True):
         stop = stop + pace * (reach - stop)
-        stop = min(stop, *near) if sign > 0 else max(stop, *near)
-        crossed = low[k] < stop if sign > 0 else high[k] > stop
+        stop = min(stop, low1, low2) if sign > 0 else max(stop, high1, high2)
+        crossed = lo < stop if sign > 0 else h > stop
         if crossed:
             sign, stop, pace = -sign, reach, step
-            reach = high[k] if sign > 0 else low[k]
-        elif (best := high[k] if sign > 0 else low[k]) * sign > reach * sign:
+            reach = h if sign > 0 else lo
+        elif (best := h if sign > 0 else lo) * sign > reach * sign:
             reach, pace = best, min(pace + step, most)
-        yield stop, sign
+        low1, low2, high1, high2 = lo, low1, h, high1
+        stops.append(stop)
+        signs.append(int(sign))
+    return stops, signs, [float(x) for x in (sign, stop, reach, pace, low1, low2, high1, high2)]
 
 
-def parabolic_sar(df: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    """sar and sar_trend (1 up, -1 down). The fold is sequential, so each symbol's bars go through Python once."""
+def parabolic_sar(df: DataFrame, step: float = 0.02, most: float = 0.2, long: Blocks | None = None) -> DataFrame:
+    """sar and sar_trend (1 up, -1 down). The fold is sequential, so each symbol's bars go through Python once; with
+    `Blocks`, a block at a time, see `_sar_in_blocks`."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    if long:
+        return _sar_in_blocks(df, step, most, long, types)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
-        got = list(_sar(rows["high"].tolist(), rows["low"].tolist(), step, most))
-        return rows.assign(sar=[x for x, _ in got], sar_trend=[t for _, t in got])
+        stops, signs, _ = _sar(rows["high"].tolist(), rows["low"].tolist(), step, most)
+        return rows.assign(sar=stops, sar_trend=signs)
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.groupBy("symbol").applyInPandas(fold, f"{types}, sar double, sar_trend int")
 
 
+def _sar_in_blocks(df: DataFrame, step: float, most: float, how: Blocks, types: str) -> DataFrame:
+    """The same by speculation: each block is folded from the state that its lead-in gives when it is begun afresh.
+
+    Trends turn again and again, and what went before is forgotten in a few turns, so that most guesses are right to the
+    last bit. A block whose guess differs from the state in which the block before ended is folded again from that
+    state, until all agree: the first block needs no guess, so that each round makes one block more of a symbol right
+    at least. The states are a row for each block; the rows are folded once more at the end, from the right states.
+    """
+    rows = numbered(df, how.unit).withColumn("_b", F.floor((F.col("_g") - 1) / how.rows))
+    rows = cut(rows)
+    lead = rows.withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.floor((F.col("_g") - 1 + how.lead) / how.rows)))) if how.lead >= how.rows else rows.filter((F.col("_g") - 1) % how.rows >= how.rows - how.lead).withColumn("_b", F.col("_b") + 1)
+    bars = lambda rows, own: rows.select("symbol", "_b", "_g", "high", "low", F.lit(own).alias("own"))
+    state = "symbol string, _b long, entry array<double>, exit array<double>"
+
+    def guess(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_g")
+        before, own = part[~part["own"]], part[part["own"]]
+        if not len(own):
+            return part.head(0).assign(entry=None, exit=None)[["symbol", "_b", "entry", "exit"]]
+        entry = _sar(before["high"].tolist(), before["low"].tolist(), step, most)[2] if len(before) else None
+        end = _sar(own["high"].tolist(), own["low"].tolist(), step, most, entry)[2]
+        return pd.DataFrame({"symbol": [own["symbol"].iloc[0]], "_b": [own["_b"].iloc[0]], "entry": [entry], "exit": [end]})
+
+    def again(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_g")
+        entry = part["entry"].iloc[0]
+        end = _sar(part["high"].tolist(), part["low"].tolist(), step, most, entry)[2]
+        return pd.DataFrame({"symbol": [part["symbol"].iloc[0]], "_b": [part["_b"].iloc[0]], "entry": [entry], "exit": [end]})
+
+    states = cut(bars(rows, True).unionByName(bars(lead, False)).groupBy("symbol", "_b").applyInPandas(guess, state))
+    while True:
+        before = F.lag("exit").over(Window.partitionBy("symbol").orderBy("_b"))
+        right = states.withColumn("before", before)
+        wrong = right.filter("before is not null and not (entry <=> before)").select("symbol", "_b", F.col("before").alias("entry"))
+        if wrong.isEmpty():
+            break
+        redone = bars(rows, True).join(wrong, ["symbol", "_b"]).groupBy("symbol", "_b").applyInPandas(again, state)
+        states = cut(states.join(wrong, ["symbol", "_b"], "left_anti").unionByName(redone))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_g")
+        stops, signs, _ = _sar(part["high"].tolist(), part["low"].tolist(), step, most, part["entry"].iloc[0])
+        return part.drop(columns=["_b", "_g", "entry"]).assign(sar=stops, sar_trend=signs)
+
+    return rows.join(states.select("symbol", "_b", "entry"), ["symbol", "_b"]).groupBy("symbol", "_b").applyInPandas(fold, f"{types}, sar double, sar_trend int")
+
+
 def exact_ewm(df: DataFrame, out: str, column: str, alpha: float, least: int) -> DataFrame:
     """The same mean as `with_ewm` by the pandas recursion, for histories of any length."""
 

@@ -17,6 +17,13 @@ from candlewright.functions.windows import by_symbol, latest, trailing, upto
 ARCHETYPES = ("breakout", "pullback", "continuation")
 LABELS = ("breakout", "pullback", "trend_continuation")
 
+#: Columns of the detectors' complete rows, and the most complete rows that one of them looks at.
+COMPLETE = (
+    ("close", "ema20", "ema50", "adx"), ("high", "low", "close", "volume", "vol_avg20"), ("close", "low", "ema20", "volume", "vol_avg20"),
+    ("ema9", "ema21", "volume", "vol_avg20", "macd_hist"),
+)
+LOOK_BACK = 50
+
 
 def complete(*columns: str) -> tuple[Column, WindowSpec]:
     """Whether a row has all columns, and the window over such rows of its symbol."""

@@ -6,8 +6,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from candlewright.functions.blocks import Blocks, in_blocks
 from candlewright.functions.settings import DEFAULTS, Settings
-from candlewright.functions.windows import by_symbol
+from candlewright.functions.windows import by_symbol, upto
 from candlewright.operators import indicators, setups, strength
 from candlewright.sources.tables import available, window_of
 
@@ -41,8 +42,25 @@ def _observed(seen: Observation) -> dict[str, int]:
         return {}
 
 
-def signals(bars: DataFrame, settings: Settings = DEFAULTS, long: bool = False) -> DataFrame:
-    """Indicators, trend, setups, risk and liquidity at every bar: the one table that scan and backtest read."""
+def signals(bars: DataFrame, settings: Settings = DEFAULTS, long: bool | Blocks = False) -> DataFrame:
+    """Indicators, trend, setups, risk and liquidity at every bar: the one table that scan and backtest read.
+
+    `long` is for histories beyond some 3,000 bars: True weighs rows in groups, `Blocks` cuts each symbol into blocks of
+    rows, so that a symbol of any length spreads over tasks. A detector whose complete rows are fewer in a lead-in than
+    it looks at raises an error there, as its verdict would depend on rows further back.
+    """
+    if isinstance(long, Blocks):
+        return in_blocks(bars, long, lambda rows: _checked(_signals(rows, settings, long).withColumn("n_bars", F.col("_g")), long))
+    return _signals(bars, settings, long)
+
+
+def _checked(rows: DataFrame, how: Blocks) -> DataFrame:
+    seen = F.least(*(F.count(F.when(setups.complete(*columns)[0], 1)).over(upto()) for columns in setups.COMPLETE))
+    short = ~F.col("_lead") & (F.col("_g") > F.col("_k")) & (seen < setups.LOOK_BACK)
+    return rows.withColumn("n_bars", F.when(short, F.raise_error(F.lit("too few complete rows lead in to a block: use a longer lead")).cast("long")).otherwise(F.col("n_bars")))
+
+
+def _signals(bars: DataFrame, settings: Settings, long: bool | Blocks) -> DataFrame:
     df = indicators.year_range(indicators.bundle(bars, long))
     df = setups.risk(setups.setups(setups.trend(setups.liquidity(df, settings))), settings)
     return setups.result_columns(df).withColumn("n_bars", F.row_number().over(by_symbol()))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.blocks import Blocks, cut, in_blocks
 from candlewright.functions.scalar import in_session
 from candlewright.functions.settings import Settings
 from candlewright.operators import indicators, legacy, setups, strength
@@ -75,6 +76,23 @@ def _detector(name: str) -> Query:
     return lambda spark, sf_dir: _show(build(indicators.bundle(_bars(spark, sf_dir))), f"{name}_pivot", keep=(name,))
 
 
+#: Short blocks, so that the symbols of small tables have several.
+BLOCKS = Blocks(rows=70, lead=45, unit="month")
+
+
+def _split(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+    return lambda spark, sf_dir: _show(in_blocks(_bars(spark, sf_dir), BLOCKS, build), *columns)
+
+
+def psar_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _show(indicators.parabolic_sar(_bars(spark, sf_dir), long=BLOCKS), "sar", keep=("sar_trend",))
+
+
+def setups_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = Blocks(rows=30, lead=320, unit="month")
+    return _levels(scan.signals(_bars(spark, sf_dir), SETTINGS, how))
+
+
 def bars(unit: str) -> Query:
     return lambda spark, sf_dir: _show(_bars(spark, sf_dir, unit), "open", "high", "low", "close", "volume")
 
@@ -93,7 +111,11 @@ def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def setup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _signals(spark, sf_dir).filter("setup_type is not null").withColumn("pivot_price", F.col("pivot"))
+    return _levels(_signals(spark, sf_dir))
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    rows = rows.filter("setup_type is not null").withColumn("pivot_price", F.col("pivot"))
     return _show(rows, "pivot_price", keep=("setup_type", "n_signals", "risk_ok", "entry_pivot", "stop", "target", "rr", "atr"))
 
 
@@ -202,7 +224,7 @@ def _runs(results: DataFrame) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = tables.cut(_history(spark, sf_dir))  # written once; runs and results are read from them apart
+    rows = cut(_history(spark, sf_dir))  # written once; runs and results are read from them apart
     return _runs(rows), rows.withColumn("run_id", F.concat(F.lit("run-"), F.to_date("ts").cast("string")))
 
 
@@ -297,6 +319,9 @@ QUERIES: dict[str, Query] = {
     "adx": _indicator(indicators.adx, "plus_di", "minus_di", "adx"),
     "stochastic": _indicator(indicators.stochastic, "stoch_k", "stoch_d"), "obv": _indicator(indicators.obv, "obv"),
     "vwap": _indicator(indicators.vwap, "vwap"), "cci": _indicator(indicators.cci, "cci"), "psar": psar,
+    "ema_split": _split(lambda b: indicators.ema(b, 9, 20, 21, 50, 200, long=BLOCKS), "ema9", "ema20", "ema21", "ema50", "ema200"),
+    "obv_split": _split(lambda b: indicators.obv(b, long=BLOCKS), "obv"), "adx_split": _split(indicators.adx, "plus_di", "minus_di", "adx"),
+    "macd_split": _split(lambda b: indicators.macd(b, long=BLOCKS), "macd", "macd_signal", "macd_hist"), "psar_split": psar_split, "setups_split": setups_split,
     "range_52w": _indicator(indicators.year_range, "year_high", "year_low"),
     "trend": trend, "breakout": _detector("breakout"), "pullback": _detector("pullback"), "continuation": _detector("continuation"),
     "setups": setup_levels, "liquidity": liquidity, "rs_rank": _rank(True), "rs_rank_no_benchmark": _rank(False),

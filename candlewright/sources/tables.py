@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,19 +78,6 @@ def missing(constituents: DataFrame, bars: DataFrame) -> DataFrame:
     return constituents.join(bars.select("symbol").distinct(), "symbol", "left_anti")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written once as a checkpoint in the shared folder, so that what reads it again does not compute it again and
-    its rows survive lost executors. The folder is the one in spark.checkpoint.dir; local mode gets a scratch one.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-cut-"))
-    return df.checkpoint()
-
-
 def write_results(results: DataFrame, path: str, run_id: str) -> None:
     """Write a run's results under its id, each file in order of falling score. A second write of the same run replaces
     the first, also where it has no rows.

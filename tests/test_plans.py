@@ -18,7 +18,7 @@ from candlewright.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-QUICK = ("bars_weekly", "bars_monthly", "ema", "ema_blocks", "adx", "cci", "psar", "trend", "breakout", "setups", "trades", "expectancy", "rs_rank", "scan_asof", "scan_asof_ranked", "scan_history", "scan_history_benchmark_missing", "latest_results", "funnel", "earnings_flag", "chart_series", "chart_nested", "wide_to_long", "v1_signals", "v1_fundamentals", "missing_symbols", "universe", "read_list", "session_ticks")
+QUICK = ("bars_weekly", "bars_monthly", "ema", "ema_blocks", "adx", "cci", "psar", "ema_split", "obv_split", "adx_split", "macd_split", "psar_split", "setups_split", "trend", "breakout", "setups", "trades", "expectancy", "rs_rank", "scan_asof", "scan_asof_ranked", "scan_history", "scan_history_benchmark_missing", "latest_results", "funnel", "earnings_flag", "chart_series", "chart_nested", "wide_to_long", "v1_signals", "v1_fundamentals", "missing_symbols", "universe", "read_list", "session_ticks")
 
 
 def plain(x):

@@ -3,12 +3,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from candlewright.functions.blocks import cut
 from candlewright.functions.settings import Settings
 from candlewright.operators.bars import resample_ticks
 from candlewright.queries import _bars, _bench, _constituents, _earnings
 from candlewright.plans.scan import scan
 from candlewright.plans.serving import run_status
-from candlewright.sources.tables import current_runs, cut
+from candlewright.sources.tables import current_runs
 from candlewright.streaming.live import incremental_scan, store_batch, stored_history, stream_bars
 
 TICKS = "symbol string, ts timestamp, price double, volume double"
