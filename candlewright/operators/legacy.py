@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlewright.functions.ranges import with_places
 from candlewright.functions.windows import by_symbol
 from candlewright.operators.setups import continuation
 
 
 def sector_median(fundamentals: DataFrame) -> DataFrame:
-    """sector, sector_pe_median over known ratios."""
-    return fundamentals.groupBy("sector").agg(F.median("pe_ratio").alias("sector_pe_median"))
+    """sector, sector_pe_median over known ratios; null where a sector has none.
+
+    Distinct ratios are counted and dealt out by their size, and the one or two in the middle are picked by their places,
+    so that a sector of any size is never in one task or in one aggregate's memory.
+    """
+    known = fundamentals.filter("pe_ratio is not null")
+    counts = with_places(known.groupBy("sector", "pe_ratio").agg(F.count("*").alias("n")), "pe_ratio", "sector")
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("n") <= place)
+    middle = counts.filter(holds(low) | holds(high)).groupBy("sector").agg(((F.min("pe_ratio") + F.max("pe_ratio")) / 2).alias("_m"))
+    middle = middle.withColumnRenamed("sector", "_of")
+    sectors = fundamentals.select("sector").distinct()
+    return sectors.join(middle, F.col("sector").eqNullSafe(F.col("_of")), "left").select("sector", F.col("_m").alias("sector_pe_median"))
 
 
 def fundamental_gate(fundamentals: DataFrame, default: float = 30.0, growth: float = 0.10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.blocks import cut
+from candlewright.functions.ranges import with_places
 from candlewright.functions.scalar import half_up
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.functions.windows import upto
@@ -34,12 +36,16 @@ def composite(settings: Settings = DEFAULTS, benchmark: bool = True) -> Column:
     return F.try_divide(total, weights)
 
 
-def rank(rows: DataFrame, *by: str, among: Column | None = None) -> DataFrame:
+def rank(rows: DataFrame, *by: str, among: Column | None = None, spread: bool = False) -> DataFrame:
     """rs_ratio (4 places) and rs_rank (1 place): the share of rows with a score of at most one's own, in percent.
 
     One row per symbol enters for each value of `by`; without `by` all rows meet in one task, a row per symbol. Rows
-    without a score go; with `among`, all rows stay and only those it holds for, with a score, have a rank.
+    without a score go; with `among`, all rows stay and only those it holds for, with a score, have a rank. `spread` is
+    for many rows that compete with each other: distinct scores are counted first and dealt out by their size, so that
+    no task sees them all and ties of any number are one row; rows are written once, as they are read twice.
     """
+    if spread:
+        return _spread_rank(rows, by, among)
     if among is None:
         rows = rows.filter("rs_score is not null")
         share = F.cume_dist().over(Window.partitionBy(*by).orderBy("rs_score"))
@@ -49,6 +55,18 @@ def rank(rows: DataFrame, *by: str, among: Column | None = None) -> DataFrame:
     return rows.withColumns({"rs_rank": half_up(share * 100, 1), "rs_ratio": half_up("rs_score", 4)})
 
 
+def _spread_rank(rows: DataFrame, by: tuple[str, ...], among: Column | None) -> DataFrame:
+    ok = F.coalesce((F.lit(True) if among is None else among) & F.col("rs_score").isNotNull(), F.lit(False))
+    rows = cut(rows if among is not None else rows.filter(ok))
+    counts = with_places(rows.filter(ok).groupBy(*by, "rs_score").agg(F.count("*").alias("n")), "rs_score", *by)
+    on = ok & (F.col("rs_score") == F.col("_score"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    places = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("rs_score").alias("_score"), (F.col("_upto") / F.col("_all")).alias("_share"))
+    rows = rows.join(places, on, "left")
+    return rows.withColumns({"rs_rank": half_up(F.col("_share") * 100, 1), "rs_ratio": half_up("rs_score", 4)}).drop("_score", "_share", *(f"_{c}" for c in by))
+
+
 def strength(returned: DataFrame, benchmark: DataFrame | None, *by: str, settings: Settings = DEFAULTS, among: Column | None = None) -> DataFrame:
     """Add rs_score, rs_ratio and rs_rank to rows with ret{k}, against the benchmark's row of equal `by` (without `by`,
     its one row). Where the benchmark has no row, scores are those without a benchmark; where its row has no usable

@@ -334,5 +334,6 @@ SELECT symbol, sector, {_cols("pe_ratio", "sector_pe_median", "revenue_growth")}
        CASE WHEN pe_ratio > 50 THEN {_r4("pe_ratio")} END AS promoter_holding
 FROM f JOIN m USING (sector) WHERE pe_ratio <= coalesce(sector_pe_median, 30) AND revenue_growth > 0.10""",
 }
+_SQL["rs_rank_spread"] = f"{_WEEK}, {_returns('bars', 'ret')}, {_ranked('ret', False)}, own AS (SELECT symbol, ts, {_r4('rs_score')} AS rs_score FROM ranked WHERE rs_score IS NOT NULL) SELECT symbol, ts, rs_score, round(cume_dist() OVER (ORDER BY rs_score) * 100, 1) AS rs_rank FROM own"
 _SQL |= {f"{name}_split": _SQL[name] for name in ("ema", "obv", "adx", "macd", "psar", "setups")}
 ORACLE_SQL = {name: _arithmetic(sql) for name, sql in _SQL.items()}

@@ -69,13 +69,16 @@ def _signals(bars: DataFrame, settings: Settings, long: bool | Blocks) -> DataFr
 def earnings_flag(rows: DataFrame, earnings: DataFrame, as_of: Column, days: int = 10) -> DataFrame:
     """earnings_flag: some date from `as_of` to `days` calendar days later. `as_of` may be a column of `rows`.
 
-    A symbol's dates become one array, so that `rows` are read once and stay one row each.
+    Days are put into bins of the interval's length, and an interval meets two of them. A bin's dates and those of the
+    next become one array, of at most twice as many as the interval has days, so that `rows` are read once and stay one
+    row each, and a symbol with any number of dates keeps small arrays.
     """
-    dates = earnings.groupBy(F.col("symbol").alias("_of")).agg(F.collect_set("earnings_date").alias("_dates"))
-    day = as_of.cast("date")
+    day, bin_ = as_of.cast("date"), lambda d: F.floor(F.unix_date(d) / (days + 1))
+    dates = earnings.select(F.col("symbol").alias("_of"), "earnings_date", F.explode(F.array(bin_(F.col("earnings_date")), bin_(F.col("earnings_date")) - 1)).alias("_bin"))
+    dates = dates.groupBy("_of", "_bin").agg(F.collect_set("earnings_date").alias("_dates"))
     due = F.exists("_dates", lambda d: d.between(day, F.date_add(day, days)))
-    out = rows.join(dates, F.col("symbol") == F.col("_of"), "left")
-    return out.withColumn("earnings_flag", F.coalesce(due, F.lit(False))).drop("_of", "_dates")
+    out = rows.join(dates, (F.col("symbol") == F.col("_of")) & (bin_(day) == F.col("_bin")), "left")
+    return out.withColumn("earnings_flag", F.coalesce(due, F.lit(False))).drop("_of", "_bin", "_dates")
 
 
 def _good(settings: Settings) -> Column:

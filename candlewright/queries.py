@@ -132,6 +132,12 @@ def _rank(benchmark: bool) -> Query:
     return query
 
 
+def rs_rank_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars' scores as one field of competitors."""
+    rows = strength.returns(_bars(spark, sf_dir), SETTINGS).withColumn("rs_score", r4(strength.composite(SETTINGS, benchmark=False)))
+    return strength.rank(rows, spread=True).select("symbol", F.to_date("ts").alias("ts"), "rs_score", "rs_rank")
+
+
 _RESULT = ("symbol", "name", "score", "setup_type", "rs_rank", "trend_score", "adx", "entry_pivot", "stop", "target", "rr", "atr", "earnings_flag", "last_close", "week52_high", "week52_low", "avg_turnover")
 
 
@@ -325,7 +331,7 @@ QUERIES: dict[str, Query] = {
     "range_52w": _indicator(indicators.year_range, "year_high", "year_low"),
     "trend": trend, "breakout": _detector("breakout"), "pullback": _detector("pullback"), "continuation": _detector("continuation"),
     "setups": setup_levels, "liquidity": liquidity, "rs_rank": _rank(True), "rs_rank_no_benchmark": _rank(False),
-    "setup_counts": setup_counts, "index_snapshot": index_snapshot, "earnings_flag": earnings_flag,
+    "rs_rank_spread": rs_rank_spread, "setup_counts": setup_counts, "index_snapshot": index_snapshot, "earnings_flag": earnings_flag,
     "missing_symbols": missing_symbols, "universe": universe, "read_list": read_list, "latest_results": latest_results,
     "sorted_results": sorted_results, "run_status": run_status, "orphan_results": orphan_results, "schema_union": schema_union,
     "chart_series": chart_series, "chart_nested": chart_nested, "session_ticks": session_ticks, "wide_to_long": wide_long, "wide_to_long_all": wide_long_all,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+from collections.abc import Iterable
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +22,8 @@ SECTORS = (
 )
 RUNS = "id string, status string, universe string, total int, scanned int, passed int, error string, started_at timestamp, finished_at timestamp"
 
+MANIFEST = "run_id string, version string, at timestamp"
+
 
 def sectors(spark: SparkSession) -> DataFrame:
     """sector, ticker of the indices; a ticker may serve two sectors."""
@@ -86,6 +91,63 @@ def write_results(results: DataFrame, path: str, run_id: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe=' ')}")
 
 
+def write_bars_by_symbol(bars: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
+    """Bars as a table in buckets by symbol, sorted by symbol and ts. What is computed by symbol from `spark.table(table)`
+    needs no exchange. Rows are dealt out first, so that a bucket is one file."""
+    rows = bars.repartition(buckets, "symbol")
+    rows.write.mode(mode).bucketBy(buckets, "symbol").sortBy("symbol", "ts").format("parquet").saveAsTable(table)
+
+
+def read_evolved_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results in files of several versions: all their columns, null where a file lacks one; no flag means false."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    if "earnings_flag" not in rows.columns:
+        rows = rows.withColumn("earnings_flag", F.lit(None).cast("boolean"))
+    return rows.withColumn("earnings_flag", F.coalesce("earnings_flag", F.lit(False)))
+
+
+def commit_results(results: DataFrame, path: str, run_id: str) -> None:
+    """Write a run's results beside those that are there, then enter them into the manifest, which makes them the run's.
+
+    A job that ends in between leaves what was there before; so does one that fails while it writes.
+    """
+    version = uuid.uuid4().hex
+    write_results(results, f"{path}/data/version={version}", run_id)
+    _enter(results.sparkSession, path, [(run_id, version)])
+
+
+def drop_runs(spark: SparkSession, path: str, run_ids: Iterable[str]) -> None:
+    """Enter runs as gone; `tidy_results` deletes their files."""
+    _enter(spark, path, [(run_id, None) for run_id in run_ids])
+
+
+def _enter(spark: SparkSession, path: str, rows: list[tuple[str, str | None]]) -> None:
+    now = dt.datetime.now()
+    spark.createDataFrame([(*r, now) for r in rows], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    return rows.groupBy("run_id").agg(F.max_by(F.struct("version"), "at").alias("v")).select("run_id", F.col("v.version").alias("version")).filter("version is not null")
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """The results of each run's version in the manifest; partitions of others are pruned when the join runs."""
+    return spark.read.parquet(f"{path}/data").join(F.broadcast(_current(spark, path)), ["run_id", "version"]).drop("version")
+
+
+def tidy_results(spark: SparkSession, path: str) -> int:
+    """Delete the folders of versions that the manifest no longer names, and return their number. Not beside a writer."""
+    keep = {r.version for r in _current(spark, path).collect()}  # a row for each run
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    gone = [f.getPath() for f in files.listStatus(folder) if f.isDirectory() and f.getPath().getName().removeprefix("version=") not in keep]
+    for p in gone:
+        files.delete(p, True)
+    return len(gone)
+
+
 def results_to_text(results: DataFrame) -> DataFrame:
     """Results for a store without arrays: signals_triggered as JSON text, null as it is."""
     return results.withColumn("signals_triggered", F.to_json("signals_triggered"))

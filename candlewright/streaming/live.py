@@ -3,28 +3,69 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.operators.bars import clean_bars, ohlcv
 from candlewright.plans.scan import Counts, found
 from candlewright.sources.tables import BARS, window_of, write_results, write_run_event
 
+#: A calendar bar on its way: the first and the last tick (micros and price), high, low, volume.
+STATE = "first_at long, first double, last_at long, last double, high double, low double, volume double"
 #: Stands for the time at which an event is written.
 NOW = object()
 
 
-def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Bars of a stream of symbol, ts, price, volume; a bar is out once the watermark passes it, later ticks drop."""
-    span = F.window("ts", width)
+def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour", start: str | None = None) -> DataFrame:
+    """Bars of a stream of symbol, ts, price, volume; a bar is out once the watermark passes it, later ticks drop.
+
+    `start` moves the bars' limits: widths of whole weeks begin on a Thursday, and "4 days" later on a Monday.
+    """
+    span = F.window("ts", width, startTime=start)
     rows = ticks.withWatermark("ts", delay).groupBy(span, "symbol").agg(*ohlcv(F.col("price"), F.col("volume"), F.struct("ts", "price")))
     return rows.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def stream_calendar_bars(ticks: DataFrame, unit: str = "month", delay: str = "1 hour") -> DataFrame:
+    """Bars of a stream by calendar unit (week, month, quarter, year), which has no fixed width.
+
+    A symbol's bar is a state of seven numbers with a timer at the end of its unit; it is out once the watermark passes
+    that, and goes. Ticks behind the watermark drop.
+    """
+    known = F.col("price").isNotNull() & F.col("ts").isNotNull()
+    rows = ticks.withWatermark("ts", delay).filter(known)
+    begin = F.date_trunc(unit, "ts")
+    ends = F.date_trunc(unit, begin + F.expr({"week": "INTERVAL 10 DAYS", "month": "INTERVAL 40 DAYS", "quarter": "INTERVAL 100 DAYS", "year": "INTERVAL 380 DAYS"}[unit]))
+    rows = rows.select("symbol", begin.alias("begin"), F.unix_millis(ends.cast("timestamp")).alias("until"), "ts", F.unix_micros("ts").alias("at"), "price", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        symbol, begin, until = key
+        if state.hasTimedOut:
+            _, first, _, last, high, low, volume = state.get
+            state.remove()
+            yield pd.DataFrame({"symbol": [symbol], "ts": [begin], "open": [first], "high": [high], "low": [low], "close": [last], "volume": [volume]})
+            return
+        own = state.get if state.exists else None
+        for part in parts:
+            ordered = part.sort_values(["at", "price"])
+            one, two = ordered.iloc[0], ordered.iloc[-1]
+            new = (int(one["at"]), float(one["price"]), int(two["at"]), float(two["price"]), float(part["price"].max()), float(part["price"].min()), float(part["volume"].sum()))
+            if own is not None:
+                new = (*min(own[:2], new[:2]), *max(own[2:4], new[2:4]), max(own[4], new[4]), min(own[5], new[5]), own[6] + new[6])
+            own = new
+        if own is not None and until > state.getCurrentWatermarkMs():
+            state.update(own)
+            state.setTimeoutTimestamp(int(until))
+
+    return rows.groupBy("symbol", "begin", "until").applyInPandasWithState(update, BARS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def store_batch(batch: DataFrame, stored: str, number: int) -> dt.date | None:
     """Write a batch's bars by day under its own name and return the last day, found while writing; None without bars."""
     seen = Observation()

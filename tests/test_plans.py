@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
 import pandas as pd
@@ -18,7 +19,7 @@ from candlewright.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-QUICK = ("bars_weekly", "bars_monthly", "ema", "ema_blocks", "adx", "cci", "psar", "ema_split", "obv_split", "adx_split", "macd_split", "psar_split", "setups_split", "trend", "breakout", "setups", "trades", "expectancy", "rs_rank", "scan_asof", "scan_asof_ranked", "scan_history", "scan_history_benchmark_missing", "latest_results", "funnel", "earnings_flag", "chart_series", "chart_nested", "wide_to_long", "v1_signals", "v1_fundamentals", "missing_symbols", "universe", "read_list", "session_ticks")
+QUICK = ("bars_weekly", "bars_monthly", "ema", "ema_blocks", "adx", "cci", "psar", "ema_split", "obv_split", "adx_split", "macd_split", "psar_split", "setups_split", "trend", "breakout", "setups", "trades", "expectancy", "rs_rank", "rs_rank_spread", "scan_asof", "scan_asof_ranked", "scan_history", "scan_history_benchmark_missing", "latest_results", "funnel", "earnings_flag", "chart_series", "chart_nested", "wide_to_long", "v1_signals", "v1_fundamentals", "missing_symbols", "universe", "read_list", "session_ticks")
 
 
 def plain(x):
@@ -76,6 +77,78 @@ def test_percentile_ties_and_weights(spark):
     assert one.select(strength.composite(benchmark=False)).first()[0] == pytest.approx((0.2 * 0.1 + 0.35 * 0.2) / 0.55)
 
 
+def test_spread_percentile_equals_the_window(spark):
+    """Ties, both signs, zeros, tiny and endless scores, with and without a key; no window over all rows."""
+    draw = random.Random(2)
+    odd = [0.0, -0.0, 1.0, 1.0, float("inf"), float("-inf"), 5e-324, -1e300, float("nan"), None]
+    scores = [draw.choice([round(draw.gauss(0, 1), 2), 0.5, draw.gauss(0, 1e-4), draw.choice(odd)]) for _ in range(3000)]
+    df = spark.createDataFrame([(str(k), k % 3, x) for k, x in enumerate(scores)], "symbol string, day int, rs_score double").repartition(5)
+    key = lambda rows: {r.symbol: r.rs_rank for r in rows.collect()}
+    odd_days = F.col("day") != 1
+    for by in ((), ("day",)):
+        assert key(strength.rank(df, *by, spread=True)) == key(strength.rank(df, *by))
+    assert key(strength.rank(df, among=odd_days, spread=True)) == key(strength.rank(df, among=odd_days))
+    assert strength.rank(df.limit(0), spread=True).count() == 0
+
+
+def test_sector_median(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice("ABC"), draw.choice([None, round(draw.gauss(5, 30), 1), 7.0])) for _ in range(2001)] + [("D", None), ("E", 4.0), ("E", 5.5), (None, 2.0)]
+    df = spark.createDataFrame(rows, "sector string, pe_ratio double").repartition(4)
+    got = {r.sector: r.sector_pe_median for r in legacy.sector_median(df).collect()}
+    assert got == {r[0]: r[1] for r in df.groupBy("sector").agg(F.median("pe_ratio")).collect()} and got["E"] == 4.75 and got["D"] is None
+
+
+def test_many_dates_of_a_symbol(spark):
+    """A calendar with a date every third day for centuries keeps small arrays."""
+    day = dt.date(1800, 1, 1)
+    earnings = spark.range(40_000).select(F.lit("A").alias("symbol"), F.date_add(F.lit(day), (3 * F.col("id")).cast("int")).alias("earnings_date"))
+    rows = spark.createDataFrame([("A", dt.date(1799, 12, d)) for d in range(20, 32)] + [("A", dt.date(2000, 1, 1)), ("A", dt.date(2500, 1, 1)), ("B", day)], "symbol string, ts date")
+    got = {(r.symbol, r.ts): r.earnings_flag for r in scan.earnings_flag(rows, earnings, F.col("ts")).collect()}
+    assert got == {(s, d): s == "A" and d >= dt.date(1799, 12, 22) and d.year < 2100 for s, d in got} and len(got) == 15
+
+
+def test_bars_stored_by_symbol_need_no_exchange(spark):
+    rows = queries._bars(spark, DATA)
+    tables.write_bars_by_symbol(rows, "bars_by_symbol", 4)
+    try:
+        stored = spark.table("bars_by_symbol")
+        plan = scan.signals(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, rows.collect()))
+    finally:
+        spark.sql("DROP TABLE bars_by_symbol")
+
+
+def test_committed_results_outlive_a_failed_rewrite(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("S", 7), ("T", 9)], "symbol string, score int")
+    for run in ("a", "b"):
+        tables.commit_results(rows, path, run)
+    tables.commit_results(rows.filter("score > 8"), path, "a")
+    got = lambda: sorted((r.run_id, r.symbol) for r in tables.read_committed(spark, path).collect())
+    assert got() == [("a", "T"), ("b", "S"), ("b", "T")]
+    with pytest.raises(Exception, match="broken"):  # fails while it writes
+        tables.commit_results(rows.withColumn("score", F.raise_error(F.lit("broken")).cast("int")), path, "b")
+    tables.write_results(rows.limit(0), f"{path}/data/version=killed", "b")  # ends before the manifest
+    assert got() == [("a", "T"), ("b", "S"), ("b", "T")]
+    tables.drop_runs(spark, path, ["b"])
+    assert got() == [("a", "T")] and tables.tidy_results(spark, path) >= 3 and got() == [("a", "T")]
+    tables.commit_results(rows.limit(0), path, "a")
+    assert got() == []
+
+
+def test_files_of_both_versions(spark, tmp_path):
+    path = str(tmp_path / "results")
+    old = spark.createDataFrame([("A", 11.5)], "symbol string, pe_ratio double")
+    new = spark.createDataFrame([("B", 7, True), ("C", 5, None)], "symbol string, score int, earnings_flag boolean")
+    old.write.parquet(path)
+    assert tables.read_evolved_results(spark, path).first().earnings_flag is False
+    new.write.mode("append").parquet(path)
+    show = lambda df: sorted(map(str, df.select("symbol", "pe_ratio", "score", "earnings_flag").collect()))
+    assert show(tables.read_evolved_results(spark, path)) == show(tables.union_results(old, new))
+
+
 def test_earnings_days_are_inclusive(spark):
     day = dt.datetime(2020, 1, 1)
     rows = spark.createDataFrame([(s, day) for s in "ABCDE"], "symbol string, ts timestamp")
