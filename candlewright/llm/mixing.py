@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import WORD, sized, stored
+from candlewright.llm.shared import WORD, discard, sized, stored
 
 _NEAR = 1e-9
 
@@ -125,6 +125,7 @@ def _planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float
         done.append(state.filter(~open_))
         state = state.filter(open_).withColumn("parts", F.greatest(F.ceil(2 * F.col("parts") / group), F.lit(1)))
         n, level = 2 * parts, level + 1
+    discard(units, plan)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -394,6 +394,31 @@ def test_verbatim_items_of_any_length_are_found_at_every_place(spark):
     assert len(rows) == len(docs) and all(r.contaminated and r.first_item == r.doc_id // 100 and r.covered == r.first_item for r in rows)
 
 
+def test_what_many_texts_and_items_share_makes_no_pairs(spark, monkeypatch):
+    """400 texts and 400 items with one stock sentence, 300 items of one template: few stored rows, and the same leaks."""
+    draw, seen = random.Random(13), {}
+    say = lambda n: " ".join(draw.choice(["oak", "elm", "ash", "fir", "yew"]) + str(draw.randint(100, 999)) + "x" for _ in range(n))
+    stock = "please answer the question below with one short sentence of your own"
+    items = [(k, f"{stock} {say(20)}") for k in range(400)] + [(1000 + k, f"how many apples are left if {k} of {k + 7} apples were eaten on the way home") for k in range(300)]
+    docs = [(k, f"{say(15)} {stock} {say(15)}") for k in range(400)] + [(500, say(9) + " " + items[7][1]), (501, "so how many apples are left if 3 of 9 apples were eaten on the way home")]
+    keep = decontamination.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontamination, "stored", counted)
+    benchmark, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: tuple(r)[1:4] for r in decontamination.decontaminate(frame, benchmark).collect()}
+    assert {k: v for k, v in rows.items() if v[0]} == {500: (True, 1, 7), 501: (True, 300, 1000)}
+    assert seen["candidates"] < 20 and seen["matches"] < 500 and seen["windows"] < 10_000
+    some = [d for d in docs if d[0] % 100 == 0] + docs[-1:]
+    own = items[:6] + items[-30:]
+    got = decontamination.leaks(spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(own, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute_leaks(some, own)
+
+
 def test_equal_slots_may_part(spark):
     item = "in the morning the shop on the corner sold 3 pens to every child who came in with a note from school and after lunch it also had rulers that cost 3 dollars so how much did the children pay"
     asked = item.replace("3 pens", "5 pens").replace("3 dollars", "8 dollars")
