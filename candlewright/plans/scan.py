@@ -14,6 +14,9 @@ from candlewright.sources.tables import available, window_of
 
 COLUMNS = ("symbol", "name", "score", "setup_type", "signals_triggered", "rs_ratio", "rs_rank", "trend_score", "adx", "entry_pivot", "stop", "target", "rr", "atr", "earnings_flag", "last_close", "week52_high", "week52_low", "avg_turnover")
 
+#: Bars of the year's range.
+YEAR = 252
+
 
 class Counts:
     """A run's total (constituents), scanned (those with bars) and passed (results), counted while a scan's rows are made."""
@@ -50,18 +53,22 @@ def signals(bars: DataFrame, settings: Settings = DEFAULTS, long: bool | Blocks
     it looks at raises an error there, as its verdict would depend on rows further back.
     """
     if isinstance(long, Blocks):
-        return in_blocks(bars, long, lambda rows: _checked(_signals(rows, settings, long).withColumn("n_bars", F.col("_g")), long))
+        return in_blocks(bars, long, lambda rows: _checked(_signals(rows, settings, long)))
     return _signals(bars, settings, long)
 
 
-def _checked(rows: DataFrame, how: Blocks) -> DataFrame:
-    seen = F.least(*(F.count(F.when(setups.complete(*columns)[0], 1)).over(upto()) for columns in setups.COMPLETE))
-    short = ~F.col("_lead") & (F.col("_g") > F.col("_k")) & (seen < setups.LOOK_BACK)
+def _checked(rows: DataFrame, closes: int = 0) -> DataFrame:
+    """Rows of blocks with their true n_bars; an error where a lead-in has too few complete rows or known closes, or is
+    shorter than the year's range."""
+    count = lambda test: F.count(F.when(test, 1)).over(upto())
+    seen = F.least(*(count(setups.complete(*columns)[0]) for columns in setups.COMPLETE))
+    rows = rows.withColumn("n_bars", F.col("_g"))
+    short = ~F.col("_lead") & (F.col("_g") > F.col("_k")) & ((F.col("_k") < YEAR) | (seen < setups.LOOK_BACK) | (count(F.col("close").isNotNull()) <= closes))
     return rows.withColumn("n_bars", F.when(short, F.raise_error(F.lit("too few complete rows lead in to a block: use a longer lead")).cast("long")).otherwise(F.col("n_bars")))
 
 
 def _signals(bars: DataFrame, settings: Settings, long: bool | Blocks) -> DataFrame:
-    df = indicators.year_range(indicators.bundle(bars, long))
+    df = indicators.year_range(indicators.bundle(bars, long), YEAR)
     df = setups.risk(setups.setups(setups.trend(setups.liquidity(df, settings))), settings)
     return setups.result_columns(df).withColumn("n_bars", F.row_number().over(by_symbol()))
 
@@ -102,26 +109,29 @@ def _named(rows: DataFrame, constituents: DataFrame, earnings: DataFrame | None,
     return earnings_flag(rows, earnings, as_of, settings.earnings_days)
 
 
-def scan(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, top: int | None = None) -> DataFrame:
+def scan(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, top: int | None = None, long: bool | Blocks = False) -> DataFrame:
     """Ranked results at `as_of`, from each symbol's last bar in the trailing history; ties keep the universe's order."""
-    rows = found(bars, constituents, as_of, earnings, settings, benchmark).orderBy(F.desc("score"), "pos")
+    rows = found(bars, constituents, as_of, earnings, settings, benchmark, long=long).orderBy(F.desc("score"), "pos")
     return rows.limit(top) if top else rows
 
 
-def found(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, counts: Counts | None = None) -> DataFrame:
+def found(bars: DataFrame, constituents: DataFrame, as_of: str, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, counts: Counts | None = None, long: bool | Blocks = False) -> DataFrame:
     """The same without an order. With `counts`, what it counts is known once the rows were written or collected, and no
     job is run for that; an order would have Spark look at them twice.
     """
-    verdicts = judged(bars, counts.of_list(constituents) if counts else constituents, as_of, settings, benchmark)
+    verdicts = judged(bars, counts.of_list(constituents) if counts else constituents, as_of, settings, benchmark, long)
     verdicts = verdicts.withColumn("rs_rank", F.coalesce("rs_rank", F.lit(0.0)))
     rows = _passing(counts.of_verdicts(verdicts, _good(settings)) if counts else verdicts, settings)
     rows = _named(rows, constituents, earnings, F.lit(as_of).cast("date"), settings)
     return rows.drop("adx", "atr14").withColumnRenamed("adx_shown", "adx").select(*COLUMNS, F.col("ts").alias("as_of_bar"), "pos")
 
 
-def _measured(bars: DataFrame, settings: Settings, long: bool = False) -> DataFrame:
-    """Signals and look-back returns at every bar: all of it in windows over one exchange by symbol."""
-    return strength.with_returns(signals(bars, settings, long), settings)
+def _measured(bars: DataFrame, settings: Settings, long: bool | Blocks = False) -> DataFrame:
+    """Signals and look-back returns at every bar: all of it in windows over one exchange by symbol, or by block."""
+    if isinstance(long, Blocks):
+        far = max(k for k, _ in settings.lookbacks)
+        return in_blocks(bars, long, lambda rows: _checked(strength.with_returns(_signals(rows, settings, long), settings), far))
+    return strength.with_returns(_signals(bars, settings, long), settings)
 
 
 def _benchmark(bars: DataFrame, benchmark: bool | DataFrame, settings: Settings) -> DataFrame | None:
@@ -132,15 +142,19 @@ def _benchmark(bars: DataFrame, benchmark: bool | DataFrame, settings: Settings)
     return strength.returns(own, settings).drop("symbol")
 
 
-def judged(bars: DataFrame, constituents: DataFrame, as_of: str, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True) -> DataFrame:
+def judged(bars: DataFrame, constituents: DataFrame, as_of: str, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, long: bool | Blocks = False) -> DataFrame:
     """One row per constituent with bars: its signals at its last bar, and its strength among those that are liquid.
 
     Bars are read once: gates, returns and indicators share the windows, and only each symbol's last bar goes on.
-    `benchmark`: its bars, or whether to take them from `bars`; strength is absolute where it has no bar.
+    `benchmark`: its bars, or whether to take them from `bars`; strength is absolute where it has no bar. `long`: see
+    `signals`; without it, more bars of a symbol in the trailing history than weights can tell apart are an error.
     """
     history = window_of(bars, as_of, settings.history_days)
-    own = _measured(available(history, constituents), settings)
-    last = own.withColumn("_next", F.lead("ts").over(by_symbol())).filter("_next is null").drop("_next")
+    own = _measured(available(history, constituents), settings, long)
+    if isinstance(long, Blocks):  # no window over a whole symbol: the last of each task's rows, then of these
+        last = own.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in own.columns if c != "symbol")), "ts").alias("_row")).select("symbol", "_row.*")
+    else:
+        last = own.withColumn("_next", F.lead("ts").over(by_symbol())).filter("_next is null").drop("_next")
     if not isinstance(benchmark, bool):
         benchmark = window_of(benchmark, as_of, settings.history_days)
     bench = _benchmark(history, benchmark, settings)
@@ -149,7 +163,7 @@ def judged(bars: DataFrame, constituents: DataFrame, as_of: str, settings: Setti
     return strength.strength(last, bench, settings=settings, among=F.col("liquid"))
 
 
-def scan_history(bars: DataFrame, constituents: DataFrame, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, long: bool = False) -> DataFrame:
+def scan_history(bars: DataFrame, constituents: DataFrame, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, long: bool | Blocks = False) -> DataFrame:
     """Results at every bar: symbols compete with those that have a bar at the same time."""
     rows = _measured(available(bars, constituents), settings, long).filter("liquid")
     rows = _passing(strength.strength(rows, _benchmark(bars, benchmark, settings), "ts", settings=settings), settings)

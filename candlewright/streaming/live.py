@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from candlewright.functions.blocks import Blocks
 from candlewright.functions.settings import DEFAULTS, Settings
 from candlewright.operators.bars import clean_bars, ohlcv
 from candlewright.plans.scan import Counts, found
@@ -96,6 +97,7 @@ def incremental_scan(
     earnings: DataFrame | None = None,
     events: str | None = None,
     files: int | None = None,
+    long: bool | Blocks = False,
 ) -> StreamingQuery:
     """Take bar files that arrived, store them, and scan as of their last day; the nightly job as an incremental batch.
 
@@ -103,7 +105,7 @@ def incremental_scan(
     played again replaces what it wrote before. Of several bars of a (symbol, ts) the last batch's counts. A night reads
     the days of its trailing history and no others. With `events` a run is entered there as running, then as done with
     the number of constituents, of symbols with bars, and of results, which are counted while the results are written,
-    or as in error with what went wrong. `files` bounds the files of one batch.
+    or as in error with what went wrong. `files` bounds the files of one batch; for `long`, see `scan.signals`.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -121,7 +123,7 @@ def incremental_scan(
         tell(status="running", started_at=NOW)
         try:
             counts = Counts()
-            rows = found(history, constituents, f"{last} 23:59:59", earnings, settings, benchmark, counts=counts)
+            rows = found(history, constituents, f"{last} 23:59:59", earnings, settings, benchmark, counts, long)
             write_results(rows, results, key)
             tell(status="done", finished_at=NOW, **counts.get())
         except Exception as e:
