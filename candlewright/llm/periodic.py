@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import id_and_text, mix, pieces, windows, within
+from candlewright.llm.shared import id_and_text, mix, pieces, windows
 
 #: Boundaries are looked at in groups of so many words.
 GROUP = 1 << 20

@@ -8,7 +8,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from candlewright.llm import queries
 from candlewright.llm.periodic import collapse_runs, digests, find_runs, re_pair
