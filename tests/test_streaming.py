@@ -1,5 +1,4 @@
 import datetime as dt
-import os
 
 from pyspark.sql import functions as F
 
