@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.llm.shared import Words, discard, id_and_text, mix, pieces, stored, windows, within, words
@@ -89,7 +89,7 @@ def _digests(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(docs: DataFrame, size: int) -> DataFrame:
-    """mark, a, b, doc_id, place, n: runs of windows with one mark; digests of all n windows; place holds start and tag."""
+    """mark, a, b, doc_id, tag, start, n: runs of windows with one mark; digests of all n windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -102,30 +102,17 @@ def _runs(docs: DataFrame, size: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 a, b = (np.add.reduceat(mix(x[start] ^ turn), at) if len(at) else turn for x in _digests(w, size))
             start, text = start[at], text[at]
-            yield pa.record_batch({"mark": mark[at].view(np.int64), "a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "place": _place(start - w.first[text], batch.column("tag").to_numpy()[text]), "n": n.astype(np.int32)})
+            yield pa.record_batch({"mark": mark[at].view(np.int64), "a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "tag": batch.column("tag").take(pa.array(text)), "start": (start - w.first[text]).astype(np.int32), "n": n.astype(np.int32)})
 
-    return stored(docs.filter("doc_id is not null").mapInArrow(find, "mark long, a long, b int, doc_id long, place long, n int"), "runs")
+    return stored(docs.filter("doc_id is not null").mapInArrow(find, "mark long, a long, b int, doc_id long, tag long, start int, n int"), "runs")
 
 
 def _half(digest: np.ndarray) -> np.ndarray:
     return (digest >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _place(start: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Start of a window and its row's tag in one number."""
-    return start.astype(np.int64) << 32 | tag.astype(np.int64) & 0xFFFFFFFF
-
-
-def _start() -> Column:
-    return F.shiftright("place", 32).cast("int")
-
-
-def _tag() -> Column:
-    return F.shiftright(F.shiftleft("place", 32), 32).cast("int").alias("tag")
-
-
 def _open_windows(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
-    """a, b, doc_id, place of every window of the open runs."""
+    """a, b, doc_id, tag, start of every window of the open runs."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -139,11 +126,11 @@ def _open_windows(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
             text = np.repeat(text, n)
             a, b = (x[start + w.first[text]] for x in _digests(w, size)) if len(start) else np.zeros((2, 0), np.uint64)
-            yield pa.record_batch({"a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "place": _place(start, batch.column("tag").to_numpy()[text])})
+            yield pa.record_batch({"a": a.view(np.int64), "b": _half(b), "doc_id": batch.column("doc_id").take(pa.array(text)), "tag": batch.column("tag").take(pa.array(text)), "start": start.astype(np.int32)})
 
-    by_row = stored(open_.groupBy("doc_id", _tag()).agg(F.collect_set(F.struct(_start().alias("s"), "n")).alias("runs")), "open-runs")
+    by_row = stored(open_.groupBy("doc_id", "tag").agg(F.collect_set(F.struct(F.col("start").alias("s"), "n")).alias("runs")), "open-runs")
     rows = docs.join(by_row.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
-    return stored(rows.mapInArrow(digest, "a long, b int, doc_id long, place long"), "windows")
+    return stored(rows.mapInArrow(digest, "a long, b int, doc_id long, tag long, start int"), "windows")
 
 
 def _earlier(rows: DataFrame, name: str) -> DataFrame:
@@ -159,13 +146,13 @@ def _repeats(docs: DataFrame, size: int) -> DataFrame:
     by_mark = stored(by_mark.filter("x < y").select("mark", "several"), "marks")
     shared = stored(every.join(by_mark.hint("merge"), "mark").drop("mark"), "shared-runs")
     discard(every, by_mark)
-    runs = stored(shared.join(_earlier(shared, "first-runs").hint("merge"), ["a", "b"], "left").select("doc_id", "place", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
+    runs = stored(shared.join(_earlier(shared, "first-runs").hint("merge"), ["a", "b"], "left").select("doc_id", "tag", "start", "n", "several", (F.col("doc_id") > F.coalesce("at", "doc_id")).alias("later")), "judged-runs")
     discard(shared)
     found = _open_windows(docs, runs.filter("several and not later"), size)
-    later = found.join(_earlier(found, "first-windows").hint("merge"), ["a", "b"]).filter("doc_id > at").select("doc_id", "place", F.lit(1).alias("n"))
-    rows = later.union(runs.filter("later").select("doc_id", "place", "n"))
-    span = F.struct(_start().alias("low"), (_start() + F.col("n") - 1).alias("high"))
-    rows = rows.groupBy("doc_id", _tag()).agg(F.array_sort(F.collect_set(span)).alias("s"))
+    later = found.join(_earlier(found, "first-windows").hint("merge"), ["a", "b"]).filter("doc_id > at").select("doc_id", "tag", "start", F.lit(1).alias("n"))
+    rows = later.union(runs.filter("later").select("doc_id", "tag", "start", "n"))
+    span = F.struct(F.col("start").alias("low"), (F.col("start") + F.col("n") - 1).alias("high"))
+    rows = rows.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(span)).alias("s"))
     low = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1)["high"], F.lit(-2)) != x["low"] - 1)
     high = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1)["low"], F.lit(-2)) != x["high"] + 1)
     out = stored(rows.select("doc_id", "tag", F.transform(low, lambda x: x["low"]).alias("lows"), F.transform(high, lambda x: x["high"]).alias("highs")), "repeats")
@@ -178,10 +165,10 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if it is in a window of `size` words that also starts in a
     document with a smaller doc_id; windows are judged on the input. Null and empty texts have no words and an empty kept
-    text. Rows that share a doc_id are never earlier than each other; a 32-bit hash of the text tells them apart. A null doc_id is neither earlier nor later than
-    any, so that its row stays whole. Other columns play no part; an empty table gives no rows.
+    text. Rows that share a doc_id are never earlier than each other; a 64-bit hash of the text tells them
+    apart. A null doc_id is neither earlier nor later than any, so that its row stays whole. Other columns play no part; an empty table gives no rows.
     """
-    docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.hash("text"))
+    docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
     rows = docs.join(_repeats(docs, size).hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "lows", "highs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,16 @@ def test_rows_of_one_id_and_parts_of_passages(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_rows_of_one_id_with_equal_short_hashes(spark):
+    """Two texts of one doc_id whose 32-bit hashes are equal: what goes from one of them doesn't go from the other."""
+    old, new = (" ".join(f"{x}{k}" for k in range(60)) for x in "pq")
+    texts = lambda head, name: spark.range(200_000).select(F.concat(F.lit(head + " "), "id").alias(name)).withColumn("h", F.hash(name))
+    both = texts(old, "x").join(texts(new, "y"), "h").select("x", "y").first()
+    rows = [(1, old), (2, both.x), (2, both.y)]
+    got = {tuple(r) for r in remove_repeats(make(spark, rows)).collect()}
+    assert got == {(1, 60, 0, old), (2, 61, 60, both.x.split()[-1]), (2, 61, 0, both.y)}
+
+
 def test_equal_windows_have_equal_marks(corpus):
     """Whatever stands around it, a window's mark follows from its own words."""
     draw, seen = random.Random(2), {}
