@@ -3,9 +3,11 @@
 A document is the sequence of its lines with a word, each stripped of white space at its ends. Grams of `gram` lines are
 hashed; of every `window` grams in a row the smallest is kept as a fingerprint, the last of equals. Any run of
 gram + window - 1 lines that stands twice has a kept fingerprint in common, so that positions joined on fingerprints
-miss no such run. From there a match is extended both ways, a line at a time: the runs of that guaranteed length at
-every place around a shared fingerprint are compared in full, those that stand earlier are deleted where they come
-later, and as they overlap, what is deleted is the whole of each match, however long.
+miss no such run. Positions are joined on fingerprints that stand more than once, and a row keeps those of its own. A
+match is not walked from pair to pair, as a line that many documents share would make all their pairs. Instead, from each
+shared fingerprint all runs of the guaranteed length that hold its gram are taken, to both sides. Each is grouped by its
+full digest with its equals, and goes where it isn't the first of them. A longer match is a chain of such runs that
+overlap, each with a fingerprint of its own, so that the whole of it goes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.shared import id_and_text, mix, pieces, span_hash, stored, text_bytes, windows, within, words
+from candlewright.llm.shared import discard, id_and_text, mix, pieces, span_hash, stored, text_bytes, windows, within, words
 
 
 def line_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +48,8 @@ def winnow(key: np.ndarray, first: np.ndarray, gram: int, window: int) -> np.nda
     return np.unique(best)
 
 
-def _shared(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """doc_id, tag, places: places of those fingerprints of each row that stand more than once."""
+def _shared(docs: DataFrame, gram: int, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, tag, places: places of those fingerprints of each row that stand more than once; and tables it reads."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -61,7 +63,7 @@ def _shared(docs: DataFrame, gram: int, window: int) -> DataFrame:
     found = stored(docs.filter("doc_id is not null").mapInArrow(find, "print long, doc_id long, tag long, place int"), "prints")
     # stored, as are the first runs below, so that a join may split the rows of a hot key
     twice = stored(found.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "shared-prints")
-    return found.join(twice, "print").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    return found.join(twice, "print").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places")), [found, twice]
 
 
 def remove_repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +76,7 @@ def remove_repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_co
     """
     size = gram + window - 1
     docs = id_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
-    shared = _shared(docs, gram, window)
+    shared, spent = _shared(docs, gram, window)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -92,6 +94,7 @@ def remove_repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_co
 
     marked = docs.join(shared, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places")
     runs = stored(marked.mapInArrow(extend, "a long, b long, doc_id long, tag long, start int"), "runs")
+    discard(*spent)
     first_of = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max(F.struct("doc_id", "start")).alias("z"))
     first_of = stored(first_of.filter("at < z").select("a", "b", "at"), "first-runs")
     later = runs.join(first_of, ["a", "b"]).filter(F.struct("doc_id", "start") > F.col("at"))
