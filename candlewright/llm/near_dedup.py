@@ -16,7 +16,8 @@ classes get one label. After that only members of entries with several labels ar
 made within entries, as an entry of texts just under the similarity would yield all of them. Instead every set is put in
 order from its rarest shingle to its most common one. Sets as similar as asked share one of their first few shingles,
 and from the place of the first one that they share follows how many they can share at all; a shingle that only one set
-has can't be shared. Texts that each have more words of their own than the similarity allows therefore meet nowhere.
+has can't be shared. Texts that each have more words of their own than the similarity allows therefore meet nowhere, and
+of texts that meet by a change that many others share too, folded bitmaps rule out most before a pair is written.
 Pairs that meet, have different labels and pass both tests above are confirmed on full sets like the others, so that no
 link between groups is lost, while a group of copies, which has one label by then, never yields its pairs.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ from candlewright.llm.shared import discard, id_and_text, mix, pieces, sized, st
 SYMBOLS, BITS, LANES = 64, 12, 5
 #: Differing symbols allowed in a chunk, and the chance that sets as similar as asked exceed the threshold.
 ERRORS, MISS = 1, 1e-6
-#: Longs of a bitmap.
-MAP = 32
+#: Longs of a bitmap, and of a folded one that travels with every rare shingle.
+MAP, FOLD = 32, 8
 _LONGS = -(-SYMBOLS // LANES)
 _FACTORS = np.random.default_rng(64).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -153,15 +155,15 @@ def components(links: DataFrame) -> DataFrame:
     now = edges.agg(mark).head()[0]
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = both.join(sized(near), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        far = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(sized(far), "u")
         small = small.select("u", F.col("m").alias("v")).union(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         spent, edges = edges, stored(small.distinct(), "edges")
         before, now = now, edges.agg(mark).head()[0]
-        discard(spent, large)
+        discard(spent, large, near, far)
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
@@ -192,29 +194,43 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
 
 
 def _meeting(docs: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: pairs of the ids in `named` (id, label) with different labels that may be similar enough by rare shingles.
-
-    Sets are in order of (how many of these sets have a shingle, the shingle). Of n shingles, similar sets share at least
-    percent * n / 100, so that they share one of the first n - that + 1. If the first that they share has x shingles from
-    it on in one set and y in the other, they share min(x, y) at most. In a group around a shingle, the rows of its most
-    common label meet the others only.
+    """a, b: pairs of the ids in `named` (id, label, bitmap) with different labels that may be similar enough by rare shingles.
+
+    Sets are in order of (how many of these sets have a shingle, the shingle). Similar sets of x and y shingles, x <= y,
+    share at least percent * (x + y) / (100 + percent). The first that they share therefore has a place among the first
+    x - 2 * percent * x / (100 + percent) + 1 of the smaller set, its head, and among the first y - percent * y / 100 + 1
+    of the larger one; what stands from there on in either set bounds what they share at all. Heads meet the longer
+    beginnings only, so that a shingle that is in no head meets nothing. In a group around a shingle, heads of its most
+    common label meet the other labels only. Folded bitmaps are compared where pairs meet, and no pair that they rule
+    out is written.
     """
-    sets = stored(_full_sets(docs, named, size), "open-sets")
+    parts = [f"m{k}" for k in range(FOLD)]
+    folded = [reduce(Column.bitwiseXOR, [F.col("bitmap")[j] for j in range(k, MAP, FOLD)]).alias(m) for k, m in enumerate(parts)]
+    sets = stored(_full_sets(docs, stored(named.select("id", "label", *folded), "open-ids"), size), "open-sets")
     each = sets.select("id", F.explode("has").alias("g"))
     often = each.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1")
     order = each.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "g"))).alias("o"))
-    rows = sets.select("id", "label", F.size("has").alias("n")).join(order, "id")
-    alone = F.col("n") - F.size("o")  # shingles of no other set come first
-    take = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1 - alone
-    rows = rows.filter(take > 0).select("id", "label", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), take)).alias("k", "x"))
-    rows = stored(rows.select(F.col("x.g").alias("g"), "id", "label", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("rest")), "prefixes")
-    most = rows.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("c"))
-    most = sized(stored(most.filter("c > 1").select("g", "top"), "labels-of-shingles"))
-    x = rows.join(most, "g").filter("label <> top").select("g", "top", *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "n", "rest")))
-    y = rows.select("g", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "n", "rest")))
-    room = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("n_x") + F.col("n_y"))
-    once = (F.col("label_y") == F.col("top")) | (F.col("id_x") < F.col("id_y"))
-    pairs = stored(x, "rare").join(y, "g").filter((F.col("label_x") != F.col("label_y")) & once & room)
+    rows = sets.select("id", "label", *parts, F.size("has").alias("n")).join(order, "id")
+    before = F.size("o") + 1  # shingles of no other set come first
+    take = before - F.ceil(percent * F.col("n") / 100).cast("int")
+    head = before - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int")
+    kept = ["id", "label", "n", *parts]
+    rows = rows.filter(take > 0).select(*kept, head.alias("head"), F.size("o").alias("all"), F.posexplode(F.slice("o", F.lit(1), take)).alias("k", "x"))
+    rows = stored(rows.select(F.col("x.g").alias("g"), *kept, (F.col("all") - F.col("k")).alias("rest"), (F.col("k") < F.col("head")).alias("head")), "prefixes")
+    most = rows.groupBy("g", "label").agg(F.count("*").alias("c"), F.max("head").alias("head"))
+    most = most.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("c"), F.max("head").alias("any"))
+    groups = stored(most.filter("c > 1 and any").select("g", "top"), "labels-of-shingles")
+    rows = rows.join(sized(groups), "g").withColumn("other", F.col("label") != F.col("top"))
+    x = rows.filter("head").select("g", "other", *(F.col(c).alias(f"{c}_x") for c in (*kept, "rest")))
+    # a head of the top label (other is false) meets the other labels, any other head meets all
+    meets = F.when(F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    y = rows.select("g", F.explode(meets).alias("other"), *(F.col(c).alias(f"{c}_y") for c in (*kept, "rest")))
+    total = F.col("n_x") + F.col("n_y")
+    room = (100 + percent) * F.least("rest_x", "rest_y") >= percent * total
+    apart = sum((F.bit_count(F.col(f"{m}_x").bitwiseXOR(F.col(f"{m}_y"))) for m in parts), F.lit(0))
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+    pairs = stored(x, "heads").join(stored(y, "beginnings"), ["g", "other"])
+    pairs = pairs.filter((F.col("label_x") != F.col("label_y")) & once & room & ((100 + percent) * apart <= (100 - percent) * total))
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
@@ -258,7 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
     open_ = stored(named.join(mixed, "key").select("id", "label").distinct(), "open")
-    more = stored(_meeting(docs, open_, size, percent), "meeting").join(left, "a").join(right, "b").filter(may_link("a", "b", most, percent))
+    more = stored(_meeting(docs, reps.select("id", "bitmap").join(sized(open_), "id"), size, percent), "meeting").join(left, "a").join(right, "b").filter(may_link("a", "b", most, percent))
     more = stored(more.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.union(stored(_confirmed(docs, more, size, percent), "links"))

@@ -166,6 +166,31 @@ def test_many_texts_just_under_the_similarity(spark):
     assert 1900 < len(set(label.tolist())) < len(rows) and time.time() - begun < 150
 
 
+@pytest.mark.parametrize(("seed", "size", "percent"), [(1, 3, 85), (2, 5, 80), (3, 2, 90)])
+def test_texts_that_share_their_changes(spark, monkeypatch, seed, size, percent):
+    """Texts of several lengths, changed in few places by few words: links against brute force, and few pairs are written."""
+    draw, rows, written = random.Random(seed), [], []
+    base = [f"b{k}" for k in range(70)]
+    for k in range(600):
+        w = base[draw.choice([0, 0, 0, 4, 9]) : draw.choice([70, 70, 66, 60])]
+        for _ in range(draw.randint(1, 4)):
+            w[draw.randrange(2, len(w) - 2)] = f"v{draw.randrange(12)}"
+        rows.append((k, " ".join(w)))
+    sets = [{tuple(w[p : p + size]) for p in range(len(w) - size + 1)} for _, t in rows for w in [t.split()]]
+    label = list(range(len(rows)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if 100 * len(x & sets[b]) >= percent * len(x | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if v == high else v for v in label]
+    keep = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    monkeypatch.setattr(near_dedup, "discard", lambda *_: None)
+    got = near_duplicates(make(spark, rows).repartition(3), size, percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label)) and 1 < len(set(label)) < 590
+    assert sum(df.count() for name, df in written if name == "meeting") < 1200
+
+
 def test_stage_keeps_columns_and_one_of_each_group(spark, corpus):
     docs = make(spark, corpus)
     kept = without_near_duplicates(docs)
