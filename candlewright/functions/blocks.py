@@ -24,16 +24,25 @@ GUARD = 2
 
 @dataclass(frozen=True)
 class Blocks:
-    """`rows` of a block, `lead` rows that lead in to it, and the `unit` of time whose rows of a symbol are numbered together."""
+    """`rows` of a block, `lead` rows that lead in to it, and the `unit` of time whose rows of a symbol are numbered together.
+
+    `parts`: over how many tasks blocks are dealt where they are shuffled for windows; None leaves it to Spark.
+    """
 
     rows: int = 100_000
     lead: int = 320
     unit: str = "day"
+    parts: int | None = None
 
     def __post_init__(self) -> None:
         if self.rows < 1 or self.lead < GUARD:
             raise ValueError(f"a block has a row, and {GUARD} rows of lead-in, at least")
 
+    @property
+    def span(self) -> int:
+        """Rows of a block in `in_blocks`: half a lead-in at least, so that a row is in four blocks at most."""
+        return max(self.rows, self.lead // 2)
+
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once as a checkpoint in the shared folder, so that what reads it again does not compute it again and
@@ -65,23 +74,25 @@ def in_blocks(bars: DataFrame, how: Blocks, build: Callable[[DataFrame], DataFra
 
     In it, _g is a row's number, _k its place in block and lead-in, and _lead tells lead-ins apart.
     """
-    rows = numbered(bars, how.unit).withColumn("_own", F.floor((F.col("_g") - 1) / how.rows))
-    last = F.floor((F.col("_g") - 1 + how.lead) / how.rows)
+    rows = numbered(bars, how.unit).withColumn("_own", F.floor((F.col("_g") - 1) / how.span))
+    last = F.floor((F.col("_g") - 1 + how.lead) / how.span)
     rows = rows.withColumn("_b", F.explode(F.sequence("_own", last)))
-    rows = rows.withColumns({"_k": F.col("_g") - F.col("_b") * how.rows + how.lead, "_lead": F.col("_b") > F.col("_own"), "symbol": F.struct("symbol", F.col("_b").alias("block"))})
+    rows = rows.withColumns({"_k": F.col("_g") - F.col("_b") * how.span + how.lead, "_lead": F.col("_b") > F.col("_own"), "symbol": F.struct("symbol", F.col("_b").alias("block"))})
     out = build(rows.drop("_own", "_b"))
     return out.filter("not _lead").withColumn("symbol", F.col("symbol.symbol")).drop("_g", "_k", "_lead")
 
 
-def decayed(y: Column, index: Column, fold: float, keys: list, order: Column | str) -> Column:
+def decayed(y: Column, index: Column, fold: float, keys: list, order: Column | str, most: int) -> Column:
     """At each row the sum of y over rows of equal `keys` up to it, weighted by e^(-fold) for each step of `index` between.
 
-    Rows are weighed in groups: a row needs its own group's running sum and the group before, as older ones have decayed
-    below a double's precision.
+    Where doubles can weigh all of `index`, which is `most` at most, it is one running sum, and sums of all folds share
+    their window and its sort. Beyond that rows are weighed in groups: a row needs its own group's running sum and the
+    group before, as older ones have decayed below a double's precision.
     """
     every = Window.partitionBy(*keys)
-    if not fold:
-        return F.coalesce(F.sum(y).over(every.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    if fold * most <= FOLDS:
+        weight = F.exp(fold * index) if fold else F.lit(1.0)
+        return F.coalesce(F.sum(y * weight).over(every.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) / weight
     size = max(1, int(FOLDS / 2 / fold))
     group, weight = F.floor(index / size), F.exp(fold * (index % size))
     own = Window.partitionBy(*keys, group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -94,17 +105,21 @@ def running(df: DataFrame, how: Blocks, **of: tuple[Column, float]) -> DataFrame
 
     Every block gives the sums over its first rows after the guard, as many as blocks are long, so that these segments
     meet without a gap; a row for each block goes into a table that sums them up, and each block adds what went before.
-    The rows are written once, as they are read for the table and for the result. A null y counts as nothing.
+    The rows are written once, as they are read for the table and for the result; so is the table, whose last block
+    tells how its sums are weighed. A null y counts as nothing.
     """
     df = cut(df)
     k = F.col("_k") - GUARD
-    here = df.filter(k.between(1, how.rows))
-    sums = here.groupBy("symbol").agg(*(F.sum(y * F.exp(-fold * (how.rows - k))).alias(name) for name, (y, fold) in of.items()))
+    here = df.filter(k.between(1, how.span))
+    sums = cut(here.groupBy("symbol").agg(*(F.sum(y * F.exp(-fold * (how.span - k))).alias(name) for name, (y, fold) in of.items())))
     plain, block = F.col("symbol.symbol"), F.col("symbol.block")
-    upto = [decayed(F.col(name), block, fold * how.rows, [plain], block).alias(f"_in_{name}") for name, (_, fold) in of.items()]
+    most = sums.agg(F.max(block)).first()[0] or 0
+    upto = [decayed(F.col(name), block, fold * how.span, [plain], block, most).alias(f"_in_{name}") for name, (_, fold) in of.items()]
     carry = sums.select(F.struct(plain.alias("symbol"), (block + 1).alias("block")).alias("_at"), *upto)
+    df = df.repartition(how.parts, "symbol") if how.parts else df
     df = df.join(carry, F.col("symbol") == F.col("_at"), "left")
-    seen = {name: F.when(k >= 1, decayed(F.when(k >= 1, y), k, fold, ["symbol"], "ts") + F.coalesce(f"_in_{name}", F.lit(0.0)) * F.exp(-fold * k)) for name, (y, fold) in of.items()}
+    longest = how.span + how.lead
+    seen = {name: F.when(k >= 1, decayed(F.when(k >= 1, y), k, fold, ["symbol"], "ts", longest) + F.coalesce(f"_in_{name}", F.lit(0.0)) * F.exp(-fold * k)) for name, (y, fold) in of.items()}
     return df.withColumns(seen).drop("_at", *(f"_in_{name}" for name in of))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.scalar import PRICES, nan_as_null
 
 FIELDS = (*PRICES, "volume")
+#: Rows that a task takes where bars are dealt out for windows by symbol.
+TASK_ROWS = 200_000
 
 
 def clean_bars(bars: DataFrame, newest: Column | None = None) -> DataFrame:
@@ -38,6 +41,20 @@ def resample_ticks(ticks: DataFrame, unit: str, order: Sequence[str]) -> DataFra
     return ticks.groupBy("symbol", bucket).agg(*ohlcv(F.col("price"), F.col("volume"), key))
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: one per core at least, and none with many more than TASK_ROWS."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
+def dealt(bars: DataFrame, rows: int) -> DataFrame:
+    """Bars by symbol in tasks of bounded size; `rows` is their number or more. Windows by symbol take no further exchange.
+
+    Indicators and detectors sort a task's rows a dozen times, and each sort widens them, so that a task by the size of
+    its shuffled bars alone would need many times its memory.
+    """
+    return bars.repartition(parts_of(bars.sparkSession, rows), "symbol")
+
+
 def resample_bars(bars: DataFrame, unit: str) -> DataFrame:
     """Coarser bars from finer ones."""
     bucket = F.date_trunc(unit, "ts").cast("timestamp").alias("ts")

@@ -7,6 +7,7 @@ benchmark. Figures are rounded to four places the same way on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from candlewright.functions.blocks import Blocks, cut, in_blocks
 from candlewright.functions.scalar import in_session
 from candlewright.functions.settings import Settings
 from candlewright.operators import indicators, legacy, setups, strength
-from candlewright.operators.bars import resample_bars, resample_ticks, wide_to_long
+from candlewright.operators.bars import dealt, parts_of, resample_bars, resample_ticks, wide_to_long
 from candlewright.plans import backtest, scan, serving
 from candlewright.sources import tables
 
@@ -37,6 +38,11 @@ def _bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     return resample_ticks(_ticks(spark, sf_dir), unit, ["ts", "l_orderkey", "l_linenumber"])
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars for windows by symbol; there are no more of them than ticks."""
+    return dealt(_bars(spark, sf_dir), _read(spark, sf_dir, "lineitem").count())
+
+
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = _ticks(spark, sf_dir).withColumn("symbol", F.lit(SETTINGS.benchmark))
     return resample_ticks(pooled, "week", ["ts", "l_orderkey", "l_linenumber"])
@@ -64,24 +70,34 @@ def _show(df: DataFrame, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame
 
 
 def _indicator(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
-    return lambda spark, sf_dir: _show(build(_bars(spark, sf_dir)), *columns)
+    return lambda spark, sf_dir: _show(build(_dealt(spark, sf_dir)), *columns)
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.signals(_bars(spark, sf_dir), SETTINGS)
+    return scan.signals(_dealt(spark, sf_dir), SETTINGS)
 
 
 def _detector(name: str) -> Query:
     build = {"breakout": setups.breakout, "pullback": setups.pullback, "continuation": setups.continuation}[name]
-    return lambda spark, sf_dir: _show(build(indicators.bundle(_bars(spark, sf_dir))), f"{name}_pivot", keep=(name,))
+    return lambda spark, sf_dir: _show(build(indicators.bundle(_dealt(spark, sf_dir))), f"{name}_pivot", keep=(name,))
 
 
 #: Short blocks, so that the symbols of small tables have several.
 BLOCKS = Blocks(rows=70, lead=45, unit="month")
 
 
-def _split(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
-    return lambda spark, sf_dir: _show(in_blocks(_bars(spark, sf_dir), BLOCKS, build), *columns)
+def _spread(spark: SparkSession, sf_dir: str, how: Blocks) -> Blocks:
+    """`how` with as many tasks as rows and lead-ins of the table ask for."""
+    rows = _read(spark, sf_dir, "lineitem").count() * (how.span + how.lead) // how.span
+    return replace(how, parts=parts_of(spark, rows))
+
+
+def _split(build: Callable[[DataFrame, Blocks], DataFrame], *columns: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        how = _spread(spark, sf_dir, BLOCKS)
+        return _show(in_blocks(_bars(spark, sf_dir), how, lambda b: build(b, how)), *columns)
+
+    return query
 
 
 def psar_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +105,7 @@ def psar_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def setups_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    how = Blocks(rows=30, lead=320, unit="month")
+    how = _spread(spark, sf_dir, Blocks(rows=30, lead=320, unit="month"))
     return _levels(scan.signals(_bars(spark, sf_dir), SETTINGS, how))
 
 
@@ -103,11 +119,11 @@ def bars_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(indicators.parabolic_sar(_bars(spark, sf_dir)), "sar", keep=("sar_trend",))
+    return _show(indicators.parabolic_sar(_dealt(spark, sf_dir)), "sar", keep=("sar_trend",))
 
 
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setups.trend(indicators.bundle(_bars(spark, sf_dir))).select("symbol", F.to_date("ts").alias("ts"), "trend_score", "trend_ok")
+    return setups.trend(indicators.bundle(_dealt(spark, sf_dir))).select("symbol", F.to_date("ts").alias("ts"), "trend_score", "trend_ok")
 
 
 def setup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +136,13 @@ def _levels(rows: DataFrame) -> DataFrame:
 
 
 def liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setups.liquidity(_bars(spark, sf_dir), SETTINGS).select("symbol", F.to_date("ts").alias("ts"), "liquid")
+    return setups.liquidity(_dealt(spark, sf_dir), SETTINGS).select("symbol", F.to_date("ts").alias("ts"), "liquid")
 
 
 def _rank(benchmark: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         bench = strength.returns(_bench(spark, sf_dir), SETTINGS).drop("symbol") if benchmark else None
-        rows = strength.strength(strength.returns(_bars(spark, sf_dir), SETTINGS), bench, "ts", settings=SETTINGS)
+        rows = strength.strength(strength.returns(_dealt(spark, sf_dir), SETTINGS), bench, "ts", settings=SETTINGS)
         return _show(rows, "rs_score", keep=("rs_rank",))
 
     return query
@@ -134,7 +150,7 @@ def _rank(benchmark: bool) -> Query:
 
 def rs_rank_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars' scores as one field of competitors."""
-    rows = strength.returns(_bars(spark, sf_dir), SETTINGS).withColumn("rs_score", r4(strength.composite(SETTINGS, benchmark=False)))
+    rows = strength.returns(_dealt(spark, sf_dir), SETTINGS).withColumn("rs_score", r4(strength.composite(SETTINGS, benchmark=False)))
     return strength.rank(rows, spread=True).select("symbol", F.to_date("ts").alias("ts"), "rs_score", "rs_rank")
 
 
@@ -144,7 +160,7 @@ _RESULT = ("symbol", "name", "score", "setup_type", "rs_rank", "trend_score", "a
 def _history(spark: SparkSession, sf_dir: str, benchmark: bool | None = None) -> DataFrame:
     """Results at all bars, against the pooled benchmark (None) or as scan_history does with `benchmark`."""
     bench = _bench(spark, sf_dir) if benchmark is None else benchmark
-    return scan.scan_history(_bars(spark, sf_dir), _constituents(spark, sf_dir), _earnings(spark, sf_dir), SETTINGS, bench)
+    return scan.scan_history(_dealt(spark, sf_dir), _constituents(spark, sf_dir), _earnings(spark, sf_dir), SETTINGS, bench)
 
 
 def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +173,7 @@ def scan_history_benchmark_missing(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def _asof(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame:
-    rows = scan.scan(_bars(spark, sf_dir), _constituents(spark, sf_dir), as_of, _earnings(spark, sf_dir), SETTINGS, _bench(spark, sf_dir))
+    rows = scan.scan(_dealt(spark, sf_dir), _constituents(spark, sf_dir), as_of, _earnings(spark, sf_dir), SETTINGS, _bench(spark, sf_dir))
     return rows.select(F.to_date("as_of_bar").alias("ts"), *_RESULT, F.array_join("signals_triggered", ",").alias("signals_triggered"), "rs_ratio")
 
 
@@ -167,17 +183,17 @@ def scan_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_asof_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day with several results and scores, and each one's place among them."""
-    rows = scan.scan(_bars(spark, sf_dir), _constituents(spark, sf_dir), "1996-10-14", _earnings(spark, sf_dir), SETTINGS, _bench(spark, sf_dir))
+    rows = scan.scan(_dealt(spark, sf_dir), _constituents(spark, sf_dir), "1996-10-14", _earnings(spark, sf_dir), SETTINGS, _bench(spark, sf_dir))
     place = F.row_number().over(Window.orderBy(F.desc("score"), "pos"))  # a row per symbol that passed
     return rows.select("symbol", "score", "rs_rank", "setup_type", "earnings_flag", place.alias("place"))
 
 
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.funnel(scan.judged(_bars(spark, sf_dir), _constituents(spark, sf_dir), AS_OF, SETTINGS, _bench(spark, sf_dir)), SETTINGS)
+    return scan.funnel(scan.judged(_dealt(spark, sf_dir), _constituents(spark, sf_dir), AS_OF, SETTINGS, _bench(spark, sf_dir)), SETTINGS)
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.trades(_bars(spark, sf_dir), SETTINGS)
+    return backtest.trades(_dealt(spark, sf_dir), SETTINGS)
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +315,7 @@ def wide_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v1_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = legacy.signals(indicators.bundle(_bars(spark, sf_dir)))
+    rows = legacy.signals(indicators.bundle(_dealt(spark, sf_dir)))
     return rows.select("symbol", F.to_date("ts").alias("ts"), "v1_cross", "v1_rsi", "v1_macd", "v1_breakout", "v1_signals", "v1_ok", "v1_score")
 
 
@@ -325,9 +341,9 @@ QUERIES: dict[str, Query] = {
     "adx": _indicator(indicators.adx, "plus_di", "minus_di", "adx"),
     "stochastic": _indicator(indicators.stochastic, "stoch_k", "stoch_d"), "obv": _indicator(indicators.obv, "obv"),
     "vwap": _indicator(indicators.vwap, "vwap"), "cci": _indicator(indicators.cci, "cci"), "psar": psar,
-    "ema_split": _split(lambda b: indicators.ema(b, 9, 20, 21, 50, 200, long=BLOCKS), "ema9", "ema20", "ema21", "ema50", "ema200"),
-    "obv_split": _split(lambda b: indicators.obv(b, long=BLOCKS), "obv"), "adx_split": _split(indicators.adx, "plus_di", "minus_di", "adx"),
-    "macd_split": _split(lambda b: indicators.macd(b, long=BLOCKS), "macd", "macd_signal", "macd_hist"), "psar_split": psar_split, "setups_split": setups_split,
+    "ema_split": _split(lambda b, how: indicators.ema(b, 9, 20, 21, 50, 200, long=how), "ema9", "ema20", "ema21", "ema50", "ema200"),
+    "obv_split": _split(lambda b, how: indicators.obv(b, long=how), "obv"), "adx_split": _split(lambda b, _: indicators.adx(b), "plus_di", "minus_di", "adx"),
+    "macd_split": _split(lambda b, how: indicators.macd(b, long=how), "macd", "macd_signal", "macd_hist"), "psar_split": psar_split, "setups_split": setups_split,
     "range_52w": _indicator(indicators.year_range, "year_high", "year_low"),
     "trend": trend, "breakout": _detector("breakout"), "pullback": _detector("pullback"), "continuation": _detector("continuation"),
     "setups": setup_levels, "liquidity": liquidity, "rs_rank": _rank(True), "rs_rank_no_benchmark": _rank(False),

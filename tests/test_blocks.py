@@ -84,3 +84,18 @@ def test_scan_in_blocks(spark):
     assert show(got) == show(want) and len(want) >= 2
     assert counts.get()["passed"] == len(got) and counts.get()["total"] == names.count()
     bars.unpersist()
+
+
+def test_sums_of_all_folds_share_a_sort(spark, bars):
+    """Blocks that doubles can weigh need one window for all their means; a long lead-in makes no more than four rows of one."""
+    how = Blocks(70, 45, "month", parts=3)
+    plan = in_blocks(bars, how, lambda df: ind.ema(df, 9, 20, 21, 50, 200, long=how)).select("symbol", "ts", *(f"ema{p}" for p in (9, 20, 21, 50, 200)))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("+- Window") + text.count("- Window") <= 8 and text.count("Sort [") <= 5
+    assert "REPARTITION_BY_NUM" in text
+    wide = Blocks(5, 90, "month")
+    assert in_blocks(bars, wide, lambda df: df.withColumn("part", F.col("symbol"))).count() == bars.count()
+    assert wide.span == 45 and Blocks(700, 50).span == 700
+    copies = []
+    in_blocks(bars, wide, lambda df: copies.append(df.count()) or df)
+    assert copies[0] <= 4 * bars.count()
