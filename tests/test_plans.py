@@ -216,6 +216,16 @@ def test_scan_reads_its_bars_once(spark):
         assert plan.count("lineitem.parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 9, name
 
 
+def test_tasks_of_indicators_keep_their_size(spark, monkeypatch):
+    """Twice the rows are dealt over twice the tasks, whatever Spark would put together; more than one core has work."""
+    monkeypatch.setattr(bars, "TASK_ROWS", 500)
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    for name in ("setups", "trades", "v1_signals", "ema_blocks", "scan_history"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert f", {math.ceil(n / 500)}), REPARTITION_BY_NUM" in plan, name
+    assert bars.parts_of(spark, 1) == spark.sparkContext.defaultParallelism and bars.parts_of(spark, 10_000) == 20
+
+
 def test_runs_and_results(spark, tmp_path):
     at = lambda h: dt.datetime(2020, 1, 1, h)
     events = str(tmp_path / "runs")
