@@ -31,6 +31,19 @@ def full(agg: Callable[[Column], Column], x: Column, n: int) -> Column:
     return F.when(F.count(x).over(trailing(n)) == n, agg(x).over(trailing(n)))
 
 
+def extreme(df: DataFrame, n: int, **of: tuple[Callable, Callable, str]) -> DataFrame:
+    """Add extremes over the last `n` rows: name=(F.max, F.greatest, column), or least ones.
+
+    A sliding window takes as many steps at a row as it is long. Here it is about sqrt(n) of them, over a short window,
+    and as many looks at that window's extremes further back.
+    """
+    size = max(1, math.isqrt(n))
+    back = [*range(size, n - size, size), n - size] if n > size else []
+    df = df.withColumns({f"_{name}": agg(column).over(trailing(size)) for name, (agg, _, column) in of.items()})
+    far = {name: pick(f"_{name}", *(F.lag(f"_{name}", k).over(by_symbol()) for k in back)) if back else F.col(f"_{name}") for name, (_, pick, _) in of.items()}
+    return df.withColumns(far).drop(*(f"_{name}" for name in of))
+
+
 def latest(x: Column | str) -> Column:
     """The last value that is not null, up to this row."""
     return F.last(x, ignorenulls=True).over(upto())

@@ -6,15 +6,20 @@ that one exchange and one sort by symbol serve them all. Nulls stand for warm-up
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.blocks import Blocks, cut, numbered, running
 from candlewright.functions.scalar import true_range, typical_price
-from candlewright.functions.windows import by_symbol, full, trailing, upto, with_ewm
+from candlewright.functions.windows import by_symbol, extreme, full, trailing, upto, with_ewm
+
+#: Rows of a side that was counted and is broadcast.
+BROADCAST = 500_000
 
 
 def _ema(column: str, period: int) -> tuple:
@@ -115,7 +120,8 @@ def volume_average(df: DataFrame, period: int = 20) -> DataFrame:
 def year_range(df: DataFrame, bars: int = 252, least: int = 50) -> DataFrame:
     """year_high, year_low of the last `bars` rows, once there are `least`."""
     known = F.row_number().over(by_symbol()) >= least
-    return df.withColumns({"year_high": F.when(known, F.max("high").over(trailing(bars))), "year_low": F.when(known, F.min("low").over(trailing(bars)))})
+    df = extreme(df, bars, year_high=(F.max, F.greatest, "high"), year_low=(F.min, F.least, "low"))
+    return df.withColumns({c: F.when(known, F.col(c)) for c in ("year_high", "year_low")})
 
 
 def bundle(df: DataFrame, long: bool | Blocks = False) -> DataFrame:
@@ -193,37 +199,79 @@ def _sar_in_blocks(df: DataFrame, step: float, most: float, how: Blocks, types:
     bars = lambda rows, own: rows.select("symbol", "_b", "_g", "high", "low", F.lit(own).alias("own"))
     state = "symbol string, _b long, entry array<double>, exit array<double>"
 
-    def guess(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_g")
-        before, own = part[~part["own"]], part[part["own"]]
-        if not len(own):
-            return part.head(0).assign(entry=None, exit=None)[["symbol", "_b", "entry", "exit"]]
-        entry = _sar(before["high"].tolist(), before["low"].tolist(), step, most)[2] if len(before) else None
-        end = _sar(own["high"].tolist(), own["low"].tolist(), step, most, entry)[2]
-        return pd.DataFrame({"symbol": [own["symbol"].iloc[0]], "_b": [own["_b"].iloc[0]], "entry": [entry], "exit": [end]})
-
-    def again(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_g")
-        entry = part["entry"].iloc[0]
-        end = _sar(part["high"].tolist(), part["low"].tolist(), step, most, entry)[2]
-        return pd.DataFrame({"symbol": [part["symbol"].iloc[0]], "_b": [part["_b"].iloc[0]], "entry": [entry], "exit": [end]})
-
-    states = cut(bars(rows, True).unionByName(bars(lead, False)).groupBy("symbol", "_b").applyInPandas(guess, state))
+    def guess(part: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        high, low, leads = part["high"].tolist(), part["low"].tolist(), np.cumsum([0, *~part["own"]])
+        states = []
+        for i, j in pairwise([*starts, len(part)]):
+            k = i + int(leads[j] - leads[i])  # lead-ins come first
+            if k == j:
+                continue
+            entry = _sar(high[i:k], low[i:k], step, most)[2] if k > i else None
+            states.append((part["symbol"].iat[i], part["_b"].iat[i], entry, _sar(high[k:j], low[k:j], step, most, entry)[2]))
+        return pd.DataFrame(states, columns=["symbol", "_b", "entry", "exit"])
+
+    def again(part: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        high, low, states = part["high"].tolist(), part["low"].tolist(), []
+        for i, j in pairwise([*starts, len(part)]):
+            entry = part["entry"].iat[i]
+            states.append((part["symbol"].iat[i], part["_b"].iat[i], entry, _sar(high[i:j], low[i:j], step, most, entry)[2]))
+        return pd.DataFrame(states, columns=["symbol", "_b", "entry", "exit"])
+
+    def fold(part: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        high, low, stops, signs = part["high"].tolist(), part["low"].tolist(), [], []
+        for i, j in pairwise([*starts, len(part)]):
+            got = _sar(high[i:j], low[i:j], step, most, part["entry"].iat[i])
+            stops += got[0]
+            signs += got[1]
+        return part.drop(columns=["_b", "_g", "entry"]).assign(sar=stops, sar_trend=signs)
+
+    states = cut(_by_block(bars(rows, True).unionByName(bars(lead, False)), guess, state, how))
     while True:
         before = F.lag("exit").over(Window.partitionBy("symbol").orderBy("_b"))
         right = states.withColumn("before", before)
-        wrong = right.filter("before is not null and not (entry <=> before)").select("symbol", "_b", F.col("before").alias("entry"))
-        if wrong.isEmpty():
+        wrong = cut(right.filter("before is not null and not (entry <=> before)").select("symbol", "_b", F.col("before").alias("entry")))
+        n = wrong.count()
+        if not n:
             break
-        redone = bars(rows, True).join(wrong, ["symbol", "_b"]).groupBy("symbol", "_b").applyInPandas(again, state)
+        wrong = F.broadcast(wrong) if n <= BROADCAST else wrong
+        redone = _by_block(bars(rows, True).join(wrong, ["symbol", "_b"]), again, state, how)
         states = cut(states.join(wrong, ["symbol", "_b"], "left_anti").unionByName(redone))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_g")
-        stops, signs, _ = _sar(part["high"].tolist(), part["low"].tolist(), step, most, part["entry"].iloc[0])
-        return part.drop(columns=["_b", "_g", "entry"]).assign(sar=stops, sar_trend=signs)
-
-    return rows.join(states.select("symbol", "_b", "entry"), ["symbol", "_b"]).groupBy("symbol", "_b").applyInPandas(fold, f"{types}, sar double, sar_trend int")
+    both = rows.join(states.select("symbol", "_b", "entry"), ["symbol", "_b"]).select(*df.columns, "_b", "_g", "entry")
+    return _by_block(both, fold, f"{types}, sar double, sar_trend int", how)
+
+
+def _by_block(rows: DataFrame, fold: Callable[[pd.DataFrame, list[int]], pd.DataFrame], types: str, how: Blocks) -> DataFrame:
+    """`fold` over all rows of some blocks, in order, and where each block starts. A call takes the whole blocks of an Arrow
+    batch, as short ones would each need a call and frames of their own; the last one waits for the rest of its rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+
+        def starts(part: pd.DataFrame) -> list[int]:
+            symbol, block = part["symbol"].to_numpy(), part["_b"].to_numpy()
+            return [0, *(np.flatnonzero((symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            ends = rest[-1] if rest else batch
+            at = starts(batch)
+            goes_on = ends["symbol"].iat[-1] == batch["symbol"].iat[0] and ends["_b"].iat[-1] == batch["_b"].iat[0]
+            if rest and goes_on and len(at) == 1:
+                rest.append(batch)
+                continue
+            part = pd.concat([*rest, batch], ignore_index=True)
+            at = starts(part)
+            if len(at) > 1:
+                yield fold(part.iloc[: at[-1]], at[:-1])
+            rest = [part.iloc[at[-1] :]]
+        if rest:
+            part = pd.concat(rest, ignore_index=True)
+            yield fold(part, starts(part))
+
+    dealt = rows.repartition(how.parts, "symbol", "_b") if how.parts else rows.repartition("symbol", "_b")
+    return dealt.sortWithinPartitions("symbol", "_b", "_g").mapInPandas(run, types)
 
 
 def exact_ewm(df: DataFrame, out: str, column: str, alpha: float, least: int) -> DataFrame:

@@ -101,7 +101,7 @@ def _split(build: Callable[[DataFrame, Blocks], DataFrame], *columns: str) -> Qu
 
 
 def psar_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(indicators.parabolic_sar(_bars(spark, sf_dir), long=BLOCKS), "sar", keep=("sar_trend",))
+    return _show(indicators.parabolic_sar(_bars(spark, sf_dir), long=_spread(spark, sf_dir, BLOCKS)), "sar", keep=("sar_trend",))
 
 
 def setups_split(spark: SparkSession, sf_dir: str) -> DataFrame:

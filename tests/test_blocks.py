@@ -99,3 +99,17 @@ def test_sums_of_all_folds_share_a_sort(spark, bars):
     copies = []
     in_blocks(bars, wide, lambda df: copies.append(df.count()) or df)
     assert copies[0] <= 4 * bars.count()
+
+
+def test_short_blocks_share_a_call(spark):
+    """Many short blocks in batches smaller and larger than they are, dealt over counted tasks; none is a call of its own."""
+    many = frame(spark, *(walk(60 + k, k, f"S{k}") for k in range(8))).repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = ind.parabolic_sar(many, long=Blocks(10, 15, "month", parts=2))
+            assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+            equal(values(got, "sar", "sar_trend"), values(ind.parabolic_sar(many), "sar", "sar_trend"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
