@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from candlewright.functions import windows
 from candlewright.operators import indicators as ind
 from candlewright.sources.tables import BARS
 
@@ -117,3 +118,14 @@ def test_causal_and_independent_of_order(spark):
     part = ind.bundle(frame(spark, p[:100], q[:100])).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
     cut = pd.concat([whole[whole.symbol == "A"][:100], whole[whole.symbol == "B"]]).reset_index(drop=True)
     pd.testing.assert_frame_equal(part, cut, rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 252])
+def test_extremes_of_short_windows_equal_the_sliding_one(spark, n):
+    p = walk(400, 3)
+    p.loc[[0, 5, 60, 61, 62], "high"] = np.nan
+    df = frame(spark, p)
+    got = windows.extreme(df, n, top=(F.max, F.greatest, "high"), bottom=(F.min, F.least, "low"))
+    want = df.withColumns({"top": F.max("high").over(windows.trailing(n)), "bottom": F.min("low").over(windows.trailing(n))})
+    pick = lambda rows: rows.select("ts", "top", "bottom").orderBy("ts").collect()
+    assert pick(got) == pick(want)
