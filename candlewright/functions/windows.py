@@ -31,6 +31,32 @@ def full(agg: Callable[[Column], Column], x: Column, n: int) -> Column:
     return F.when(F.count(x).over(trailing(n)) == n, agg(x).over(trailing(n)))
 
 
+def back(column: str, k: int) -> Column:
+    """`column` of the k-th row before this one among the symbol's rows that have it; it takes no sort of these rows."""
+    return F.expr(f"lag({column}, {k}) ignore nulls over (partition by symbol order by ts)")
+
+
+def near_sums(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The first step of `full_sums`, which may be taken earlier, where it shares a window with others: _near_{c}."""
+    w = by_symbol()
+    near = {f"_near_{c}": sum((F.lag(c, k).over(w) for k in range(1, math.isqrt(n))), F.col(c)) for c in columns}
+    return df.withColumns(near)
+
+
+def full_sums(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """Add _sum_{c} over the last `n` rows; null unless all of them have a value.
+
+    A sliding window takes as many steps at a row as it is long. Here a row adds up about sqrt(n) rows, and as many of
+    these sums further back.
+    """
+    df = near_sums(df, n, *(c for c in columns if f"_near_{c}" not in df.columns))
+    w, size = by_symbol(), math.isqrt(n)
+    whole = n - n % size
+    far = lambda c: [*((f"_near_{c}", k) for k in range(size, whole, size)), *((c, k) for k in range(whole, n))]
+    sums = {f"_sum_{c}": sum((F.lag(x, k).over(w) for x, k in far(c)), F.col(f"_near_{c}")) for c in columns}
+    return df.withColumns(sums).drop(*(f"_near_{c}" for c in columns))
+
+
 def extreme(df: DataFrame, n: int, **of: tuple[Callable, Callable, str]) -> DataFrame:
     """Add extremes over the last `n` rows: name=(F.max, F.greatest, column), or least ones.
 

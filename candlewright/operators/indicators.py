@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.blocks import Blocks, cut, numbered, running
 from candlewright.functions.scalar import true_range, typical_price
-from candlewright.functions.windows import by_symbol, extreme, full, trailing, upto, with_ewm
+from candlewright.functions.windows import by_symbol, extreme, full, full_sums, near_sums, trailing, upto, with_ewm
 
 #: Rows of a side that was counted and is broadcast.
 BROADCAST = 500_000
+#: Columns of `_moves` that the directional index sums up.
+MOVES = ("_tr", "_pdm", "_mdm")
 
 
 def _ema(column: str, period: int) -> tuple:
@@ -70,19 +72,29 @@ def band_ratio(df: DataFrame, period: int = 20) -> DataFrame:
     return df.withColumn("bb_width", F.try_divide(2 * full(F.stddev_pop, F.col("close"), period), full(F.avg, F.col("close"), period)))
 
 
-def adx(df: DataFrame, period: int = 20) -> DataFrame:
-    """plus_di, minus_di, adx from plain rolling sums. Where both directions are 0 the index has no value."""
+def _moves(df: DataFrame) -> DataFrame:
+    """Add _tr, _ch, _pdm, _mdm: true range, change of the close, and moves up and down, from the bar before."""
     w = by_symbol()
-    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    df = df.withColumns({"_tr": true_range(F.lag("close").over(w)), "_up": up, "_down": down})
+    df = df.withColumns({f"_before_{c}": F.lag(c).over(w) for c in ("close", "high", "low")})
+    up, down = F.col("high") - F.col("_before_high"), F.col("_before_low") - F.col("low")
     df = df.withColumns({
-        "_pdm": F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0),
-        "_mdm": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0),
+        "_tr": true_range(F.col("_before_close")), "_ch": F.col("close") - F.col("_before_close"),
+        "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0), "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
     })
-    tr = full(F.sum, F.col("_tr"), period)
-    df = df.withColumns({f"{n}_di": F.try_divide(100 * full(F.sum, F.col(c), period), tr) for n, c in (("plus", "_pdm"), ("minus", "_mdm"))})
+    return df.drop("_before_close", "_before_high", "_before_low")
+
+
+def _directions(df: DataFrame, period: int) -> DataFrame:
+    """plus_di, minus_di, adx from sums of `_moves`; these go."""
+    df = df.withColumns({f"{n}_di": F.try_divide(100 * F.col(f"_sum_{c}"), F.col("_sum__tr")) for n, c in (("plus", "_pdm"), ("minus", "_mdm"))})
     df = df.withColumn("_dx", F.try_divide(100 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
-    return df.withColumn("adx", full(F.avg, F.col("_dx"), period)).drop("_tr", "_up", "_down", "_pdm", "_mdm", "_dx")
+    df = full_sums(df, period, "_dx").withColumn("adx", F.col("_sum__dx") / period)
+    return df.drop(*MOVES, *(f"_sum_{c}" for c in MOVES), "_ch", "_dx", "_sum__dx")
+
+
+def adx(df: DataFrame, period: int = 20) -> DataFrame:
+    """plus_di, minus_di, adx from plain rolling sums. Where both directions are 0 the index has no value."""
+    return _directions(full_sums(_moves(df), period, *MOVES), period)
 
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
@@ -114,7 +126,7 @@ def cci(df: DataFrame, period: int = 20) -> DataFrame:
 
 
 def volume_average(df: DataFrame, period: int = 20) -> DataFrame:
-    return df.withColumn("vol_avg20", full(F.avg, F.col("volume"), period))
+    return full_sums(df, period, "volume").withColumn("vol_avg20", F.col("_sum_volume") / period).drop("_sum_volume")
 
 
 def year_range(df: DataFrame, bars: int = 252, least: int = 50) -> DataFrame:
@@ -125,23 +137,24 @@ def year_range(df: DataFrame, bars: int = 252, least: int = 50) -> DataFrame:
 
 
 def bundle(df: DataFrame, long: bool | Blocks = False) -> DataFrame:
-    """All indicators that the setups read: EMA 9/20/21/50/200, RSI, MACD histogram, ATR, ADX, band ratio, volume."""
+    """All indicators that the setups read: EMA 9/20/21/50/200, RSI, MACD histogram, ATR, ADX, band ratio, volume.
+
+    Windows whose inputs are there at the same time stand next to each other, so that they share a pass over the rows.
+    """
     if isinstance(long, Blocks):
-        return volume_average(band_ratio(adx(_means_in_blocks(df, long))))
-    df = ema(df, 9, 20, 21, 50, 200, long=long)
-    df = macd(rsi(atr(df, long=long), long=long), long=long)
-    return volume_average(band_ratio(adx(df)))
+        return volume_average(band_ratio(adx(_means(_moves(df).drop("_pdm", "_mdm"), long))))
+    df = full_sums(_means(_moves(df), long, *MOVES, "volume"), 20, *MOVES, "volume")
+    return band_ratio(_directions(df.withColumn("vol_avg20", F.col("_sum_volume") / 20).drop("_sum_volume"), 20))
 
 
-def _means_in_blocks(df: DataFrame, how: Blocks) -> DataFrame:
-    """The bundle's means, all that are made of bars alone in one pass."""
-    before = F.lag("close").over(by_symbol())
-    df = df.withColumns({"_tr": true_range(before), "_ch": F.col("close") - before})
+def _means(df: DataFrame, long: bool | Blocks, *summed: str) -> DataFrame:
+    """The bundle's means from `_moves`, all that are made of bars alone in one pass; with the first step of sums of 20."""
     gain, loss = F.when(F.col("_ch") > 0, F.col("_ch")).otherwise(0.0), F.when(F.col("_ch") < 0, -F.col("_ch")).otherwise(0.0)
     means = {f"ema{p}": _ema("close", p) for p in (9, 20, 21, 50, 200)} | {"_fast": _ema("close", 12), "_slow": _ema("close", 26)}
-    df = with_ewm(df, how, **means, atr14=(F.col("_tr"), 1 / 15, 1), _up=(gain, 1 / 14, 14), _down=(loss, 1 / 14, 14))
+    df = with_ewm(df, long, **means, atr14=(F.col("_tr"), 1 / 15, 1), _up=(gain, 1 / 14, 14), _down=(loss, 1 / 14, 14))
+    df = near_sums(df, 20, *summed) if summed else df.drop("_tr", "_ch")
     df = df.withColumns({"macd": F.col("_fast") - F.col("_slow"), "rsi14": F.try_divide(100 * F.col("_up"), F.col("_up") + F.col("_down"))})
-    df = with_ewm(df.drop("_tr", "_ch", "_fast", "_slow", "_up", "_down"), how, macd_signal=_ema("macd", 9))
+    df = with_ewm(df.drop("_fast", "_slow", "_up", "_down"), long, macd_signal=_ema("macd", 9))
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 

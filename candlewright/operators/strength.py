@@ -9,16 +9,15 @@ from candlewright.functions.blocks import cut
 from candlewright.functions.ranges import with_places
 from candlewright.functions.scalar import half_up
 from candlewright.functions.settings import DEFAULTS, Settings
-from candlewright.functions.windows import upto
+from candlewright.functions.windows import back, latest
 
 
 def with_returns(bars: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ret{k}: the change over k closes that are there, carried to bars without a close."""
-    known = F.col("close").isNotNull()
-    w = Window.partitionBy("symbol", known).orderBy("ts")
-    changes = F.struct(*((F.try_divide("close", F.lag("close", k).over(w)) - 1).alias(f"ret{k}") for k, _ in settings.lookbacks))
-    df = bars.withColumn("_ret", F.when(known, changes)).withColumn("_ret", F.last("_ret", ignorenulls=True).over(upto()))
-    return df.withColumns({f"ret{k}": F.col(f"_ret.ret{k}") for k, _ in settings.lookbacks}).drop("_ret")
+    offsets = sorted({k + more for k, _ in settings.lookbacks for more in (0, 1)})
+    df = bars.withColumns({"_c": latest("close")} | {f"_c{k}": back("close", k) for k in offsets})
+    before = lambda k: F.when(F.col("close").isNotNull(), F.col(f"_c{k}")).otherwise(F.col(f"_c{k + 1}"))
+    return df.withColumns({f"ret{k}": F.try_divide("_c", before(k)) - 1 for k, _ in settings.lookbacks}).drop("_c", *(f"_c{k}" for k in offsets))
 
 
 def returns(bars: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

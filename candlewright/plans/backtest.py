@@ -18,7 +18,7 @@ def trades(bars: DataFrame, settings: Settings = DEFAULTS, long: bool = False) -
     and ten bars more; entries start after the warm-up.
     """
     hold, everything = settings.hold, Window.partitionBy("symbol")
-    df = setups.setups(setups.trend(indicators.bundle(bars, long)))
+    df = setups.verdicts(indicators.bundle(bars, long))
     df = df.withColumns({"_n": F.row_number().over(by_symbol()), "_all": F.count("*").over(everything), "exit": F.lead("close", hold).over(by_symbol())})
     eligible = (F.col("_all") >= settings.min_bars + hold + 10) & (F.col("_n") > settings.min_bars) & (F.col("_n") + hold <= F.col("_all"))
     df = df.filter(eligible & F.col("trend_ok") & F.col("setup_type").isNotNull())

@@ -61,16 +61,18 @@ def _checked(rows: DataFrame, closes: int = 0) -> DataFrame:
     """Rows of blocks with their true n_bars; an error where a lead-in has too few complete rows or known closes, or is
     shorter than the year's range."""
     count = lambda test: F.count(F.when(test, 1)).over(upto())
-    seen = F.least(*(count(setups.complete(*columns)[0]) for columns in setups.COMPLETE))
+    seen = F.least(*(count(setups.complete(*columns)) for columns in setups.COMPLETE))
     rows = rows.withColumn("n_bars", F.col("_g"))
     short = ~F.col("_lead") & (F.col("_g") > F.col("_k")) & ((F.col("_k") < YEAR) | (seen < setups.LOOK_BACK) | (count(F.col("close").isNotNull()) <= closes))
     return rows.withColumn("n_bars", F.when(short, F.raise_error(F.lit("too few complete rows lead in to a block: use a longer lead")).cast("long")).otherwise(F.col("n_bars")))
 
 
 def _signals(bars: DataFrame, settings: Settings, long: bool | Blocks) -> DataFrame:
-    df = indicators.year_range(indicators.bundle(bars, long), YEAR)
-    df = setups.risk(setups.setups(setups.trend(setups.liquidity(df, settings))), settings)
-    return setups.result_columns(df).withColumn("n_bars", F.row_number().over(by_symbol()))
+    early = lambda df: indicators.year_range(setups.liquidity(df, settings), YEAR)
+    # what is made of bars alone comes first; but it is not carried through what blocks write
+    df = early(indicators.bundle(bars, long)) if isinstance(long, Blocks) else indicators.bundle(early(bars), long)
+    df = setups.result_columns(setups.risk(setups.verdicts(df), settings))
+    return df.drop(*(f"_last_{c}" for c in setups.LATEST)).withColumn("n_bars", F.row_number().over(by_symbol()))
 
 
 def earnings_flag(rows: DataFrame, earnings: DataFrame, as_of: Column, days: int = 10) -> DataFrame:

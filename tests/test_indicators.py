@@ -129,3 +129,12 @@ def test_extremes_of_short_windows_equal_the_sliding_one(spark, n):
     want = df.withColumns({"top": F.max("high").over(windows.trailing(n)), "bottom": F.min("low").over(windows.trailing(n))})
     pick = lambda rows: rows.select("ts", "top", "bottom").orderBy("ts").collect()
     assert pick(got) == pick(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 20])
+def test_sums_of_short_windows_equal_the_sliding_one(spark, n):
+    p = walk(120, 3)
+    p.loc[[0, 40, 41, 90], "volume"] = np.nan
+    df = frame(spark, p)
+    got = values(windows.full_sums(df, n, "volume"), "_sum_volume")
+    same(got, [p.volume.rolling(n).sum()])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.settings import Settings
 from candlewright.operators import setups
+from candlewright.plans import scan
 
 COLUMNS = "symbol string, ts timestamp, high double, low double, close double, volume double, vol_avg20 double, ema9 double, ema20 double, ema21 double, ema50 double, ema200 double, adx double, macd_hist double, atr14 double"
 
@@ -106,3 +107,21 @@ def test_liquidity_needs_twenty_bars_and_strict_floors(spark):
     assert last(setups.liquidity(rows(spark, 20, volume=101), s), "liquid") == (True,)
     assert last(setups.liquidity(rows(spark, 19, volume=101), s), "liquid") == (False,)
     assert last(setups.liquidity(rows(spark, 20, volume=100), s), "liquid") == (False,)
+
+
+def test_detectors_look_back_over_complete_rows_only(spark):
+    """Bars without a value between complete rows change nothing, and their own verdict is that of the row before."""
+    whole = dip() | vcp() | dict(ema20=lambda k: 10 + k / 100, low=10.0)
+    holed = {c: (lambda k, f=f: (f(k - k // 3 - 1) if callable(f) else f) if k % 3 else None) for c, f in whole.items()}
+    names = ("breakout", "breakout_pivot", "pullback", "pullback_pivot", "continuation", "continuation_pivot")
+    for build in (setups.setups, setups.verdicts):
+        want = [tuple(r) for r in build(rows(spark, 50, **whole)).orderBy("ts").select(*names).collect()]
+        got = [tuple(r) for r in build(rows(spark, 75, **holed)).orderBy("ts").select(*names).collect()]
+        assert got[1::3] == want[::2] and got[2::3] == want[1::2] and got[3::3] == got[2:-1:3] and any(w[0] for w in want)
+
+
+def test_signals_sort_a_symbol_once(spark):
+    """Complete rows had been sorted apart for each detector and back again, 12 sorts of ever wider rows in a task."""
+    bars = rows(spark, 2).withColumn("open", F.col("close")).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    plan = scan.signals(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") <= 14
