@@ -60,14 +60,17 @@ def full_sums(df: DataFrame, n: int, *columns: str) -> DataFrame:
 def extreme(df: DataFrame, n: int, **of: tuple[Callable, Callable, str]) -> DataFrame:
     """Add extremes over the last `n` rows: name=(F.max, F.greatest, column), or least ones.
 
-    A sliding window takes as many steps at a row as it is long. Here it is about sqrt(n) of them, over a short window,
-    and as many looks at that window's extremes further back.
+    A sliding window takes as many steps at a row as it is long. Here it is a sixteenth of them, over a short window,
+    whose extremes meet those of three windows further back, and these again of three.
     """
-    size = max(1, math.isqrt(n))
-    back = [*range(size, n - size, size), n - size] if n > size else []
-    df = df.withColumns({f"_{name}": agg(column).over(trailing(size)) for name, (agg, _, column) in of.items()})
-    far = {name: pick(f"_{name}", *(F.lag(f"_{name}", k).over(by_symbol()) for k in back)) if back else F.col(f"_{name}") for name, (_, pick, _) in of.items()}
-    return df.withColumns(far).drop(*(f"_{name}" for name in of))
+    width = max(1, -(-n // 16))
+    df = df.withColumns({name: agg(column).over(trailing(width)) for name, (agg, _, column) in of.items()})
+    while width < n:
+        to = min(4 * width, n)
+        back = [*range(width, to - width, width), to - width]
+        df = df.withColumns({name: pick(name, *(F.lag(name, k).over(by_symbol()) for k in back)) for name, (_, pick, _) in of.items()})
+        width = to
+    return df
 
 
 def latest(x: Column | str) -> Column:

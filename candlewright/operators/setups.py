@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.scalar import half_up, rounded
 from candlewright.functions.settings import DEFAULTS, Settings
-from candlewright.functions.windows import back, by_symbol, full_sums, latest, upto
+from candlewright.functions.windows import back, by_symbol, full_sums, latest, near_sums, upto
 
 #: In order of priority.
 ARCHETYPES = ("breakout", "pullback", "continuation")
@@ -219,10 +219,16 @@ def score(rs_rank: Column, trend_score: Column, rr: Column, setup_type: Column)
     return F.least(F.lit(10), F.greatest(F.lit(1), strength + F.least(trend_score, F.lit(2)) + kind + reward))
 
 
+def turnover(df: DataFrame) -> DataFrame:
+    """The first step of `liquidity`, which may be taken earlier, where it shares a window with others."""
+    x = F.col("close") * F.col("volume")
+    df = df.withColumns({"_turnover": F.coalesce(x, F.lit(0.0)), "_known": x.isNotNull().cast("int")})
+    return near_sums(df, 20, "_turnover", "_known")
+
+
 def liquidity(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """liquid: 20 bars or more, mean of close * volume over the last 20 and latest close above their floors."""
-    turnover = F.col("close") * F.col("volume")
-    df = df.withColumns({"_turnover": F.coalesce(turnover, F.lit(0.0)), "_known": turnover.isNotNull().cast("int")})
+    df = df if "_turnover" in df.columns else turnover(df)
     df = full_sums(df, 20, "_turnover", "_known").withColumns({"_bars": F.row_number().over(by_symbol()), "_close": latest("close")})
     good = (F.col("_bars") >= 20) & (F.try_divide("_sum__turnover", "_sum__known") > settings.min_turnover) & (F.col("_close") > settings.min_price)
     return df.withColumn("liquid", _bool(good)).drop("_turnover", "_known", "_sum__turnover", "_sum__known", "_bars", "_close")
