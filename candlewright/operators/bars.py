@@ -49,7 +49,7 @@ def parts_of(spark: SparkSession, rows: int) -> int:
 def dealt(bars: DataFrame, rows: int) -> DataFrame:
     """Bars by symbol in tasks of bounded size; `rows` is their number or more. Windows by symbol take no further exchange.
 
-    Indicators and detectors sort a task's rows a dozen times, and each sort widens them, so that a task by the size of
+    Windows hold and widen a task's rows many times over, so that a task by the size of
     its shuffled bars alone would need many times its memory.
     """
     return bars.repartition(parts_of(bars.sparkSession, rows), "symbol")
