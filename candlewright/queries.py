@@ -16,7 +16,7 @@ from candlewright.functions.blocks import Blocks, cut, in_blocks
 from candlewright.functions.scalar import in_session
 from candlewright.functions.settings import Settings
 from candlewright.operators import indicators, legacy, setups, strength
-from candlewright.operators.bars import dealt, parts_of, resample_bars, resample_ticks, wide_to_long
+from candlewright.operators.bars import TASK_TICKS, dealt, parts_of, pooled_ticks, resample_bars, resample_ticks, wide_to_long
 from candlewright.plans import backtest, scan, serving
 from candlewright.sources import tables
 
@@ -29,23 +29,37 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_suppkey") -> DataFrame:
+#: What tells which of a bar's ticks comes first.
+ORDER = ("ts", "l_orderkey", "l_linenumber")
+
+
+def _ticks(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem")
-    return rows.select(F.col(symbol).cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("double").alias("volume"), "l_orderkey", "l_linenumber")
+    return rows.select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("double").alias("volume"), "l_orderkey", "l_linenumber", *also)
+
 
+def _size(spark: SparkSession, sf_dir: str) -> int:
+    return _read(spark, sf_dir, "lineitem").count()
 
-def _bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    return resample_ticks(_ticks(spark, sf_dir), unit, ["ts", "l_orderkey", "l_linenumber"])
+
+def _bars(spark: SparkSession, sf_dir: str, unit: str = "week", size: int | None = None) -> DataFrame:
+    size = _size(spark, sf_dir) if size is None else size
+    return resample_ticks(_ticks(spark, sf_dir), unit, ORDER, parts_of(spark, size, TASK_TICKS))
 
 
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars for windows by symbol; there are no more of them than ticks."""
-    return dealt(_bars(spark, sf_dir), _read(spark, sf_dir, "lineitem").count())
+    size = _size(spark, sf_dir)
+    return dealt(_bars(spark, sf_dir, size=size), size)
+
+
+def _pooled(spark: SparkSession, sf_dir: str, symbol: Column, *columns: str) -> DataFrame:
+    """Weekly bars of ticks of all suppliers."""
+    return pooled_ticks(_ticks(spark, sf_dir, *columns), "week", ORDER, symbol, *columns, parts=parts_of(spark, _size(spark, sf_dir), TASK_TICKS))
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = _ticks(spark, sf_dir).withColumn("symbol", F.lit(SETTINGS.benchmark))
-    return resample_ticks(pooled, "week", ["ts", "l_orderkey", "l_linenumber"])
+    return _pooled(spark, sf_dir, F.lit(SETTINGS.benchmark))
 
 
 def _constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +102,7 @@ BLOCKS = Blocks(rows=70, lead=45, unit="month")
 
 def _spread(spark: SparkSession, sf_dir: str, how: Blocks) -> Blocks:
     """`how` with as many tasks as rows and lead-ins of the table ask for."""
-    rows = _read(spark, sf_dir, "lineitem").count() * (how.span + how.lead) // how.span
+    rows = _size(spark, sf_dir) * (how.span + how.lead) // how.span
     return replace(how, parts=parts_of(spark, rows))
 
 
@@ -298,12 +312,11 @@ def session_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows as bars by line status, spread into columns and brought back to rows."""
-    return _there_and_back(_ticks(spark, sf_dir, "l_linestatus"))
+    return _there_and_back(_pooled(spark, sf_dir, F.col("l_linestatus"), "l_linestatus"))
 
 
-def _there_and_back(ticks: DataFrame) -> DataFrame:
+def _there_and_back(bars: DataFrame) -> DataFrame:
     fields = ("open", "high", "low", "close", "volume")
-    bars = resample_ticks(ticks, "week", ["ts", "l_orderkey", "l_linenumber"])
     wide = bars.groupBy("ts").pivot("symbol").agg(*(F.first(c).alias(c.title()) for c in fields))
     wide = wide.toDF(*(c if c == "ts" else "|".join(c.rsplit("_", 1)) for c in wide.columns))
     return _show(wide_to_long(wide), *fields)
@@ -311,7 +324,7 @@ def _there_and_back(ticks: DataFrame) -> DataFrame:
 
 def wide_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by return flag."""
-    return _there_and_back(_ticks(spark, sf_dir, "l_returnflag"))
+    return _there_and_back(_pooled(spark, sf_dir, F.col("l_returnflag"), "l_returnflag"))
 
 
 def v1_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

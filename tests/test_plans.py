@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -226,6 +227,29 @@ def test_tasks_of_indicators_keep_their_size(spark, monkeypatch):
     assert bars.parts_of(spark, 1) == spark.sparkContext.defaultParallelism and bars.parts_of(spark, 10_000) == 20
 
 
+def test_ticks_are_dealt_out_before_they_are_sorted(spark, monkeypatch):
+    """What a task sorts for bars goes by the number of ticks, not by the split of the file that it reads."""
+    monkeypatch.setattr(queries, "TASK_TICKS", 500)
+    n = math.ceil(spark.read.parquet(f"{DATA}/lineitem.parquet").count() / 500)
+    for name in ("trades", "expectancy", "bars_weekly", "scan_history", "scan_asof", "wide_to_long"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        scans = plan.count("lineitem.parquet")
+        assert len(re.findall(rf"Exchange hashpartitioning\(symbol#\d+, _ts#\d+, {n}\), REPARTITION_BY_NUM", plan)) == scans > 0, name
+
+
+def test_pooled_ticks_are_the_bars_of_all_ticks(spark):
+    """Ties of time, prices that are not there, a symbol of its own or one for all; dealt out or not."""
+    draw = random.Random(5)
+    rows = [(draw.choice("ABC"), draw.choice("xy"), dt.datetime(2020, 1, draw.randint(1, 20)), draw.choice([None, float(draw.randint(1, 99))]), float(draw.randint(1, 9)), k) for k in range(500)]
+    ticks = spark.createDataFrame(rows, "symbol string, kind string, ts timestamp, price double, volume double, k int").repartition(3)
+    show = lambda df: sorted(map(str, df.select("symbol", "ts", *bars.FIELDS).collect()))
+    for symbol, columns in ((F.lit("all"), ()), (F.col("kind"), ("kind",))):
+        want = show(bars.resample_ticks(ticks.withColumn("symbol", symbol), "week", ["ts", "k"]))
+        for parts in (None, 7):
+            assert show(bars.pooled_ticks(ticks, "week", ["ts", "k"], symbol, *columns, parts=parts)) == want
+    assert show(bars.resample_ticks(ticks, "day", ["ts", "k"], 7)) == show(bars.resample_ticks(ticks, "day", ["ts", "k"]))
+
+
 def test_runs_and_results(spark, tmp_path):
     at = lambda h: dt.datetime(2020, 1, 1, h)
     events = str(tmp_path / "runs")
