@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.scalar import PRICES, nan_as_null
@@ -41,22 +41,9 @@ def resample_ticks(ticks: DataFrame, unit: str, order: Sequence[str], parts: int
     out by symbol and bar over so many tasks before anything is sorted, so that a task's memory goes by its share of
     ticks and not by the split that it reads: for many ticks, of which a bar has few.
     """
-    return _by_bar(ticks, unit, parts).agg(*ohlcv(F.col("price"), F.col("volume"), F.struct(*order))).withColumnRenamed("_ts", "ts")
-
-
-def _by_bar(ticks: DataFrame, unit: str, parts: int | None, *also: str) -> GroupedData:
     ticks = ticks.withColumn("_ts", F.date_trunc(unit, "ts").cast("timestamp"))
-    return (ticks.repartition(parts, "symbol", "_ts") if parts else ticks).groupBy("symbol", "_ts", *also)
-
-
-def pooled_ticks(ticks: DataFrame, unit: str, order: Sequence[str], symbol: Column, *columns: str, parts: int | None = None) -> DataFrame:
-    """Bars of all ticks of a `symbol` that is made of `columns` or nothing, for symbols of any number of ticks.
-
-    Bars of the ticks' own symbols come first, with the places of their first and last tick, and are put together.
-    """
-    key = F.struct(*order)
-    rows = _by_bar(ticks, unit, parts, *columns).agg(*ohlcv(F.col("price"), F.col("volume"), key), F.min(key).alias("_first"), F.max(key).alias("_last"))
-    return rows.groupBy(symbol.alias("symbol"), F.col("_ts").alias("ts")).agg(*_merged("_first", "_last"))
+    rows = (ticks.repartition(parts, "symbol", "_ts") if parts else ticks).groupBy("symbol", "_ts")
+    return rows.agg(*ohlcv(F.col("price"), F.col("volume"), F.struct(*order))).withColumnRenamed("_ts", "ts")
 
 
 def parts_of(spark: SparkSession, rows: int, each: int | None = None) -> int:
@@ -76,12 +63,8 @@ def dealt(bars: DataFrame, rows: int) -> DataFrame:
 def resample_bars(bars: DataFrame, unit: str) -> DataFrame:
     """Coarser bars from finer ones."""
     bucket = F.date_trunc(unit, "ts").cast("timestamp").alias("ts")
-    return bars.groupBy("symbol", bucket).agg(*_merged("ts", "ts"))
-
-
-def _merged(first: str, last: str) -> list[Column]:
-    """Aggregates of one bar of bars."""
-    return [F.min_by("open", first).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", last).alias("close"), F.sum("volume").alias("volume")]
+    agg = [F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")]
+    return bars.groupBy("symbol", bucket).agg(*agg)
 
 
 def wide_to_long(wide: DataFrame, separator: str = "|", ts_col: str = "ts") -> DataFrame:

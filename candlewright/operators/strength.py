@@ -66,11 +66,14 @@ def _spread_rank(rows: DataFrame, by: tuple[str, ...], among: Column | None) ->
     return rows.withColumns({"rs_rank": half_up(F.col("_share") * 100, 1), "rs_ratio": half_up("rs_score", 4)}).drop("_score", "_share", *(f"_{c}" for c in by))
 
 
-def strength(returned: DataFrame, benchmark: DataFrame | None, *by: str, settings: Settings = DEFAULTS, among: Column | None = None) -> DataFrame:
+def strength(returned: DataFrame, benchmark: DataFrame | None, *by: str, settings: Settings = DEFAULTS, among: Column | None = None, parts: int | None = None) -> DataFrame:
     """Add rs_score, rs_ratio and rs_rank to rows with ret{k}, against the benchmark's row of equal `by` (without `by`,
     its one row). Where the benchmark has no row, scores are those without a benchmark; where its row has no usable
-    return, there is no score. See `rank` for `among`.
+    return, there is no score. See `rank` for `among`. `parts`: tasks that rows are dealt out over by `by`, so that few values of
+    `by` share one.
     """
+    if parts and by:
+        returned = returned.repartition(parts, *by)
     if benchmark is None:
         return rank(returned.withColumn("rs_score", composite(settings, benchmark=False)), *by, among=among)
     names = [f"bench{k}" for k, _ in settings.lookbacks]

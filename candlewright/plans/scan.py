@@ -90,9 +90,14 @@ def earnings_flag(rows: DataFrame, earnings: DataFrame, as_of: Column, days: int
     return out.withColumn("earnings_flag", F.coalesce(due, F.lit(False))).drop("_of", "_bin", "_dates")
 
 
+def _steady(settings: Settings) -> Column:
+    """Whether a row passes the gates that its rank has no part in."""
+    return (F.col("n_bars") >= settings.min_bars) & F.col("trend_ok") & F.col("setup_type").isNotNull() & F.col("risk_ok")
+
+
 def _good(settings: Settings) -> Column:
     """Whether a row passes every gate."""
-    return (F.col("rs_rank") >= settings.rs_floor) & (F.col("n_bars") >= settings.min_bars) & F.col("trend_ok") & setups.qualified(settings) & F.col("risk_ok")
+    return (F.col("rs_rank") >= settings.rs_floor) & _steady(settings) & setups.qualified(settings)
 
 
 def _passing(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -165,10 +170,18 @@ def judged(bars: DataFrame, constituents: DataFrame, as_of: str, settings: Setti
     return strength.strength(last, bench, settings=settings, among=F.col("liquid"))
 
 
-def scan_history(bars: DataFrame, constituents: DataFrame, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, long: bool | Blocks = False) -> DataFrame:
-    """Results at every bar: symbols compete with those that have a bar at the same time."""
+def scan_history(bars: DataFrame, constituents: DataFrame, earnings: DataFrame | None = None, settings: Settings = DEFAULTS, benchmark: bool | DataFrame = True, long: bool | Blocks = False, parts: int | None = None) -> DataFrame:
+    """Results at every bar: symbols compete with those that have a bar at the same time.
+
+    All liquid rows compete, but few pass the other gates: only these keep their columns where rows meet by time. `parts`:
+    tasks that the times are dealt out over.
+    """
     rows = _measured(available(bars, constituents), settings, long).filter("liquid")
-    rows = _passing(strength.strength(rows, _benchmark(bars, benchmark, settings), "ts", settings=settings), settings)
+    competing = ("ts", *(f"ret{k}" for k, _ in settings.lookbacks))
+    shown = [c for c in rows.columns if c not in competing]
+    rows = rows.select(*competing, F.when(_steady(settings), F.struct(*shown)).alias("_row"))
+    rows = strength.strength(rows, _benchmark(bars, benchmark, settings), "ts", settings=settings, parts=parts).filter("_row is not null")
+    rows = _passing(rows.select("ts", "rs_ratio", "rs_rank", "_row.*"), settings)
     rows = _named(rows, constituents, earnings, F.col("ts"), settings)
     return rows.drop("adx").withColumnRenamed("adx_shown", "adx").select("ts", *COLUMNS)
 

@@ -16,7 +16,7 @@ from candlewright.functions.blocks import Blocks, cut, in_blocks
 from candlewright.functions.scalar import in_session
 from candlewright.functions.settings import Settings
 from candlewright.operators import indicators, legacy, setups, strength
-from candlewright.operators.bars import TASK_TICKS, dealt, parts_of, pooled_ticks, resample_bars, resample_ticks, wide_to_long
+from candlewright.operators.bars import TASK_TICKS, dealt, parts_of, resample_bars, resample_ticks, wide_to_long
 from candlewright.plans import backtest, scan, serving
 from candlewright.sources import tables
 
@@ -54,8 +54,9 @@ def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pooled(spark: SparkSession, sf_dir: str, symbol: Column, *columns: str) -> DataFrame:
-    """Weekly bars of ticks of all suppliers."""
-    return pooled_ticks(_ticks(spark, sf_dir, *columns), "week", ORDER, symbol, *columns, parts=parts_of(spark, _size(spark, sf_dir), TASK_TICKS))
+    """Weekly bars of ticks of all suppliers: few bars, of which each task makes partial sums over its share of ticks."""
+    ticks = _ticks(spark, sf_dir, *columns).repartition(parts_of(spark, _size(spark, sf_dir), TASK_TICKS), "l_orderkey")
+    return resample_ticks(ticks.withColumn("symbol", symbol), "week", ORDER)
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +157,7 @@ def liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rank(benchmark: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         bench = strength.returns(_bench(spark, sf_dir), SETTINGS).drop("symbol") if benchmark else None
-        rows = strength.strength(strength.returns(_dealt(spark, sf_dir), SETTINGS), bench, "ts", settings=SETTINGS)
+        rows = strength.strength(strength.returns(_dealt(spark, sf_dir), SETTINGS), bench, "ts", settings=SETTINGS, parts=parts_of(spark, _size(spark, sf_dir)))
         return _show(rows, "rs_score", keep=("rs_rank",))
 
     return query
@@ -174,7 +175,7 @@ _RESULT = ("symbol", "name", "score", "setup_type", "rs_rank", "trend_score", "a
 def _history(spark: SparkSession, sf_dir: str, benchmark: bool | None = None) -> DataFrame:
     """Results at all bars, against the pooled benchmark (None) or as scan_history does with `benchmark`."""
     bench = _bench(spark, sf_dir) if benchmark is None else benchmark
-    return scan.scan_history(_dealt(spark, sf_dir), _constituents(spark, sf_dir), _earnings(spark, sf_dir), SETTINGS, bench)
+    return scan.scan_history(_dealt(spark, sf_dir), _constituents(spark, sf_dir), _earnings(spark, sf_dir), SETTINGS, bench, parts=parts_of(spark, _size(spark, sf_dir)))
 
 
 def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:

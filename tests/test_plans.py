@@ -234,20 +234,36 @@ def test_ticks_are_dealt_out_before_they_are_sorted(spark, monkeypatch):
     for name in ("trades", "expectancy", "bars_weekly", "scan_history", "scan_asof", "wide_to_long"):
         plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         scans = plan.count("lineitem.parquet")
-        assert len(re.findall(rf"Exchange hashpartitioning\(symbol#\d+, _ts#\d+, {n}\), REPARTITION_BY_NUM", plan)) == scans > 0, name
+        assert len(re.findall(rf"Exchange hashpartitioning\((symbol#\d+, _ts#\d+|l_orderkey#\d+L), {n}\), REPARTITION_BY_NUM", plan)) == scans > 0, name
 
 
-def test_pooled_ticks_are_the_bars_of_all_ticks(spark):
-    """Ties of time, prices that are not there, a symbol of its own or one for all; dealt out or not."""
+def test_dealt_ticks_make_the_same_bars(spark):
+    """Ties of time, and prices that are not there."""
     draw = random.Random(5)
-    rows = [(draw.choice("ABC"), draw.choice("xy"), dt.datetime(2020, 1, draw.randint(1, 20)), draw.choice([None, float(draw.randint(1, 99))]), float(draw.randint(1, 9)), k) for k in range(500)]
-    ticks = spark.createDataFrame(rows, "symbol string, kind string, ts timestamp, price double, volume double, k int").repartition(3)
+    rows = [(draw.choice("ABC"), dt.datetime(2020, 1, draw.randint(1, 20)), draw.choice([None, float(draw.randint(1, 99))]), float(draw.randint(1, 9)), k) for k in range(500)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, price double, volume double, k int").repartition(3)
     show = lambda df: sorted(map(str, df.select("symbol", "ts", *bars.FIELDS).collect()))
-    for symbol, columns in ((F.lit("all"), ()), (F.col("kind"), ("kind",))):
-        want = show(bars.resample_ticks(ticks.withColumn("symbol", symbol), "week", ["ts", "k"]))
-        for parts in (None, 7):
-            assert show(bars.pooled_ticks(ticks, "week", ["ts", "k"], symbol, *columns, parts=parts)) == want
-    assert show(bars.resample_ticks(ticks, "day", ["ts", "k"], 7)) == show(bars.resample_ticks(ticks, "day", ["ts", "k"]))
+    for unit in ("day", "week"):
+        assert show(bars.resample_ticks(ticks, unit, ["ts", "k"], 7)) == show(bars.resample_ticks(ticks, unit, ["ts", "k"]))
+
+
+def test_rows_that_cannot_pass_meet_by_time_as_few_columns(spark, monkeypatch):
+    """All liquid rows compete at a time, in tasks by their number; what is shown of a row goes along if it can pass."""
+    monkeypatch.setattr(bars, "TASK_ROWS", 500)
+    n = math.ceil(spark.read.parquet(f"{DATA}/lineitem.parquet").count() / 500)
+    for name in ("scan_history", "scan_history_benchmark_missing", "rs_rank"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"Exchange hashpartitioning\(_?ts#\d+, {n}\), REPARTITION_BY_NUM", plan), name
+    ranked = strength.rank
+
+    def narrow(rows, *by, **how):
+        if by:
+            kept, all_of = rows.filter("_row is not null").count(), rows.count()
+            assert 0 < kept < all_of / 5 and set(rows.columns) == {"ts", "ret21", "ret63", "ret126", "_row", "rs_score"}
+        return ranked(rows, *by, **how)
+
+    monkeypatch.setattr(strength, "rank", narrow)
+    queries.QUERIES["scan_history"](spark, DATA)
 
 
 def test_runs_and_results(spark, tmp_path):
