@@ -1,9 +1,9 @@
 """Long symbols in blocks: rows are numbered without a window over a whole symbol, each block of rows gets the rows that
 lead in to it, and running sums go from block to block through a small table.
 
-Inside `in_blocks` a row's symbol is a struct of symbol and block, so that every function with windows by symbol works
-on one block with its lead-in. Windows that look back by the lead-in or less are exact there. What looks back without
-an end is a sum, which `running` carries over.
+Inside `in_blocks` a row's symbol is a struct of symbol, block and the symbol's last block, so that every function with
+windows by symbol works on one block with its lead-in. Windows that look back by the lead-in or less are exact there.
+What looks back without an end is a sum, which `running` carries over.
 """
 
 from __future__ import annotations
@@ -57,28 +57,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unit_of(unit: str, ts: str | Column = "ts") -> Column:
+    """A row's symbol and unit of time, as one struct: structs are equal where the same parts are null."""
+    return F.struct("symbol", F.date_trunc(unit, ts).alias("unit"))
+
+
 def numbered(bars: DataFrame, unit: str) -> DataFrame:
-    """Add _g: the place of a row among its symbol's by ts, from 1. Rows are counted per unit of time, a small table sums
-    these counts up, and rows are numbered within their unit."""
-    rows = bars.withColumn("_u", F.date_trunc(unit, "ts"))
-    counts = rows.groupBy(F.col("symbol").alias("_s"), F.col("_u").alias("_t")).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_s", "_t", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    rows = rows.join(counts, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_u").eqNullSafe(F.col("_t")))
-    place = F.row_number().over(Window.partitionBy("symbol", "_u").orderBy("ts"))
-    return rows.withColumn("_g", F.col("_before") + place).drop("_u", "_s", "_t", "_before")
+    """Add _g, the place of a row among its symbol's by ts, from 1, and _of, the number of the symbol's rows.
+
+    Rows are counted per unit of time, a small table sums these counts up, and rows are numbered within their unit. Rows
+    that have their `unit_of` in _u, and are dealt out by it, are not shuffled for that.
+    """
+    rows = bars if "_u" in bars.columns else bars.withColumn("_u", unit_of(unit))
+    counts = rows.groupBy("_u").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy("_u.symbol")
+    earlier = F.sum("_n").over(every.orderBy("_u.unit").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("_u").alias("_t"), F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_of"))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_u").orderBy("ts")))
+    rows = rows.join(counts, F.col("_u") == F.col("_t"))
+    return rows.withColumn("_g", F.col("_before") + F.col("_place")).drop("_u", "_t", "_before", "_place")
 
 
 def in_blocks(bars: DataFrame, how: Blocks, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`build` over blocks with their lead-ins; the rows of the lead-ins go afterwards. `build` keeps the rows' columns.
 
-    In it, _g is a row's number, _k its place in block and lead-in, and _lead tells lead-ins apart.
+    In it, _g is a row's number, _k its place in block and lead-in, and _lead tells lead-ins apart. The numbered rows are
+    written once, each as one row and with bars alone: what `running` reads again begins there, and takes the columns
+    that it needs. A row leads in to blocks that have rows of their own and to no others.
     """
-    rows = numbered(bars, how.unit).withColumn("_own", F.floor((F.col("_g") - 1) / how.span))
-    last = F.floor((F.col("_g") - 1 + how.lead) / how.span)
-    rows = rows.withColumn("_b", F.explode(F.sequence("_own", last)))
-    rows = rows.withColumns({"_k": F.col("_g") - F.col("_b") * how.span + how.lead, "_lead": F.col("_b") > F.col("_own"), "symbol": F.struct("symbol", F.col("_b").alias("block"))})
-    out = build(rows.drop("_own", "_b"))
+    rows = cut(numbered(bars, how.unit))
+    block = lambda g: F.floor((g - 1) / how.span)
+    last = F.least(block(F.col("_g") + how.lead), block(F.col("_of")))
+    rows = rows.withColumn("_b", F.explode(F.sequence(block(F.col("_g")), last)))
+    rows = rows.withColumn("symbol", F.struct("symbol", F.col("_b").alias("block"), block(F.col("_of")).alias("last"))).drop("_b", "_of")
+    rows = rows.repartition(how.parts, "symbol") if how.parts else rows
+    first = F.col("symbol.block") * how.span
+    out = build(rows.withColumns({"_k": F.col("_g") - first + how.lead, "_lead": F.col("_g") <= first}))
     return out.filter("not _lead").withColumn("symbol", F.col("symbol.symbol")).drop("_g", "_k", "_lead")
 
 
@@ -105,18 +119,18 @@ def running(df: DataFrame, how: Blocks, **of: tuple[Column, float]) -> DataFrame
 
     Every block gives the sums over its first rows after the guard, as many as blocks are long, so that these segments
     meet without a gap; a row for each block goes into a table that sums them up, and each block adds what went before.
-    The rows are written once, as they are read for the table and for the result; so is the table, whose last block
-    tells how its sums are weighed. A null y counts as nothing.
+    Blocks that no other comes after, or whose segment ends before their symbol begins, give nothing; as that goes by
+    `symbol` alone, which all windows are by, their rows are not even shuffled for the table.
+    The table is written once, as its last block tells how its sums are weighed; the rows are not, as `in_blocks` has
+    written what they are made of. A null y counts as nothing.
     """
-    df = cut(df)
-    k = F.col("_k") - GUARD
-    here = df.filter(k.between(1, how.span))
+    k, plain, block, end = F.col("_k") - GUARD, F.col("symbol.symbol"), F.col("symbol.block"), F.col("symbol.last")
+    here = df.filter((block < end) & ((block + 1) * how.span + GUARD > how.lead) & k.between(1, how.span))
     sums = cut(here.groupBy("symbol").agg(*(F.sum(y * F.exp(-fold * (how.span - k))).alias(name) for name, (y, fold) in of.items())))
-    plain, block = F.col("symbol.symbol"), F.col("symbol.block")
     most = sums.agg(F.max(block)).first()[0] or 0
     upto = [decayed(F.col(name), block, fold * how.span, [plain], block, most).alias(f"_in_{name}") for name, (_, fold) in of.items()]
-    carry = sums.select(F.struct(plain.alias("symbol"), (block + 1).alias("block")).alias("_at"), *upto)
-    df = df.repartition(how.parts, "symbol") if how.parts else df
+    carry = sums.select(F.struct(plain.alias("symbol"), (block + 1).alias("block"), end.alias("last")).alias("_at"), *upto)
+    carry = carry.repartition(how.parts, "_at") if how.parts else carry  # as the rows are
     df = df.join(carry, F.col("symbol") == F.col("_at"), "left")
     longest = how.span + how.lead
     seen = {name: F.when(k >= 1, decayed(F.when(k >= 1, y), k, fold, ["symbol"], "ts", longest) + F.coalesce(f"_in_{name}", F.lit(0.0)) * F.exp(-fold * k)) for name, (y, fold) in of.items()}

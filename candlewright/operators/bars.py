@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.blocks import unit_of
 from candlewright.functions.scalar import PRICES, nan_as_null
 
 FIELDS = (*PRICES, "volume")
@@ -34,16 +35,23 @@ def ohlcv(price: Column, volume: Column, order: Column) -> list[Column]:
     return [F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume")]
 
 
-def resample_ticks(ticks: DataFrame, unit: str, order: Sequence[str], parts: int | None = None) -> DataFrame:
+def resample_ticks(ticks: DataFrame, unit: str, order: Sequence[str], parts: int | None = None, within: str | None = None) -> DataFrame:
     """Bars of symbol, ts, price, volume ticks per `unit` (day, week, month).
 
     Partial sums are made before the shuffle, for which a task sorts all that it has read. With `parts`, ticks are dealt
     out by symbol and bar over so many tasks before anything is sorted, so that a task's memory goes by its share of
-    ticks and not by the split that it reads: for many ticks, of which a bar has few.
+    ticks and not by the split that it reads: for many ticks, of which a bar has few. `within` is a unit of time whose
+    bars are to be numbered together (`Blocks.unit`): ticks are dealt out by that, and bars keep it in _u, so that they
+    are in place for it.
     """
-    ticks = ticks.withColumn("_ts", F.date_trunc(unit, "ts").cast("timestamp"))
+    bar, aggregates = F.date_trunc(unit, "ts").cast("timestamp"), ohlcv(F.col("price"), F.col("volume"), F.struct(*order))
+    if within:
+        rows = ticks.repartition(parts, unit_of(within, bar)) if parts else ticks
+        bars = rows.groupBy(unit_of(within, bar).alias("_u"), bar.alias("_ts")).agg(*aggregates)
+        return bars.withColumn("symbol", F.col("_u.symbol")).withColumnRenamed("_ts", "ts")
+    ticks = ticks.withColumn("_ts", bar)
     rows = (ticks.repartition(parts, "symbol", "_ts") if parts else ticks).groupBy("symbol", "_ts")
-    return rows.agg(*ohlcv(F.col("price"), F.col("volume"), F.struct(*order))).withColumnRenamed("_ts", "ts")
+    return rows.agg(*aggregates).withColumnRenamed("_ts", "ts")
 
 
 def parts_of(spark: SparkSession, rows: int, each: int | None = None) -> int:

@@ -141,8 +141,6 @@ def bundle(df: DataFrame, long: bool | Blocks = False) -> DataFrame:
 
     Windows whose inputs are there at the same time stand next to each other, so that they share a pass over the rows.
     """
-    if isinstance(long, Blocks):
-        return volume_average(band_ratio(adx(_means(_moves(df).drop("_pdm", "_mdm"), long))))
     df = full_sums(_means(_moves(df), long, *MOVES, "volume"), 20, *MOVES, "volume")
     return band_ratio(_directions(df.withColumn("vol_avg20", F.col("_sum_volume") / 20).drop("_sum_volume"), 20))
 
@@ -152,7 +150,7 @@ def _means(df: DataFrame, long: bool | Blocks, *summed: str) -> DataFrame:
     gain, loss = F.when(F.col("_ch") > 0, F.col("_ch")).otherwise(0.0), F.when(F.col("_ch") < 0, -F.col("_ch")).otherwise(0.0)
     means = {f"ema{p}": _ema("close", p) for p in (9, 20, 21, 50, 200)} | {"_fast": _ema("close", 12), "_slow": _ema("close", 26)}
     df = with_ewm(df, long, **means, atr14=(F.col("_tr"), 1 / 15, 1), _up=(gain, 1 / 14, 14), _down=(loss, 1 / 14, 14))
-    df = near_sums(df, 20, *summed) if summed else df.drop("_tr", "_ch")
+    df = near_sums(df, 20, *summed)
     df = df.withColumns({"macd": F.col("_fast") - F.col("_slow"), "rsi14": F.try_divide(100 * F.col("_up"), F.col("_up") + F.col("_down"))})
     df = with_ewm(df.drop("_fast", "_slow", "_up", "_down"), long, macd_signal=_ema("macd", 9))
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
@@ -206,7 +204,7 @@ def _sar_in_blocks(df: DataFrame, step: float, most: float, how: Blocks, types:
     state, until all agree: the first block needs no guess, so that each round makes one block more of a symbol right
     at least. The states are a row for each block; the rows are folded once more at the end, from the right states.
     """
-    rows = numbered(df, how.unit).withColumn("_b", F.floor((F.col("_g") - 1) / how.rows))
+    rows = numbered(df, how.unit).drop("_of").withColumn("_b", F.floor((F.col("_g") - 1) / how.rows))
     rows = cut(rows)
     lead = rows.withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.floor((F.col("_g") - 1 + how.lead) / how.rows)))) if how.lead >= how.rows else rows.filter((F.col("_g") - 1) % how.rows >= how.rows - how.lead).withColumn("_b", F.col("_b") + 1)
     bars = lambda rows, own: rows.select("symbol", "_b", "_g", "high", "low", F.lit(own).alias("own"))

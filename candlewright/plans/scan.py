@@ -69,8 +69,7 @@ def _checked(rows: DataFrame, closes: int = 0) -> DataFrame:
 
 def _signals(bars: DataFrame, settings: Settings, long: bool | Blocks) -> DataFrame:
     early = lambda df: setups.liquidity(indicators.year_range(setups.turnover(df), YEAR), settings)
-    # what is made of bars alone comes first; but it is not carried through what blocks write
-    df = early(indicators.bundle(bars, long)) if isinstance(long, Blocks) else indicators.bundle(early(bars), long)
+    df = indicators.bundle(early(bars), long)  # what is made of bars alone comes first
     df = setups.result_columns(setups.risk(setups.verdicts(df), settings))
     return df.drop(*(f"_last_{c}" for c in setups.LATEST)).withColumn("n_bars", F.row_number().over(by_symbol()))
 

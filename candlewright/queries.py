@@ -42,9 +42,9 @@ def _size(spark: SparkSession, sf_dir: str) -> int:
     return _read(spark, sf_dir, "lineitem").count()
 
 
-def _bars(spark: SparkSession, sf_dir: str, unit: str = "week", size: int | None = None) -> DataFrame:
+def _bars(spark: SparkSession, sf_dir: str, unit: str = "week", size: int | None = None, within: str | None = None) -> DataFrame:
     size = _size(spark, sf_dir) if size is None else size
-    return resample_ticks(_ticks(spark, sf_dir), unit, ORDER, parts_of(spark, size, TASK_TICKS))
+    return resample_ticks(_ticks(spark, sf_dir), unit, ORDER, parts_of(spark, size, TASK_TICKS), within)
 
 
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _spread(spark: SparkSession, sf_dir: str, how: Blocks) -> Blocks:
 def _split(build: Callable[[DataFrame, Blocks], DataFrame], *columns: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         how = _spread(spark, sf_dir, BLOCKS)
-        return _show(in_blocks(_bars(spark, sf_dir), how, lambda b: build(b, how)), *columns)
+        return _show(in_blocks(_bars(spark, sf_dir, within=how.unit), how, lambda b: build(b, how)), *columns)
 
     return query
 
@@ -121,7 +121,7 @@ def psar_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def setups_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = _spread(spark, sf_dir, Blocks(rows=30, lead=320, unit="month"))
-    return _levels(scan.signals(_bars(spark, sf_dir), SETTINGS, how))
+    return _levels(scan.signals(_bars(spark, sf_dir, within=how.unit), SETTINGS, how))
 
 
 def bars(unit: str) -> Query:

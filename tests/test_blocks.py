@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewright import queries
+from candlewright.functions import blocks
 from candlewright.functions.blocks import Blocks, in_blocks, numbered
 from candlewright.operators import indicators as ind
+from candlewright.operators.bars import resample_ticks
 from candlewright.plans import scan
 from tests.test_indicators import frame, walk
 
@@ -113,3 +115,55 @@ def test_short_blocks_share_a_call(spark):
             equal(values(got, "sar", "sar_trend"), values(ind.parabolic_sar(many), "sar", "sar_trend"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rows_are_written_once_without_lead_ins(spark, bars, monkeypatch):
+    """Means of means in blocks write each bar once and with its own columns; all else that is written has a row for a block."""
+    written, cut = [], blocks.cut
+
+    def spy(df):
+        out = cut(df)
+        written.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(blocks, "cut", spy)
+    how = Blocks(20, 60, "month", parts=3)
+    got = in_blocks(bars, how, lambda df: ind.macd(ind.obv(df, how), long=how))
+    equal(values(got, "macd", "macd_signal", "obv"), values(ind.macd(ind.obv(bars)), "macd", "macd_signal", "obv"))
+    assert written[0] == ({*bars.columns, "_g", "_of"}, bars.count())
+    assert len(written) == 4 and max(n for _, n in written[1:]) <= 8 + 5  # 230 and 150 rows in blocks of 30
+
+
+def test_lead_ins_have_blocks_to_lead_in_to(spark):
+    """Some 290 rows under a lead-in of 320 are two blocks, the first of which leads in to the second and to no third."""
+    p = frame(spark, walk(290, 3))
+    rows = []
+    in_blocks(p, Blocks(30, 320, "month"), lambda df: rows.append(df.groupBy("symbol.block").count().collect()) or df)
+    assert sorted(map(tuple, rows[0])) == [(0, 160), (1, 290)]
+
+
+def test_blocks_around_their_edges(spark):
+    """Blocks that give no sums to others are needed by none, however a symbol's length falls on blocks and lead-ins."""
+    many = frame(spark, *(walk(n, n, f"S{n}") for n in (1, 2, 3, 44, 45, 46, 47, 48, 89, 90, 91, 92, 93, 94, 135, 136, 137, 138, 180, 181, 270, 271)))
+    for how in (Blocks(5, 90, "month", parts=3), Blocks(45, 47, "week"), Blocks(90, 3, "month")):
+        got = in_blocks(many, how, lambda df, how=how: ind.ema(ind.obv(df, how), 9, 50, long=how))
+        equal(values(got, "ema9", "ema50", "obv"), values(ind.ema(ind.obv(many), 9, 50), "ema9", "ema50", "obv"))
+
+
+def test_bars_of_ticks_are_in_place_to_be_numbered(spark):
+    """Ticks dealt out by the unit make the same bars, which take no shuffle to be numbered; unknown symbols and times are numbered too."""
+    ticks = spark.sql("""
+        SELECT nullif(cast(id % 4 AS string), '3') AS symbol, timestamp_micros(if(id % 97 = 5, null, id * 7919000000 * 11)) AS ts, cast(id % 13 AS double) AS price, 1.0 AS volume, id
+        FROM range(3000)""")
+    want, got = (resample_ticks(ticks, "week", ["ts", "id"], 3, within).drop("_u") for within in (None, "month"))
+    show = lambda rows, *also: sorted(map(repr, rows.select("symbol", "ts", "open", "high", "low", "close", "volume", *also).collect()))
+    assert show(got) == show(want) and show(resample_ticks(ticks, "week", ["ts", "id"], None, "month")) == show(want)
+    rows = numbered(resample_ticks(ticks, "week", ["ts", "id"], 3, "month"), "month")
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 2 and text.count("ENSURE_REQUIREMENTS") == 1  # two readings, and counts by symbol
+    assert show(rows, "_g", "_of") == show(numbered(want, "month"), "_g", "_of") == show(numbered(want, "year"), "_g", "_of")
+    key = lambda r: (str(r.symbol), r.ts is not None, r.ts)
+    bars = sorted(rows.collect(), key=key)
+    for s in {r.symbol for r in bars}:
+        own = [r for r in bars if r.symbol == s]
+        assert [r._g for r in own] == list(range(1, len(own) + 1)) and {r._of for r in own} == {len(own)}
