@@ -125,10 +125,6 @@ def cci(df: DataFrame, period: int = 20) -> DataFrame:
     return df.withColumn("cci", F.try_divide(F.col("_tp") - F.col("_ma"), 0.015 * away)).drop("_tp", "_ma", "_all")
 
 
-def volume_average(df: DataFrame, period: int = 20) -> DataFrame:
-    return full_sums(df, period, "volume").withColumn("vol_avg20", F.col("_sum_volume") / period).drop("_sum_volume")
-
-
 def year_range(df: DataFrame, bars: int = 252, least: int = 50) -> DataFrame:
     """year_high, year_low of the last `bars` rows, once there are `least`."""
     known = F.row_number().over(by_symbol()) >= least
